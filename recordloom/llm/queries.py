@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm import exact_dedup, licenses, media
+from recordloom.llm import exact_dedup, licenses, media, warc
 from recordloom.llm.common import documents
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_archive(spark, warc.write_archive(documents(spark, sf_dir, "pages"))).drop("url")
+
+
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
@@ -24,11 +28,21 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_licenses, op3_media, op8_exact_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_licenses, op3_media, op8_exact_dedup)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: Hex digit number `i` of a lower-case hex string, and five of its bits as a base-32 digit.
+_DIGIT = "(instr('0123456789abcdef', substr(h, {0} + 1, 1)) - 1)"
+_BASE32 = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((((" + _DIGIT.format("(5 * i // 4)") + " * 16 + " + _DIGIT.format("(5 * i // 4 + 1)") + ") >> (3 - 5 * i % 4)) & 31) + 1)::INT, 1)"
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_warc": f"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+             r AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS last FROM p)
+        SELECT page_id, strlen(html) AS payload_bytes, array_to_string([{_BASE32} FOR i IN range(32)], '') AS payload_digest,
+               CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to
+        FROM r""",
     "op8_exact_dedup": f"""
         WITH t AS (SELECT doc_id, {_LOWER} AS norm FROM documents)
         SELECT doc_id, max(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
