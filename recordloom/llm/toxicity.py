@@ -23,6 +23,7 @@ from collections.abc import Iterable
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from recordloom.llm.common import materialize
 
@@ -38,6 +39,9 @@ MAX_KNOWN = 500_000
 #: A document is rejected from this score on.
 THRESHOLD = 0.7
 
+#: The column of scores while an operator runs.
+SCORE = "__recordloom_score"
+
 #: The lexicon before learning: whole words.
 INSULTS = "idiot idiots moron morons stupid loser losers scum trash worthless pathetic disgusting clown imbecile dumb idiota imbécil estúpido idiotin dumm dummkopf abschaum connard crétin débile".split()
 THREATS = "kill hurt destroy shoot stab strangle töten umbringen matar matarte tuer".split()
@@ -235,7 +239,7 @@ def _scores(grammar, at: int):
 
         for batch in batches:
             scores = [grammar.value.score(t or "") for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "__score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, SCORE])
 
     return run
 
@@ -248,11 +252,11 @@ def score(docs: DataFrame, grammar: Grammar, id_col: str = "doc_id", text_col: s
     """
     shared = docs.sparkSession.sparkContext.broadcast(grammar)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_scores(shared, 1), "id long, text string, __score double").select("id", F.col("__score").alias("score"))
+    return rows.mapInArrow(_scores(shared, 1), f"id long, text string, {SCORE} double").select("id", F.col(SCORE).alias("score"))
 
 
 def drop_toxic(docs: DataFrame, grammar: Grammar, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of `docs` whose score is below the threshold, with all their columns."""
     shared = docs.sparkSession.sparkContext.broadcast(grammar)
-    schema = docs.schema.add("__score", "double")
-    return docs.mapInArrow(_scores(shared, docs.columns.index(text_col)), schema).where(F.col("__score") < threshold).drop("__score")
+    schema = StructType([*docs.schema.fields, StructField(SCORE, DoubleType())])
+    return docs.mapInArrow(_scores(shared, docs.columns.index(text_col)), schema).where(F.col(SCORE) < threshold).drop(SCORE)
