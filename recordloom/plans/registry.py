@@ -1,4 +1,4 @@
-"""Named queries with their SQL; filled by the modules of this package."""
+"""Named queries with their SQL."""
 
 from __future__ import annotations
 
@@ -8,4 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = ""
+FLAGSHIP = "resolve_records"
+
+
+def query(sql: str | None = None):
+    """Register a function (spark, sf_dir) under its name, with SQL of the same rows."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
