@@ -157,7 +157,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: each row of `docs` as often as mix() takes it, with all columns; rows that it takes 0 times go."""
-    taken = mix(docs, id_col, text_col, source_col).where("copies > 0").select(ROW, "copies")
+    copies, copy = f"{ROW}_copies", f"{ROW}_copy"
+    taken = mix(docs, id_col, text_col, source_col).where("copies > 0").select(ROW, F.col("copies").alias(copies))
     rows = with_row(docs).join(taken, ROW)
-    copy = f"{ROW}_copy"
-    return rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col("copies")))).drop(copy, ROW, taken["copies"])
+    return rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).drop(copy, copies, ROW)
