@@ -8,15 +8,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-#: Sources of a bibliographic type, tested in this order.
+#: Patterns that tell a bibliographic type's family, tested in this order.
 _TYPE_RULES = (
-    ("chapter", "chapter|booksection|book section|inbook|incollection|chap"),
-    ("article", "article|journal|jour"),
-    ("conference", "conference|proceeding|cpaper|conf"),
+    ("chapter", "chapter|section|component|^chap$"),
+    ("article", "article|journal|^jour$"),
+    ("conference", "conference|proceeding|^cpaper$|^conf$"),
     ("book", "book|monograph"),
-    ("thesis", "thesis|dissertation|thes"),
-    ("dataset", "dataset|data"),
-    ("report", "report|working paper|rprt"),
+    ("thesis", "thesis|dissertation"),
+    ("dataset", "dataset"),
+    ("report", "report|^rprt$"),
 )
 
 
@@ -141,7 +141,7 @@ def title_variants(cell: Column) -> Column:
 
 def item_family(cell: Column) -> Column:
     """A free-text type's family; the first rule of _TYPE_RULES wins, blank if none does."""
-    text = fold(clean(cell))
+    text = F.replace(fold(clean(cell)), F.lit("_"), F.lit("-"))
     rule, *rules = _TYPE_RULES
     out = F.when(text.rlike(rule[1]), rule[0])
     for family, pattern in rules:

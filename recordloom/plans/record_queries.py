@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.functions import cells, identifiers, similarity
-from recordloom.operators import compare, evaluate, filters, profile, resolve, semantic, state
+from recordloom.operators import compare, evaluate, filters, notes, profile, resolve, semantic, state, tagging, verify
 from recordloom.plans.registry import query
 
 
@@ -331,3 +331,74 @@ def translations(spark, sf):
     SELECT doc_id, coalesce(len(list_filter(w, lambda x: x IN ('the', 'of', 'and', 'to', 'in', 'is'))) / nullif(len(w), 0) >= 0.12, false) AS english FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z]+') AS w FROM documents)""")
 def english_texts(spark, sf):
     return _t(spark, sf, "documents").select("doc_id", cells.language_is_english(F.col("text"), ("the", "of", "and", "to", "in", "is")).alias("english"))
+
+
+_WORDS = {"A": ("the", "of"), "B": ("que", "de"), "C": ("der", "und", "zu")}
+
+
+@query("""
+    SELECT doc_id, array_to_string(list_filter([CASE WHEN (t LIKE '%the%')::INT + (t LIKE '%of%')::INT >= 2 THEN 'A' END, CASE WHEN (t LIKE '%que%')::INT + (t LIKE '%de%')::INT >= 2 THEN 'B' END,
+           CASE WHEN (t LIKE '%der%')::INT + (t LIKE '%und%')::INT + (t LIKE '%zu%')::INT >= 2 THEN 'C' END], lambda x: x IS NOT NULL), '; ') AS tags FROM (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents)""")
+def keyword_tags(spark, sf):
+    return _t(spark, sf, "documents").select("doc_id", F.array_join(tagging.keyword_counts(F.col("text"), _WORDS), "; ").alias("tags"))
+
+
+@query(r"SELECT conv_id, turn, len(regexp_extract_all(coalesce(text, ''), '[\p{L}]{2,}')) >= 15 AS readable FROM conversations")
+def readable_turns(spark, sf):
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"\p{L}{2,}"), F.lit(0))
+    return _t(spark, sf, "conversations").select("conv_id", "turn", (F.size(words) >= tagging.READABLE).alias("readable"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_brand || '; ' || p_type ELSE p_brand END AS tags FROM part")
+def appended_values(spark, sf):
+    source = F.when(F.col("p_size") % 2 == 0, F.concat(F.col("p_type"), F.lit(" ;\n"), F.col("p_brand"))).otherwise(F.col("p_brand"))
+    return _t(spark, sf, "part").select("p_partkey", cells.append_missing(F.col("p_brand"), source).alias("tags"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_type = upper(p_type) THEN p_type || '; ' ELSE '' END || 'X' AS kept, p_name || '; 12' AS removed FROM part")
+def kept_tags(spark, sf):
+    kept, removed = cells.keep_tags(cells.split_auto(F.concat_ws(";", "p_type", "p_name", F.lit("X"), F.lit("12"))), cells.is_uppercase)
+    return _t(spark, sf, "part").select("p_partkey", F.array_join(kept, "; ").alias("kept"), F.array_join(removed, "; ").alias("removed"))
+
+
+@query("""
+    SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'http://x.org/' || s_suppkey ELSE 'http://own.org' END AS url, s_suppkey % 2 = 0 AS link_added,
+           CASE WHEN s_suppkey % 2 = 0 THEN 'see and ok' ELSE 'see http://x.org/' || s_suppkey || ' and ok' END AS note FROM supplier""")
+def recovered_links(spark, sf):
+    note = F.concat(F.lit("see http://x.org/"), F.col("s_suppkey").cast("string"), F.lit(" and ok"))
+    rows = _t(spark, sf, "supplier").select("s_suppkey", note.alias("note"), F.when(F.col("s_suppkey") % 2 == 1, "http://own.org").alias("url"), F.lit(None).cast("string").alias("doi"))
+    return notes.recover_links(rows, "note", "url", "doi", remove=True).select("s_suppkey", "url", "link_added", "note")
+
+
+@query("""
+    SELECT count(*) AS records, count(*) FILTER (s_suppkey % 3 = 0) AS with_link, count(*) FILTER (s_suppkey % 2 = 0) AS with_note, count(*) FILTER (s_suppkey % 6 = 0) AS with_both,
+           count(*) FILTER (s_suppkey % 2 = 0 AND s_suppkey % 3 <> 0) AS note_without_link, count(*) FILTER (s_suppkey % 4 = 0 AND s_suppkey % 3 <> 0) AS url_in_note_only FROM supplier""")
+def link_counters(spark, sf):
+    k = F.col("s_suppkey")
+    rows = _t(spark, sf, "supplier").select(F.when(k % 4 == 0, "at https://x.org/a.").when(k % 2 == 0, "text").alias("note"), F.lit("").alias("url"), F.when(k % 3 == 0, "10.1/x").alias("doi"))
+    return notes.link_counters(rows, "note", "url", "doi")
+
+
+@query("""
+    SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'invalid' WHEN p_partkey % 5 = 1 THEN 'invalid' WHEN p_partkey % 5 = 2 THEN 'mismatch' WHEN p_partkey % 5 = 3 THEN 'verified_with_warning' ELSE 'verified' END AS status,
+           CASE WHEN p_partkey % 5 = 0 THEN 'no_identifier' WHEN p_partkey % 5 = 1 THEN 'doi_format' WHEN p_partkey % 5 = 2 THEN 'doi_differs_from_url' ELSE 'registry' END AS rule, CASE WHEN p_partkey % 5 = 3 THEN 'publisher' ELSE '' END AS conflicts FROM part""")
+def verified_records(spark, sf):
+    part, k = _t(spark, sf, "part"), F.col("p_partkey") % 5
+    own = F.concat(F.lit("10.1234/"), F.col("p_partkey").cast("string"))
+    blank = lambda *names: [F.lit("").alias(n) for n in names]
+    records = part.select(
+        "p_partkey", F.array("p_name").alias("titles"), F.lit("Doe, J").alias("author"), F.lit("2001").alias("year"), F.when(k == 0, "").when(k == 1, "11.x").otherwise(own).alias("doi"), F.when(k == 2, "https://doi.org/10.1234/other").otherwise("").alias("url"),
+        F.lit("article").alias("item_type"), F.col("p_brand").alias("publisher"), *blank("journal", "volume", "issue", "pages", "isbn", "issn"),
+    )
+    registry = part.select(
+        own.alias("doi"), F.col("p_name").alias("title"), F.col("p_name").alias("main_title"), F.lit("").alias("subtitle"), F.array(F.lit("Doe")).alias("authors"), F.array(F.lit(2002)).alias("years"),
+        F.lit("article").alias("item_family"), F.when(k == 3, "Zzz").otherwise(F.col("p_brand")).alias("publisher"), *blank("journal", "volume", "issue", "pages", "isbn", "issn"),
+    )
+    return verify.verify_primary(records, "p_partkey", registry).select("p_partkey", "status", "rule", F.array_join("conflicts", "; ").alias("conflicts"))
+
+
+@query("SELECT label, count(*) AS records, avg(k) AS mean_label FROM (SELECT label, label AS k FROM embeddings) GROUP BY 1")
+def label_recall(spark, sf):
+    df = _t(spark, sf, "embeddings").select(F.array(F.col("label").cast("string")).alias("g"), F.col("label").cast("string").alias("top"), "label")
+    counted = evaluate.recall_by_gold(df, "g", "top")
+    return counted.select(F.col("tag").cast("int").alias("label"), "records", (F.col("recall") * F.col("tag").cast("int")).alias("mean_label"))
