@@ -90,7 +90,10 @@ def test_greedy_pairs(spark):
     got = {(r.row_a, r.row_b) for r in compare.match_pairs(a, b, "row", ("title", "title"), [("year", "year")]).collect()}
     assert got == {(0, 1), (1, 0)}
     status = sorted(r.status for r in compare.pair_diff(a, b, "row", ("title", "title"), [("year", "year")], kinds=["text"]).collect())
-    assert status == ["Different", "Different", "No title", "Only in A", "Only in B", "Only in B"]
+    assert status == ["Different", "Different", "No title", "Only in B", "Same"]
+
+    extra = compare.pair_diff(a, b, "row", ("title", "title"), [("year", "year")], [("year", "year")], kinds=["text"])
+    assert sorted(r.status for r in extra.collect()) == ["Different", "Different", "No title", "Only in A", "Only in B", "Only in B"]
 
 
 def test_prefix_best_against_a_loop(spark):
