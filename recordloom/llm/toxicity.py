@@ -181,14 +181,18 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
     """Bias and coefficients by Newton's method, with weak ridge terms that keep separable data finite."""
     a = np.c_[np.ones(len(x)), x]
     prior, strength = np.array([-5.0, 2.5, 1.0]), np.array([0.02, 0.05, 0.05])
+    sign = 2 * y - 1
+    loss = lambda v: np.logaddexp(0, -sign * (a @ v)).sum() + (strength * (v - prior) ** 2).sum() / 2
     w = prior.copy()
-    for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        gradient = a.T @ (p - y) + strength * (w - prior)
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + np.diag(strength), gradient)
-        w -= np.clip(step, -1, 1)
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-np.clip(a @ w, -500, 500)))
+        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + np.diag(strength), a.T @ (p - y) + strength * (w - prior))
         if np.abs(step).max() < 1e-8:
             break
+        size = 1.0
+        while loss(w - size * step) > loss(w) and size > 1e-6:  # a whole step may overshoot where most p are near 0 or 1
+            size /= 2
+        w = w - size * step
     return tuple(map(float, w))
 
 

@@ -215,6 +215,15 @@ def test_grammar_composes_its_transducers():
     assert g.weigh("IDIOT!") == g.weigh("idiot")
 
 
+def test_coefficients_of_many_separable_rows():
+    rng = np.random.default_rng(0)
+    y = (rng.random(20_000) < 0.3).astype(float)
+    x = np.c_[np.where(y, rng.uniform(1.5, 5, 20_000), rng.exponential(0.05, 20_000)), np.where(y, rng.uniform(1, 4, 20_000), rng.exponential(0.3, 20_000))]
+    bias, slope, rate = toxicity._logistic(x, y)
+    p = 1 / (1 + np.exp(-(bias + x @ [slope, rate])))
+    assert ((p >= 0.7) == y).mean() > 0.999
+
+
 def test_toxicity_on_labelled_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
