@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.llm import bpe, exact_dedup, mixing, simhash, toxicity
-from recordloom.llm.common import documents, materialize
+from recordloom.llm.common import documents, folders, materialize, release
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +45,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    """The last stage's rows; the folders of each stage but its result are deleted once that is written."""
+    docs, mark = documents(spark, sf_dir), folders()
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        release(spark, mark, docs)
     return docs

@@ -21,7 +21,28 @@ def work_dir(spark: SparkSession, name: str) -> str:
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="recordloom-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _folders.append(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _folders[-1]
+
+
+#: The folders that this driver has named, in order.
+_folders: list[str] = []
+
+
+def release(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> None:
+    """Delete the folders named after the first `since` ones, but not the one that `keep` reads.
+
+    DataFrames that read the others can't be run again.
+    """
+    kept = set() if keep is None else {path.rsplit("/", 1)[0].rsplit("/", 1)[-1] for path in keep.inputFiles()}
+    for uri in _folders[since:]:
+        if uri.rsplit("/", 1)[-1] not in kept:
+            remove(spark, uri)
+            _folders.remove(uri)
+
+
+def folders() -> int:
+    return len(_folders)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -66,4 +87,4 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-__all__ = ["ROW", "documents", "filesystem", "materialize", "remove", "text_bytes", "with_row", "work_dir"]
+__all__ = ["ROW", "documents", "filesystem", "folders", "materialize", "release", "remove", "text_bytes", "with_row", "work_dir"]

@@ -42,3 +42,11 @@ def test_stages_against_brute_force(spark, tmp_path):
         found = encoding.encode_ordinary(rows[i])
         want.append((i, len(found), hashlib.sha256(struct.pack(f"<{len(found)}I", *found)).hexdigest(), hashlib.sha256(rows[i].encode()).hexdigest()))
     assert sorted((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in tables[5].collect()) == want
+
+
+def test_run_leaves_its_result_only(spark):
+    from recordloom.llm import common
+
+    before = common.folders()
+    rows = corpus_pipeline.run(spark, DIR)
+    assert common.folders() == before + 1 and rows.count() > 0
