@@ -55,6 +55,12 @@ def best_candidates(candidates: DataFrame, record: str) -> DataFrame:
     return seen.groupBy(record).agg(best.alias("__c"), F.max("__cut").alias("cutoff")).select(record, "__c.*", "cutoff")
 
 
+def ranked(candidates: DataFrame, record: str) -> DataFrame:
+    """All candidates with their place by score, without early exit; the earliest of equals is first."""
+    order = Window.partitionBy(record).orderBy(F.desc("score"), "source_rank", "cand_pos")
+    return candidates.withColumn("place", F.row_number().over(order))
+
+
 def decide(score: Column, reference_only: Column) -> Column:
     """The status of a record's best candidate."""
     return F.when(score >= REVIEW, F.when(reference_only, "matched_no_link").when(score >= ACCEPT, "auto_accepted").otherwise("needs_review")).otherwise("low_confidence")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.functions import cells, identifiers, similarity
-from recordloom.operators import compare, evaluate, filters, notes, profile, resolve, semantic, state, tagging, verify
+from recordloom.operators import compare, evaluate, filters, notes, profile, resolve, schema, semantic, state, tagging, verify
 from recordloom.plans.registry import query
 
 
@@ -402,3 +402,52 @@ def label_recall(spark, sf):
     df = _t(spark, sf, "embeddings").select(F.array(F.col("label").cast("string")).alias("g"), F.col("label").cast("string").alias("top"), "label")
     counted = evaluate.recall_by_gold(df, "g", "top")
     return counted.select(F.col("tag").cast("int").alias("label"), "records", (F.col("recall") * F.col("tag").cast("int")).alias("mean_label"))
+
+
+@query("SELECT o_custkey AS record, o_orderkey AS cand_pos, round(o_totalprice / 5000, 2) AS score, row_number() OVER (PARTITION BY o_custkey ORDER BY round(o_totalprice / 5000, 2) DESC, o_orderkey)::INT AS place FROM orders")
+def ranked_candidates(spark, sf):
+    rows = _t(spark, sf, "orders").select(F.col("o_custkey").alias("record"), F.col("o_orderkey").alias("cand_pos"), F.round(F.col("o_totalprice") / 5000, 2).alias("score"), F.lit(0).alias("source_rank"))
+    return resolve.ranked(rows, "record").select("record", "cand_pos", "score", "place")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'accepted' WHEN o_orderkey % 3 = 1 THEN 'not_accepted' ELSE o_orderstatus END AS status, CASE WHEN o_orderkey % 3 = 0 THEN 'Approved' WHEN o_orderkey % 3 = 1 THEN 'Rejected' END AS decision FROM orders")
+def reviewed_records(spark, sf):
+    orders = _t(spark, sf, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"))
+    k = F.col("o_orderkey") % 3
+    reviews = _t(spark, sf, "orders").where(k < 2).select("o_orderkey", F.when(k == 0, "Accepted").otherwise("Not accepted").alias("choice"))
+    return schema.overlay_reviews(orders, "o_orderkey", reviews)
+
+
+@query("SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1 UNION ALL SELECT 'total', count(*) FILTER (o_orderstatus IN ('F', 'O')) FROM orders")
+def status_totals(spark, sf):
+    return schema.status_counts(_t(spark, sf, "orders"), "o_orderstatus", ("F", "O"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE c_name END AS shown FROM customer")
+def first_filled_cells(spark, sf):
+    df = _t(spark, sf, "customer").withColumn("Segment", F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).otherwise("  "))
+    return df.select("c_custkey", schema.value_of(df, "segment", "c_name").alias("shown"))
+
+
+@query("SELECT count(*) FILTER (c_acctbal >= 0) AS to_look_up, count(*) FILTER (c_acctbal < 0) AS complete FROM customer")
+def lookup_scope(spark, sf):
+    df = _t(spark, sf, "customer")
+    todo, done = resolve.scope(df, F.when(F.col("c_acctbal") < 0, "10.1/x"), F.when(F.col("c_acctbal") < 0, "http://x"), "missing_only")
+    return todo.agg(F.count(F.lit(1)).alias("to_look_up")).crossJoin(done.agg(F.count(F.lit(1)).alias("complete")))
+
+
+@query("SELECT p_partkey FROM part WHERE p_partkey % 13 <> 0 AND p_partkey % 11 <> 0")
+def common_keys(spark, sf):
+    a, b = _versions(spark, sf)
+    return a.select(F.col("row").alias("p_partkey")).intersect(b.select(F.col("row").alias("p_partkey")))
+
+
+@query("""
+    WITH n AS (SELECT n_regionkey, n_name FROM nation), t AS (SELECT n_regionkey, n_name, length(n_name) AS l FROM n)
+    SELECT n_regionkey AS tag, max(k) AS records, max(CASE WHEN m = 'a' THEN r END) AS a, max(CASE WHEN m = 'b' THEN r END) AS b
+    FROM (SELECT n_regionkey, 'a' AS m, count(*) AS k, avg(l) AS r FROM t GROUP BY 1 UNION ALL SELECT n_regionkey, 'b', count(*), max(l)::DOUBLE FROM t GROUP BY 1) GROUP BY 1""")
+def recall_pivot(spark, sf):
+    t = _t(spark, sf, "nation").select(F.col("n_regionkey").alias("tag"), F.length("n_name").alias("l"))
+    a = t.groupBy("tag").agg(F.count(F.lit(1)).alias("records"), F.avg("l").alias("recall")).withColumn("model", F.lit("a"))
+    b = t.groupBy("tag").agg(F.count(F.lit(1)).alias("records"), F.max("l").cast("double").alias("recall")).withColumn("model", F.lit("b"))
+    return evaluate.recall_pivot(a.unionByName(b), ["a", "b"])

@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from recordloom.functions import cells, identifiers, pages, similarity
-from recordloom.operators import compare, evaluate, filters, notes, profile, resolve, semantic, state, tagging, verify
+from recordloom.operators import chunks, compare, evaluate, filters, notes, profile, resolve, schema, semantic, state, tagging, verify
 from recordloom.sources import candidates
 from recordloom.streaming import resume
 
@@ -233,6 +233,24 @@ def test_resuming_streams(spark, tmp_path):
     assert sorted(r.k for r in spark.read.parquet(out).collect()) == [1, 2, 3]
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.text(max_size=300), st.integers(4, 60))
+def test_chunks_keep_the_text(text, most):
+    assert "".join(chunks.hard_split(text, most)) == text and all(len(c.encode()) <= most for c in chunks.hard_split(text, most))
+    packed = chunks.pack(text, most)
+    assert all(0 < len(c.encode()) <= most for c in packed) and "".join("".join(packed).split()) == "".join(text.split())
+
+
+def test_binding_columns(spark):
+    df = spark.createDataFrame([("a", " ", "b", ["x", "y"])], "`Item Title` string, url string, `My DOI` string, tags array<string>")
+    assert schema.bind(df, ("title", "doi", "url", "year")) == {"title": "Item Title", "doi": "My DOI", "url": "url", "year": None}
+    assert schema.drop_blank(df, ["url", "My DOI"]).columns == ["Item Title", "My DOI", "tags"]
+    flat = schema.flatten(df.select(F.struct(F.col("Item Title").alias("t"), "tags").alias("s")), "s", "v_").first()
+    assert (flat.v_t, flat.v_tags) == ("a", "x; y") and schema.duration(3725.9) == "1:02:05"
+    assert schema.common_columns(df, df.select("url")) == (["url"], ["Item Title", "My DOI", "tags"], [])
+    assert one(spark, chunks.chunks(F.lit("A b. C d.")).alias("c")).c == ["A b. C d."]
+
+
 def test_entry_point():
     import __spark_entry__ as entry
     from recordloom.plans import registry
