@@ -239,6 +239,25 @@ def digests(encoded: DataFrame, path: str | None = None) -> DataFrame:
     return encoded.select(ROW, "id", "tokens").mapInArrow(_digests(ranks), f"{ROW} long, id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def _decode(ranks):
+    def run(batches):
+        import pyarrow as pa
+
+        byte_ranks = np.array([ranks.value[bytes([i])] for i in range(256)], np.uint32)
+        pieces = {rank: token for token, rank in ranks.value.items()}
+        for batch in batches:
+            texts = [b"".join(map(pieces.__getitem__, ids(t, byte_ranks).tolist())).decode() for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=[ROW, "id", "text"])
+
+    return run
+
+
+def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
+    """ROW, id and text of encode()'s rows."""
+    ranks = encoded.sparkSession.sparkContext.broadcast(pretokens.load_ranks(path or pretokens.default_path()))
+    return encoded.select(ROW, "id", "tokens").mapInArrow(_decode(ranks), f"{ROW} long, id long, text string")
+
+
 def decode_ids(found: list[int], ranks: dict[bytes, int]) -> bytes:
     pieces = {rank: token for token, rank in ranks.items()}
     return b"".join(pieces[i] for i in found)

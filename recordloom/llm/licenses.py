@@ -6,6 +6,7 @@ most frequent label among all label findings, halved where an expression breaks
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections import Counter
 
@@ -117,66 +118,71 @@ def _automaton():
     return out
 
 
-def scan(text: bytes, automaton) -> dict:
-    """Findings of one text; see scan_licenses()."""
+def scan(text: bytes, automaton) -> tuple[int, list[tuple[str, str, int, int]], float]:
+    """Number of words, findings (kind, label, first word, words) and score of one text; see scan_licenses()."""
     words = text.translate(_TABLE).split()
     line = b" " + b" ".join(words) + b" "
+    findings: list[tuple[str, str, int, int]] = []
+    broken = False
     # one char for a byte, so that places in the line are places in bytes
-    found = [(end, value) for end, value in automaton.iter(line.decode("latin-1"))]
-    labels, places, base, broken = Counter(), [], set(), 0
-    for end, (kind, label, n, size) in found:
-        start = end - size - 1  # the space before the phrase
-        if kind == "base":
-            places.append(line.count(b" ", 0, start))
-            base.add(label)
+    for end, (kind, label, n, size) in automaton.iter(line.decode("latin-1")):
+        word = line.count(b" ", 0, end - size - 1)  # the spaces before the one that precedes the phrase
         if kind == "tag":
-            for names, whole in _tagged(text, line, start, n):
-                labels.update(names)
-                broken += not whole
+            labels, whole = _tagged(text, word + n - 1)
+            findings += [("expression", x, word, n) for x in labels]
+            broken |= not whole
         else:
-            labels[label] += 1
-    total = sum(labels.values())
-    score = max(labels.values()) / total / (1 + bool(broken)) if total else 0.0
-    return {
-        "n_words": len(words), "n_base": len(places), "first_word": min(places, default=None), "last_word": max(places, default=None),
-        "base_labels": ",".join(sorted(base)), "labels": ",".join(sorted(labels)), "score": score,
-    }
-
-
-def _tagged(text: bytes, line: bytes, start: int, n: int):
-    """The labels of the expression behind a tag's words, found again in the text itself."""
-    k = line.count(b" ", 0, start)
-    low = text.translate(_LOWER)
-    for i, found in enumerate(_WORD.finditer(low)):
-        if i == k + n - 1:
-            rest = text[found.end() :].split(b"\n", 1)[0]
-            if rest.lstrip()[:1] != b":":
-                return
-            postfix, whole = parse_expression(rest.lstrip()[1:].decode("utf-8", "replace"))
-            names = [label_of(x) for x in sorted(frozenset().union(*evaluate(postfix)))] if postfix else []
-            yield [x for x in names if x], whole and all(names)
-            return
+            findings.append((kind, label, word, n))
+    share = max(Counter(x[1] for x in findings).values()) / len(findings) if findings else 0.0
+    return len(words), findings, share / (1 + broken)
+
+
+def _tagged(text: bytes, last: int) -> tuple[list[str], bool]:
+    """Labels of the expression behind the word number `last` of a text, and whether all of it could be read.
+
+    Without a colon there is no expression, and nothing to complain about.
+    """
+    found = next(itertools.islice(_WORD.finditer(text.translate(_LOWER)), last, None))
+    rest = text[found.end() :].split(b"\n", 1)[0].lstrip()
+    if rest[:1] != b":":
+        return [], True
+    postfix, whole = parse_expression(rest[1:].decode("utf-8", "replace"))
+    names = [label_of(x) for x in sorted(frozenset().union(*evaluate(postfix)))] if postfix else []
+    return [x for x in names if x], whole and all(names)
 
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
+FINDING = "kind string, label string, word long, n_words long"
+
+
 def _scan(batches):
     import pyarrow as pa
 
     automaton = _automaton()
-    fields = {"n_words": pa.int64(), "n_base": pa.int64(), "first_word": pa.int64(), "last_word": pa.int64(), "base_labels": pa.string(), "labels": pa.string(), "score": pa.float64()}
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("label", pa.string()), ("word", pa.int64()), ("n_words", pa.int64())]))
     for batch in batches:
         rows = [scan(x, automaton) for x in text_bytes(batch.column(1))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in rows], t) for k, t in fields.items())], names=["id", *fields])
+        findings = [[dict(zip(("kind", "label", "word", "n_words"), f, strict=True)) for f in r[1]] for r in rows]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array(findings, kind), pa.array([r[2] for r in rows], pa.float64())], names=["id", "n_words", "findings", "score"])
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of `docs`: id, n_words, n_base, first_word, last_word, base_labels, labels, score.
+    """id, n_words, findings and score for each row of `docs`.
 
-    Words are runs of 0-9, a-z and bytes above 127 after lower-casing A-Z; every place of a phrase's words counts,
-    overlapping ones too. Labels are distinct, sorted, comma-joined, empty if none. A null text counts as empty, which
-    has no words, null places and score 0. Rows are independent, so repeated rows and an empty table need no rule.
+    A finding has its kind (base, notice or expression), label, first word (from 0) and number of words. Words are
+    runs of 0-9, a-z and bytes above 127 after lower-casing A-Z; every place of a phrase's words counts, overlapping
+    ones too; an expression's labels stand at its tag. A null text counts as empty, which has no words, no findings
+    and score 0. Rows are independent, so repeated rows and an empty table need no rule.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_scan, "id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+    return rows.mapInArrow(_scan, f"id long, n_words long, findings array<struct<{FINDING.replace(' ', ':').replace(',:', ',')}>>, score double")
+
+
+def summaries(found: DataFrame) -> DataFrame:
+    """n_base, first_word and last_word of base findings, and base_labels and labels (distinct, sorted, joined)."""
+    base = F.filter("findings", lambda x: x["kind"] == "base")
+    joined = lambda xs: F.array_join(F.array_sort(F.array_distinct(F.transform(xs, lambda x: x["label"]))), ",")
+    starts = F.transform(base, lambda x: x["word"])
+    return found.select("id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"), joined(base).alias("base_labels"), joined(F.col("findings")).alias("labels"), "score")

@@ -16,7 +16,7 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan_licenses(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+    return licenses.summaries(licenses.scan_licenses(documents(spark, sf_dir))).withColumnRenamed("id", "doc_id")
 
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:

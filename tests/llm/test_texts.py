@@ -33,6 +33,11 @@ def test_bpe_equals_the_library(tables, name):
     assert key((r.id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in rows) == key(want)
 
 
+def test_decoding_gives_the_texts(tables):
+    rows = bpe.decode(bpe.encode(tables["plain"])).collect()
+    assert key((r.id, r.text) for r in rows) == key(TEXTS)
+
+
 def test_heap_and_library_agree():
     encoding, merges, rng = reference_encoding(), bpe.pairs(RANKS), random.Random(2)
     for _ in range(200):
@@ -83,7 +88,7 @@ def test_license_places_against_brute_force(tables, name):
         places = [(i, label) for phrase, label in licenses.BASE.items() for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
         starts = [i for i, _ in places]
         want.append((id_, len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in places}))))
-    rows = licenses.scan_licenses(tables[name]).collect()
+    rows = licenses.summaries(licenses.scan_licenses(tables[name])).collect()
     assert key((r.id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in rows) == key(want)
     assert all(0 <= r.score <= 1 and set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) for r in rows)
 
@@ -95,8 +100,9 @@ def test_license_expressions():
     assert parse("GPL-2.0-only WITH Classpath-exception-2.0") == [["gpl-2.0-only-with-classpath-exception-2.0"]]
     assert licenses.parse_expression("MIT AND")[1] is False and licenses.parse_expression("(MIT")[1] is False and licenses.parse_expression("")[1] is False
     found = licenses.scan(b"# SPDX-License-Identifier: (MIT OR GPL-2.0-only)\nx", licenses._automaton())
-    assert found["labels"] == "gpl-2.0-only,mit" and found["base_labels"] == ""
-    assert licenses.scan("é under the MIT\n\nLicense under the mit license".encode(), licenses._automaton())["last_word"] == 5
+    assert found == (10, [("expression", "gpl-2.0-only", 0, 3), ("expression", "mit", 0, 3)], 0.5)
+    assert licenses.scan("é under the MIT\n\nLicense under the mit license".encode(), licenses._automaton()) == (9, [("base", "mit", 1, 4), ("base", "mit", 5, 4)], 1.0)
+    assert licenses.scan(b"spdx license identifier", licenses._automaton()) == (3, [], 0.0)
 
 
 @pytest.mark.parametrize("name", ["plain", "extra", "empty"])
@@ -215,6 +221,13 @@ def test_grammar_composes_its_transducers():
     assert g.weigh("IDIOT!") == g.weigh("idiot")
 
 
+def test_matched_clauses(spark):
+    g = toxicity.Grammar({}, {"idiot": 3.0})
+    df = spark.createDataFrame([(1, "Fine. You IDIOT! ok\nnot an idiot"), (2, None)], "doc_id long, text string")
+    rows = {r.id: r.clauses for r in toxicity.matched_clauses(df, g).collect()}
+    assert [(c.start, c.text) for c in rows[1]] == [(5, " You IDIOT"), (20, "not an idiot")] and rows[1][0].weight > rows[1][1].weight and rows[2] == []
+
+
 def test_coefficients_of_many_separable_rows():
     rng = np.random.default_rng(0)
     y = (rng.random(20_000) < 0.3).astype(float)
