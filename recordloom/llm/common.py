@@ -54,8 +54,20 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+#: Most rows in an Arrow batch: documents and pages are long, and a task holds several batches at once.
+BATCH = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Have the session send at most BATCH rows to Python at a time."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH:
+        spark.conf.set(name, BATCH)
+
+
 def with_row(df: DataFrame) -> DataFrame:
     """Add ROW, a key for each row. `df` has to be a scan of files: then every run of the plan deals the same keys."""
+    small_batches(df.sparkSession)
     return df.withColumn(ROW, F.monotonically_increasing_id())
 
 
@@ -87,4 +99,4 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-__all__ = ["ROW", "documents", "filesystem", "folders", "materialize", "release", "remove", "text_bytes", "with_row", "work_dir"]
+__all__ = ["ROW", "documents", "filesystem", "folders", "materialize", "release", "remove", "small_batches", "text_bytes", "with_row", "work_dir"]

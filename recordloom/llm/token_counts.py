@@ -19,10 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.llm import pretokens
+from recordloom.llm.common import small_batches
 
 #: Shift of the model, and the score of a nat.
 SHIFT, UNIT = 2.7, 1_000_000
-#: Characters of text whose pre-tokens share a trie; more texts start another.
+#: Characters of text whose pre-tokens share a trie, or an Arrow batch's more.
 BLOCK_CHARS = 8 << 20
 
 
@@ -73,23 +74,26 @@ def _count(ranks, pattern: str, block: int) -> Callable:
         import pyarrow as pa
 
         cost, split = costs(ranks.value), pretokens.splitter(pattern)
+        index: dict[str, int] = {}
+        waiting: list[tuple] = []  # ids and, for each text, its words' numbers
+        chars = 0
+
+        def counted():
+            encoded = [w.encode() for w in index]
+            found = trie_counts(encoded, cost)
+            n = np.fromiter((found[w] for w in encoded), np.int64, len(encoded))
+            for ids, rows in waiting:
+                columns = ([int(n[r].sum()) for r in rows], [len(r) for r in rows], [len(np.unique(r)) for r in rows])
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, pa.int64()) for c in columns)], names=["id", "n_tokens", "n_words", "n_distinct"])
+
         for batch in batches:
             texts = [x or "" for x in batch.column(1).to_pylist()]
-            counts: list[tuple[int, int, int]] = []
-            at = 0
-            while at < len(texts):
-                index: dict[str, int] = {}
-                rows, chars = [], 0
-                while at < len(texts) and (not rows or chars < block):
-                    rows.append(np.fromiter((index.setdefault(w, len(index)) for w in split(texts[at])), np.int64))
-                    chars += len(texts[at])
-                    at += 1
-                encoded = [w.encode() for w in index]
-                found = trie_counts(encoded, cost)
-                n = np.fromiter((found[w] for w in encoded), np.int64, len(encoded))
-                counts += [(int(n[r].sum()) if len(r) else 0, len(r), len(np.unique(r))) for r in rows]
-            columns = zip(*counts, strict=True) if counts else ([], [], [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns)], names=["id", "n_tokens", "n_words", "n_distinct"])
+            waiting.append((batch.column(0), [np.fromiter((index.setdefault(w, len(index)) for w in split(t)), np.int32) for t in texts]))
+            chars += sum(map(len, texts))
+            if chars >= block:
+                yield from counted()
+                index, waiting, chars = {}, [], 0
+        yield from counted()
 
     return run
 
@@ -100,6 +104,7 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     A null text counts as empty, which has no tokens. Rows are independent, so repeated rows and an empty table need
     no rule. Only the two named columns are read.
     """
+    small_batches(docs.sparkSession)
     ranks = docs.sparkSession.sparkContext.broadcast(pretokens.load_ranks(path or pretokens.default_path()))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(_count(ranks, pattern or pretokens.default_pattern(), block), "id long, n_tokens long, n_words long, n_distinct long")
