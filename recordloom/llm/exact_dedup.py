@@ -188,5 +188,6 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` that stay, with all their columns; rules as in exact_duplicates()."""
-    gone = exact_duplicates(docs, id_col, text_col).where(~F.col("kept")).select(ROW)
+    # of known size: few enough rows are sent along, so that no document moves
+    gone = materialize(exact_duplicates(docs, id_col, text_col).where(~F.col("kept")).select(ROW), "exact-gone")
     return with_row(docs).join(gone, ROW, "left_anti").drop(ROW)

@@ -125,4 +125,6 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     found = materialize(near_duplicates(docs, id_col, text_col).select(ROW, "id", "fingerprint", "component_id"), "simhash-rows")
     stays = found.where(F.col("id").eqNullSafe(F.col("component_id"))).withColumn("none", F.when(F.col("component_id").isNull(), F.col("fingerprint")))
     first = stays.groupBy("component_id", "none").agg(F.min(ROW).alias(ROW))
-    return with_row(docs).join(first.select(ROW), ROW, "left_semi").drop(ROW)
+    # of known size: few enough rows are sent along, so that no document moves
+    gone = materialize(found.join(first.select(ROW), ROW, "left_anti").select(ROW), "simhash-gone")
+    return with_row(docs).join(gone, ROW, "left_anti").drop(ROW)

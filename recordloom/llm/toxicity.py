@@ -23,9 +23,8 @@ from collections.abc import Iterable
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
-from recordloom.llm.common import materialize
+from recordloom.llm.common import materialize, small_batches
 
 #: Bounds of the training sample.
 MAX_TOXIC, MAX_CLEAN = 6000, 12000
@@ -35,13 +34,10 @@ MAX_LEARNED, LENGTHS = 1000, (3, 4, 5, 6, 7, 8)
 #: Least weight of what is learned.
 LEAST = 1.25
 #: Words whose weight a task remembers.
-MAX_KNOWN = 500_000
+MAX_KNOWN = 100_000
 #: A document is rejected from this score on.
 THRESHOLD = 0.7
 
-#: The column of scores while an operator runs.
-SCORE = "__recordloom_score"
-
 #: The lexicon before learning: whole words.
 INSULTS = "idiot idiots moron morons stupid loser losers scum trash worthless pathetic disgusting clown imbecile dumb idiota imbécil estúpido idiotin dumm dummkopf abschaum connard crétin débile".split()
 THREATS = "kill hurt destroy shoot stab strangle töten umbringen matar matarte tuer".split()
@@ -124,6 +120,15 @@ class Grammar:
         clauses = (_TOKEN.findall(part) for part in _CLAUSE.split(text))
         return sum(self.clause(words) for words in clauses if any(map(self.cue, words)))
 
+    def matches(self, text: str) -> list[tuple[int, str, float]]:
+        """Start, text and weight of the clauses that weigh anything."""
+        out, at = [], 0
+        for end in [m.span() for m in _CLAUSE.finditer(text)] + [(len(text), len(text))]:
+            weight = self.clause(w.lower() for w in _TOKEN.findall(text[at : end[0]]))
+            out += [(at, text[at : end[0]], weight)] if weight else []
+            at = end[1]
+        return out
+
     def features(self, text: str) -> tuple[float, float]:
         """The logarithms of the total weight and of the weight per thousand words."""
         total = self.weigh(text)
@@ -203,6 +208,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows the lexicon and the default coefficients remain. Null ids and null labels are passed over.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     train = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("id IS NOT NULL AND y IN (0, 1) AND crc32(CAST(CAST(id AS STRING) AS BINARY)) % 3 <> 1")
     drawn = lambda y, n: train.where(F.col("y") == y).distinct().orderBy(F.xxhash64("id"), "id").limit(n)
     chosen = materialize(drawn(1, max_toxic).unionByName(drawn(0, max_clean)), "toxicity-sample")
@@ -237,13 +243,23 @@ def _features(halves):
     return run
 
 
-def _scores(grammar, at: int):
+def _scores(grammar):
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            scores = [grammar.value.score(t or "") for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, SCORE])
+            scores = [grammar.value.score(t or "") for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["id", "score"])
+
+    return run
+
+
+def _below(grammar, at: int, threshold: float):
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield batch.filter(pa.array([grammar.value.score(t or "") < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return run
 
@@ -254,13 +270,34 @@ def score(docs: DataFrame, grammar: Grammar, id_col: str = "doc_id", text_col: s
     A null text counts as empty; it has the score of a text without findings. Rows are independent, so repeated rows
     and an empty table need no rule. Only the two named columns are read.
     """
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(grammar)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(_scores(shared), "id long, score double")
+
+
+def _matched(grammar):
+    def run(batches):
+        import pyarrow as pa
+
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("text", pa.string()), ("weight", pa.float64())]))
+        for batch in batches:
+            clauses = [[dict(zip(("start", "text", "weight"), m, strict=True)) for m in grammar.value.matches(t or "")] for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(clauses, kind)], names=["id", "clauses"])
+
+    return run
+
+
+def matched_clauses(docs: DataFrame, grammar: Grammar, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id and clauses (start in characters, text, weight) for each row of `docs`; rules as in score()."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(grammar)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_scores(shared, 1), f"id long, text string, {SCORE} double").select("id", F.col(SCORE).alias("score"))
+    return rows.mapInArrow(_matched(shared), "id long, clauses array<struct<start:long,text:string,weight:double>>")
 
 
 def drop_toxic(docs: DataFrame, grammar: Grammar, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of `docs` whose score is below the threshold, with all their columns."""
     shared = docs.sparkSession.sparkContext.broadcast(grammar)
-    schema = StructType([*docs.schema.fields, StructField(SCORE, DoubleType())])
-    return docs.mapInArrow(_scores(shared, docs.columns.index(text_col)), schema).where(F.col(SCORE) < threshold).drop(SCORE)
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(_below(shared, docs.columns.index(text_col), threshold), docs.schema)
