@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm import bpe, exact_dedup, mixing, simhash, toxicity
+from recordloom.llm import bpe, exact_dedup, mixing, near_copies, toxicity
 from recordloom.llm.common import documents, folders, materialize, release
 
 
@@ -24,8 +24,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose fingerprints are linked the one with the smallest doc_id stays."""
-    return simhash.drop_near_duplicates(docs)
+    """Of documents linked by a Jaccard similarity of 0.8 or more of five-word shingles the one with the smallest doc_id stays."""
+    return near_copies.drop_near_copies(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +40,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", drop_toxic), ("exact_dedup", drop_copies), ("near_dedup", drop_near_copies), ("mix", mix_sources), ("bpe", encode)]
 
-#: The grammar, the fingerprints, the cube method and the merges can't be said in SQL.
+#: The grammar, the linked shingle sets, the cube method and the merges can't be said in SQL.
 ORACLE_SQL = None
 
 

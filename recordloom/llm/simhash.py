@@ -29,21 +29,25 @@ PAIRS = 48
 _CHUNK = 1 << 16
 
 
-def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
-    """The majority of each bit over the XXH64 of the text's shingles, repeats included; without words 0."""
+def shingles(text: bytes, words: int = WORDS, seed: int = SEED) -> np.ndarray:
+    """The XXH64 of each shingle, repeats included; a text of fewer words is one shingle, one without words has none."""
     import xxhash
 
     parts = text.lower().split()  # of bytes: A-Z, and U+0020 and U+0009 to U+000D
     if not parts:
-        return 0
-    shingles = map(b" ".join, zip(*(parts[i:] for i in range(words)), strict=False)) if len(parts) >= words else iter([b" ".join(parts)])
-    n = max(1, len(parts) - words + 1)
-    hashes = np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=seed), shingles), np.uint64, n)
+        return np.empty(0, np.uint64)
+    joined = map(b" ".join, zip(*(parts[i:] for i in range(words)), strict=False)) if len(parts) >= words else iter([b" ".join(parts)])
+    return np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=seed), joined), np.uint64, max(1, len(parts) - words + 1))
+
+
+def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
+    """The majority of each bit over the XXH64 of the text's shingles, repeats included; without words 0."""
+    hashes = shingles(text, words, seed)
     counts = np.zeros(64, np.int64)
-    for at in range(0, n, _CHUNK):
+    for at in range(0, len(hashes), _CHUNK):
         part = hashes[at : at + _CHUNK].view(np.uint8).reshape(-1, 8)
         counts += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
 def _fingerprints(words: int):
