@@ -9,6 +9,8 @@ Equal fingerprints are one node from the start. Buckets of up to PAIRS nodes com
 Larger buckets link their nodes through hubs instead, which is exact and linear: two fingerprints differ in at most
 two bits if and only if some value is at most one bit from either, so each node sends itself and its one-bit changes
 (only of bits that the mask leaves out, as the others are equal) and all senders of a value link to its least one.
+That holds for radii of 1 and 2. For larger ones large buckets are dealt to blocks of about PAIRS nodes, and each node
+is compared with every block: exact too, but quadratic, in rows as large as the bucket times its blocks.
 """
 
 from __future__ import annotations
@@ -89,9 +91,12 @@ def _hubs(table: Column, node: Column, radius: int) -> Column:
 
 
 def links(nodes: DataFrame, radius: int = RADIUS, pairs: int = PAIRS) -> DataFrame:
-    """Edges a, b whose components are those of all pairs of distinct `nodes` (node) within the radius."""
-    if radius not in (1, 2):
-        raise ValueError("the radius has to be 1 or 2")
+    """Edges a, b whose components are those of all pairs of distinct `nodes` (node) within the radius.
+
+    A node has 2^(radius + 1) - 1 rows, one in each table.
+    """
+    if radius < 1:
+        raise ValueError("the radius has to be 1 or more")
     tables = F.array(*(F.struct(F.lit(v).alias("t"), F.col("node").bitwiseAND(F.lit(_signed(m))).alias("key")) for v, m in enumerate(masks(radius))))
     rows = nodes.select("node", F.inline(tables))
     sizes = rows.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -101,7 +106,13 @@ def links(nodes: DataFrame, radius: int = RADIUS, pairs: int = PAIRS) -> DataFra
     small = met.where(F.col("n") <= pairs).groupBy("t", "key").agg(bucket.alias("all"))
     found = F.flatten(F.transform("all", lambda x: F.transform(F.filter("all", lambda y: (y < x) & near(x, y)), lambda y: F.struct(x.alias("a"), y.alias("b")))))
     compared = small.select(F.inline(found))
-    hubs = met.where(F.col("n") > pairs).select("t", "node", F.inline(_hubs(F.col("t"), F.col("node"), radius)))
+    large = met.where(F.col("n") > pairs)
+    if radius > 2:
+        blocks = F.ceil(F.col("n") / max(pairs, 1)).cast("int")
+        lists = large.groupBy("t", "key", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block")).agg(bucket.alias("all"))
+        asked = large.select("t", "key", "node", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block")).join(lists, ["t", "key", "block"])
+        return compared.union(asked.select(F.col("node").alias("a"), F.explode(F.filter("all", lambda y: (y < F.col("node")) & near(F.col("node"), y))).alias("b")))
+    hubs = large.select("t", "node", F.inline(_hubs(F.col("t"), F.col("node"), radius)))
     least = hubs.groupBy("t", "bit", "value").agg(F.min("node").alias("b"), F.max("node").alias("most")).where("b <> most").drop("most")
     linked = hubs.join(least, ["t", "bit", "value"]).where("node <> b").select(F.col("node").alias("a"), "b")
     return compared.union(linked)
@@ -124,9 +135,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(found, prints.fingerprint == found.node).select(ROW, "id", "fingerprint", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, radius: int = RADIUS) -> DataFrame:
     """One row of each component, the first of those with the smallest id, with all its columns."""
-    found = materialize(near_duplicates(docs, id_col, text_col).select(ROW, "id", "fingerprint", "component_id"), "simhash-rows")
+    found = materialize(near_duplicates(docs, id_col, text_col, words, radius).select(ROW, "id", "fingerprint", "component_id"), "simhash-rows")
     stays = found.where(F.col("id").eqNullSafe(F.col("component_id"))).withColumn("none", F.when(F.col("component_id").isNull(), F.col("fingerprint")))
     first = stays.groupBy("component_id", "none").agg(F.min(ROW).alias(ROW))
     # of known size: few enough rows are sent along, so that no document moves
