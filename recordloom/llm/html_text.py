@@ -34,8 +34,13 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 #: An opening tag of the key ends open elements of the values.
 IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
 ENDS_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
-#: Words in class, id or role that mark boilerplate.
-MARKS = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disclaimer|footer|header|masthead|menu|nav|navbar|navigation|newsletter|notices?|pagination|popup|promo\w*|related|reply|replies|respond|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])", re.I)
+#: Parts of names in class, id or role that mark boilerplate, and parts that such names may have besides. Names with
+#: other parts (has-sidebar, comments-open, article-header, content-sidebar-wrap) say how a page is laid out.
+_WORD = r"(?:ad|ads|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disclaimer|footer|header|masthead|menu|nav|navbar|navigation|newsletter|notices?|pagination|popup|promo\w*|related|reply|replies|respond|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)"
+_BESIDES = r"(?:\d+|site|page|top|bottom|left|right|main|global|primary|secondary|mobile|desktop|bar|box|block|list|links?|buttons?|icons?|items?|area|section|form|text|title|inner|posts|articles|stories|slot|unit|signup)"
+MARKS = re.compile(rf"(?:^|\s)(?:{_BESIDES}[_-]+)*{_WORD}(?:[_-]+(?:{_WORD}|{_BESIDES}))*(?:$|\s)", re.I)
+#: Elements that are never marked themselves.
+UNMARKED = {"html", "body", "article", "main"}
 MAIN = re.compile(r"(?:^|[\s_-])(?:article|main|main-?content|post-?(?:body|content)|entry-?content|article-?(?:body|content)|story)(?:$|[\s_-])", re.I)
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
@@ -53,8 +58,24 @@ def tokens(page: str) -> list[tuple[str, str, str, int]]:
     Elements are named by tag, a `!` for boilerplate marks or a `*` for marks of the main content, and their first class
     with its numbers as 0. Text keeps its
     references and white space as they are. Closing tags without an open element are passed over; elements that the
-    page leaves open end with it.
+    page leaves open end with it. Where all articles of a page are inside marked elements, those aren't boilerplate.
     """
+    out, holders, free = _tokens(page, set())
+    while holders and not free:
+        plain = holders
+        out, holders, free = _tokens(page, plain)
+        holders = holders | plain if holders - plain else set()
+    return out
+
+
+def _tokens(page: str, plain: set[int]) -> tuple[list[tuple[str, str, str, int]], set[int], bool]:
+    """The tokens; where marked elements that hold an article (or main) start; whether one is outside of such elements.
+
+    Elements that start at the places `plain` are not marked.
+    """
+    holders: set[int] = set()
+    free = False
+    starts: list[int] = []
     out: list[tuple[str, str, str, int]] = []
     stack: list[tuple[str, str]] = []
     text: list[str] = []
@@ -75,6 +96,7 @@ def tokens(page: str) -> list[tuple[str, str, str, int]]:
         flush()
         while len(stack) > n:
             out.append((f">{stack.pop()[1]}", "", "", 0))
+            starts.pop()
         path = "/".join(name for _, name in stack)
 
     def said(piece: str) -> None:
@@ -97,7 +119,7 @@ def tokens(page: str) -> list[tuple[str, str, str, int]]:
                 said(entities.escape(re.sub(r"\]\]>\Z", "", found[0][9:])))
             continue
         marks = " ".join(a or b or c for a, b, c in _MARK.findall(found[3])) if not found[1] and found[3] else ""
-        marked = bool(marks) and bool(MARKS.search(marks))
+        marked = bool(marks) and tag not in UNMARKED and found.start() not in plain and bool(MARKS.search(marks))
         if tag in INLINE and not marked:
             if tag == "a":
                 links = 0 if found[1] else 1
@@ -123,7 +145,12 @@ def tokens(page: str) -> list[tuple[str, str, str, int]]:
         flush()
         if tag in INLINE:  # an inline element with boilerplate marks stands as a block of its own
             inline.append((tag, tag))
+        if tag in {"article", "main"}:
+            above = {at for at, (_, n) in zip(starts, stack, strict=True) if "!" in n}
+            holders |= above
+            free |= not above
         stack.append((tag, name))
+        starts.append(found.start())
         path = "/".join(n for _, n in stack)
         out.append((f"<{name}", "", "", 0))
         if tag in RAW:
@@ -134,7 +161,7 @@ def tokens(page: str) -> list[tuple[str, str, str, int]]:
             at = end.end() if end else size
             pop(len(stack) - 1)
     pop(0)
-    return out
+    return out, holders, free
 
 
 #: An item of an expression: sign ("" once, ? + *), name (a tag, # for text, empty for a group) and the items inside.
