@@ -9,8 +9,10 @@ two rounds, so that no task gathers more than a share of a hot host.
 
 A slot is known by its path. The wrapper keeps for each the number of pages, of characters and of characters in links,
 and whether all pages share one text. Slots inside navigation, headers, footers, forms and the like are boilerplate.
-The rest is the article if there is an article (or main) element, otherwise the container with the most text that
-isn't links and differs between pages.
+The rest is the article if there is an article (or main) element, otherwise the deepest container of all slots that
+differ between pages and aren't links, without its slots of links and of one text on three pages or more.
+The aligned expression itself doesn't choose the text: paths and their counts do, since a slot that the expression
+folds into a repeated group can't be told from its neighbours.
 """
 
 from __future__ import annotations
@@ -295,19 +297,28 @@ class Wrapper:
             roots = {"/".join(names[: i + 1]) for p in usable for names in [p.split("/")] for i, n in enumerate(names) if wanted(n)}
             if roots:
                 return sorted(r for r in roots if not any(r.startswith(f"{o}/") for o in roots))
-        weight: dict[str, float] = {}
-        for path, (pages, chars, linked, digest) in usable.items():
-            names = path.split("/")
-            varies = digest is None or self.pages < 3 or pages < 3
-            for i in range(1, len(names) + 1):
-                container = "/".join(names[:i])
-                weight[container] = weight.get(container, 0) + (chars - 2 * linked if varies else -chars)
-        if not weight:
+        # the deepest container of all slots that aren't links and differ between pages; below it only slots with
+        # evidence against them go, links and texts that are the same on three pages or more
+        own = [p for p in usable if not self._against(p)]
+        if not own:
             return None
-        # the deepest container that has nine tenths of the best one's weight
-        best = max(weight.values())
-        chosen = max((c for c, w in weight.items() if w >= 0.9 * best and _tag(c.rsplit("/", 1)[-1]) not in {"p", "li", "td"}), key=lambda c: (c.count("/"), weight[c], c), default=None)
-        return [chosen] if chosen and best > 0 else None
+        names = [p.split("/") for p in own]
+        root = [x[0] for x in zip(*names, strict=False)][: next((i for i, x in enumerate(zip(*names, strict=False)) if len(set(x)) > 1), None)]
+        while len(root) > 1 and _tag(root[-1]) in {"p", "li", "td"}:
+            root.pop()
+        return ["/".join(root)] if any(root) else None
+
+    def _against(self, path: str) -> bool:
+        pages, chars, linked, digest = self.slots[path]
+        return 2 * linked >= chars or (digest is not None and pages >= 3)
+
+    def dropped(self) -> set[str]:
+        """The slots without marks that aren't the article's, on hosts whose pages have no article element."""
+        usable = [p for p in self.slots if not boilerplate(p)]
+        if any(_tag(n) in {"article", "main"} or "*" in n for p in usable for n in p.split("/")):
+            return set()
+        out = {p for p in usable if self._against(p)}
+        return out if len(out) < len(usable) else set()
 
     def dumps(self) -> str:
         return json.dumps([self.items, self.slots, self.pages])
@@ -339,10 +350,10 @@ def _clean(text: str) -> str:
     return " ".join(entities.unescape(text).split())
 
 
-def extract(stream: list[tuple[str, str, str, int]], content: list[str] | None) -> str:
-    """The text of a page's slots below the wrapper's content paths (all usable slots if the page has none of them)."""
+def extract(stream: list[tuple[str, str, str, int]], content: list[str] | None, dropped: set[str] = frozenset()) -> str:
+    """The text of a page's slots below the wrapper's content paths but the dropped ones (all usable slots if the page has none of them)."""
     usable = [(path, text) for kind, path, text, _ in stream if kind == "#" and not boilerplate(path)]
-    own = [t for p, t in usable if content is None or any(p == c or p.startswith(f"{c}/") for c in content)]
+    own = [t for p, t in usable if p not in dropped and (content is None or any(p == c or p.startswith(f"{c}/") for c in content))]
     return " ".join(filter(None, map(_clean, own or [t for _, t in usable])))
 
 
@@ -384,15 +395,16 @@ def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html
 def _apply(batches):
     import pyarrow as pa
 
-    contents: dict[str | None, list[str] | None] = {}
+    contents: dict[str | None, tuple[list[str] | None, set[str]]] = {}
     for batch in batches:
         texts = []
         for page, wrapper in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
             if wrapper not in contents:
                 if len(contents) >= 10_000:
                     contents.clear()
-                contents[wrapper] = Wrapper.loads(wrapper).content() if wrapper else None
-            texts.append(extract(tokens(page or ""), contents[wrapper]))
+                loaded = Wrapper.loads(wrapper) if wrapper else Wrapper()
+                contents[wrapper] = loaded.content(), loaded.dropped()
+            texts.append(extract(tokens(page or ""), *contents[wrapper]))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 

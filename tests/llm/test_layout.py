@@ -6,7 +6,7 @@ def text_of(*pages, page=0):
     wrapper = html_text.Wrapper()
     for p in pages:
         wrapper.add(html_text.tokens(p))
-    return html_text.extract(html_text.tokens(pages[page]), wrapper.content())
+    return html_text.extract(html_text.tokens(pages[page]), wrapper.content(), wrapper.dropped())
 
 
 @pytest.mark.parametrize("before, after", [("<body class='has-sidebar'><article>", "</article>"), ("<body class=sidebar><article>", "</article>"), ("<body><div id='content-sidebar-wrap'><article>", "</article></div>"), ("<body><div class=sidebar><div class=widget><main>", "</main></div></div>"), ("<body><article class='post has-comments'>", "</article>"), ("<body><article class='comments'>", "</article>"), ("<body class='comments-open'><main class=banner>", "</main>")])
@@ -17,3 +17,8 @@ def test_layout_names_are_not_boilerplate(before, after):
 
 def test_marked_teasers_stay_boilerplate():
     assert text_of("<article>Text</article><div class='related-posts'><article>teaser</article></div>") == "Text"
+
+
+def test_lead_and_heading_beside_the_body():
+    make = lambda i: f"<body><div class=top><a href=x>Home</a></div><h1>Head {i}</h1><div class=lead>Lead {i * 3}</div><div class=text><p>{f'Body {i} ' * 60}</p></div><div class=end>same end</div></body>"
+    assert text_of(*map(make, range(5)), page=2) == "Head 2 Lead 6 " + " ".join(["Body 2"] * 60)
