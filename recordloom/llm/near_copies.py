@@ -31,6 +31,8 @@ SHARE, SAMPLE, COMMON, MOST_COMMON = 1 / 64, 5000, 3, 100_000
 PAIRS = 48
 #: Keeps products of the similarity, which isn't a binary fraction, from being rounded past a whole number.
 _EPS = 1e-9
+#: Rows whose whole sets are sent from Python at a time.
+_SLICE = 100
 
 
 def _set(text: bytes, words: int) -> np.ndarray:
@@ -78,8 +80,10 @@ def _sets(words: int):
         import pyarrow as pa
 
         for batch in batches:
-            sets = [_set(text, words).view(np.int64) for text in text_bytes(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "grams"])
+            for at in range(0, len(batch), _SLICE):
+                part = batch.slice(at, _SLICE)
+                sets = [_set(text, words).view(np.int64) for text in text_bytes(part.column(1))]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "grams"])
 
     return run
 
@@ -123,8 +127,11 @@ def _rest(met: DataFrame, similarity: float, pairs: int) -> DataFrame:
     return small.select(F.inline(found)).union(crossed)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def _verified(pairs: DataFrame, base: DataFrame, words: int, similarity: float) -> DataFrame:
     tidy = materialize(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "near-candidates")
+    # of known size, so that the texts need not move: only those of candidates are read in whole
+    needed = materialize(tidy.select(F.explode(F.array("a", "b")).alias(ROW)).distinct(), "near-nodes")
+    sets = materialize(base.join(needed, ROW, "left_semi").select(ROW, "text").mapInArrow(_sets(words), "node long, grams array<long>"), "near-sets")
     both = tidy.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     return both.where(common * (1 + similarity) >= (F.size("x") + F.size("y")) * F.lit(similarity) - _EPS).select("a", "b")
@@ -150,8 +157,6 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # of known size: few enough shingles are sent along, so that no others move
     shared = materialize(own.select(F.explode("prefix").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("size")).where("size > 1").drop("size"), "near-shared")
     met = materialize(rows.join(shared, "gram"), "near-buckets")
-    needed = materialize(met.select(F.col("node").alias(ROW)).distinct(), "near-nodes")
-    sets = materialize(base.join(needed, ROW).select(ROW, "text").mapInArrow(_sets(words), "node long, grams array<long>"), "near-sets")
     roots = None
     for order in (F.col("node"), F.xxhash64("gram", "node"), None):
         left = met
@@ -160,7 +165,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             several = known.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("gram")
             left = materialize(known.join(several, "gram"), "near-left")
         candidates = _rest(left, similarity, pairs) if order is None else _leaders(left, order, similarity)
-        found = materialize(_verified(candidates, sets, similarity), "near-links")
+        found = materialize(_verified(candidates, base, words, similarity), "near-links")
         edges = materialize(edges.union(found), "near-edges")
         roots = connected_components(edges)
     inside = roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
