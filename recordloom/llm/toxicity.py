@@ -1,9 +1,9 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
 Words become symbols of five classes by their longest lexicon prefix: insult and threat (with a weight), target
-(a person addressed), negation and reported speech; all others are filler. A transducer for each class reads these
-symbols; their composition is one transducer whose state is (negation left, report open, target seen, threat pending)
-and which emits the clause's weight: an insult its own, more with a target nearby, less within reach of a negation or
+(a person addressed), negation and reported speech; all others are filler. One hand-coded automaton stands for the
+composition of a transducer for each class; none of these is built. Its state is (negation left, report open, target seen, threat pending)
+and which emits the clause's weight: an insult its own, also without a target, more with a target nearby, less within reach of a negation or
 in reported speech; a threat word only together with a target. Clauses end at . ! ? ; : and line ends. A document's
 score is a logistic function of its clauses' total, by the total and by its rate per word.
 
@@ -82,7 +82,7 @@ class Grammar:
         return found
 
     def clause(self, words: Iterable[str]) -> float:
-        """The weight that the composed transducer emits for one clause."""
+        """The weight that the automaton emits for one clause."""
         total, negation, target, report, threat, last = 0.0, 0, 0, False, 0.0, 0.0
         for word in words:
             weight = self.insult(word)
