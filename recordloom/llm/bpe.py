@@ -4,13 +4,14 @@ A token sequence is a string with one character for each token: the byte for tok
 of the rank for the others. So a merge replaces two characters by one, and a sequence of a document is the
 concatenation of its pre-tokens' strings.
 
-1. Each task lists its distinct pre-tokens, packed by a hash of the word, and sends them with the task's number. Words
-   that the vocabulary has whole, which encode to that token, stay at home.
-2. Each distinct word is encoded once: a higher-order function folds merges over the word's bytes, each step taking
-   the leftmost of the lowest-ranked adjacent pairs, with ranks from a literal map. Words of over LONG bytes, whose
-   fold would be quadratic, take a heap in an Arrow function; the merges are the same.
-3. The words go back to the tasks that asked for them, packed by task, as files that hold one task's dictionary each.
-   The task then splits its documents again and joins the words' strings.
+1. Each task splits its texts once, block by block, and writes for each text the numbers of its pre-tokens in the
+   block's dictionary, and the dictionary's words, packed by a hash of the word. Words that the vocabulary has whole,
+   which encode to that token, have the token's number and stay at home; so do words of over LONG bytes, whose fold
+   would be quadratic: a heap in the task takes the same merges and the text gets their tokens' numbers.
+2. Each distinct word of a group of blocks is encoded once: a higher-order function folds merges over the word's
+   bytes, each step taking the leftmost of the lowest-ranked adjacent pairs, with ranks from a literal map.
+3. The token strings go back to the blocks that asked for them, as files that hold one block's dictionary each, and
+   replace the numbers. All passes read what the first one has written, so they needn't see the rows split alike.
 
 Decoding concatenates the tokens' binary pieces.
 """
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import math
 import zlib
 from collections.abc import Callable
 
@@ -27,14 +29,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.llm import pretokens
-from recordloom.llm.common import ROW, filesystem, materialize, with_row, work_dir
+from recordloom.llm.common import filesystem, materialize, small_batches, work_dir
 
 #: Bytes up to which a word is folded.
 LONG = 96
 #: Slots of the literal rank map. The sign between its entries, and the one before a word that is done.
 SLOTS, SIGN = 1 << 17, "ￜ"
-#: Parts by hash of the distinct words.
-PARTS = 256
+#: Parts by hash of a group's distinct words. Tasks whose blocks are a group: no word has more askers than their blocks.
+PARTS, GROUP = 256, 4096
+#: Characters of text and dictionary words at which a block ends, after the text that reaches them.
+BLOCK_CHARS, BLOCK_WORDS = 32 << 20, 1 << 20
+#: Words that a task of the fold gets, on average.
+FOLDED = 100_000
+#: Numbers from here on are dictionary words, those below are tokens' characters. Stands between packed token strings.
+FIRST, SEP = 0xD800, "\ue000"
 _BREAK = "\x01\x02"
 
 
@@ -114,24 +122,77 @@ def heap_merges(word: bytes, merges: dict[str, str]) -> str:
     return "".join(t for t in tokens if t is not None)
 
 
-def _words(ranks, pattern: str, parts: int):
-    """The distinct words of a task, sorted and packed by part."""
+class _Numbers(dict):
+    """Words to numbers; a new word is numbered when it is first asked for."""
+
+    def __init__(self, whole: dict[str, int], pairs_of: Callable[[], dict[str, str]]):
+        super().__init__(whole)
+        self.own, self.long, self._pairs_of = [], {}, pairs_of
+
+    def __missing__(self, word: str) -> int:
+        if 4 * len(word) > LONG and len(data := word.encode()) > LONG:
+            self[word] = number = -1 - len(self.long)
+            self.long[number] = np.fromiter(map(ord, heap_merges(data, self._pairs_of())), np.int32)
+            return number
+        self[word] = number = FIRST + len(self.own)
+        self.own.append(word)
+        return number
+
+
+_BLOCKS = "block long, id long, numbers binary, part int, start int, words array<string>"
+
+
+def _split(ranks, pattern: str, chars: int, words: int):
+    """A block's texts as numbers, then its dictionary by part."""
 
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        block = TaskContext.get().partitionId()
-        split, whole, seen = pretokens.splitter(pattern), {t.decode() for t in ranks.value if _is_text(t)}, set()
+        types = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.list_(pa.string())]
+        names = [x.split()[0] for x in _BLOCKS.split(", ")]
+        block = TaskContext.get().partitionId() << 20
+        split, whole = pretokens.splitter(pattern), {t.decode(): ord(char_of(t, ranks.value)) for t in ranks.value if _is_text(t)}
+        merges: dict[str, str] = {}
+        pairs_of = lambda: merges or merges.update(pairs(ranks.value)) or merges
+
+        def packed(columns):
+            n = len(next(c for c in columns if c is not None))
+            return pa.RecordBatch.from_arrays([pa.nulls(n, t) if c is None else pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+
+        def ended():
+            """The rows of a block: dictionary words are renumbered by part."""
+            parts = np.fromiter((zlib.crc32(w.encode()) % PARTS for w in numbers.own), np.int32, len(numbers.own))
+            order = np.argsort(parts, kind="stable")
+            place = np.empty(FIRST + len(order), np.int32)
+            place[:FIRST] = np.arange(FIRST)
+            place[FIRST + order] = np.arange(FIRST, FIRST + len(order))
+            for ids, rows in waiting:
+                yield packed([[block] * len(rows), ids, [place[r].tobytes() for r in rows], None, None, None])
+            edges = np.searchsorted(parts[order], np.arange(PARTS + 1))
+            filled = np.flatnonzero(np.diff(edges)).tolist()
+            for at in range(0, len(filled), 32):
+                some = filled[at : at + 32]
+                yield packed([[block] * len(some), None, None, some, [int(edges[k]) for k in some], [[numbers.own[i] for i in order[edges[k] : edges[k + 1]]] for k in some]])
+
+        numbers, waiting, size = _Numbers(whole, pairs_of), [], 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen.update(split(text or ""))
-        packed: dict[int, list[str]] = {}
-        for word in sorted(seen - whole):
-            packed.setdefault(zlib.crc32(word.encode()) % parts, []).append(word)
-        del seen
-        for part, words in sorted(packed.items()):
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([words], pa.list_(pa.string()))], names=["part", "block", "words"])
+            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            begin, rows = 0, []
+            for at, text in enumerate(texts, 1):
+                found = split(text or "")
+                row = np.fromiter(map(numbers.__getitem__, found), np.int32, len(found))
+                if numbers.long and len(row) and row.min() < 0:
+                    row = np.concatenate([numbers.long[x] if x < 0 else np.array([x], np.int32) for x in row.tolist()])
+                rows.append(row)
+                size += len(text or "")
+                if size >= chars or len(numbers.own) >= words:
+                    waiting.append((ids[begin:at], rows))
+                    yield from ended()
+                    numbers, waiting, size, block, begin, rows = _Numbers(whole, pairs_of), [], 0, block + 1, at, []
+            if rows:
+                waiting.append((ids[begin:], rows))
+        yield from ended()
 
     return run
 
@@ -144,69 +205,70 @@ def _is_text(token: bytes) -> bool:
     return True
 
 
-def _long_words(ranks):
-    def run(batches):
-        import pyarrow as pa
+def _dictionary(fs, path: str) -> list[str]:
+    """A block's token strings by number."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs as pafs
 
-        merges = None
-        for batch in batches:
-            words = batch.column(1).to_pylist()
-            if merges is None and words:
-                merges = pairs(ranks.value)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array([heap_merges(w.encode(), merges) for w in words], pa.string())], names=["part", "word", "blocks", "tokens"])
+    out: dict[int, str] = {}
+    if fs.get_file_info(path).type == pafs.FileType.Directory:
+        for info in fs.get_file_info(pafs.FileSelector(path)):
+            if info.is_file and info.base_name.startswith("part-"):
+                with fs.open_input_file(info.path) as source:
+                    for group in pq.ParquetFile(source).iter_batches(64, columns=["start", "tokens"]):
+                        out.update(zip(group.column(0).to_pylist(), group.column(1).to_pylist(), strict=True))
+    return [*map(chr, range(FIRST)), *(t for start in sorted(out) for t in out[start].split(SEP))]
 
-    return run
 
+def _join(folder: str, finish: Callable):
+    """`finish` of a batch's ids and token strings, with the dictionaries of the rows' blocks."""
 
-def _encode(ranks, pattern: str, folder: str):
     def run(batches):
-        import pyarrow as pa
-        import pyarrow.parquet as pq
-        from pyarrow import fs as pafs
-        from pyspark import TaskContext
-
         fs, path = filesystem(folder)
-        split = pretokens.splitter(pattern)
-        known = {t.decode(): char_of(t, ranks.value) for t in ranks.value if _is_text(t)}
-        block = TaskContext.get().partitionId()
-        place = f"{path}/block={block}"
-        if fs.get_file_info(place).type == pafs.FileType.Directory:
-            for info in fs.get_file_info(pafs.FileSelector(place)):
-                if info.is_file and info.base_name.startswith("part-"):
-                    with fs.open_input_file(info.path) as source:
-                        for group in pq.ParquetFile(source).iter_batches(65536, columns=["word", "tokens"]):
-                            known.update(zip(group.column(0).to_pylist(), group.column(1).to_pylist(), strict=True))
-        tokens_of = known.__getitem__
+        known, table = None, []
         for batch in batches:
-            encoded = ["".join(map(tokens_of, split(t or ""))) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(encoded, pa.string())], names=[ROW, "id", "tokens"])
+            encoded = []
+            for block, numbers in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if block != known:
+                    known, table = block, []
+                    table = _dictionary(fs, f"{path}/block={block}")
+                encoded.append("".join(map(table.__getitem__, np.frombuffer(numbers, np.int32).tolist())))
+            yield finish(batch.column(1), encoded)
 
     return run
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str | None = None, parts: int = PARTS) -> DataFrame:
-    """ROW, id and tokens (a character for each token) for each row of `docs`; ids() and decode() read them.
-
-    A null text counts as empty, which has no tokens. Rows are independent, so repeated rows and an empty table need
-    no rule. Only the two named columns are read. `docs` has to be a scan of files: both passes have the same tasks.
-    """
+def _encoded(docs: DataFrame, id_col: str, text_col: str, loaded: dict[bytes, int], pattern: str, chars: int, words: int) -> tuple[DataFrame, str]:
+    """block, id and numbers of each row, and the folder of the blocks' dictionaries."""
     spark = docs.sparkSession
-    loaded = pretokens.load_ranks(path or pretokens.default_path())
     check(loaded)
-    ranks, pattern = spark.sparkContext.broadcast(loaded), pattern or pretokens.default_pattern()
-    rows = with_row(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")))
-    asked = rows.select("text").mapInArrow(_words(ranks, pattern, parts), "part int, block int, words array<string>")
-    single = asked.repartition(F.col("part")).select("part", "block", F.explode("words").alias("word"))
-    # a word's list holds a task's number at most once
-    words = materialize(single.groupBy("part", "word").agg(F.collect_list("block").alias("blocks")), "bpe-words")
-    size = F.octet_length("word")
-    folded = words.where(size <= LONG).withColumn("tokens", fold_merges(F.col("word"), rank_map(spark, loaded)))
-    heaped = words.where(size > LONG).mapInArrow(_long_words(ranks), "part int, word string, blocks array<int>, tokens string")
-    encoded = materialize(folded.select("part", "blocks", "word", "tokens").unionByName(heaped), "bpe-encoded")
+    small_batches(spark)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    blocks = materialize(rows.mapInArrow(_split(spark.sparkContext.broadcast(loaded), pattern, chars, words), _BLOCKS), "bpe-blocks")
+    asked = blocks.where("words IS NOT NULL").withColumn("group", F.floor(F.shiftright("block", 20) / GROUP))
+    n = asked.agg(F.sum(F.size("words"))).first()[0] or 0
+    # as many tasks as the words need; each has whole parts
+    dealt = asked.repartition(max(1, math.ceil(n / FOLDED)), "group", "part").select("group", "part", "block", "start", F.posexplode("words").alias("pos", "word"))
+    distinct = dealt.groupBy("group", "part", "word").agg(F.collect_list(F.struct("block", "start", "pos")).alias("askers"))
+    folded = distinct.select("group", "part", "askers", fold_merges(F.col("word"), rank_map(spark, loaded)).alias("tokens"))
+    apart = folded.select("group", "part", "tokens", F.inline("askers")).groupBy("group", "part", "block", "start").agg(F.array_sort(F.collect_list(F.struct("pos", "tokens"))).alias("all"))
+    back = apart.select("block", "start", F.array_join(F.col("all.tokens"), SEP).alias("tokens"))
     folder = work_dir(spark, "bpe-dictionaries")
-    back = encoded.select(F.explode("blocks").alias("block"), "word", "tokens").repartition(F.col("block")).sortWithinPartitions("block", "word")
-    back.write.option("compression", "zstd").partitionBy("block").parquet(folder)
-    return rows.select(ROW, "id", "text").mapInArrow(_encode(ranks, pattern, folder), f"{ROW} long, id long, tokens string")
+    back.repartition("block").sortWithinPartitions("block").write.option("compression", "zstd").partitionBy("block").parquet(folder)
+    return blocks.where("numbers IS NOT NULL").select("block", "id", "numbers"), folder
+
+
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str | None = None, chars: int = BLOCK_CHARS, words: int = BLOCK_WORDS) -> DataFrame:
+    """id and tokens (a character for each token) for each row of `docs`; ids() and decode() read them.
+
+    A null text counts as empty, which has no tokens; a null id stays null. Rows are independent, so repeated rows, ties
+    and an empty table need no rule. A text of any length is one row; a block ends after the text that makes it long
+    enough. Only the two named columns are read.
+    """
+    import pyarrow as pa
+
+    rows, folder = _encoded(docs, id_col, text_col, pretokens.load_ranks(path or pretokens.default_path()), pattern or pretokens.default_pattern(), chars, words)
+    return rows.mapInArrow(_join(folder, lambda ids, tokens: pa.RecordBatch.from_arrays([ids, pa.array(tokens, pa.string())], names=["id", "tokens"])), "id long, tokens string")
 
 
 def ids(tokens: str, byte_ranks: np.ndarray) -> np.ndarray:
@@ -215,47 +277,73 @@ def ids(tokens: str, byte_ranks: np.ndarray) -> np.ndarray:
     return np.where(points < 256, byte_ranks[np.minimum(points, 255)], points)
 
 
+def _pieces(ranks: dict[bytes, int]) -> tuple[np.ndarray, list[bytes]]:
+    """The bytes' ranks, and the tokens by rank."""
+    pieces = [b""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        pieces[rank] = token
+    return np.array([ranks[bytes([i])] for i in range(256)], np.uint32), pieces
+
+
 def _digests(ranks):
-    def run(batches):
+    made: list = []
+
+    def run(ids_column, encoded):
         import pyarrow as pa
 
-        byte_ranks = np.array([ranks.value[bytes([i])] for i in range(256)], np.uint32)
-        pieces = {rank: token for token, rank in ranks.value.items()}
+        if not made:
+            made.extend(_pieces(ranks.value))
+        counts, hashed, decoded = [], [], []
+        for tokens in encoded:
+            found = ids(tokens, made[0])
+            counts.append(len(found))
+            hashed.append(hashlib.sha256(found.astype("<u4", copy=False)).hexdigest())
+            decoded.append(hashlib.sha256(b"".join(map(made[1].__getitem__, found.tolist()))).hexdigest())
+        return pa.RecordBatch.from_arrays([ids_column, pa.array(counts, pa.int64()), pa.array(hashed), pa.array(decoded)], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return run
+
+
+def _each(finish: Callable):
+    def run(batches):
         for batch in batches:
-            counts, hashed, decoded = [], [], []
-            for tokens in batch.column(2).to_pylist():
-                found = ids(tokens, byte_ranks)
-                counts.append(len(found))
-                hashed.append(hashlib.sha256(found.astype("<u4").tobytes()).hexdigest())
-                decoded.append(hashlib.sha256(b"".join(map(pieces.__getitem__, found.tolist()))).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(hashed), pa.array(decoded)], names=[ROW, "id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield finish(batch.column(0), batch.column(1).to_pylist())
 
     return run
 
 
+DIGESTS = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
 def digests(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """ROW, id, n_tokens, ids_sha256 and decoded_sha256 of encode()'s rows."""
+    """id, n_tokens, ids_sha256 and decoded_sha256 (of the decoded bytes) of encode()'s rows."""
     ranks = encoded.sparkSession.sparkContext.broadcast(pretokens.load_ranks(path or pretokens.default_path()))
-    return encoded.select(ROW, "id", "tokens").mapInArrow(_digests(ranks), f"{ROW} long, id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return encoded.select("id", "tokens").mapInArrow(_each(_digests(ranks)), DIGESTS)
+
+
+def encode_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str | None = None, chars: int = BLOCK_CHARS, words: int = BLOCK_WORDS) -> DataFrame:
+    """digests() of encode()'s rows, made where the rows are encoded: no token strings are sent back; rules as in encode()."""
+    loaded = pretokens.load_ranks(path or pretokens.default_path())
+    rows, folder = _encoded(docs, id_col, text_col, loaded, pattern or pretokens.default_pattern(), chars, words)
+    return rows.mapInArrow(_join(folder, _digests(docs.sparkSession.sparkContext.broadcast(loaded))), DIGESTS)
 
 
 def _decode(ranks):
     def run(batches):
         import pyarrow as pa
 
-        byte_ranks = np.array([ranks.value[bytes([i])] for i in range(256)], np.uint32)
-        pieces = {rank: token for token, rank in ranks.value.items()}
+        byte_ranks, pieces = _pieces(ranks.value)
         for batch in batches:
-            texts = [b"".join(map(pieces.__getitem__, ids(t, byte_ranks).tolist())).decode() for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=[ROW, "id", "text"])
+            texts = [b"".join(map(pieces.__getitem__, ids(t, byte_ranks).tolist())).decode() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["id", "text"])
 
     return run
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """ROW, id and text of encode()'s rows."""
+    """id and text of encode()'s rows."""
     ranks = encoded.sparkSession.sparkContext.broadcast(pretokens.load_ranks(path or pretokens.default_path()))
-    return encoded.select(ROW, "id", "tokens").mapInArrow(_decode(ranks), f"{ROW} long, id long, text string")
+    return encoded.select("id", "tokens").mapInArrow(_decode(ranks), "id long, text string")
 
 
 def decode_ids(found: list[int], ranks: dict[bytes, int]) -> bytes:

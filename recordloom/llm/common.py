@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,10 +16,12 @@ ROW = "__recordloom_row"
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder's URI below spark.checkpoint.dir, which driver and executors share.
 
-    Where the setting is absent (tests on one machine), a temporary folder of this machine is set.
+    Where the setting is absent, a local master (tests on one machine) gets a temporary folder; a cluster is refused.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="recordloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     _folders.append(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
@@ -45,12 +48,12 @@ def folders() -> int:
     return len(_folders)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write `df` to the shared folder and read it again: later plans start from files, which survive lost executors."""
     spark = df.sparkSession
     path = work_dir(spark, name)
     schema = df.schema
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(schema).parquet(path)
 
 
@@ -65,10 +68,48 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, BATCH)
 
 
+#: Seeds tried for distinct hashes of the file names at a number of bits.
+_SEEDS = 32
+
+
+def _nodes(plan) -> list[str]:
+    """The names of a logical plan's nodes."""
+    children = plan.children()
+    return [plan.nodeName()] + [name for i in range(children.size()) for name in _nodes(children.apply(i))]
+
+
+def file_numbers(names: list[str]) -> tuple[int, int]:
+    """A seed and the bits of XXH64 that tell the names apart, so that a file's number needs no table."""
+    import xxhash
+
+    names = list(set(names))
+    for bits in range(max(1, 2 * (len(names) - 1).bit_length() - 2), 64):
+        for seed in range(_SEEDS):
+            if len({xxhash.xxh64_intdigest(f"{seed} {name}", seed=42) & (1 << bits) - 1 for name in names}) == len(names):
+                return seed, bits
+    raise ValueError("the file names can't be told apart")
+
+
 def with_row(df: DataFrame) -> DataFrame:
-    """Add ROW, a key for each row. `df` has to be a scan of files: then every run of the plan deals the same keys."""
-    small_batches(df.sparkSession)
-    return df.withColumn(ROW, F.monotonically_increasing_id())
+    """Add ROW, a key for each row, if `df` lacks it.
+
+    Rows that a filter or projection takes from Parquet files are known by their file and place in it, which no other
+    split of the scan, lost executor or other number of cores changes. Rows of any other plan are numbered once and
+    written to the shared folder.
+    """
+    spark = df.sparkSession
+    small_batches(spark)
+    if ROW in df.columns:
+        return df
+    plan = df._jdf.queryExecution().analyzed()
+    nodes = _nodes(plan)
+    if nodes[-1] != "LogicalRelation" or not set(nodes[:-1]) <= {"Project", "Filter", "SubqueryAlias", "View"} or not plan.toString().rstrip().endswith(" parquet"):
+        return materialize(df.withColumn(ROW, F.monotonically_increasing_id()), "keyed")
+    seed, bits = file_numbers([re.sub(":/+", ":/", name, count=1) for name in df.inputFiles()])
+    source = df.metadataColumn("_metadata")
+    name = F.concat(F.lit(f"{seed} "), F.regexp_replace(source["file_path"], "^([^:/]*):/+", "$1:/"))
+    number, place = F.xxhash64(name).bitwiseAND(F.lit((1 << bits) - 1)), source["row_index"]
+    return df.withColumn(ROW, F.when(place < F.lit(1 << 63 - bits), F.shiftleft(number, 63 - bits).bitwiseOR(place)).otherwise(F.raise_error(F.lit("a file has too many rows"))).cast("long"))
 
 
 def remove(spark: SparkSession, uri: str) -> None:

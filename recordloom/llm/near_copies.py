@@ -1,13 +1,18 @@
-"""Near copies by the exact Jaccard similarity of shingle sets.
+"""Near copies by the exact Jaccard similarity of shingle sets, with SimHash for what it reaches.
 
 At a similarity of 0.8 SimHash fingerprints differ in about 10 of 64 bits, a radius that no affordable number of
-covering tables reaches. Prefix filtering finds all such pairs: if all sets are sorted in one order, sets of a
-similarity of t or more share an element among the first n - ceil(t n) + 1 of either. The order puts shingles that a
-sample shows to be common last; the sample decides the speed only, the pairs are the same in any order.
-
-Equal sets are linked at once. Then rounds of candidates are verified by the whole sets: each bucket's rows against its
-least row, against its least row by a hash, and last all pairs of a bucket whose rows aren't linked yet. The first two
-are linear and link most of a large group, so that few pairs are left for the third, which leaves none out.
+covering tables reaches. So covering hashing of the fingerprints gives the first candidates, and prefix filtering finds
+all other pairs: if all sets are sorted in one order, sets of a similarity of t or more share an element among the
+first n - ceil(t n) + 1 of either. The order puts shingles that a sample shows to be common last; the sample decides the
+speed only, the pairs are the same in any order.
+
+Equal sets are linked at once. Then rounds of candidates are verified: those of SimHash, each bucket's rows against its
+least row, against its least row by a hash, and last all pairs of a bucket whose rows aren't linked yet. The first ones
+are linear and link most of a large group, so that few pairs are left for the last, which leaves none out.
+
+To verify, parity sketches come first: bit i of a sketch is the parity of the elements that hash to i, so two sketches
+differ in no more bits than the sets differ in elements. A sketch has a bit or two for each element and folds to half
+its length, so sets of like sizes can be compared. Only pairs that pass have their whole sets intersected.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ from pyspark.sql import functions as F
 
 from recordloom.llm.common import ROW, materialize, text_bytes, with_row
 from recordloom.llm.components import connected_components
-from recordloom.llm.simhash import shingles
+from recordloom.llm.simhash import RADIUS, links, majority, shingles
 
 #: Words in a shingle and the least similarity of linked texts.
 WORDS, SIMILARITY = 5, 0.8
@@ -54,23 +59,36 @@ def _sampled(words: int):
     return run
 
 
+def parity_sketch(own: np.ndarray) -> np.ndarray:
+    """As many bits as elements, or up to twice as many (a power of two, 64 at least), as signed 64-bit words."""
+    bits = max(64, 1 << (len(own) - 1).bit_length())
+    place = (own >> np.uint64(20)).astype(np.int64) & (bits - 1)
+    return np.packbits((np.bincount(place, minlength=bits) & 1).astype(np.uint8), bitorder="little").view(np.int64)
+
+
+_PRINTS = f"{ROW} long, id long, n int, digest binary, fingerprint long, sketch array<long>, prefix array<long>"
+
+
 def _prefixes(words: int, similarity: float, grams: np.ndarray, counts: np.ndarray):
     def run(batches):
         import pyarrow as pa
 
+        longs = pa.list_(pa.int64())
         for batch in batches:
-            sizes, digests, prefixes = [], [], []
+            kept: tuple[list, ...] = ([], [], [], [], [])
             for text in text_bytes(batch.column(2)):
-                own = _set(text, words)
+                hashes = shingles(text, words)
+                own = np.unique(hashes)
                 known = np.zeros(len(own), np.int64)
                 if len(grams) and len(own):
                     at = np.minimum(np.searchsorted(grams, own), len(grams) - 1)
                     known = np.where(grams[at] == own, counts[at], 0)
                 first = np.lexsort((own, known))[: prefix_length(len(own), similarity)]
-                sizes.append(len(own))
-                digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
-                prefixes.append(own[first].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], names=[ROW, "id", "n", "digest", "prefix"])
+                row = (len(own), hashlib.blake2b(own.tobytes(), digest_size=16).digest(), majority(hashes), parity_sketch(own), own[first].view(np.int64))
+                for column, value in zip(kept, row, strict=True):
+                    column.append(value)
+            prints = pa.array(np.array(kept[2], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kept[0], pa.int32()), pa.array(kept[1], pa.binary()), prints, pa.array(kept[3], longs), pa.array(kept[4], longs)], names=[x.split()[0] for x in _PRINTS.split(", ")])
 
     return run
 
@@ -127,12 +145,33 @@ def _rest(met: DataFrame, similarity: float, pairs: int) -> DataFrame:
     return small.select(F.inline(found)).union(crossed)
 
 
-def _verified(pairs: DataFrame, base: DataFrame, words: int, similarity: float) -> DataFrame:
-    tidy = materialize(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "near-candidates")
+def _fingerprints_near(own: DataFrame) -> DataFrame:
+    """Candidates by SimHash: rows of one fingerprint with the least of them, and the least ones of linked fingerprints."""
+    least = materialize(own.groupBy(F.col("fingerprint").alias("node")).agg(F.min(ROW).alias("row")), "near-fingerprints")
+    edges = links(least.select("node"), RADIUS)
+    ends = edges.join(least.select(F.col("node").alias("a"), F.col("row").alias("x")), "a").join(least.select(F.col("node").alias("b"), F.col("row").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return own.join(least, own.fingerprint == least.node).where(F.col(ROW) != F.col("row")).select(F.col(ROW).alias("a"), F.col("row").alias("b")).union(ends)
+
+
+def _folded(sketch: Column, size: Column) -> Column:
+    """A sketch of `size` words from one of as many or twice as many."""
+    half = F.zip_with(F.slice(sketch, 1, size), F.slice(sketch, size + 1, size), lambda p, q: p.bitwiseXOR(q))
+    return F.when(F.size(sketch) > size, half).otherwise(sketch)
+
+
+def _verified(pairs: DataFrame, base: DataFrame, prints: DataFrame, words: int, similarity: float) -> DataFrame:
+    tidy = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    side = lambda name: prints.select(F.col(ROW).alias(name), F.col("n").alias(f"n_{name}"), F.col("sketch").alias(f"sketch_{name}"))
+    sized = tidy.join(side("a"), "a").join(side("b"), "b").where(F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(similarity) - _EPS)
+    least = F.least(F.size("sketch_a"), F.size("sketch_b"))
+    # sizes that allow the similarity differ by half at most if that is above 0.5, and sketches by one fold
+    other = F.aggregate(F.zip_with(_folded(F.col("sketch_a"), least), _folded(F.col("sketch_b"), least), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda x, y: x + y)
+    few = other <= (F.col("n_a") + F.col("n_b")) * F.lit((1 - similarity) / (1 + similarity)) + _EPS
+    likely = materialize((sized.where(few) if similarity > 0.5 else sized).select("a", "b"), "near-candidates")
     # of known size, so that the texts need not move: only those of candidates are read in whole
-    needed = materialize(tidy.select(F.explode(F.array("a", "b")).alias(ROW)).distinct(), "near-nodes")
+    needed = materialize(likely.select(F.explode(F.array("a", "b")).alias(ROW)).distinct(), "near-nodes")
     sets = materialize(base.join(needed, ROW, "left_semi").select(ROW, "text").mapInArrow(_sets(words), "node long, grams array<long>"), "near-sets")
-    both = tidy.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
+    both = likely.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     return both.where(common * (1 + similarity) >= (F.size("x") + F.size("y")) * F.lit(similarity) - _EPS).select("a", "b")
 
@@ -142,14 +181,14 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Links are all pairs of rows whose sets of `words`-word shingles, by their 64-bit hashes, have a Jaccard similarity
     of at least `similarity`. A text with fewer words is one shingle; a null text counts as empty, and texts without
-    words are equal to each other only. Repeated rows are equal. Only the two named columns are read. `docs` has to be
-    a scan of files.
+    words are equal to each other only. Repeated rows are equal. An empty table gives no rows. Texts of any length are
+    read whole. Only the two named columns are read.
     """
     if not 0 < similarity <= 1:
         raise ValueError("the similarity has to be above 0 and at most 1")
-    base = with_row(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))).select(ROW, "id", "text")
+    base = with_row(docs).select(ROW, F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     grams, counts = _common(base, words)
-    prints = materialize(base.mapInArrow(_prefixes(words, similarity, grams, counts), f"{ROW} long, id long, n int, digest binary, prefix array<long>"), "near-prefixes")
+    prints = materialize(base.mapInArrow(_prefixes(words, similarity, grams, counts), _PRINTS), "near-prefixes")
     equal = prints.groupBy("digest").agg(F.min(ROW).alias("b"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
     edges = materialize(prints.select("digest", F.col(ROW).alias("a")).join(equal, "digest").where("a <> b").select("a", "b"), "near-equal")
     own = prints.join(edges.select(F.col("a").alias(ROW)), ROW, "left_anti")
@@ -158,14 +197,14 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shared = materialize(own.select(F.explode("prefix").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("size")).where("size > 1").drop("size"), "near-shared")
     met = materialize(rows.join(shared, "gram"), "near-buckets")
     roots = None
-    for order in (F.col("node"), F.xxhash64("gram", "node"), None):
+    for round_, order in enumerate((None, F.col("node"), F.xxhash64("gram", "node"), None)):
         left = met
         if roots is not None:  # buckets within one component are settled
             known = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
             several = known.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("gram")
             left = materialize(known.join(several, "gram"), "near-left")
-        candidates = _rest(left, similarity, pairs) if order is None else _leaders(left, order, similarity)
-        found = materialize(_verified(candidates, base, words, similarity), "near-links")
+        candidates = _leaders(left, order, similarity) if order is not None else _rest(left, similarity, pairs) if round_ else _fingerprints_near(own)
+        found = materialize(_verified(candidates, base, prints, words, similarity), "near-links")
         edges = materialize(edges.union(found), "near-edges")
         roots = connected_components(edges)
     inside = roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
@@ -174,8 +213,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """Of each component the first row with the smallest id stays (a null id only if there is no other), with all columns; so do all rows without links."""
+    docs = with_row(docs)
     found = materialize(near_copies(docs, id_col, text_col, words, similarity), "near-rows")
     first = found.groupBy("root").agg(F.min_by(ROW, F.struct(F.col("id").isNull(), "id", ROW)).alias(ROW))
     # of known size: few enough rows are sent along, so that no document moves
     gone = materialize(found.join(first.select(ROW), ROW, "left_anti").select(ROW), "near-gone")
-    return with_row(docs).join(gone, ROW, "left_anti").drop(ROW)
+    return docs.join(gone, ROW, "left_anti").drop(ROW)

@@ -5,8 +5,8 @@ keeps the bits whose vector has an odd inner product with v. The r vectors of an
 orthogonal to all of them, so that table's mask covers none of the differing bits: each pair within the radius meets
 in a table for certain.
 
-Equal fingerprints are one node from the start. Buckets of up to PAIRS nodes compare their nodes with each other.
-Larger buckets link their nodes through hubs instead, which is exact and linear: two fingerprints differ in at most
+Equal fingerprints are one node from the start. Buckets of up to PAIRS nodes compare their nodes with each other, which
+makes the fewest rows. Larger buckets link their nodes through hubs instead, which is exact and linear: two fingerprints differ in at most
 two bits if and only if some value is at most one bit from either, so each node sends itself and its one-bit changes
 (only of bits that the mask leaves out, as the others are equal) and all senders of a value link to its least one.
 That holds for radii of 1 and 2. For larger ones large buckets are dealt to blocks of about PAIRS nodes, and each node
@@ -26,7 +26,7 @@ from recordloom.llm.components import connected_components
 
 #: Words in a shingle, seed of its hash, and the most bits in which linked fingerprints differ.
 WORDS, SEED, RADIUS = 3, 42, 2
-#: Nodes of a bucket that are compared one by one.
+#: Nodes of a bucket that are compared one by one. A choice of plan: both ways keep the same components.
 PAIRS = 48
 _CHUNK = 1 << 16
 
@@ -44,7 +44,10 @@ def shingles(text: bytes, words: int = WORDS, seed: int = SEED) -> np.ndarray:
 
 def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
     """The majority of each bit over the XXH64 of the text's shingles, repeats included; without words 0."""
-    hashes = shingles(text, words, seed)
+    return majority(shingles(text, words, seed))
+
+
+def majority(hashes: np.ndarray) -> int:
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), _CHUNK):
         part = hashes[at : at + _CHUNK].view(np.uint8).reshape(-1, 8)
@@ -123,10 +126,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     component_id is the smallest id that links reach, the own included (null ids are passed over; null if there is no
     other). A null text counts as empty; all texts without words have the fingerprint 0. Repeated rows share their
-    component. An empty table gives no rows. Only the two named columns are read. `docs` has to be a scan of files.
+    component. An empty table gives no rows. Texts of any length are read whole. Only the two named columns are read.
     """
-    base = with_row(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")))
-    prints = materialize(base.select(ROW, "id", "text").mapInArrow(_fingerprints(words), f"{ROW} long, id long, fingerprint long"), "simhash-prints")
+    base = with_row(docs).select(ROW, F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    prints = materialize(base.mapInArrow(_fingerprints(words), f"{ROW} long, id long, fingerprint long"), "simhash-prints")
     nodes = materialize(prints.groupBy(F.col("fingerprint").alias("node")).agg(F.min("id").alias("least")), "simhash-nodes")
     roots = connected_components(links(nodes.select("node"), radius))
     rooted = nodes.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
@@ -136,10 +139,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, radius: int = RADIUS) -> DataFrame:
-    """One row of each component, the first of those with the smallest id, with all its columns."""
+    """One row of each component, the first of those with the smallest id, with all its columns.
+
+    A row with a null id stays only if its component has no other; else rules as in near_duplicates().
+    """
+    docs = with_row(docs)
     found = materialize(near_duplicates(docs, id_col, text_col, words, radius).select(ROW, "id", "fingerprint", "component_id"), "simhash-rows")
     stays = found.where(F.col("id").eqNullSafe(F.col("component_id"))).withColumn("none", F.when(F.col("component_id").isNull(), F.col("fingerprint")))
     first = stays.groupBy("component_id", "none").agg(F.min(ROW).alias(ROW))
     # of known size: few enough rows are sent along, so that no document moves
     gone = materialize(found.join(first.select(ROW), ROW, "left_anti").select(ROW), "simhash-gone")
-    return with_row(docs).join(gone, ROW, "left_anti").drop(ROW)
+    return docs.join(gone, ROW, "left_anti").drop(ROW)

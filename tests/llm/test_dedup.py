@@ -30,18 +30,33 @@ def by_components(nodes, linked):
     return {x: find(x) for x in nodes}
 
 
-def test_quotient_filters_merge_without_loss():
-    rng = np.random.default_rng(1)
-    parts = [rng.integers(0, 500, 300, dtype=np.uint64) << np.uint64(54) for _ in range(5)]
-    merged = CountingQuotientFilter.build([])
-    for part in parts:
-        merged = merged.merge(CountingQuotientFilter.build(part))
-    whole = CountingQuotientFilter.build(np.concatenate(parts))
-    assert (merged.fingerprints == whole.fingerprints).all() and (merged.counts == whole.counts).all()
-    assert merged.count(int(whole.fingerprints[3])) == whole.counts[3] and merged.count(5) == 0
-    assert sum(len(f) for _, f, _ in merged.runs()) == len(whole.fingerprints)
+@pytest.mark.parametrize("p, q", [(64, None), (64, 3), (54, 10), (20, 9), (12, 11), (9, 2)])
+def test_quotient_filters_merge_without_loss(p, q):
+    rng = np.random.default_rng(p)
+    pool = rng.integers(0, min(1 << p, 1 << 63), 120, dtype=np.uint64)
+    counts, merged = {}, CountingQuotientFilter.build([], p=p)
+    for size in (0, 1, 300, 40, 700):
+        part = rng.choice(pool, size)
+        weights = rng.choice([1, 1, 2, 3, 300, 70_000], size)
+        for x, n in zip(part.tolist(), weights.tolist(), strict=True):
+            counts[x] = counts.get(x, 0) + n
+        merged = merged.merge(CountingQuotientFilter.loads(CountingQuotientFilter.build(part, weights, p, q).dumps()))
+    for filter_ in (merged, CountingQuotientFilter.build(list(counts), list(counts.values()), p, q)):
+        values, found = filter_.items()
+        assert values.tolist() == sorted(counts) and dict(zip(values.tolist(), found.tolist(), strict=True)) == counts
+        assert all(filter_.count(x) == counts.get(x, 0) for x in [*counts, *rng.integers(0, min(1 << p, 1 << 63), 50).tolist()])
+    assert len(merged.slots) < 40 * len(counts) and merged.q < p
     with pytest.raises(ValueError):
-        whole.merge(CountingQuotientFilter.build([1], q=4))
+        merged.merge(CountingQuotientFilter.build([1], p=p - 1))
+
+
+@pytest.mark.parametrize("size", [1, 4, 1 << 20])
+def test_ranges_keep_the_groups(tables, monkeypatch, size):
+    want = sorted((str(r.id), r.keep_id, r.group_size) for r in exact_dedup.exact_duplicates(tables["plain"]).collect())
+    bits = exact_dedup.range_bits
+    monkeypatch.setattr(exact_dedup, "range_bits", lambda rows: bits(rows, size))
+    assert (bits(13, 1), bits(13, 4), bits(13), bits(0)) == (4, 2, 0, 0)
+    assert sorted((str(r.id), r.keep_id, r.group_size) for r in exact_dedup.exact_duplicates(tables["plain"]).collect()) == want
 
 
 @pytest.mark.parametrize("name", ["plain", "extra"])
