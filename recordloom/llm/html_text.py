@@ -7,16 +7,18 @@ only one side has become an optional group, a group that one side repeats become
 page, the others of the host are aligned in turn, in every task for its own pages; the tasks' wrappers are aligned in
 two rounds, so that no task gathers more than a share of a hot host.
 
-A slot is known by its path. The wrapper keeps for each the number of pages, of characters and of characters in links,
-and whether all pages share one text. Slots inside navigation, headers, footers, forms and the like are boilerplate.
+A text slot of the expression keeps what the aligned pages have in it: pages, characters, characters in links, and the
+text's digest while all have the same. Slots inside navigation, headers, footers, forms and the like are boilerplate.
 The rest is the article if there is an article (or main) element, otherwise the deepest container of all slots that
-differ between pages and aren't links, without its slots of links and of one text on three pages or more.
-The aligned expression itself doesn't choose the text: paths and their counts do, since a slot that the expression
-folds into a repeated group can't be told from its neighbours.
+differ between pages and aren't links. Slots of one text on many pages are the template's.
+
+To extract a page's text, the expression is matched against the page's elements, from the inside out; each
+text then belongs to the slot that it matched, and stays if that slot is the article's.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import html as entities
 import json
@@ -50,6 +52,10 @@ _MARK = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]
 _CLASS = re.compile(r"\bclass\s*=\s*(?:\"\s*([^\s\"]+)|'\s*([^\s']+)|([^\s>\"']+))", re.I)
 #: Most items of a repeated group, and of a list before it becomes a group of all orders.
 GROUP, MOST_ITEMS = 6, 32
+#: Pages from which on a slot with one text is the template's: anywhere, and inside an article element.
+SAME, SAME_INSIDE = 3, 8
+#: Elements inside each other that have levels of their own; what lies deeper is text of the deepest such element.
+DEEP = 64
 #: Partial wrappers of a host that one task aligns in the first round.
 FANOUT = 64
 
@@ -60,7 +66,8 @@ def tokens(page: str) -> list[tuple[str, str, str, int]]:
     Elements are named by tag, a `!` for boilerplate marks or a `*` for marks of the main content, and their first class
     with its numbers as 0. Text keeps its
     references and white space as they are. Closing tags without an open element are passed over; elements that the
-    page leaves open end with it. Where all articles of a page are inside marked elements, those aren't boilerplate.
+    page leaves open end with it. Elements below DEEP others separate texts but have no tokens, and boilerplate among
+    them has no texts. Where all articles of a page are inside marked elements, those aren't boilerplate.
     """
     out, holders, free = _tokens(page, set())
     while holders and not free:
@@ -83,12 +90,13 @@ def _tokens(page: str, plain: set[int]) -> tuple[list[tuple[str, str, str, int]]
     text: list[str] = []
     inline: list[tuple[str, str]] = []
     linked = links = 0
+    bad: set[int] = set()  # places of boilerplate in the part of the stack that has no tokens
     path = ""
 
     def flush() -> None:
         nonlocal linked
         whole = "".join(text)
-        if whole.strip():
+        if whole.strip() and not bad:
             out.append(("#", path, whole, linked))
         text.clear()
         linked = 0
@@ -97,9 +105,16 @@ def _tokens(page: str, plain: set[int]) -> tuple[list[tuple[str, str, str, int]]
         nonlocal path
         flush()
         while len(stack) > n:
-            out.append((f">{stack.pop()[1]}", "", "", 0))
+            tag, name = stack.pop()
             starts.pop()
-        path = "/".join(name for _, name in stack)
+            if len(stack) < DEEP:
+                out.append((f">{name}", "", "", 0))
+            else:
+                bad.discard(len(stack))
+        path = named()
+
+    def named() -> str:
+        return "/".join(name for _, name in stack[:DEEP])
 
     def said(piece: str) -> None:
         nonlocal linked
@@ -151,14 +166,17 @@ def _tokens(page: str, plain: set[int]) -> tuple[list[tuple[str, str, str, int]]
             above = {at for at, (_, n) in zip(starts, stack, strict=True) if "!" in n}
             holders |= above
             free |= not above
+        if len(stack) < DEEP:
+            out.append((f"<{name}", "", "", 0))
+        elif marked or tag in SKIPPED:
+            bad.add(len(stack))
         stack.append((tag, name))
         starts.append(found.start())
-        path = "/".join(n for _, n in stack)
-        out.append((f"<{name}", "", "", 0))
+        path = named()
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*(?:>|\Z)", re.I).search(page, at)
             raw = page[at : end.start() if end else size]
-            if raw.strip():
+            if raw.strip() and not bad:
                 out.append(("#", path, raw, 0))
             at = end.end() if end else size
             pop(len(stack) - 1)
@@ -166,8 +184,9 @@ def _tokens(page: str, plain: set[int]) -> tuple[list[tuple[str, str, str, int]]
     return out, holders, free
 
 
-#: An item of an expression: sign ("" once, ? + *), name (a tag, # for text, empty for a group) and the items inside.
-Item = tuple[str, str, tuple]
+#: An item of an expression: sign ("" once, ? + *), name (a tag, # for text, empty for a group), the items inside, and
+#: of texts what is in the slot: pages, characters, characters in links, the texts' digest or None if they differ.
+Item = tuple[str, str, tuple, tuple | None]
 
 
 def _sign(least: int, many: bool) -> str:
@@ -178,16 +197,18 @@ def _key(item: Item) -> str:
     return item[1] or "(" + " ".join(map(_key, item[2])) + ")"
 
 
-def _either(x: Item, y: Item, repeated: bool = False) -> Item:
-    """The item that accepts x or y, two items of one key; `repeated`: x followed by y, any number of times."""
+def _either(x: Item, y: Item, repeated: bool = False, apart: bool = False) -> Item:
+    """The item that accepts x or y, two items of one key; `repeated`: x followed by y, any number of times; `apart`: of different pages."""
     bare = (x[0] in ("?", "*"), y[0] in ("?", "*"))
     least = 0 if (all(bare) if repeated else any(bare)) else 1
     many = repeated or x[0] in ("+", "*") or y[0] in ("+", "*")
-    return _sign(least, many), x[1], align(x[2], y[2])
+    m, n = x[3], y[3]
+    slot = m and (m[0] + n[0] if apart else max(m[0], n[0]), m[1] + n[1], m[2] + n[2], m[3] if m[3] == n[3] else None)
+    return _sign(least, many), x[1], align(x[2], y[2], apart), slot
 
 
 def _optional(item: Item) -> Item:
-    return _sign(0, item[0] in ("+", "*")), item[1], item[2]
+    return _sign(0, item[0] in ("+", "*")), *item[1:]
 
 
 def _fold(items: tuple[Item, ...]) -> tuple[Item, ...]:
@@ -196,44 +217,59 @@ def _fold(items: tuple[Item, ...]) -> tuple[Item, ...]:
     A list that stays longer than MOST_ITEMS becomes one repeated group of optional items, which accepts all orders.
     """
     out: list[Item] = []
+    keys: list[str] = []
     for item in items:
-        out.append(_either(out.pop(), item, repeated=True) if out and _key(out[-1]) == _key(item) else item)
+        key = _key(item)
+        if keys and keys[-1] == key:
+            out[-1] = _either(out[-1], item, repeated=True)
+        else:
+            out.append(item)
+            keys.append(key)
+    if len(set(keys)) == len(keys) <= MOST_ITEMS:
+        return tuple(out)
     for n in range(2, GROUP + 1):
         at = 0
         while at + 2 * n <= len(out):
             first, second = out[at : at + n], out[at + n : at + 2 * n]
             if [*map(_key, first)] == [*map(_key, second)]:
-                out[at : at + 2 * n] = [("+", "", tuple(_either(x, y) for x, y in zip(first, second, strict=True)))]
+                out[at : at + 2 * n] = [("+", "", tuple(_either(x, y) for x, y in zip(first, second, strict=True)), None)]
                 group = out[at][2]
                 while [*map(_key, out[at + 1 : at + 1 + n])] == [*map(_key, group)]:
                     group = tuple(_either(x, y) for x, y in zip(group, out[at + 1 : at + 1 + n], strict=True))
-                    out[at : at + 1 + n] = [("+", "", group)]
+                    out[at : at + 1 + n] = [("+", "", group, None)]
             at += 1
     if len(out) > MOST_ITEMS:
         flat: dict[str, Item] = {}
         for item in out:
-            for x in item[2] if not item[1] else (item,):
+            for x in _leaves(item):
                 flat[_key(x)] = _either(flat[_key(x)], x) if _key(x) in flat else x
-        out = [("*", "", tuple(_optional(flat[k]) for k in sorted(flat)))]
+        out = [("*", "", tuple(_optional(flat[k]) for k in sorted(flat)), None)]
     return tuple(out)
 
 
-def align(a: tuple[Item, ...], b: tuple[Item, ...]) -> tuple[Item, ...]:
+def _leaves(item: Item) -> list[Item]:
+    """The named items of an item: itself, or those of a group's items."""
+    return [item] if item[1] else [x for i in item[2] for x in _leaves(i)]
+
+
+def align(a: tuple[Item, ...], b: tuple[Item, ...], apart: bool = True) -> tuple[Item, ...]:
     """An expression that accepts both: items of one key align within, the others become optional."""
-    if a == b:
+    if not a and not b:
         return a
+    left, right = [*map(_key, a)], [*map(_key, b)]
+    if left == right:
+        return tuple(_either(x, y, apart=apart) for x, y in zip(a, b, strict=True))
     for x, y in ((a, b), (b, a)):  # an expression of all orders takes in new items
-        if len(x) == 1 and x[0][:2] == ("*", "") and len(x[0][2]) > 1 and all(i[0] in ("?", "*") for i in x[0][2]):
+        if len(x) == 1 and x[0][:2] == ("*", "") and len(x[0][2]) > 1 and all(i[1] and i[0] in ("?", "*") for i in x[0][2]):
             flat = {_key(i): i for i in x[0][2]}
             for item in y:
-                for i in item[2] if not item[1] else (item,):
-                    flat[_key(i)] = _optional(_either(flat[_key(i)], i) if _key(i) in flat else i)
-            return (("*", "", tuple(flat[k] for k in sorted(flat))),)
+                for i in _leaves(item):
+                    flat[_key(i)] = _optional(_either(flat[_key(i)], i, apart=apart) if _key(i) in flat else i)
+            return (("*", "", tuple(flat[k] for k in sorted(flat)), None),)
     out: list[Item] = []
-    matcher = SequenceMatcher(None, [*map(_key, a)], [*map(_key, b)], autojunk=False)
-    for kind, a0, a1, b0, b1 in matcher.get_opcodes():
+    for kind, a0, a1, b0, b1 in SequenceMatcher(None, left, right, autojunk=False).get_opcodes():
         if kind == "equal":
-            out += [_either(x, y) for x, y in zip(a[a0:a1], b[b0:b1], strict=True)]
+            out += [_either(x, y, apart=apart) for x, y in zip(a[a0:a1], b[b0:b1], strict=True)]
         else:
             out += [_optional(x) for x in (*a[a0:a1], *b[b0:b1])]
     return _fold(tuple(out))
@@ -242,98 +278,202 @@ def align(a: tuple[Item, ...], b: tuple[Item, ...]) -> tuple[Item, ...]:
 def expression(stream: list[tuple[str, str, str, int]]) -> tuple[Item, ...]:
     """A page's union-free expression."""
     levels: list[list[Item]] = [[]]
-    for kind, *_ in stream:
+    for kind, _, text, linked in stream:
         if kind == "#":
-            levels[-1].append(("", "#", ()))
+            levels[-1].append(("", "#", (), (1, len(text), linked, hashlib.blake2b(text.encode(), digest_size=6).hexdigest())))
         elif kind[0] == "<":
             levels.append([])
         else:
             inner = _fold(tuple(levels.pop()))
-            levels[-1].append(("", kind[1:], inner))
+            levels[-1].append(("", kind[1:], inner, None))
     return _fold(tuple(levels[0]))
 
 
 def pattern(items: tuple[Item, ...]) -> str:
     """The expression as a regular expression over tokens, each followed by a line end."""
     out = ""
-    for sign, name, inner in items:
+    for sign, name, inner, _ in items:
         body = "\\#\n" if name == "#" else pattern(inner) if not name else f"<{re.escape(name)}\n{pattern(inner)}>{re.escape(name)}\n"
         out += f"(?:{body}){sign}"
     return out
 
 
+class _Level:
+    """The automaton of an element's items: which named item (by number) may begin, end and follow which."""
+
+    def __init__(self, items: tuple[Item, ...], path: tuple[str, ...], slots: list, levels: dict[str, list[_Level]]):
+        self.levels = levels
+        self.leaves: list[_Level | int] = []
+        self.follow: list[set[int]] = []
+        self.by_name: dict[str, list[int]] = {}
+        self.first, self.last, self.empty = self._build(items, path, slots)
+        levels.setdefault(path[-1] if path else "", []).append(self)
+
+    def _build(self, items: tuple[Item, ...], path: tuple[str, ...], slots: list) -> tuple[set[int], set[int], bool]:
+        """First and last items of a list, and whether it may be empty."""
+        first: set[int] = set()
+        last: set[int] = set()
+        empty = True
+        for sign, name, inner, slot in items:
+            if name:
+                number = len(self.leaves)
+                self.follow.append(set())
+                self.by_name.setdefault(name, []).append(number)
+                if name == "#":
+                    self.leaves.append(len(slots))
+                    slots.append(("/".join(path), slot, sign))
+                else:
+                    self.leaves.append(_Level(inner, (*path, name), slots, self.levels))
+                begin, end, bare = {number}, {number}, False
+            else:
+                begin, end, bare = self._build(inner, path, slots)
+            if sign in ("+", "*"):
+                for x in end:
+                    self.follow[x] |= begin
+            bare |= sign in ("?", "*")
+            for x in last:
+                self.follow[x] |= begin
+            first = first | begin if empty else first
+            last = last | end if bare else end
+            empty &= bare
+        return first, last, empty
+
+    def match(self, choices: list[list[int]]) -> list[int] | None:
+        """An item for each of an element's children, out of those that are possible for it; None if there is no way."""
+        if not choices:
+            return [] if self.empty else None
+        states: dict[int, int | None] = {x: None for x in choices[0] if x in self.first}
+        steps = [states]
+        for own in choices[1:]:
+            after: dict[int, int | None] = {}
+            for x in own:
+                for y in states:
+                    if x in self.follow[y]:
+                        after[x] = y
+                        break
+            states = after
+            steps.append(states)
+        at = next((x for x in states if x in self.last), None)
+        if at is None:
+            return None
+        out = []
+        for step in reversed(steps):
+            out.append(at)
+            at = step[at]
+        return out[::-1]
+
+
 class Wrapper:
-    """A host's expression with what its pages have in each slot: pages, characters, characters in links, one digest or None."""
+    """A host's expression and its number of pages."""
 
-    def __init__(self, items: tuple[Item, ...] | None = None, slots: dict[str, list] | None = None, pages: int = 0):
-        self.items, self.slots, self.pages = items, slots or {}, pages
+    def __init__(self, items: tuple[Item, ...] | None = None, pages: int = 0):
+        self.items, self.pages = items, pages
 
     def add(self, stream: list[tuple[str, str, str, int]]) -> None:
-        found: dict[str, list] = {}
-        for kind, path, text, linked in stream:
-            if kind == "#":
-                slot = found.setdefault(path, [1, 0, 0, hashlib.blake2b(digest_size=6)])
-                slot[1] += len(text)
-                slot[2] += linked
-                slot[3].update(text.encode())
-        items = expression(stream)
-        self.merge(Wrapper(items, {k: [*v[:3], v[3].hexdigest()] for k, v in found.items()}, 1))
+        self.merge(Wrapper(expression(stream), 1))
 
     def merge(self, other: Wrapper) -> None:
         if other.items is not None:
             self.items = other.items if self.items is None else align(self.items, other.items)
-        for path, (pages, chars, linked, digest) in other.slots.items():
-            own = self.slots.setdefault(path, [0, 0, 0, digest])
-            own[0] += pages
-            own[1] += chars
-            own[2] += linked
-            own[3] = digest if own[3] == digest else None
         self.pages += other.pages
 
-    def content(self) -> list[str] | None:
-        """The paths below which slots are the article; None: every slot that isn't boilerplate."""
-        usable = {p: s for p, s in self.slots.items() if not boilerplate(p)}
+    def dumps(self) -> str:
+        return json.dumps([self.items, self.pages])
+
+    @classmethod
+    def loads(cls, text: str) -> Wrapper:
+        items, pages = json.loads(text)
+        tupled = lambda xs: tuple((sign, name, tupled(inner), slot and tuple(slot)) for sign, name, inner, slot in xs)
+        return cls(None if items is None else tupled(items), pages)
+
+    def compiled(self) -> Extractor:
+        return Extractor(self.items or ())
+
+
+class Extractor:
+    """A wrapper's expression as automata, with the decision for each slot."""
+
+    def __init__(self, items: tuple[Item, ...]):
+        self.slots: list[tuple[str, tuple, str]] = []
+        self.levels: dict[str, list[_Level]] = {}
+        self.top = _Level(items, (), self.slots, self.levels)
+        self.keep = self._decide()
+
+    def _decide(self) -> list[bool]:
+        """Whether each slot is the article's."""
+        usable = [not boilerplate(path) for path, _, _ in self.slots]
         for wanted in (lambda n: _tag(n) == "article", lambda n: _tag(n) == "main", lambda n: "*" in n):
-            roots = {"/".join(names[: i + 1]) for p in usable for names in [p.split("/")] for i, n in enumerate(names) if wanted(n)}
-            if roots:
-                return sorted(r for r in roots if not any(r.startswith(f"{o}/") for o in roots))
+            inside = [u and any(map(wanted, path.split("/"))) for u, (path, _, _) in zip(usable, self.slots, strict=True)]
+            if any(inside):
+                # the template's texts in the article: once on a page at most, the same on many pages, where others differ
+                fixed = [sign in ("", "?") and slot[3] is not None and slot[0] >= SAME_INSIDE for _, slot, sign in self.slots]
+                differs = any(i and slot[3] is None for i, (_, slot, _) in zip(inside, self.slots, strict=True))
+                return [i and not (differs and f) for i, f in zip(inside, fixed, strict=True)]
+        own = [u and not self._against(slot) for u, (_, slot, _) in zip(usable, self.slots, strict=True)]
+        if not any(own):
+            return usable
         # the deepest container of all slots that aren't links and differ between pages; below it only slots with
-        # evidence against them go, links and texts that are the same on three pages or more
-        own = [p for p in usable if not self._against(p)]
-        if not own:
-            return None
-        names = [p.split("/") for p in own]
+        # evidence against them go, links and texts that are the same on several pages
+        names = [path.split("/") for o, (path, _, _) in zip(own, self.slots, strict=True) if o]
         root = [x[0] for x in zip(*names, strict=False)][: next((i for i, x in enumerate(zip(*names, strict=False)) if len(set(x)) > 1), None)]
         while len(root) > 1 and _tag(root[-1]) in {"p", "li", "td"}:
             root.pop()
-        return ["/".join(root)] if any(root) else None
-
-    def _against(self, path: str) -> bool:
-        pages, chars, linked, digest = self.slots[path]
-        return 2 * linked >= chars or (digest is not None and pages >= 3)
-
-    def dropped(self) -> set[str]:
-        """The slots without marks that aren't the article's, on hosts whose pages have no article element."""
-        usable = [p for p in self.slots if not boilerplate(p)]
-        if any(_tag(n) in {"article", "main"} or "*" in n for p in usable for n in p.split("/")):
-            return set()
-        out = {p for p in usable if self._against(p)}
-        return out if len(out) < len(usable) else set()
-
-    def dumps(self) -> str:
-        return json.dumps([self.items, self.slots, self.pages])
-
-    @classmethod
-    def loads(cls, text: str) -> Wrapper:
-        items, slots, pages = json.loads(text)
-        tupled = lambda xs: tuple((sign, name, tupled(inner)) for sign, name, inner in xs)
-        return cls(None if items is None else tupled(items), slots, pages)
+        return [o and path.split("/")[: len(root)] == root for o, (path, _, _) in zip(own, self.slots, strict=True)]
+
+    @staticmethod
+    def _against(slot: tuple) -> bool:
+        pages, chars, linked, digest = slot
+        return 2 * linked >= chars or (digest is not None and pages >= SAME)
+
+    def slots_of(self, stream: list[tuple[str, str, str, int]]) -> list[int | None]:
+        """The slot that each text of a page's stream matches, None for texts in elements that the wrapper lacks."""
+        # the names of elements, and their children: texts by number, elements by place in these lists
+        named, children = [""], [[]]
+        open_, texts = [0], 0
+        for kind, *_ in stream:
+            if kind == "#":
+                children[open_[-1]].append(("#", texts))
+                texts += 1
+            elif kind[0] == "<":
+                children[open_[-1]].append((kind[1:], len(named)))
+                open_.append(len(named))
+                named.append(kind[1:])
+                children.append([])
+            else:
+                open_.pop()
+        # from the inside out: the expression's elements that accept a page's element, and how
+        ways: list[dict[_Level, list[int]]] = [{} for _ in named]
+        for element in range(len(named) - 1, -1, -1):
+            for level in self.levels.get(named[element], ()):
+                choices = [[x for x in level.by_name.get(n, ()) if n == "#" or level.leaves[x] in ways[c]] for n, c in children[element]]
+                if all(choices) and (way := level.match(choices)) is not None:
+                    ways[element][level] = way
+        out: list[int | None] = [None] * texts
+        waiting = [(0, self.top)]
+        while waiting:
+            element, level = waiting.pop()
+            # where the expression doesn't accept an element, its children go to the first items of their names
+            way = ways[element].get(level) or [level.by_name.get(n, [None])[0] for n, _ in children[element]]
+            for (name, number), leaf in zip(children[element], way, strict=True):
+                if leaf is not None:
+                    if name == "#":
+                        out[number] = level.leaves[leaf]
+                    else:
+                        waiting.append((number, level.leaves[leaf]))
+        return out
+
+    def text(self, stream: list[tuple[str, str, str, int]]) -> str:
+        """The texts of a page that match the article's slots; all but boilerplate where the page has none of them."""
+        texts = [(path, text) for kind, path, text, _ in stream if kind == "#"]
+        own = [text for (_, text), slot in zip(texts, self.slots_of(stream), strict=True) if slot is not None and self.keep[slot]]
+        return " ".join(filter(None, map(_clean, own or [text for path, text in texts if not boilerplate(path)])))
 
 
 def _tag(name: str) -> str:
     return re.match(r"[a-z0-9:-]*", name)[0]
 
 
+@functools.lru_cache(100_000)
 def boilerplate(path: str) -> bool:
     """A header inside an article is the article's own heading, all other SKIPPED elements are boilerplate."""
     names = path.split("/")
@@ -350,13 +490,6 @@ def _clean(text: str) -> str:
     return " ".join(entities.unescape(text).split())
 
 
-def extract(stream: list[tuple[str, str, str, int]], content: list[str] | None, dropped: set[str] = frozenset()) -> str:
-    """The text of a page's slots below the wrapper's content paths but the dropped ones (all usable slots if the page has none of them)."""
-    usable = [(path, text) for kind, path, text, _ in stream if kind == "#" and not boilerplate(path)]
-    own = [t for p, t in usable if p not in dropped and (content is None or any(p == c or p.startswith(f"{c}/") for c in content))]
-    return " ".join(filter(None, map(_clean, own or [t for _, t in usable])))
-
-
 def _infer(batches):
     import pyarrow as pa
     from pyspark import TaskContext
@@ -395,24 +528,24 @@ def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html
 def _apply(batches):
     import pyarrow as pa
 
-    contents: dict[str | None, tuple[list[str] | None, set[str]]] = {}
+    compiled: dict[str | None, Extractor] = {}
     for batch in batches:
         texts = []
         for page, wrapper in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            if wrapper not in contents:
-                if len(contents) >= 10_000:
-                    contents.clear()
-                loaded = Wrapper.loads(wrapper) if wrapper else Wrapper()
-                contents[wrapper] = loaded.content(), loaded.dropped()
-            texts.append(extract(tokens(page or ""), *contents[wrapper]))
+            if wrapper not in compiled:
+                if len(compiled) >= 1000:  # a memory bound; those that return are compiled again
+                    compiled.clear()
+                compiled[wrapper] = (Wrapper.loads(wrapper) if wrapper else Wrapper()).compiled()
+            texts.append(compiled[wrapper].text(tokens(page or "")))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text and n_chars for each row of `pages`.
 
-    A null page counts as empty and has the empty text. Repeated rows are pages of their own. An empty table gives no
-    rows. Only the three named columns are read. Malformed pages are read as far as they go.
+    A null page counts as empty and has the empty text. Repeated rows are pages of their own, and ties don't arise. An
+    empty table gives no rows. Pages of any length and nesting are read whole, malformed ones as far as they go. Only
+    the three named columns are read.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     # a table of known size: Spark sends it along if it is small enough, so that no page moves, and joins by host if not

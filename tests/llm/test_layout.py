@@ -6,7 +6,7 @@ def text_of(*pages, page=0):
     wrapper = html_text.Wrapper()
     for p in pages:
         wrapper.add(html_text.tokens(p))
-    return html_text.extract(html_text.tokens(pages[page]), wrapper.content(), wrapper.dropped())
+    return html_text.Wrapper.loads(wrapper.dumps()).compiled().text(html_text.tokens(pages[page]))
 
 
 @pytest.mark.parametrize("before, after", [("<body class='has-sidebar'><article>", "</article>"), ("<body class=sidebar><article>", "</article>"), ("<body><div id='content-sidebar-wrap'><article>", "</article></div>"), ("<body><div class=sidebar><div class=widget><main>", "</main></div></div>"), ("<body><article class='post has-comments'>", "</article>"), ("<body><article class='comments'>", "</article>"), ("<body class='comments-open'><main class=banner>", "</main>")])
@@ -22,3 +22,47 @@ def test_marked_teasers_stay_boilerplate():
 def test_lead_and_heading_beside_the_body():
     make = lambda i: f"<body><div class=top><a href=x>Home</a></div><h1>Head {i}</h1><div class=lead>Lead {i * 3}</div><div class=text><p>{f'Body {i} ' * 60}</p></div><div class=end>same end</div></body>"
     assert text_of(*map(make, range(5)), page=2) == "Head 2 Lead 6 " + " ".join(["Body 2"] * 60)
+
+
+def test_deep_and_broken_pages_are_read():
+    deep = "<div>" * 5000 + "<p>Deep text" + "</div>" * 2000
+    assert text_of(deep) == "Deep text"
+    assert text_of(f"<article>A{'<div>' * 300}<nav>menu</nav>B</article>C", deep) == "A B"
+    assert text_of("<article><p>One<div><div>Two</p></div>", deep) == "One Two"
+    assert text_of("") == text_of("<!-- x") == "" and text_of("<") == "<"
+
+
+def test_the_expression_tells_the_templates_texts():
+    make = lambda i: f"<article><h1>Head {i}</h1><div class=meta>Share this page</div><p>Text {i}</p>{'<p>More ' + str(i) + '</p>' if i % 2 else ''}</article>"
+    assert text_of(*map(make, range(9)), page=3) == "Head 3 Text 3 More 3"
+    assert text_of(*map(make, range(5)), page=3) == "Head 3 Share this page Text 3 More 3"  # too few pages to tell
+    assert text_of(*["<article><h1>Same</h1><p>text</p></article>"] * 9) == "Same text"  # copies are no template
+    plain = lambda i: f"<div class=a><a href=x>Home</a></div><div class=b><h2>Latest</h2><p>Text {i}</p><ul><li>Item {i}</ul></div>"
+    assert text_of(*map(plain, range(4)), page=1) == "Text 1 Item 1"
+
+
+def test_pages_match_their_hosts_expression():
+    import random
+    import re
+
+    rng = random.Random(7)
+
+    def page(depth=3):
+        out = ""
+        for _ in range(rng.randrange(1, 5)):
+            tag = rng.choice(["div", "section", "p", "ul"])
+            out += f"<{tag}>{page(depth - 1) if depth and tag != 'p' else f'word{rng.random()}'}</{tag}>"
+        return out
+
+    for _ in range(20):
+        pages = [page() for _ in range(6)]
+        wrapper = html_text.Wrapper()
+        for p in pages:
+            wrapper.add(html_text.tokens(p))
+        extractor = wrapper.compiled()
+        for p in pages:
+            stream = html_text.tokens(p)
+            assert re.fullmatch(html_text.pattern(wrapper.items), "".join(f"{kind}\n" for kind, *_ in stream))
+            slots = extractor.slots_of(stream)
+            assert None not in slots
+            assert [path for kind, path, *_ in stream if kind == "#"] == [extractor.slots[s][0] for s in slots]

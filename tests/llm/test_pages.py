@@ -75,7 +75,7 @@ def test_article_text():
     wrapper = html_text.Wrapper()
     for _ in range(3):
         wrapper.add(html_text.tokens(PAGE))
-    assert html_text.extract(html_text.tokens(PAGE), wrapper.content()) == "Head & line One bold word next Two three four item"
+    assert wrapper.compiled().text(html_text.tokens(PAGE)) == "Head & line One bold word next Two three four item"
 
 
 def test_pages_without_an_article():
@@ -83,7 +83,7 @@ def test_pages_without_an_article():
     wrapper = html_text.Wrapper()
     for i in range(5):
         wrapper.add(html_text.tokens(make(i)))
-    assert html_text.extract(html_text.tokens(make(3)), wrapper.content()) == "Text number 3 is long and differs 21 more 3"
+    assert wrapper.compiled().text(html_text.tokens(make(3))) == "Text number 3 is long and differs 21 more 3"
 
 
 @pytest.mark.parametrize("html", [None, "", "plain & text", "<p", "<p>a<", "</div></p>x", "<script>x", "<article><p>a", "&#x41;&bad;&amp", "<![CDATA[a<b]]>", "<p>" * 3000 + "deep", "<a " + "x='" * 10])
@@ -91,7 +91,7 @@ def test_malformed_pages(html):
     stream = html_text.tokens(html or "")
     wrapper = html_text.Wrapper()
     wrapper.add(stream)
-    text = html_text.extract(stream, html_text.Wrapper.loads(wrapper.dumps()).content())
+    text = html_text.Wrapper.loads(wrapper.dumps()).compiled().text(stream)
     assert text == " ".join(text.split()) and ("<p>" not in text)
 
 
