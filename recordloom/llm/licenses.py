@@ -1,15 +1,17 @@
 """License scan: Aho-Corasick finds phrases and identifier tags, a shunting-yard parser evaluates the expressions.
 
-`score` is how much of a document's license evidence agrees on its label: 0 without evidence, else the share of the
-most frequent label among all label findings, halved where an expression breaks off or names an unknown identifier.
+`score` is how much of a document's license evidence agrees on one label: 0 without evidence, else the share of the
+pieces of evidence that have the most frequent label, halved where an expression breaks off or names an unknown
+identifier. A base or notice phrase is a piece. An expression's required labels, which hold in each of its alternatives,
+are one piece together, each other label is one of its own: `A AND B` agrees on both, `A OR B` leaves a choice.
 """
 
 from __future__ import annotations
 
-import itertools
 import re
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +38,6 @@ TAG = "spdx license identifier"
 SPDX = {"mit": "mit", "apache-2.0": "apache-2", "cc-by-nc-4.0": "cc-by-nc", "cc-by-nc-3.0": "cc-by-nc", "cc-by-nc-2.0": "cc-by-nc", "cc0-1.0": "cc0"}
 _KNOWN = re.compile(r"(?:[al]?gpl|mpl|epl|bsd|cc-by|cc0|isc|zlib|artistic|unlicense|0bsd|python|bsl|eupl)(?:-[a-z0-9.]+)*\+?\Z|licenseref-[a-z0-9.-]+\Z")
 
-_WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: Bytes that end words become spaces, A-Z becomes a-z.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 _PART = re.compile(r"\s*([()]|[A-Za-z0-9][A-Za-z0-9.+-]*)")
@@ -82,7 +83,10 @@ def parse_expression(text: str) -> tuple[list[str], bool]:
 
 
 def evaluate(postfix: list[str]) -> list[frozenset[str]]:
-    """The alternatives of an expression: for `or` each side's, for `and` the unions, for `with` the license with its exception."""
+    """The alternatives of an expression: for `or` each side's, for `and` the unions, for `with` the license with its exception.
+
+    Nested expressions may have exponentially many; decide() tells without listing them what all or one of them need.
+    """
     stack: list[list[frozenset[str]]] = []
     for item in postfix:
         if item not in _RANK:
@@ -94,13 +98,50 @@ def evaluate(postfix: list[str]) -> list[frozenset[str]]:
         if item == "or":
             stack.append(list(dict.fromkeys(left + right)))
         elif item == "and":
-            stack.append(list(dict.fromkeys(a | b for a in left for b in right)) if len(left) * len(right) <= 64 else [frozenset().union(*left, *right)])
+            stack.append(list(dict.fromkeys(a | b for a in left for b in right)))
         else:
             exception = "+".join(sorted(frozenset().union(*right)))
             stack.append([frozenset(f"{x}-with-{exception}" for x in a) for a in left])
     return stack[-1] if stack else []
 
 
+def decide(postfix: list[str]) -> tuple[frozenset[str], frozenset[str]]:
+    """All identifiers of an expression's alternatives, and those that each alternative has.
+
+    An identifier is in each alternative if the expression fails when it alone is left out. Bit i of a value says
+    whether the expression holds without identifier i, so one pass over the items tries all of them.
+    """
+    names: list[str] = []
+    steps: list[tuple[str, int, int]] = []  # names, and operators on two steps
+    stack: list[tuple[int, int, int]] = []  # a step, its first name and the one behind its last
+    for item in postfix:
+        if item not in _RANK:
+            steps.append(("", len(names), 0))
+            stack.append((len(steps) - 1, len(names), len(names) + 1))
+            names.append(item)
+            continue
+        if len(stack) < 2:
+            break
+        (right, begin, end), (left, first, _) = stack.pop(), stack.pop()
+        if item == "with":  # the left side's names change, the right side's go
+            exception = "+".join(sorted(set(names[begin:end])))
+            names[first:] = [f"{x}-with-{exception}" for x in names[first:begin]]
+            stack.append((left, first, begin))
+            continue
+        steps.append((item, left, right))
+        stack.append((len(steps) - 1, first, end))
+    if not stack:
+        return frozenset(), frozenset()
+    top, first, end = stack[-1]
+    number = {x: i for i, x in enumerate(dict.fromkeys(names[first:end]))}
+    every = (1 << len(number)) - 1
+    values: list[int] = []
+    for item, a, b in steps[: top + 1]:
+        known = number.get(names[a]) if not item and a < len(names) else None
+        values.append((values[a] | values[b] if item == "or" else values[a] & values[b]) if item else every if known is None else every ^ 1 << known)
+    return frozenset(number), frozenset(x for x, i in number.items() if not values[top] >> i & 1)
+
+
 def label_of(identifier: str) -> str | None:
     base, _, exception = identifier.partition("-with-")
     label = SPDX.get(base) or (base if _KNOWN.match(base) else None)
@@ -120,38 +161,47 @@ def _automaton():
 
 def scan(text: bytes, automaton) -> tuple[int, list[tuple[str, str, int, int]], float]:
     """Number of words, findings (kind, label, first word, words) and score of one text; see scan_licenses()."""
-    words = text.translate(_TABLE).split()
+    spaced = text.translate(_TABLE)
+    words = spaced.split()
     line = b" " + b" ".join(words) + b" "
     findings: list[tuple[str, str, int, int]] = []
-    broken = False
+    agreed: Counter[str] = Counter()
+    pieces, broken = 0, False
+    starts = ends = None
     # one char for a byte, so that places in the line are places in bytes
     for end, (kind, label, n, size) in automaton.iter(line.decode("latin-1")):
-        word = line.count(b" ", 0, end - size - 1)  # the spaces before the one that precedes the phrase
-        if kind == "tag":
-            labels, whole = _tagged(text, word + n - 1)
-            findings += [("expression", x, word, n) for x in labels]
-            broken |= not whole
-        else:
+        if starts is None:
+            starts = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
+        word = int(np.searchsorted(starts, end - size - 1))
+        if kind != "tag":
             findings.append((kind, label, word, n))
-    share = max(Counter(x[1] for x in findings).values()) / len(findings) if findings else 0.0
-    return len(words), findings, share / (1 + broken)
+            agreed[label] += 1
+            pieces += 1
+            continue
+        if ends is None:  # of words in the text
+            letters = np.frombuffer(spaced, np.uint8) != 32
+            ends = np.flatnonzero(letters & ~np.r_[letters[1:], False]) + 1
+        labels, required, whole = _tagged(text, int(ends[word + n - 1]))
+        findings += [("required" if x in required else "expression", x, word, n) for x in labels]
+        agreed.update(labels)
+        pieces += len(labels) - len(required) + bool(required)
+        broken |= not whole
+    return len(words), findings, (max(agreed.values()) / pieces if pieces else 0.0) / (1 + broken)
 
 
-def _tagged(text: bytes, last: int) -> tuple[list[str], bool]:
-    """Labels of the expression behind the word number `last` of a text, and whether all of it could be read.
+def _tagged(text: bytes, at: int) -> tuple[list[str], set[str], bool]:
+    """Labels of the expression that follows the tag's end, those of all its alternatives, and whether all could be read.
 
     Without a colon there is no expression, and nothing to complain about.
     """
-    found = next(itertools.islice(_WORD.finditer(text.translate(_LOWER)), last, None))
-    rest = text[found.end() :].split(b"\n", 1)[0].lstrip()
+    end = text.find(b"\n", at)
+    rest = text[at : end if end >= 0 else len(text)].lstrip()
     if rest[:1] != b":":
-        return [], True
+        return [], set(), True
     postfix, whole = parse_expression(rest[1:].decode("utf-8", "replace"))
-    names = [label_of(x) for x in sorted(frozenset().union(*evaluate(postfix)))] if postfix else []
-    return [x for x in names if x], whole and all(names)
-
-
-_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+    names, needed = decide(postfix)
+    labels = {x: label_of(x) for x in sorted(names)}
+    return sorted(set(filter(None, labels.values()))), set(filter(None, (labels[x] for x in needed))), whole and all(labels.values())
 
 
 FINDING = "kind string, label string, word long, n_words long"
@@ -171,18 +221,20 @@ def _scan(batches):
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_words, findings and score for each row of `docs`.
 
-    A finding has its kind (base, notice or expression), label, first word (from 0) and number of words. Words are
-    runs of 0-9, a-z and bytes above 127 after lower-casing A-Z; every place of a phrase's words counts, overlapping
-    ones too; an expression's labels stand at its tag. A null text counts as empty, which has no words, no findings
-    and score 0. Rows are independent, so repeated rows and an empty table need no rule.
+    A finding has its kind (base, notice, required for a label that all alternatives of an expression have, expression
+    for its other labels), label, first word (from 0) and number of words. Words are runs of 0-9, a-z and bytes above
+    127 after lower-casing A-Z; every place of a phrase's words counts, overlapping ones too; an expression's labels
+    stand at its tag. A null text counts as empty, which has no words, no findings and score 0. Texts are read whole, in
+    time that grows with their length. Rows are independent, so ties, repeated rows and an empty table need no rule;
+    only the two named columns are read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(_scan, f"id long, n_words long, findings array<struct<{FINDING.replace(' ', ':').replace(',:', ',')}>>, score double")
 
 
 def summaries(found: DataFrame) -> DataFrame:
-    """n_base, first_word and last_word of base findings, and base_labels and labels (distinct, sorted, joined)."""
+    """n_base, first_word and last_word of base findings, and base_labels, labels and required_labels (distinct, sorted, joined)."""
     base = F.filter("findings", lambda x: x["kind"] == "base")
     joined = lambda xs: F.array_join(F.array_sort(F.array_distinct(F.transform(xs, lambda x: x["label"]))), ",")
     starts = F.transform(base, lambda x: x["word"])
-    return found.select("id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"), joined(base).alias("base_labels"), joined(F.col("findings")).alias("labels"), "score")
+    return found.select("id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"), joined(base).alias("base_labels"), joined(F.col("findings")).alias("labels"), joined(F.filter("findings", lambda x: x["kind"] == "required")).alias("required_labels"), "score")
