@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import materialize, text_bytes
+from recordloom.llm.common import materialize, small_batches, text_bytes
 
 #: Width in samples of the image that stores a text's bytes.
 WIDTH = 64
@@ -27,6 +27,17 @@ def encode_pgm(payload: bytes, width: int = WIDTH) -> bytes:
     return b"P5\n%d %d\n255\n" % (width, len(payload) // width) + payload
 
 
+def encode_bmp(payload: bytes, width: int = WIDTH) -> bytes:
+    """An uncompressed 8-bit BMP with a grey palette, rows from the bottom up; the payload as for encode_pgm()."""
+    if not payload or len(payload) % width or width % 4:
+        raise ValueError("the payload has to be a positive multiple of the width, and that of 4")
+    height, start = len(payload) // width, 54 + 1024
+    palette = np.repeat(np.arange(256, dtype=np.uint8), 4).reshape(256, 4).copy()
+    palette[:, 3] = 0
+    head = b"BM" + struct.pack("<IHHI", start + len(payload), 0, 0, start) + struct.pack("<IiiHHIIiiII", 40, width, height, 1, 8, 0, len(payload), 0, 0, 256, 0)
+    return head + palette.tobytes() + np.frombuffer(payload, np.uint8).reshape(height, width)[::-1].tobytes()
+
+
 _FIELD = re.compile(rb"(?:\s|#[^\n]*\n)*([0-9]+)")
 
 
@@ -62,7 +73,7 @@ def decode_netpbm(data: bytes) -> np.ndarray:
 
 
 def decode_bmp(data: bytes) -> np.ndarray:
-    """Rows x columns x 3 (red, green, blue) of an uncompressed BMP with 8, 24 or 32 bits a pixel."""
+    """Rows x columns x 3 (red, green, blue) of an uncompressed BMP with 8, 24 or 32 bits a pixel; rows x columns if a palette is the 256 greys."""
     if data[:2] != b"BM":
         raise ValueError("not a BMP image")
     start, size = struct.unpack_from("<I", data, 10)[0], struct.unpack_from("<I", data, 14)[0]
@@ -74,6 +85,8 @@ def decode_bmp(data: bytes) -> np.ndarray:
     rows = rows[::-1] if height > 0 else rows
     if bits == 8:
         palette = np.frombuffer(data, np.uint8, start - 14 - size, 14 + size).reshape(-1, 4)
+        if len(palette) == 256 and (palette[:, :3] == np.arange(256)[:, None]).all():
+            return rows
         return palette[rows][:, :, 2::-1]
     return rows.reshape(abs(height), width, bits // 8)[:, :, 2::-1]
 
@@ -123,21 +136,32 @@ def pad(data: bytes, unit: int = WIDTH) -> bytes:
     return data + bytes(unit - len(data) if not data else -len(data) % unit)
 
 
+#: Bytes from which on a text is stored as BMP, whose palette takes a kilobyte, instead of PGM.
+BMP_FROM = 16 << 10
+
+
+def encode(payload: bytes) -> bytes:
+    """PGM, or BMP for long payloads: the format follows from the payload alone."""
+    return encode_bmp(payload) if len(payload) >= BMP_FROM else encode_pgm(payload)
+
+
 def _store(batches):
     import pyarrow as pa
 
     for batch in batches:
         texts = text_bytes(batch.column(1))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in texts], pa.int64()), pa.array([encode_pgm(pad(x)) for x in texts], pa.binary())], names=["id", "n_bytes", "media"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in texts], pa.int64()), pa.array([encode(pad(x)) for x in texts], pa.binary())], names=["id", "n_bytes", "media"])
 
 
 def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each text's UTF-8 bytes, padded by zero bytes, as a PGM image in a table of the shared folder: id, n_bytes, media.
+    """Each text's UTF-8 bytes, padded by zero bytes, as an image in a table of the shared folder: id, n_bytes, media.
 
-    Null counts as empty; an empty text makes one row of zeros. Only the two named columns are read.
+    Null counts as empty; an empty text makes one row of zeros. A text of any length is one image. Rows are
+    independent, so ties, repeated rows and an empty table need no rule. Only the two named columns are read.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return materialize(rows.mapInArrow(_store, "id long, n_bytes long, media binary"), "media")
+    return materialize(rows.mapInArrow(_store, "id long, n_bytes long, media binary"), "media", "zstd")
 
 
 def _features(batches):
@@ -155,8 +179,29 @@ def _features(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(v, t) for v, t in zip(kept.values(), types, strict=True))], names=["id", "n_bytes", *kept])
 
 
+FEATURES = "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+
+
 def media_features(stored: DataFrame) -> DataFrame:
     """Decode stored images; one row for each: sizes and digests of payload and media, difference hash, NPY tile."""
-    return stored.select("id", "n_bytes", "media").mapInArrow(
-        _features, "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile binary"
-    )
+    return stored.select("id", "n_bytes", "media").mapInArrow(_features, f"{FEATURES}, tile binary")
+
+
+def store_tiles(features: DataFrame) -> DataFrame:
+    """media_features() written to a table of the shared folder, tiles as NPY files' bytes."""
+    return materialize(features, "media-tiles", "zstd")
+
+
+def _load_tiles(batches):
+    import pyarrow as pa
+
+    for batch in batches:
+        tiles = [np.load(io.BytesIO(x), allow_pickle=False) for x in batch.column(batch.num_columns - 1).to_pylist()]
+        digests = pa.array([hashlib.sha256(t.tobytes()).hexdigest() for t in tiles], pa.string())
+        means = pa.array([float(t.mean()) for t in tiles], pa.float64())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], digests, means], names=[*batch.schema.names[:-1], "tile_sha256", "tile_mean"])
+
+
+def tile_digests(tiles: DataFrame) -> DataFrame:
+    """store_tiles()'s rows with their tiles read back: the samples' SHA-256 and mean in place of the tile."""
+    return tiles.mapInArrow(_load_tiles, f"{FEATURES}, tile_sha256 string, tile_mean double")

@@ -20,7 +20,8 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_features(media.store_texts(documents(spark, sf_dir))).withColumnRenamed("id", "doc_id").drop("tile")
+    tiles = media.store_tiles(media.media_features(media.store_texts(documents(spark, sf_dir))))
+    return media.tile_digests(tiles).withColumnRenamed("id", "doc_id")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +29,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(bpe.encode(documents(spark, sf_dir))).select(F.col("id").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")
+    return bpe.encode_digests(documents(spark, sf_dir)).select(F.col("id").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
