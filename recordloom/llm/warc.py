@@ -1,7 +1,8 @@
 """WARC archives: a deterministic sharded writer and a reader.
 
-Records are dealt to shards by ranges of their key (as wide as `rows_per_shard` rows take on average), sorted within the
-shard and written by one task in that order; a file ends when its compressed size reaches `roll_bytes`. Names, dates
+Records are dealt to shards by ranges of (key, hash of the payload) that hold about `rows_per_shard` rows each, whatever
+the keys are, sorted within the shard and written by one task in that order; a file ends when its compressed size
+reaches `roll_bytes`. The ranges' bounds are quantiles of a sample by hash, the same wherever rows lie. Names, dates
 and record ids follow from the input alone, so a repeated task writes the same bytes. Each file is written under a
 temporary name that only its attempt uses and then renamed; the manifest, a table of the files with their sizes and
 digests, is written last by Spark's committer. Readers take files from the manifest only.
@@ -12,17 +13,18 @@ from __future__ import annotations
 import base64
 import hashlib
 import io
+import math
 import uuid
 import zlib
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import filesystem, work_dir
+from recordloom.llm.common import filesystem, materialize, work_dir
 
-#: Rows in a shard, on average: about 16 MB of pages.
-ROWS_PER_SHARD = 4096
+#: Rows in a shard, on average: about 16 MB of pages. The most shards (beyond, they grow), and their sampled rows each.
+ROWS_PER_SHARD, MOST_SHARDS, SAMPLED = 4096, 1 << 14, 64
 #: Compressed size at which a file ends.
 ROLL_BYTES = 64 << 20
 #: WARC-Date of every record: archives of equal input are equal.
@@ -140,28 +142,56 @@ def _writer(folder: str, roll_bytes: int):
     return run
 
 
+def _bounds(digests: DataFrame, shards: int, rows: int) -> list[tuple[int | None, int]]:
+    """The least (key, hash) of each shard but the first, from about SAMPLED rows for each shard.
+
+    A row is sampled by its key and hash, so equal rows are sampled together and count as many as they are.
+    """
+    part = max(1, rows // (shards * SAMPLED))
+    sample = digests.where(F.pmod(F.xxhash64("key", "h"), F.lit(part)) == 0).groupBy("key", "h").agg(F.count(F.lit(1)).alias("n"))
+    found = sorted(((r.key, r.h, r.n) for r in sample.toLocalIterator()), key=lambda r: (r[0] is not None, r[0], r[1]))
+    total, seen, out = sum(n for _, _, n in found), 0, []
+    for key, h, n in found:
+        if seen * shards // total > len(out):
+            out += [(key, h)] * (seen * shards // total - len(out))
+        seen += n
+    return sorted(set(out), key=lambda r: (r[0] is not None, r[0], r[1]))
+
+
+def _shard(bounds: list[tuple[int | None, int]]) -> Column:
+    """How many bounds are at or below the row's key and h, by bisection."""
+    if not bounds:
+        return F.lit(0)
+    longs = lambda xs: F.split(F.lit(",".join("" if x is None else str(x) for x in xs)), ",").try_cast("array<bigint>")
+    table = F.arrays_zip(longs(k for k, _ in bounds).alias("key"), longs(h for _, h in bounds).alias("h"))
+    steps = [1 << i for i in reversed(range(len(bounds).bit_length()))]
+    down = lambda at, step: F.when((at + step <= len(bounds)) & (F.get(table, at + step - 1) <= F.struct("key", "h")), at + step).otherwise(at)
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), down)
+
+
 def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rows_per_shard: int = ROWS_PER_SHARD, roll_bytes: int = ROLL_BYTES) -> str:
     """Write a record for each row of `pages`; the archive's folder (files and a `_manifest` table).
 
     Of rows with equal payloads that with the largest key is the response and the others revisit it; a null key counts
     as the smallest, and of rows with the same key and payload the first in order of URL is the response. A null
-    payload counts as empty. Rows with a null key are dealt by their payload. Only the three named columns are read.
-    An empty table makes an empty manifest.
+    payload counts as empty. Keys may be any 64-bit numbers, few or far apart; rows without one come first, by their
+    payload. A payload of any length is one record. Only the three named columns are read. An empty table makes an
+    empty manifest.
     """
     spark = pages.sparkSession
     folder = work_dir(spark, "warc")
     fs, path = filesystem(folder)
     fs.create_dir(path, recursive=True)
-    rows = pages.select(F.col(id_col).cast("long").alias("key"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    n, low, high = rows.agg(F.count(F.lit(1)), F.min("key"), F.max("key")).first()
-    width = max(1, ((high or 0) - (low or 0) + 1) * rows_per_shard // max(n, 1))
-    raw = F.unhex(F.sha1(F.coalesce("html", F.lit("")).cast("binary")))
-    # a range of keys is a shard; without a key the payload chooses one below all others
-    shard = F.when(F.col("key").isNull(), F.lit(-(1 << 62)) + F.pmod(F.xxhash64("raw"), F.lit(1 << 20))).otherwise(F.floor((F.col("key") - F.lit(low)) / F.lit(width)))
-    digests = rows.select("key", raw.alias("raw"))
+    raw = F.unhex(F.sha1(F.coalesce("html", F.lit("")).cast("binary"))).alias("raw")
+    rows = pages.select(F.col(id_col).cast("long").alias("key"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")).select("*", raw)
+    digests = materialize(rows.select("key", "raw", F.xxhash64("raw").alias("h")), "warc-digests")
+    n = digests.count()
+    shard = _shard(_bounds(digests, min(MOST_SHARDS, math.ceil(n / rows_per_shard)), n) if n > rows_per_shard else []).alias("shard")
     repeated = digests.groupBy("raw").agg(F.max("key").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    decisions = digests.join(repeated, "raw").select(shard.alias("shard"), "key", F.lit(0).alias("kind"), "raw", "first", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"))
-    both = rows.withColumn("raw", raw).select(shard.alias("shard"), "key", F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("raw"), F.lit(None).cast("long").alias("first"), "url", "html").unionByName(decisions)
+    # a range of keys is a shard; a decision is needed once for each key and payload
+    text = F.lit(None).cast("string")
+    decisions = digests.distinct().join(repeated, "raw").select(shard, "key", F.lit(0).alias("kind"), "raw", "first", text.alias("url"), text.alias("html"))
+    both = rows.withColumn("h", F.xxhash64("raw")).select(shard, "key", F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("raw"), F.lit(None).cast("long").alias("first"), "url", "html").unionByName(decisions)
     dealt = both.repartition(F.col("shard")).sortWithinPartitions("shard", "key", "kind", "url", "html")
     files = dealt.mapInArrow(_writer(folder, roll_bytes), "file string, records long, bytes long, sha256 string")
     files.write.parquet(f"{folder}/_manifest")
