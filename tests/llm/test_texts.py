@@ -1,4 +1,5 @@
 import hashlib
+import io
 import random
 import re
 import struct
@@ -31,6 +32,8 @@ def test_bpe_equals_the_library(tables, name):
         want.append((id_, len(found), hashlib.sha256(struct.pack(f"<{len(found)}I", *found)).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
     rows = bpe.digests(bpe.encode(tables[name])).collect()
     assert key((r.id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in rows) == key(want)
+    rows = bpe.encode_digests(tables[name], chars=10, words=3).collect()  # many blocks
+    assert key((r.id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in rows) == key(want)
 
 
 def test_decoding_gives_the_texts(tables):
@@ -105,6 +108,30 @@ def test_license_expressions():
     assert licenses.scan(b"spdx license identifier", licenses._automaton()) == (3, [], 0.0)
 
 
+def test_license_operators_and_many_tags():
+    automaton = licenses._automaton()
+    both, either = (licenses.scan(b"SPDX-License-Identifier: MIT %s GPL-2.0-only" % op, automaton) for op in (b"AND", b"OR"))
+    assert [f[0] for f in both[1]] == ["required"] * 2 and [f[0] for f in either[1]] == ["expression"] * 2 and (both[2], either[2]) == (1.0, 0.5)
+    n, found, score = licenses.scan(b"SPDX-License-Identifier: MIT\n" * 100_000, automaton)  # in linear time
+    assert n == 400_000 and [f[2] for f in found] == list(range(0, 400_000, 4)) and score == 1.0
+    rng = random.Random(1)
+
+    def text(depth):
+        if not depth or rng.random() < 0.3:
+            return rng.choice("abcdef")
+        if rng.random() < 0.15:
+            return f"({text(depth - 1)}) with {rng.choice('xyz')}"
+        return f"({text(depth - 1)} {rng.choice(['or', 'and'])} {text(depth - 1)})"
+
+    for _ in range(500):
+        postfix = licenses.parse_expression(text(4))[0]
+        ways = licenses.evaluate(postfix)
+        assert licenses.decide(postfix) == (frozenset().union(*ways), frozenset.intersection(*ways))
+    line = " AND ".join(f"(a{i} OR b{i})" for i in range(2000))
+    names, needed = licenses.decide(licenses.parse_expression(line)[0])
+    assert len(names) == 4000 and not needed and licenses.decide([]) == (frozenset(), frozenset())
+
+
 @pytest.mark.parametrize("name", ["plain", "extra", "empty"])
 def test_media_round_trip(tables, name):
     want = []
@@ -114,6 +141,11 @@ def test_media_round_trip(tables, name):
         want.append((id_, len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:])))
     rows = media.media_features(media.store_texts(tables[name])).collect()
     assert key((r.id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in rows) == key(want)
+    tiles = media.store_tiles(media.media_features(media.store_texts(tables[name])))
+    stored = {(r.id, r.media_sha256): np.load(io.BytesIO(r.tile)) for r in tiles.collect()}
+    back = media.tile_digests(tiles).collect()
+    assert len(back) == len(rows) and all(t.shape == media.TILE and t.dtype == np.uint8 for t in stored.values())
+    assert all((hashlib.sha256(t.tobytes()).hexdigest(), float(t.mean())) == (r.tile_sha256, r.tile_mean) for r in back for t in [stored[r.id, r.media_sha256]])
 
 
 def test_image_formats():
@@ -126,6 +158,10 @@ def test_image_formats():
     assert (media.decode(b"P6\n2 2\n255\n" + colour.tobytes()) == colour).all()
     rows = b"".join(r[:, ::-1].tobytes() + bytes(2) for r in colour[::-1])
     assert (media.decode(b"BM" + struct.pack("<IHHI", 54 + len(rows), 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, 2, 2, 1, 24, 0, len(rows), 0, 0, 0, 0) + rows) == colour).all()
+    data = bytes(range(256)) * 70
+    assert media.encode(data)[:2] == b"BM" and media.encode(data[:64])[:2] == b"P5"
+    assert media.decode(media.encode_bmp(data)).tobytes() == media.decode(media.encode_pgm(data)).tobytes() == data
+    assert media.difference_hash(media.decode(media.encode_bmp(data))) == media.difference_hash(media.decode(media.encode_pgm(data)))
     with pytest.raises(ValueError):
         media.decode(b"GIF89a")
     assert (np.load(__import__("io").BytesIO(media.npy(image))) == image).all()
@@ -188,6 +224,17 @@ def test_mix_balances_many_blocks(spark, tmp_path):
     assert all(abs(taken[s] - goal[s]) <= 60 for s in goal)
 
 
+def test_rows_without_ids_are_dealt_to_all_blocks(spark, tmp_path):
+    data = [(None, "a b c", "s0" if i % 3 else "s1") for i in range(6000)]
+    spark.createDataFrame(data, "doc_id long, text string, source string").repartition(4).write.parquet(f"{tmp_path}/d")
+    dealt, extra = mixing._plan(spark.read.parquet(f"{tmp_path}/d"), "doc_id", "text", "source", (1.0, 3.0), 1.5, 2.0, 256)
+    goal = {r.source: (r.target, r.whole, r.n) for r in dealt.select("source", "target", "whole", "n").distinct().collect()}
+    once = {r.source: r["count"] for r in dealt.join(extra, mixing.ROW).groupBy("source").count().collect()}
+    assert all(abs(3 * (whole * n + once.get(s, 0)) - target) <= 3 for s, (target, whole, n) in goal.items())
+    blocks = dealt.selectExpr(f"pmod(shiftrightunsigned(xxhash64(id, size, print, {mixing.ROW}), 20), 16) AS b").groupBy("b").count().collect()
+    assert max(r["count"] for r in blocks) < 2 * min(r["count"] for r in blocks)
+
+
 def test_flight_keeps_totals_and_probabilities():
     rng = np.random.default_rng(3)
     size = rng.integers(1, 500, 200).astype(float)
