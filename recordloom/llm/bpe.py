@@ -139,6 +139,15 @@ class _Numbers(dict):
         return number
 
 
+def _planes(numbers: np.ndarray) -> bytes:
+    """32-bit numbers as four runs of their lowest to highest bytes, which pack well: the high ones are mostly zero."""
+    return numbers.astype("<i4", copy=False).view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _numbers(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<i4").reshape(-1)
+
+
 _BLOCKS = "block long, id long, numbers binary, part int, start int, words array<string>"
 
 
@@ -168,7 +177,7 @@ def _split(ranks, pattern: str, chars: int, words: int):
             place[:FIRST] = np.arange(FIRST)
             place[FIRST + order] = np.arange(FIRST, FIRST + len(order))
             for ids, rows in waiting:
-                yield packed([[block] * len(rows), ids, [place[r].tobytes() for r in rows], None, None, None])
+                yield packed([[block] * len(rows), ids, [_planes(place[r]) for r in rows], None, None, None])
             edges = np.searchsorted(parts[order], np.arange(PARTS + 1))
             filled = np.flatnonzero(np.diff(edges)).tolist()
             for at in range(0, len(filled), 32):
@@ -232,7 +241,7 @@ def _join(folder: str, finish: Callable):
                 if block != known:
                     known, table = block, []
                     table = _dictionary(fs, f"{path}/block={block}")
-                encoded.append("".join(map(table.__getitem__, np.frombuffer(numbers, np.int32).tolist())))
+                encoded.append("".join(map(table.__getitem__, _numbers(numbers).tolist())))
             yield finish(batch.column(1), encoded)
 
     return run
@@ -244,7 +253,7 @@ def _encoded(docs: DataFrame, id_col: str, text_col: str, loaded: dict[bytes, in
     check(loaded)
     small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    blocks = materialize(rows.mapInArrow(_split(spark.sparkContext.broadcast(loaded), pattern, chars, words), _BLOCKS), "bpe-blocks")
+    blocks = materialize(rows.mapInArrow(_split(spark.sparkContext.broadcast(loaded), pattern, chars, words), _BLOCKS), "bpe-blocks", "zstd")
     asked = blocks.where("words IS NOT NULL").withColumn("group", F.floor(F.shiftright("block", 20) / GROUP))
     n = asked.agg(F.sum(F.size("words"))).first()[0] or 0
     # as many tasks as the words need; each has whole parts
