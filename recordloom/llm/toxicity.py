@@ -1,11 +1,11 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words become symbols of five classes by their longest lexicon prefix: insult and threat (with a weight), target
-(a person addressed), negation and reported speech; all others are filler. One hand-coded automaton stands for the
-composition of a transducer for each class; none of these is built. Its state is (negation left, report open, target seen, threat pending)
-and which emits the clause's weight: an insult its own, also without a target, more with a target nearby, less within reach of a negation or
-in reported speech; a threat word only together with a target. Clauses end at . ! ? ; : and line ends. A document's
-score is a logistic function of its clauses' total, by the total and by its rate per word.
+Words become symbols of six classes by their longest lexicon beginning: insult and threat, target (a person addressed),
+negation, reported speech, filler. Five transducers read a clause's symbols and write them with a coefficient: insult and
+threat give them one, negation and reported speech lower it within their reach, target raises insults and settles
+threats, which count only with a target. Composed, they are one transducer; a clause's weight is the sum of its
+coefficients times the insults' weights on the one path that reads the clause to its end. Clauses end at . ! ? ; : and
+line ends. A document's score is a logistic function of its clauses' total, by the total and by its rate per word.
 
 The grammar starts from a small lexicon (below) and learns more word beginnings with weights, and the logistic
 function's coefficients, from labels: the training rows are a bounded sample (MAX_TOXIC and MAX_CLEAN rows, chosen by
@@ -14,11 +14,14 @@ the hash of their ids among rows whose crc32(id) mod 3 is not 1). Scores use the
 
 from __future__ import annotations
 
+import functools
+import itertools
 import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Hashable, Iterable
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -28,9 +31,9 @@ from recordloom.llm.common import materialize, small_batches
 
 #: Bounds of the training sample.
 MAX_TOXIC, MAX_CLEAN = 6000, 12000
-#: Most beginnings and words that are learned, and the beginnings' lengths in characters; a beginning is shorter than
-#: its word, and whole words are learned at any length.
-MAX_LEARNED, LENGTHS = 1000, (3, 4, 5, 6, 7, 8)
+#: Lengths in characters of the words' beginnings that are learned; a beginning is shorter than its word, and whole words
+#: are learned at any length.
+LENGTHS = (3, 4, 5, 6, 7, 8)
 #: Least weight of what is learned.
 LEAST = 1.25
 #: Words whose weight a task remembers.
@@ -48,10 +51,121 @@ REPORTS = "said says say called wrote claims reported quoted sagte schrieb dijo
 #: Weights of the grammar: of a seed insult, the factors of target, negation and report, and of a threat with a target.
 SEED_WEIGHT, WITH_TARGET, NEGATED, REPORTED, THREAT_WEIGHT = 3.0, 1.25, 0.5, 0.5, 2.5
 #: Words over which a negation and a target reach.
-REACH = 2
+REACH = 3
 
 _CLAUSE = re.compile(r"[.!?;:\n]+")
 _TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
+_PIECE = re.compile(rf"{_TOKEN.pattern}|[.!?;:\n]")
+_ENDS = frozenset(".!?;:\n")
+
+CLASSES = ("insult", "threat", "target", "negation", "report", "filler")
+
+
+@dataclass(frozen=True)
+class Transducer:
+    """Arcs by state and class: (factor, next state) each. Reading a symbol multiplies its coefficient by the factor."""
+
+    start: Hashable
+    finals: frozenset
+    arcs: dict[tuple[Hashable, str], tuple[tuple[float, Hashable], ...]]
+
+    def compose(self, other: Transducer) -> Transducer:
+        """The transducer that reads as `self` and passes what it writes to `other`; only states that can be reached."""
+        start = (self.start, other.start)
+        arcs, waiting, known = {}, [start], {start}
+        while waiting:
+            state = waiting.pop()
+            for c in CLASSES:
+                ways = [(f * g, (x, y)) for f, x in self.arcs.get((state[0], c), ()) for g, y in other.arcs.get((state[1], c), ())]
+                if ways:
+                    arcs[state, c] = tuple(ways)
+                    waiting += [y for y in dict.fromkeys(y for _, y in ways) if y not in known]
+                    known.update(y for _, y in ways)
+        return Transducer(start, frozenset(x for x in known if x[0] in self.finals and x[1] in other.finals), arcs)
+
+    def numbered(self) -> Transducer:
+        """The same with numbers as states."""
+        number: dict[Hashable, int] = {self.start: 0}
+        for (x, _), ways in self.arcs.items():
+            for state in (x, *(y for _, y in ways)):
+                number.setdefault(state, len(number))
+        return Transducer(0, frozenset(number[x] for x in self.finals if x in number), {(number[x], c): tuple((f, number[y]) for f, y in ways) for (x, c), ways in self.arcs.items()})
+
+    def weigh(self, symbols: Iterable[tuple[str, float]]) -> float:
+        """The sum of coefficients times weights of (class, weight) symbols, on the path that ends in a final state; the most if there are several."""
+        states = {self.start: 0.0}
+        for c, weight in symbols:
+            after: dict[Hashable, float] = {}
+            for state, total in states.items():
+                for factor, y in self.arcs.get((state, c), ()):
+                    found = total + factor * weight
+                    if found > after.get(y, -1.0):
+                        after[y] = found
+            states = after
+        return max((total for state, total in states.items() if state in self.finals), default=0.0)
+
+
+def _one_state(factors: dict[str, float]) -> Transducer:
+    return Transducer(0, frozenset([0]), {(0, c): ((factors.get(c, 1.0), 0),) for c in CLASSES})
+
+
+def insult_transducer() -> Transducer:
+    """Insults keep their weight; what is neither insult nor threat weighs nothing."""
+    return _one_state({c: 0.0 for c in CLASSES if c not in ("insult", "threat")})
+
+
+def threat_transducer() -> Transducer:
+    return _one_state({"threat": THREAT_WEIGHT})
+
+
+def negation_transducer() -> Transducer:
+    """States are the words that a negation still reaches."""
+    arcs = {}
+    for left in range(REACH + 1):
+        for c in CLASSES:
+            factor = NEGATED if left and c in ("insult", "threat") else 1.0
+            arcs[left, c] = ((factor, REACH if c == "negation" else max(0, left - 1)),)
+    return Transducer(0, frozenset(range(REACH + 1)), arcs)
+
+
+def report_transducer() -> Transducer:
+    """Reported speech lasts to the clause's end."""
+    arcs = {}
+    for open_ in (False, True):
+        for c in CLASSES:
+            arcs[open_, c] = ((REPORTED if open_ and c in ("insult", "threat") else 1.0, open_ or c == "report"),)
+    return Transducer(False, frozenset([False, True]), arcs)
+
+
+def target_transducer() -> Transducer:
+    """A target raises insults within its reach and the last insult before it, and lets threats count, within its reach or before it.
+
+    What comes later decides about an insult or threat without a target in reach, so the transducer guesses, and its
+    states promise what has to come: (words that a target reaches, promise for the last insult, promise for the last
+    threat). True promises a target before the next insult (or undecided threat), False promises none, None nothing.
+    """
+    arcs: dict = {}
+    for reach, insult, threat in itertools.product(range(REACH + 1), (None, True, False), (None, True, False)):
+        state = (reach, insult, threat)
+        less = max(0, reach - 1)
+        for c in ("negation", "report", "filler"):
+            arcs[state, c] = ((1.0, (less, insult, threat)),)
+        if insult is not False and threat is not False:
+            arcs[state, "target"] = ((1.0, (REACH, None, None)),)
+        if insult is not True:
+            arcs[state, "insult"] = ((WITH_TARGET, (less, None, threat)),) if reach else ((WITH_TARGET, (less, True, threat)), (1.0, (less, False, threat)))
+        if reach:
+            arcs[state, "threat"] = ((1.0, (less, insult, threat)),)
+        elif threat is not True:
+            arcs[state, "threat"] = ((1.0, (less, insult, True)), (0.0, (less, insult, False)))
+    finals = frozenset((reach, insult, threat) for reach in range(REACH + 1) for insult in (None, False) for threat in (None, False))
+    return Transducer((0, None, None), finals, arcs)
+
+
+@functools.cache
+def composed() -> Transducer:
+    """The grammar of clauses: all five transducers."""
+    return functools.reduce(Transducer.compose, (insult_transducer(), threat_transducer(), negation_transducer(), report_transducer(), target_transducer())).numbered()
 
 
 class Grammar:
@@ -81,43 +195,20 @@ class Grammar:
             found = self.known[word] = self.insult(word) or float(self.classes.get(word) == "threat")
         return found
 
+    def symbol(self, word: str) -> tuple[str, float]:
+        weight = self.insult(word)
+        return ("insult", weight) if weight else (self.classes.get(word, "filler"), 1.0)
+
     def clause(self, words: Iterable[str]) -> float:
-        """The weight that the automaton emits for one clause."""
-        total, negation, target, report, threat, last = 0.0, 0, 0, False, 0.0, 0.0
-        for word in words:
-            weight = self.insult(word)
-            kind = "insult" if weight else self.classes.get(word, "filler")
-            if kind == "negation":
-                negation = REACH + 1
-            elif kind == "report":
-                report = True
-            elif kind == "target":
-                target = REACH + 1
-                if last:  # the target behind the insult
-                    total, last = total + last * (WITH_TARGET - 1), 0.0
-                total, threat = total + threat, 0.0
-            elif kind == "threat":
-                value = THREAT_WEIGHT * (NEGATED if negation else 1) * (REPORTED if report else 1)
-                if target:
-                    total += value
-                else:
-                    threat = value
-            elif kind == "insult":
-                value = weight * (NEGATED if negation else 1) * (REPORTED if report else 1)
-                total += value * (WITH_TARGET if target else 1)
-                last = 0.0 if target else value
-            if kind != "negation":
-                negation = max(0, negation - 1)
-            if kind != "target":
-                target = max(0, target - 1)
-        return total
+        """The weight that the composed transducer gives one clause."""
+        return composed().weigh(map(self.symbol, words))
 
     def weigh(self, text: str) -> float:
-        """The sum over the clauses. Only clauses with a cue are read: no other emits a weight."""
-        text = text.lower()
-        if not any(map(self.cue, _TOKEN.findall(text))):
+        """The sum over the clauses. Only clauses with a cue are read: no other has a weight."""
+        pieces = _PIECE.findall(text.lower())
+        if not any(map(self.cue, pieces)):
             return 0.0
-        clauses = (_TOKEN.findall(part) for part in _CLAUSE.split(text))
+        clauses = (list(words) for ends, words in itertools.groupby(pieces, _ENDS.__contains__) if not ends)
         return sum(self.clause(words) for words in clauses if any(map(self.cue, words)))
 
     def matches(self, text: str) -> list[tuple[int, str, float]]:
@@ -178,7 +269,7 @@ def learn(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: i
 
     least = max(3, n_toxic // 200)
     scored = sorted(((low(k), k) for k, n in toxic.items() if n >= least), key=lambda x: (-x[0], x[1]))
-    found = [(min(s, SEED_WEIGHT), k) for s, k in scored if s >= LEAST][:MAX_LEARNED]
+    found = [(min(s, SEED_WEIGHT), k) for s, k in scored if s >= LEAST]
     return Grammar({k[:-1]: s for s, k in found if k.endswith("*")}, dict.fromkeys(INSULTS, SEED_WEIGHT) | {k: s for s, k in found if not k.endswith("*")})
 
 
@@ -205,7 +296,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """A grammar from the labelled rows of `docs`.
 
     The sample's ids are bounded, so they may be broadcast; texts are read once, where they lie. Without labelled
-    rows the lexicon and the default coefficients remain. Null ids and null labels are passed over.
+    rows the lexicon and the default coefficients remain. Null ids and null labels are passed over; a row that is
+    labelled 0 and 1 is in both samples, repeated labels count once, repeated documents as often as they are.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -267,8 +359,8 @@ def _below(grammar, at: int, threshold: float):
 def score(docs: DataFrame, grammar: Grammar, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and score (0 to 1) for each row of `docs`.
 
-    A null text counts as empty; it has the score of a text without findings. Rows are independent, so repeated rows
-    and an empty table need no rule. Only the two named columns are read.
+    A null text counts as empty; it has the score of a text without findings. Texts are read whole. Rows are
+    independent, so ties, repeated rows and an empty table need no rule. Only the two named columns are read.
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(grammar)
@@ -297,7 +389,7 @@ def matched_clauses(docs: DataFrame, grammar: Grammar, id_col: str = "doc_id", t
 
 
 def drop_toxic(docs: DataFrame, grammar: Grammar, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of `docs` whose score is below the threshold, with all their columns."""
+    """The rows of `docs` whose score is below the threshold, with all their columns; rules as in score(), null texts stay."""
     shared = docs.sparkSession.sparkContext.broadcast(grammar)
     small_batches(docs.sparkSession)
     return docs.mapInArrow(_below(shared, docs.columns.index(text_col), threshold), docs.schema)
