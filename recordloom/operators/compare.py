@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import itertools
+from collections import Counter, deque
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordloom.functions.cells import clean, collapse, split_profile, title_key
 from recordloom.functions.identifiers import doi, match_value
-from recordloom.operators.profile import kind_of
+from recordloom.operators.profile import kinds_of
 
 
 def record_key(doi_cell: Column | None, title_cell: Column | None, year_cell: Column | None = None) -> Column:
@@ -43,7 +46,10 @@ def shown(kind: str, cell: Column) -> Column:
 
 
 def kinds_of_both(a: DataFrame, b: DataFrame, pairs: list[tuple[str, str]]) -> list[str]:
-    return [kind_of(a.select(F.col(f"`{x}`").cast("string").alias("v")).unionAll(b.select(F.col(f"`{y}`").cast("string").alias("v"))), "v") for x, y in pairs]
+    """The kinds of column pairs, from the cells of both tables, in one job."""
+    side = lambda df, i: df.select(*(F.col(f"`{pair[i]}`").cast("string").alias(str(k)) for k, pair in enumerate(pairs)))
+    kinds = kinds_of(side(a, 0).unionAll(side(b, 1)), [str(k) for k in range(len(pairs))])
+    return [kinds[str(k)] for k in range(len(pairs))]
 
 
 def keyed_diff(a: DataFrame, b: DataFrame, columns: list[str], doi_column: str | None, title_column: str, year_column: str | None = None, kinds: list[str] | None = None) -> DataFrame:
@@ -68,26 +74,56 @@ def keyed_diff(a: DataFrame, b: DataFrame, columns: list[str], doi_column: str |
     return both.select(F.col("key.key").alias("key"), F.coalesce(x["title"], y["title"]).alias("title"), F.inline(rows))
 
 
+class _Candidates:
+    """Rows of one side by their extra keys. What keys a partner leaves blank may be anything, so rows are listed for each such set of keys that is asked for."""
+
+    def __init__(self, rows: list[tuple[int, tuple[str, ...]]]):
+        self.rows, self.used = rows, set()
+        self.listed: dict[tuple[int, ...], dict[tuple, deque]] = {}
+        self.live: Counter = Counter()
+
+    def best(self, own: tuple[str, ...]) -> tuple[int, int, int] | None:
+        """The earliest free row that agrees on most keys, the number of those keys, and how many rows agree on as many."""
+        filled = tuple(i for i, k in enumerate(own) if k)
+        if filled not in self.listed:
+            lists: dict[tuple, deque] = {}
+            for row, keys in self.rows:
+                if row not in self.used:
+                    lists.setdefault(tuple(keys[i] for i in filled), deque()).append(row)
+            self.listed[filled] = lists
+            self.live.update({(filled, k): len(x) for k, x in lists.items()})
+        lists = self.listed[filled]
+        for agreed in range(len(filled), -1, -1):
+            ways = [tuple(own[i] if i in kept else "" for i in filled) for kept in itertools.combinations(filled, agreed)]
+            tied = sum(self.live[filled, way] for way in ways)
+            if tied:
+                heads = []
+                for way in ways:
+                    while lists.get(way) and lists[way][0] in self.used:
+                        lists[way].popleft()
+                    heads += list(itertools.islice(lists.get(way, ()), 1))
+                return min(heads), agreed, tied
+        return None
+
+    def take(self, row: int, keys: tuple[str, ...]) -> None:
+        self.used.add(row)
+        for filled in self.listed:
+            self.live[filled, tuple(keys[i] for i in filled)] -= 1
+
+
 def _greedy(n_extra: int):
     def run(block: pd.DataFrame) -> pd.DataFrame:
         left, right = (block[block.side == s].sort_values("row") for s in "ab")
-        others = [(row, list(keys)) for row, keys in zip(right.row, right["keys"], strict=True)]
-        used: set = set()
+        keys_of = lambda rows: [tuple(k or "" for k in keys) for keys in rows["keys"]]
+        others = dict(zip(right.row.tolist(), keys_of(right), strict=True))
+        candidates = _Candidates(list(others.items()))
         out = []
-        for row, own in zip(left.row, left["keys"], strict=True):
-            best, agreed, tied = None, -1, 0
-            for other, keys in others:
-                pairs = [(p, q) for p, q in zip(own, keys, strict=True) if p and q]
-                if other in used or any(p != q for p, q in pairs):
-                    continue
-                if len(pairs) > agreed:
-                    best, agreed, tied = other, len(pairs), 1
-                elif len(pairs) == agreed:
-                    tied += 1
-            if best is not None:
-                used.add(best)
+        for row, own in zip(left.row.tolist(), keys_of(left), strict=True):
+            if found := candidates.best(own):
+                other, agreed, tied = found
+                candidates.take(other, others[other])
                 note = f"title + {agreed} of {n_extra} extra key(s)" + (" (others empty)" if agreed < n_extra else "")
-                out.append((row, best, note + (f"; {tied} identical candidates, paired in file order" if tied > 1 else "")))
+                out.append((row, other, note + (f"; {tied} identical candidates, paired in file order" if tied > 1 else "")))
         return pd.DataFrame(out, columns=["row_a", "row_b", "note"])
 
     return run
@@ -98,7 +134,8 @@ def match_pairs(a: DataFrame, b: DataFrame, row: str, title: tuple[str, str], ex
 
     Extra keys have to agree where both are filled; the candidate that agrees on most wins, the earliest of equals.
     Without extra keys the k-th row of a title in A takes the k-th in B, which windows decide; with extra keys the
-    decision is sequential within a title's block, so a block is one task's: only its keys and row numbers go there.
+    decision is sequential within a title's block, so a block is one task's: only its keys and row numbers go there, and
+    its time grows with its rows, not with their pairs.
     """
     side = lambda df, i, s: df.select(F.lit(s).alias("side"), F.col(row).cast("long").alias("row"), title_key(F.col(f"`{title[i]}`")).alias("t"), F.array(*(match_value(F.col(f"`{p[i]}`")) for p in extra)).cast("array<string>").alias("keys")).where("t <> ''")
     left, right = side(a, 0, "a"), side(b, 1, "b")

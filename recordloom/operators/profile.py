@@ -33,14 +33,8 @@ def _kind() -> Column:
     )
 
 
-def summarize(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """column, kind, non_empty, non_empty_pct, unique_values for each column.
-
-    Equal cells of a column are counted first, so the rest works on distinct values; tags of multi-tag columns are
-    counted from those.
-    """
-    columns = columns or df.columns
-    total = df.count()
+def _kinds(df: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The columns' distinct values with their numbers of cells, and kind, n and values of each column with filled cells."""
     values = _cells(df, columns).groupBy("column", "value").agg(F.count(F.lit(1)).alias("k"))
     x = number(F.col("value"))
     weigh = lambda test: F.coalesce(F.sum(F.when(test, F.col("k"))), F.lit(0))
@@ -52,7 +46,24 @@ def summarize(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
         weigh(x.between(*YEARS)).alias("years"),
         weigh(x % 1 == 0).alias("whole"),
     )
-    kinds = stats.withColumn("kind", _kind())
+    return values, stats.withColumn("kind", _kind())
+
+
+def kinds_of(df: DataFrame, columns: list[str]) -> dict[str, str]:
+    """The kind of each column, all in one job."""
+    found = {r.column: r.kind for r in _kinds(df, columns)[1].select("column", "kind").collect()}
+    return {c: found.get(c, "empty") for c in columns}
+
+
+def summarize(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """column, kind, non_empty, non_empty_pct, unique_values for each column.
+
+    Equal cells of a column are counted first, so the rest works on distinct values; tags of multi-tag columns are
+    counted from those.
+    """
+    columns = columns or df.columns
+    total = df.count()
+    values, kinds = _kinds(df, columns)
     tags = values.join(kinds.where("kind = 'multi_tag'").select("column"), "column").select("column", F.explode(split_profile(F.col("value"))).alias("tag")).distinct().groupBy("column").agg(F.count(F.lit(1)).alias("tags"))
     named = df.sparkSession.createDataFrame([(c, i) for i, c in enumerate(columns)], "column string, place int")
     return (
@@ -69,7 +80,7 @@ def summarize(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 def kind_of(df: DataFrame, column: str) -> str:
-    return summarize(df, [column]).first().kind
+    return kinds_of(df, [column])[column]
 
 
 def _exploded(df: DataFrame, column: str, kind: str, name: str, *keep: str) -> DataFrame:
@@ -104,7 +115,9 @@ def cross_table(df: DataFrame, row: str, column: str, row_kind: str | None = Non
     """row_value, col_value, n of all pairs of a record's values, rows without either left out."""
     first, second = F.col(f"`{row}`"), F.col(f"`{column}`")
     split = lambda cell, kind: split_profile(cell) if kind == "multi_tag" else F.filter(F.array(clean(cell)), lambda x: x != "")
-    pairs = df.select(split(first, row_kind or kind_of(df, row)).alias("a"), split(second, column_kind or kind_of(df, column)).alias("b"))
+    kinds = {row: row_kind, column: column_kind}
+    kinds |= kinds_of(df, [c for c, kind in kinds.items() if not kind]) if None in kinds.values() else {}
+    pairs = df.select(split(first, kinds[row]).alias("a"), split(second, kinds[column]).alias("b"))
     return pairs.select(F.explode("a").alias("row_value"), "b").select("row_value", F.explode("b").alias("col_value")).groupBy("row_value", "col_value").agg(F.count(F.lit(1)).alias("n"))
 
 

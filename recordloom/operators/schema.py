@@ -56,9 +56,13 @@ def common_columns(a: DataFrame, b: DataFrame) -> tuple[list[str], list[str], li
     return [c for c in a.columns if c in b.columns], [c for c in a.columns if c not in b.columns], [c for c in b.columns if c not in a.columns]
 
 
-def overlay_reviews(df: DataFrame, key: str, reviews: DataFrame) -> DataFrame:
-    """Rows with status and decision by `reviews` (key, choice): accepted and not_accepted change the status, else it stays."""
-    marks = reviews.select(key, F.col("choice").alias("__choice"))
+def overlay_reviews(df: DataFrame, key: str, reviews: DataFrame, order: str | None = None) -> DataFrame:
+    """Rows with status and decision by `reviews` (key, choice): accepted and not_accepted change the status, else it stays.
+
+    Of a key's repeated reviews the last by `order` counts, without one the least choice, so no row is repeated.
+    """
+    choice = F.max_by("choice", order) if order else F.min("choice")
+    marks = reviews.groupBy(key).agg(choice.alias("__choice"))
     joined = df.join(marks, key, "left")
     status = F.when(F.col("__choice") == "Accepted", "accepted").when(F.col("__choice") == "Not accepted", "not_accepted").otherwise(F.col("status"))
     decision = F.when(F.col("__choice") == "Accepted", "Approved").when(F.col("__choice") == "Not accepted", "Rejected")

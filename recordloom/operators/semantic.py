@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Least similarity and least margin of an accepted topic.
@@ -43,14 +43,25 @@ def nearest_topics(df: DataFrame, vector: str, topics: DataFrame, similarity: fl
 
 
 def accuracy(ranked: DataFrame, gold: str) -> DataFrame:
-    """One row: n, top1, top3, coverage and precision of accepted rows, precision of the half with the largest margins."""
+    """One row: n, top1, top3, coverage and precision of accepted rows, precision of the half with the largest margins (hits first of equal ones).
+
+    The half's last margin is bracketed by approximate quantiles: all margins above count whole, and only the values
+    inside the bracket are ordered.
+    """
     hit = (F.col("topic") == F.col(gold)).cast("int")
-    total = ranked.count()
-    half = ranked.select("margin", hit.alias("hit")).orderBy(F.desc("margin"), F.desc("hit")).limit(max(1, total // 2)).agg(F.avg("hit").alias("half_precision"))
+    rows = ranked.select("margin", F.coalesce(hit, F.lit(0)).alias("hit"), hit.isNotNull().cast("int").alias("known"))
+    total, cuts = rows.agg(F.count(F.lit(1)), F.percentile_approx("margin", F.array(F.lit(0.499), F.lit(0.501)), F.lit(100_000))).first()
+    low, high = cuts or (0.0, 0.0)
+    half = max(1, total // 2)
+    bands = rows.groupBy((F.col("margin") > high).alias("above"), F.when(F.col("margin").between(low, high), F.col("margin")).alias("margin"), "hit", "known").agg(F.count(F.lit(1)).alias("k"))
+    bands = bands.where("above OR margin IS NOT NULL")
+    before = Window.orderBy(F.desc("above"), F.desc("margin"), F.desc("hit"), "known").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    taken = bands.withColumn("upto", F.sum("k").over(before)).withColumn("take", F.greatest(F.lit(0), F.least("k", F.lit(half) - F.col("upto") + F.col("k"))))
+    best = taken.agg((F.sum(F.col("take") * F.col("hit")) / F.nullif(F.sum(F.col("take") * F.col("known")), F.lit(0))).alias("half_precision"))
     return ranked.agg(
         F.count(F.lit(1)).alias("n"),
         F.avg(hit).alias("top1"),
         F.avg(F.array_contains(F.slice("ranked", 1, 3), F.col(gold)).cast("int")).alias("top3"),
         F.avg(F.col("accepted").cast("int")).alias("coverage"),
         F.avg(F.when(F.col("accepted"), hit)).alias("precision"),
-    ).crossJoin(F.broadcast(half))
+    ).crossJoin(F.broadcast(best))

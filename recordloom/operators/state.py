@@ -46,7 +46,8 @@ def missing(work: DataFrame, entries: DataFrame, key_: str) -> DataFrame:
 
 
 def hits(work: DataFrame, entries: DataFrame, key_: str, *values: str) -> DataFrame:
-    return work.join(entries.select(key_, *values), key_)
+    """Work with the values of its key's entry. Of repeated entries the least counts; latest() chooses by time before."""
+    return work.join(entries.groupBy(key_).agg(F.min(F.struct(*values)).alias("__e")).select(key_, "__e.*"), key_)
 
 
 def split_translation(cell: Column) -> tuple[Column, Column]:

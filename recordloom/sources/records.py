@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import csv
+import functools
+import itertools
 import json
 import os
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -40,36 +43,85 @@ def read_fields(spark: SparkSession, path: str, prefix: str = formats.CARRIED) -
 
 
 def spread(fields: DataFrame) -> DataFrame:
-    """A column for each key of `fields`, in the order of first appearance, with ROW. Names are few, whatever the rows."""
+    """A column for each key of `fields`, in the order of first appearance, with ROW, which counts through all files in the order of their names.
+
+    Names are few, whatever the rows, and so are the files' first numbers, which are sent along.
+    """
     keys = fields.select("path", "place", F.posexplode(F.map_keys("fields")).alias("at", "key")).groupBy("key").agg(F.min(F.struct("path", "place", "at")).alias("first")).orderBy("first").select("key").collect()
-    row = (F.row_number().over(Window.partitionBy("path").orderBy("place")) - 1).cast("long").alias(ROW)
-    return fields.select(row, *(F.col("fields").getItem(r.key).alias(r.key) for r in keys))
+    sizes = sorted(map(tuple, fields.groupBy("path").agg(F.max("place") + 1).collect()))
+    firsts = dict(zip((p for p, _ in sizes), itertools.accumulate((n for _, n in sizes), initial=0), strict=False))
+    cells = [F.col("fields").getItem(r.key).alias(r.key) for r in keys]
+    if len(firsts) < 2:
+        return fields.select(F.col("place").alias(ROW), *cells)
+    numbered = fields.sparkSession.createDataFrame(list(firsts.items()), "path string, __first long")
+    return fields.join(numbered, "path").select((F.col("place") + F.col("__first")).alias(ROW), *cells)
 
 
-def read_csv(spark: SparkSession, path: str, as_text: bool = True) -> DataFrame:
-    """A CSV file whose separator and encoding are told from its start and from its bytes."""
+#: Bytes of a file from whose lines its separator is told.
+SNIFFED = 1 << 16
 
-    def told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for content in batch["content"]:
-                text, encoding = formats.decode(bytes(content))
-                try:
-                    sign = csv.Sniffer().sniff(text[:65536], delimiters=",;\t|").delimiter
-                except csv.Error:
-                    sign = ","
-                yield pd.DataFrame([(encoding, sign)], columns=["encoding", "sign"])
 
-    if not path.rstrip("/*").lower().endswith(".csv"):
-        raise ValueError(f"unsupported file format: {path}")
-    found = spark.read.format("binaryFile").load(path).select("content").mapInPandas(told, "encoding string, sign string").first()
-    encoding = {"utf-8-sig": "UTF-8", "cp1252": "ISO-8859-1", "latin-1": "ISO-8859-1", "utf-16": "UTF-16"}[found.encoding]
-    options = {"header": True, "sep": found.sign, "encoding": encoding, "multiLine": True, "escape": '"', "inferSchema": not as_text}
-    df = spark.read.options(**options).csv(path)
-    if found.encoding == "cp1252":  # Spark reads its sister; these characters differ
+def _told(batches: Iterator) -> Iterator:
+    """Of each part of a file: whether its lines are UTF-8, whether one has an odd number of quotes, and its start."""
+    import pyarrow as pa
+
+    seen: dict[tuple[str, int], list] = {}
+    for batch in batches:
+        for path, start, line in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            found = seen.setdefault((path, start), [True, False, b""])
+            if not line.isascii() and found[0]:
+                try:
+                    line.decode()
+                except UnicodeDecodeError:
+                    found[0] = False
+            found[1] |= bool(line.count(b'"') % 2)
+            if not start and len(found[2]) < SNIFFED:
+                found[2] += line[:SNIFFED] + b"\n"
+    columns = [[p for p, _ in seen], [s for _, s in seen], *([x[i] for x in seen.values()] for i in range(3))]
+    types = [pa.string(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary()]
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["path", "start", "utf8", "odd", "head"])
+
+
+def _dialect(utf8: bool, odd: bool, head: bytes) -> tuple[str, str, bool]:
+    """Encoding, separator and whether cells have line ends."""
+    marked = head[:2] in (b"\xff\xfe", b"\xfe\xff")
+    encoding = "utf-16" if marked else "utf-8-sig" if utf8 else formats.decode(head)[1]
+    try:
+        sign = csv.Sniffer().sniff(head.removesuffix(b"\n").decode(encoding, "replace"), delimiters=",;\t|").delimiter
+    except csv.Error:
+        sign = ","
+    return ("cp1252" if encoding == "utf-8-sig" and not utf8 else encoding), sign, odd or marked
+
+
+def _read_csv(spark: SparkSession, paths: list[str], dialect: tuple[str, str, bool], as_text: bool) -> DataFrame:
+    encoding, sign, many_lines = dialect
+    name = {"utf-8-sig": "UTF-8", "cp1252": "ISO-8859-1", "latin-1": "ISO-8859-1", "utf-16": "UTF-16"}[encoding]
+    df = spark.read.options(header=True, sep=sign, encoding=name, multiLine=many_lines, escape='"', inferSchema=not as_text).csv(paths)
+    if encoding == "cp1252":  # Spark reads its sister; these characters differ
         high = {chr(i): bytes([i]).decode("cp1252") for i in range(128, 160) if i not in (129, 141, 143, 144, 157)}
         changed = [F.translate(f"`{c}`", "".join(high), "".join(high.values())).alias(c.translate(str.maketrans(high))) if t == "string" else F.col(f"`{c}`") for c, t in df.dtypes]
         df = df.select(*changed)
-    df = df.toDF(*(c.lstrip("\ufeff") for c in df.columns))
+    return df.toDF(*(c.lstrip("\ufeff") for c in df.columns))
+
+
+def read_csv(spark: SparkSession, path: str, as_text: bool = True) -> DataFrame:
+    """CSV files, each with the separator that its start and the encoding that all its bytes tell.
+
+    Lines are looked at where they lie, so files of any size are split; only those with line ends in cells are read
+    whole by a task. Columns that a file lacks are empty in its rows.
+    """
+    if not path.rstrip("/*").lower().endswith(".csv"):
+        raise ValueError(f"unsupported file format: {path}")
+    lines = spark.read.text(path).select("_metadata.file_path", "_metadata.file_block_start", F.col("value").cast("binary"))
+    parts = lines.mapInArrow(_told, "path string, start long, utf8 boolean, odd boolean, head binary")
+    files = parts.groupBy("path").agg(F.bool_and("utf8").alias("utf8"), F.bool_or("odd").alias("odd"), F.min_by("head", "start").alias("head")).collect()
+    dialects: dict[tuple[str, str, bool], list[str]] = {}
+    for file in sorted(files, key=lambda r: r.path):
+        dialects.setdefault(_dialect(file.utf8, file.odd, bytes(file.head)), []).append(unquote(file.path))
+    if not dialects:
+        dialects[("utf-8-sig", ",", False)] = [path]
+    tables = [_read_csv(spark, paths, dialect, as_text) for dialect, paths in dialects.items()]
+    df = functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
     return (df.na.fill("") if as_text else df).withColumn(ROW, F.monotonically_increasing_id())
 
 

@@ -256,3 +256,85 @@ def test_entry_point():
     from recordloom.plans import registry
 
     assert registry.FLAGSHIP in entry.queries() and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_normalize_signs():
+    quotes = [chr(i) for i in (0x27, 0x22, 0x2018, 0x2019, 0x201A, 0x201B, 0x201C, 0x201D, 0x201E, 0x201F, 0x2BC, 0xFF07, 0xAB, 0xBB, 0x2039, 0x203A, 0xFF02)]
+    assert all(similarity.normalize(f"a{q}b") == "ab" for q in quotes)
+    assert all(similarity.normalize(f"a{chr(d)}b") == "a-b" for d in (0x2010, 0x2011, 0x2012, 0x2013, 0x2014, 0x2212))
+    assert all(similarity.normalize(f"a{chr(c)}b") == "a b" for c in (0xA0, 0x2007, 0x202F))
+    assert similarity.normalize("a`b\u00b4c") == "a`b \u0301c".replace("\u0301", "")
+
+
+def test_verification_keeps_one_row_for_each_record(spark):
+    blank = {c: "" for c in verify.COMPARED}
+    rows = [{"i": i, "titles": ["A title of some words"], "author": "Doe, J", "year": "2001", "doi": "10.1234/x" if i == 0 else None if i % 2 else "", "url": "http://h.org/1" if i < 4 else "", "item_type": "article", **blank} for i in range(40)]
+    names = "titles array<string>, author string, year string, doi string, url string, item_type string, " + ", ".join(f"{c} string" for c in verify.COMPARED)
+    records = spark.createDataFrame(rows, f"i int, {names}")
+    registry = spark.createDataFrame([{"doi": d, "title": t, "main_title": t, "subtitle": None, "authors": ["Doe"], "years": [2001], **blank} for d, t in [("10.1234/X", "A title of some words"), ("10.1234/x", "B other"), *[("", "t"), (None, "u")] * 20]], "doi string, title string, main_title string, subtitle string, authors array<string>, years array<int>, " + ", ".join(f"{c} string" for c in verify.COMPARED))
+    pages_ = spark.createDataFrame([("http://h.org/1", 200, True), ("http://h.org/1", 404, False), ("http://h.org/1", 200, True), ("", 200, True), (None, 200, True)], "url string, http_status int, evidence boolean")
+    found = {r.i: r for r in verify.verify_primary(records, "i", registry, pages_).collect()}
+    assert len(found) == 40 and verify.verify_primary(records, "i", registry, pages_).count() == 40
+    assert (found[0].rule, found[0].status) == ("registry", "verified") and found[1].rule == "landing_page" and found[9].rule == "no_identifier"
+
+
+def plain_greedy(left, right, n):
+    out, used = {}, set()
+    for row, own in left:
+        best, agreed, tied = None, -1, 0
+        for other, keys in right:
+            pairs = [(x, y) for x, y in zip(own, keys, strict=True) if x and y]
+            if other in used or any(x != y for x, y in pairs):
+                continue
+            best, agreed, tied = (other, len(pairs), 1) if len(pairs) > agreed else (best, agreed, tied + (len(pairs) == agreed))
+        if best is not None:
+            used.add(best)
+            out[row] = (best, agreed, tied)
+    return out
+
+
+def test_greedy_pairs_against_all_candidates():
+    import random
+
+    import pandas as pd
+
+    rng = random.Random(2)
+    for n in (1, 2, 3):
+        for _ in range(60):
+            side = lambda: [(i, tuple(rng.choice(["", "x", "y", "z"]) for _ in range(n))) for i in range(rng.randrange(1, 25))]
+            left, right = side(), side()
+            block = pd.DataFrame([(s, r, list(k)) for s, rows in (("a", left), ("b", right)) for r, k in rows], columns=["side", "row", "keys"])
+            got = {r.row_a: (r.row_b, r.note) for r in compare._greedy(n)(block.sample(frac=1, random_state=1)).itertuples()}
+            want = plain_greedy(left, right, n)
+            assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+            for k, (_, agreed, tied) in want.items():
+                assert f"title + {agreed} of" in got[k][1] and (f"{tied} identical" in got[k][1]) == (tied > 1)
+
+
+def test_accuracy_of_the_surest_half(spark):
+    import random
+
+    rng = random.Random(1)
+    for size, margins in ((0, [1.0]), (1, [0.5]), (7, [0.1, 0.2]), (3001, [i / 500 for i in range(400)])):
+        rows = [(f"t{rng.randrange(3)}", f"t{rng.randrange(3)}", ["t0", "t1", "t2"], rng.choice(margins), rng.random() < 0.5) for _ in range(size)]
+        df = spark.createDataFrame(rows, "topic string, gold string, ranked array<string>, margin double, accepted boolean")
+        got = semantic.accuracy(df, "gold").first()
+        best = sorted(((m, t == g) for t, g, _, m, _ in rows), reverse=True)[: max(1, size // 2)]
+        assert got.n == size and (got.half_precision is None if not size else abs(got.half_precision - sum(h for _, h in best) / len(best)) < 1e-9)
+
+
+def test_repeated_entries_and_reviews_add_no_rows(spark):
+    work = spark.createDataFrame([(1, "A"), (2, "B")], "k int, status string")
+    twice = spark.createDataFrame([(1, "x", 1), (1, "y", 2), (3, "z", 1)], "k int, v string, at int")
+    assert [(r.k, r.v) for r in state.hits(work, twice, "k", "v").collect()] == [(1, "x")]
+    reviews = spark.createDataFrame([(1, "Accepted", 2), (1, "Not accepted", 1)], "k int, choice string, at int")
+    assert sorted((r.k, r.status) for r in schema.overlay_reviews(work, "k", reviews, "at").collect()) == [(1, "accepted"), (2, "B")]
+    assert schema.overlay_reviews(work, "k", reviews).count() == 2
+
+
+def test_kinds_in_one_job(spark):
+    rows = [(str(i), f"a{i % 3}", "x; y" if i % 2 else "z, w", str(1990 + i % 9), f"text {i}") for i in range(60)]
+    df = spark.createDataFrame(rows, "n string, c string, t string, y string, `te.xt` string")
+    kinds = profile.kinds_of(df, ["n", "c", "t", "y", "te.xt"])
+    assert kinds == {c: profile.kind_of(df, c) for c in kinds} and (kinds["c"], kinds["t"], kinds["y"]) == ("categorical", "multi_tag", "year")
+    assert compare.kinds_of_both(df, df, [("n", "n"), ("t", "t"), ("te.xt", "te.xt")]) == [kinds["n"], kinds["t"], kinds["te.xt"]]

@@ -105,3 +105,21 @@ def test_carried_columns():
     assert formats.carried_for(["Title", "Key"], "bibtex") == []
     assert formats.carried_columns('x\nN1  - recordloom field: A b = "1"\nrecordloom field: C = 2') == ["A b", "C"]
     assert formats.export_label("x.BIB") == "BibTeX (.bib)"
+
+
+def test_csv_files_of_many_dialects(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    files = {"a b.csv": "Title;Year\nÄ;1\nB;2\n".encode(), "b.csv": "Title,Year\n".encode() + b"caf\xe9 \x96,3\n", "c.csv": 'Title,Note\n"two\nlines, here",n\n'.encode(), "d.csv": "Title\tYear\nÉ\t5\n".encode("utf-16"), "e.csv": "\ufeffTitle,Year\nE,6\n".encode()}
+    for name, data in files.items():
+        (tmp_path / "d" / name).write_bytes(data)
+    df = records.read_csv(spark, f"{tmp_path}/d/*.csv")
+    got = {(r.Title, r.Year, r.Note) for r in df.collect()}
+    assert got == {("Ä", "1", ""), ("B", "2", ""), ("café –", "3", ""), ("two\nlines, here", "", "n"), ("É", "5", ""), ("E", "6", "")}
+    assert df.select(records.ROW).distinct().count() == 6
+
+
+def test_rows_count_through_all_files(spark, tmp_path):
+    for i, n in enumerate((2, 3, 1)):
+        (tmp_path / f"f{i}.ris").write_text("".join(f"TY  - JOUR\nTI  - {i}-{k}\nER  - \n\n" for k in range(n)))
+    df = records.read_records(spark, f"{tmp_path}/*.ris")
+    assert sorted((r[records.ROW], r.Title) for r in df.collect()) == list(enumerate(["0-0", "0-1", "1-0", "1-1", "1-2", "2-0"]))
