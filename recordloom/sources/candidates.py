@@ -9,18 +9,19 @@ from __future__ import annotations
 
 import email.utils
 import ipaddress
-import json
 import random
 import socket
 import threading
 import time
 from collections.abc import Callable, Iterator
-from urllib.parse import urlsplit
+from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recordloom.sources import catalogues
+
 #: Seconds between requests to a source.
 SPACING = {"crossref": 0.25, "datacite": 0.35, "openalex": 0.35, "gesis": 0.75, "arxiv": 3.0, "pubmed": 0.4, "semantic_scholar": 3.1, "core": 1.5, "openaire": 0.75, "dnb": 0.75, "hal": 0.75, "cinii": 0.75, "unpaywall": 0.2, "doaj": 0.5, "europepmc": 0.35, "google_books": 1.0, "lens": 1.0, "swisscovery": 0.75, "libris": 0.75}
 ATTEMPTS, LONGEST_WAIT = 4, 120.0
@@ -61,27 +62,64 @@ def retry_after(header: str | None, attempt: int, now: float | None = None) -> f
     return min(60.0, 3.0 * 2**attempt + random.random())
 
 
-def with_retry(call: Callable[[], tuple[int, str | None, bytes]], limiter: Limiter, attempts: int = ATTEMPTS) -> tuple[bytes | None, str | None]:
-    """(body, error) of a call that answers (status, Retry-After, body); retries 429, 5xx and lost connections."""
+#: Statuses that another attempt may mend, and the header of a budget that is used up.
+TRANSIENT = {429, 500, 502, 503, 504}
+
+
+def with_retry(call: Callable[[], tuple], limiter: Limiter, attempts: int = ATTEMPTS, tell: Callable[[dict], None] = lambda event: None) -> tuple[bytes | None, str | None]:
+    """(body, error) of a call that answers (status, Retry-After, body) and, if it can tell, the rest of its budget.
+
+    TRANSIENT statuses and lost connections are tried again after a pause; a 429 with a budget of 0 fails at once, as
+    no pause within reach would help. `tell` hears of each failed attempt.
+    """
     error = None
     for attempt in range(attempts):
         limiter.wait()
         try:
-            status, header, body = call()
+            status, header, body, *budget = call()
         except OSError as lost:
             error, pause = f"{type(lost).__name__}: {lost}", min(30.0, 2.0 * 2**attempt + random.random())
         else:
             if status < 400:
                 return body, None
             error = f"HTTP {status}"
-            if status != 429 and status < 500:
+            if status not in TRANSIENT:
                 return None, error
+            if status == 429 and budget and str(budget[0]).strip() == "0":
+                tell({"attempt": attempt, "error": error, "pause": None})
+                return None, f"{error}: the budget is used up"
             pause = retry_after(header, attempt) if status == 429 else min(30.0, 2.0 * 2**attempt + random.random())
+        tell({"attempt": attempt, "error": error, "pause": pause if attempt + 1 < attempts else None})
         if attempt + 1 < attempts:
             limiter.defer(pause)
     return None, error
 
 
+#: Most bytes of a page, a container's page and a PDF, and redirects that are followed.
+PAGE_BYTES, CONTAINER_BYTES, PDF_BYTES, REDIRECTS = 512 << 10, 2 << 20, 15 << 20, 5
+
+
+def safe_get(url: str, get: Callable[[str], tuple[int, dict, Iterator[bytes]]], limit: int = PAGE_BYTES, redirects: int = REDIRECTS, resolve: Callable[[str], list[str]] | None = None) -> tuple[int, str, bytes]:
+    """(status, final address, body) of `get` (status, headers, chunks), which follows no redirects itself.
+
+    Each hop's host must have public addresses only, and no more than `limit` bytes are read; ValueError otherwise.
+    """
+    for _ in range(redirects + 1):
+        if not is_public(url, resolve):
+            raise ValueError("the address isn't public")
+        status, headers, chunks = get(url)
+        target = {k.casefold(): v for k, v in headers.items()}.get("location")
+        if not (300 <= status < 400 and target):
+            body = bytearray()
+            for chunk in chunks:
+                body += chunk
+                if len(body) > limit:
+                    raise ValueError(f"more than {limit} bytes")
+            return status, url, bytes(body)
+        url = urljoin(url, target)
+    raise ValueError("too many redirects")
+
+
 def is_public(url: str, resolve: Callable[[str], list[str]] | None = None) -> bool:
     """Whether a URL is http(s) and its host has public addresses only."""
     parts = urlsplit(url)
@@ -97,41 +135,9 @@ def is_public(url: str, resolve: Callable[[str], list[str]] | None = None) -> bo
 # payloads
 
 
-def _text(x) -> str:
-    x = x[0] if isinstance(x, list) and x else x
-    return str(x).strip() if isinstance(x, (str, int)) else ""
-
-
-def crossref_items(payload: dict) -> Iterator[dict]:
-    for item in (payload.get("message") or {}).get("items") or []:
-        parts = [d for k in ("published-print", "published-online", "issued") for d in ((item.get(k) or {}).get("date-parts") or [[]])[0][:1] if d]
-        doi = item.get("DOI") or ""
-        yield {"title": _text(item.get("title")), "doi": doi, "url": f"https://doi.org/{doi}" if doi else item.get("URL") or "", "authors": [a["family"] for a in item.get("author") or [] if a.get("family")], "year": parts[0] if parts else None, "abstract": item.get("abstract")}
-
-
-def openalex_items(payload: dict) -> Iterator[dict]:
-    for item in payload.get("results") or []:
-        doi = (item.get("doi") or "").removeprefix("https://doi.org/")
-        place = item.get("primary_location") or {}
-        url = item.get("doi") or (item.get("open_access") or {}).get("oa_url") or place.get("landing_page_url") or place.get("pdf_url")
-        index = item.get("abstract_inverted_index") or {}
-        words = sorted((p, w) for w, ps in index.items() for p in ps)
-        yield {"title": item.get("title") or "", "doi": doi, "url": url or item.get("id") or "", "url_is_reference_only": not url, "authors": [n.split()[-1] for a in item.get("authorships") or [] if (n := (a.get("author") or {}).get("display_name"))], "year": item.get("publication_year"), "abstract": " ".join(w for _, w in words) or None}
-
-
-def datacite_items(payload: dict) -> Iterator[dict]:
-    for item in payload.get("data") or []:
-        a = item.get("attributes") or {}
-        abstract = next((d.get("description") for d in a.get("descriptions") or [] if str(d.get("descriptionType")).casefold() == "abstract"), None)
-        yield {"title": _text([t.get("title") for t in a.get("titles") or []]), "doi": a.get("doi") or "", "url": a.get("url") or "", "authors": [c.get("familyName") or (c.get("name") or "").split()[-1] for c in a.get("creators") or [] if c.get("familyName") or c.get("name")], "year": a.get("publicationYear"), "abstract": abstract}
-
-
-PARSERS: dict[str, Callable[[dict], Iterator[dict]]] = {"crossref": crossref_items, "openalex": openalex_items, "datacite": datacite_items}
-
-
 def _rows(record: str, source: str, payload: str | None) -> Iterator[tuple]:
-    for i, x in enumerate(PARSERS[source](json.loads(payload)) if payload else ()):
-        yield record, source, i, x["title"], x["doi"], x["url"], bool(x.get("url_is_reference_only")), x["authors"], None if x["year"] is None else int(x["year"]), x["abstract"]
+    for i, x in enumerate(catalogues.candidates(source, payload) if payload else ()):
+        yield record, source, i, x["title"], x["doi"], x["url"], x["url_is_reference_only"], x["authors"], x["year"], x["abstract"]
 
 
 _COLUMNS = ["record", "source", "cand_pos", "title", "doi", "url", "url_is_reference_only", "authors", "year", "abstract"]
