@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -106,6 +108,42 @@ def is_uppercase(tag: Column) -> Column:
     return (tag == F.upper(tag)) & (tag != F.lower(tag))
 
 
+def names_country(tag: Column, names: tuple[str, ...], codes: tuple[str, ...] = ()) -> Column:
+    """Whether a tag has a country's name as whole words in any case, or one of its codes as it is written."""
+    any_of = lambda words, flags: tag.rlike(rf"(?{flags}U)(?<!\w)(?:{'|'.join(re.escape(w) for w in sorted(words, key=len, reverse=True))})(?!\w)") if words else F.lit(False)
+    return any_of(names, "i") | (any_of(codes, "") if codes else F.lit(False))
+
+
+def replace_tags(cell: Column, mine: Callable[[Column], Column], tags: Column) -> Column:
+    """A tag cell whose tags of one kind (`mine`) are replaced by others; the rest stay in their order."""
+    rest = F.filter(split_any(cell), lambda x: ~mine(x))
+    return F.array_join(F.concat(rest, F.filter(F.array_distinct(tags), lambda x: ~F.array_contains(rest, x))), "; ")
+
+
+def country_tags(countries: Column, prefix: str = "DATA - ") -> Column:
+    return F.transform(countries, lambda c: F.concat(F.lit(prefix), c))
+
+
+def non_blank_places(cells: Column) -> Column:
+    """Places of the filled cells of an array."""
+    return F.filter(F.transform(cells, lambda c, i: F.when(F.trim(F.coalesce(c, F.lit(""))) != "", i)), lambda i: i.isNotNull())
+
+
+#: Languages by their primary subtag.
+LANGUAGES = {"en": "English", "de": "German", "fr": "French", "es": "Spanish", "it": "Italian", "pt": "Portuguese", "nl": "Dutch", "pl": "Polish", "sv": "Swedish", "da": "Danish", "fi": "Finnish", "cs": "Czech", "ru": "Russian", "ja": "Japanese", "zh": "Chinese", "ko": "Korean"}
+
+
+def language_code(cell: Column) -> Column:
+    """The primary subtag of a language tag, folded."""
+    return F.lower(F.regexp_extract(clean(cell), "^([A-Za-z]*)", 1))
+
+
+def language_label(cell: Column) -> Column:
+    """A language's name by its code; the code itself if it isn't known."""
+    code = language_code(cell)
+    return F.coalesce(F.create_map(*(F.lit(x) for pair in LANGUAGES.items() for x in pair))[code], code)
+
+
 def keep_tags(tags: Column, *rules) -> tuple[Column, Column]:
     """The tags that pass any of the rules (functions of a tag), and the others."""
     passes = lambda x: reduce(lambda a, b: a | b, [rule(x) for rule in rules])

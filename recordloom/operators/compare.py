@@ -33,6 +33,13 @@ def unique_keys(df: DataFrame, key: Column, name: str = "key") -> DataFrame:
     return keyed.join(repeated, name, "left_anti")
 
 
+def key_sets(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """Each key of two tables once, with where it is: both, only A or only B."""
+    marked = lambda df, side: df.select(F.col(key).alias("key")).where(F.col("key").isNotNull()).distinct().withColumn(side, F.lit(True))
+    both = marked(a, "in_a").join(marked(b, "in_b"), "key", "full_outer")
+    return both.select("key", F.when(F.col("in_b").isNull(), "only A").when(F.col("in_a").isNull(), "only B").otherwise("both").alias("found"))
+
+
 def differ(kind: str, a: Column, b: Column) -> Column:
     """Whether two cells differ: tags as sets, other kinds as text."""
     if kind == "multi_tag":

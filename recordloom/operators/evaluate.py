@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recordloom.functions.cells import split_any
+from recordloom.operators.compare import record_key, unique_keys
+
 
 def _ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a, b).cast("double")
@@ -62,3 +65,58 @@ def outcome(gold: Column, predicted: Column) -> Column:
     """exact, partly right, missed or wrong."""
     both = F.size(F.array_intersect(gold, predicted))
     return F.when((both == F.size(F.array_distinct(gold))) & (both == F.size(F.array_distinct(predicted))), "exact").when(both > 0, "partly right").when(F.size(predicted) == 0, "missed").otherwise("wrong")
+
+
+def gold_tags(keywords: Column, codes: tuple[str, ...]) -> Column:
+    """The known codes among a keyword cell's tags, each once."""
+    return F.array_intersect(split_any(keywords), F.array(*map(F.lit, codes)))
+
+
+def gold_countries(keywords: Column, names: dict[str, str]) -> Column:
+    """Countries of a keyword cell: a keyword, or what stands before its `--`, by its folded name."""
+    folded = F.transform(split_any(keywords), lambda k: F.lower(F.trim(F.substring_index(k, "--", 1))))
+    known = F.create_map(*(x for k, v in names.items() for x in (F.lit(k.casefold()), F.lit(v)))) if names else F.lit(None).cast("map<string,string>")
+    return F.array_distinct(F.filter(F.transform(folded, lambda k: known[k]), lambda c: c.isNotNull()))
+
+
+def against_gold(gold: DataFrame, predicted: DataFrame, keys: dict[str, tuple[str | None, str | None]], keywords: str, codes: tuple[str, ...], tags: str) -> tuple[DataFrame, DataFrame]:
+    """Predictions of the records that a gold table knows, and one row with the numbers of those that don't meet.
+
+    keys has (gold's, prediction's) columns for doi, title and year. Records match by DOI, else by title and year;
+    keys that a table repeats match nothing. Only gold records with a known code count. The first table has key, gold
+    and predicted (arrays).
+    """
+    side = lambda df, i: unique_keys(df, record_key(*(F.col(f"`{name[i]}`") if (name := keys.get(part, (None, None)))[i] else None for part in ("doi", "title", "year"))))
+    truth = side(gold, 0).select("key", gold_tags(F.col(f"`{keywords}`"), codes).alias("gold")).where(F.size("gold") > 0)
+    found = side(predicted, 1).select("key", F.array_intersect(split_any(F.col(f"`{tags}`")), F.array(*map(F.lit, codes))).alias("predicted"))
+    both = truth.join(found, "key", "full_outer")
+    counts = both.agg(
+        F.count_if(F.col("gold").isNotNull() & F.col("predicted").isNotNull()).alias("matched"),
+        F.count_if(F.col("predicted").isNull()).alias("gold_only"),
+        F.count_if(F.col("gold").isNull()).alias("predicted_only"),
+    )
+    return both.where("gold IS NOT NULL AND predicted IS NOT NULL"), counts
+
+
+def in_subsets(df: DataFrame, subsets: dict[str, tuple[Column, str, str]]) -> DataFrame:
+    """score_sets() of several subsets, (condition, gold, predicted) each, with their names, in one scan."""
+    names = list(subsets)
+    arrays = F.array(*(F.when(subsets[n][0], F.struct(F.lit(n).alias("subset"), F.array_distinct(subsets[n][1]).alias("g"), F.array_distinct(subsets[n][2]).alias("p"))) for n in names))
+    rows = df.select(F.inline(F.filter(arrays, lambda x: x.isNotNull()))).select("subset", F.size("g").alias("ng"), F.size("p").alias("np"), F.size(F.array_intersect("g", "p")).alias("tp"))
+    sums = rows.groupBy("subset").agg(F.count(F.lit(1)).alias("records"), F.sum("tp").cast("long").alias("tp"), F.sum(F.col("np") - F.col("tp")).cast("long").alias("fp"), F.sum(F.col("ng") - F.col("tp")).cast("long").alias("fn"), F.count_if((F.col("tp") == F.col("ng")) & (F.col("tp") == F.col("np"))).alias("exact"))
+    scored = sums.withColumn("precision", _ratio(F.col("tp"), F.col("tp") + F.col("fp"))).withColumn("recall", _ratio(F.col("tp"), F.col("tp") + F.col("fn")))
+    return scored.withColumn("f1", f1(F.col("precision"), F.col("recall")))
+
+
+def blind_run(df: DataFrame, gold: str, predicted: str, confidences: str, has_abstract: Column, gold_places: str, places: str) -> DataFrame:
+    """The five evaluations of a tagging run: all records, those with and without an abstract, high confidence only, countries."""
+    high = F.filter(F.transform(predicted, lambda t, i: F.when(F.get(confidences, i) == "high", t)), lambda t: t.isNotNull())
+    rows = df.withColumn("__high", high).withColumn("__has", F.coalesce(has_abstract, F.lit(False)))
+    every = F.lit(True)
+    return in_subsets(rows, {"all": (every, gold, predicted), "with_abstract": (F.col("__has"), gold, predicted), "without_abstract": (~F.col("__has"), gold, predicted), "high_only": (every, gold, "__high"), "countries": (F.size(gold_places) > 0, gold_places, places)})
+
+
+def accuracy_by(ranked: DataFrame, gold: str, group: str) -> DataFrame:
+    """group, n, top1 and top3 of ranked topics (semantic.nearest_topics()), as by language."""
+    hit = (F.col("topic") == F.col(gold)).cast("int")
+    return ranked.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.avg(hit).alias("top1"), F.avg(F.array_contains(F.slice("ranked", 1, 3), F.col(gold)).cast("int")).alias("top3"))

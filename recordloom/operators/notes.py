@@ -117,6 +117,16 @@ def link_counters(df: DataFrame, note: str, url: str, doi: str) -> DataFrame:
     return df.agg(*(F.count_if(F.coalesce(c, F.lit(False))).alias(k) for k, c in conditions.items()))
 
 
+def recovery_counters(before: DataFrame, after: DataFrame, record: str, note: str, url: str, doi: str) -> DataFrame:
+    """link_counters() of a table, and what recover_links() did to it: urls found, notes with one or several, links added, removed and changed notes, blanked ones."""
+    columns = ["note_urls", "link_added", *(["links_removed"] if "links_removed" in after.columns else [])]
+    both = before.select(record, F.col(note).alias("__old")).join(after.select(record, F.col(note).alias("__new"), *columns), record)
+    n, removed = F.size("note_urls"), F.col("links_removed") if len(columns) > 2 else F.lit(0)
+    old, new = clean(F.col("__old")), clean(F.col("__new"))
+    sums = {"urls_found": F.sum(n), "notes_with_url": F.count_if(n > 0), "notes_with_several": F.count_if(n > 1), "links_added": F.count_if("link_added"), "links_removed": F.sum(removed), "notes_cleaned": F.count_if(removed > 0), "notes_changed": F.count_if(old != new), "notes_blanked": F.count_if((old != "") & (new == "")), "still_without_link": F.count_if(~F.col("link_added") & (n == 0))}
+    return link_counters(before, note, url, doi).crossJoin(both.agg(*(F.coalesce(x, F.lit(0)).cast("long").alias(k) for k, x in sums.items())))
+
+
 #: Tags of a found abstract by its check.
 REVIEW_TAGS = {"possible_mismatch": "abstract_found_possible_mismatch", "insufficient_metadata": "abstract_found_needs_review", "matched": "abstract_match_confirmed"}
 

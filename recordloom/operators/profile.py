@@ -121,6 +121,11 @@ def cross_table(df: DataFrame, row: str, column: str, row_kind: str | None = Non
     return pairs.select(F.explode("a").alias("row_value"), "b").select("row_value", F.explode("b").alias("col_value")).groupBy("row_value", "col_value").agg(F.count(F.lit(1)).alias("n"))
 
 
+def sparse_rows(table: DataFrame) -> DataFrame:
+    """A cross table's cells, the most frequent first, then by their labels."""
+    return table.where("n > 0").orderBy(F.desc("n"), "row_value", "col_value")
+
+
 def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
     """bin, lower, upper, n of equal-width bins; the last bin has its upper edge, empty bins are there too.
 

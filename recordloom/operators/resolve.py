@@ -17,6 +17,15 @@ TYPES = {"google_books": ("book", "chapter")}
 FAMILIES = {"crossref": "doi_registry", "datacite": "doi_registry", "openalex": "scholarly_graph", "semantic_scholar": "scholarly_graph", "core": "repository", "openaire": "repository", "hal": "repository", "arxiv": "repository", "gesis": "repository", "pubmed": "subject_index", "cinii": "national_catalogue", "dnb": "national_catalogue"}
 
 
+#: Names of the sources where they aren't the identifier with a capital.
+LABELS = {"gesis": "GESIS", "openalex": "OpenAlex", "semantic_scholar": "Semantic Scholar", "core": "CORE", "lens": "Lens.org", "openaire": "OpenAIRE", "doaj": "DOAJ", "datacite": "DataCite", "dnb": "DNB", "hal": "HAL", "cinii": "CiNii", "libris": "LIBRIS", "europepmc": "Europe PMC", "google_books": "Google Books", "arxiv": "arXiv", "pubmed": "PubMed"}
+
+
+def source_label(source: Column) -> Column:
+    names = F.create_map(*(F.lit(x) for pair in LABELS.items() for x in pair))
+    return F.coalesce(names[source], F.initcap(source))
+
+
 def source_table(spark, sources=SOURCES) -> DataFrame:
     """source, base_rank, languages, types, family: a dimension of fixed size."""
     rows = [(s, i, list(LANGUAGES.get(s, ())), list(TYPES.get(s, ())), FAMILIES.get(s, s)) for i, s in enumerate(sources)]

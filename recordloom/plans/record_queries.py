@@ -122,14 +122,6 @@ def canonical_urls(spark, sf):
     return _t(spark, sf, "pages").select("page_id", identifiers.canonical_url(F.col("url")).alias("canonical"))
 
 
-@query(r"""
-    SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&quot;', '"', 'g'), '\s+', ' ', 'g')) AS title, regexp_extract(html, '<meta charset="([^"]*)"', 1) AS charset FROM pages""")
-def page_titles(spark, sf):
-    html = F.coalesce("html", F.lit(""))
-    title = F.replace(F.regexp_extract(html, "<title>([^<]*)</title>", 1), F.lit("&quot;"), F.lit('"'))
-    return _t(spark, sf, "pages").select("page_id", F.trim(F.regexp_replace(title, r"\s+", " ")).alias("title"), F.regexp_extract(html, '<meta charset="([^"]*)"', 1).alias("charset"))
-
-
 _B = "SELECT p_partkey AS row, CASE WHEN p_partkey % 7 = 0 THEN p_name || ' II' ELSE p_name END AS title, p_brand AS brand, CASE WHEN p_partkey % 5 = 0 THEN p_type || '; NEW' ELSE p_type END AS type, p_partkey::VARCHAR AS year FROM part WHERE p_partkey % 11 <> 0"
 _A = "SELECT p_partkey AS row, p_name AS title, p_brand AS brand, p_type AS type, p_partkey::VARCHAR AS year FROM part WHERE p_partkey % 13 <> 0"
 
@@ -343,12 +335,6 @@ def keyword_tags(spark, sf):
     return _t(spark, sf, "documents").select("doc_id", F.array_join(tagging.keyword_counts(F.col("text"), _WORDS), "; ").alias("tags"))
 
 
-@query(r"SELECT conv_id, turn, len(regexp_extract_all(coalesce(text, ''), '[\p{L}]{2,}')) >= 15 AS readable FROM conversations")
-def readable_turns(spark, sf):
-    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"\p{L}{2,}"), F.lit(0))
-    return _t(spark, sf, "conversations").select("conv_id", "turn", (F.size(words) >= tagging.READABLE).alias("readable"))
-
-
 @query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_brand || '; ' || p_type ELSE p_brand END AS tags FROM part")
 def appended_values(spark, sf):
     source = F.when(F.col("p_size") % 2 == 0, F.concat(F.col("p_type"), F.lit(" ;\n"), F.col("p_brand"))).otherwise(F.col("p_brand"))
@@ -397,13 +383,6 @@ def verified_records(spark, sf):
     return verify.verify_primary(records, "p_partkey", registry).select("p_partkey", "status", "rule", F.array_join("conflicts", "; ").alias("conflicts"))
 
 
-@query("SELECT label, count(*) AS records, avg(k) AS mean_label FROM (SELECT label, label AS k FROM embeddings) GROUP BY 1")
-def label_recall(spark, sf):
-    df = _t(spark, sf, "embeddings").select(F.array(F.col("label").cast("string")).alias("g"), F.col("label").cast("string").alias("top"), "label")
-    counted = evaluate.recall_by_gold(df, "g", "top")
-    return counted.select(F.col("tag").cast("int").alias("label"), "records", (F.col("recall") * F.col("tag").cast("int")).alias("mean_label"))
-
-
 @query("SELECT o_custkey AS record, o_orderkey AS cand_pos, round(o_totalprice / 5000, 2) AS score, row_number() OVER (PARTITION BY o_custkey ORDER BY round(o_totalprice / 5000, 2) DESC, o_orderkey)::INT AS place FROM orders")
 def ranked_candidates(spark, sf):
     rows = _t(spark, sf, "orders").select(F.col("o_custkey").alias("record"), F.col("o_orderkey").alias("cand_pos"), F.round(F.col("o_totalprice") / 5000, 2).alias("score"), F.lit(0).alias("source_rank"))
@@ -436,12 +415,6 @@ def lookup_scope(spark, sf):
     return todo.agg(F.count(F.lit(1)).alias("to_look_up")).crossJoin(done.agg(F.count(F.lit(1)).alias("complete")))
 
 
-@query("SELECT p_partkey FROM part WHERE p_partkey % 13 <> 0 AND p_partkey % 11 <> 0")
-def common_keys(spark, sf):
-    a, b = _versions(spark, sf)
-    return a.select(F.col("row").alias("p_partkey")).intersect(b.select(F.col("row").alias("p_partkey")))
-
-
 @query("""
     WITH n AS (SELECT n_regionkey, n_name FROM nation), t AS (SELECT n_regionkey, n_name, length(n_name) AS l FROM n)
     SELECT n_regionkey AS tag, max(k) AS records, max(CASE WHEN m = 'a' THEN r END) AS a, max(CASE WHEN m = 'b' THEN r END) AS b
