@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding.
 
-A token sequence is a string with one character for each token: the byte for tokens of a single byte, the character
-of the rank for the others. So a merge replaces two characters by one, and a sequence of a document is the
+A token sequence is a string with one character for each token: the byte for tokens of a single byte (but ZERO for
+byte 0, which is the separator of packed strings), the character of the rank for the others. So a merge replaces two characters by one, and a sequence of a document is the
 concatenation of its pre-tokens' strings.
 
 1. Each task splits its texts once, block by block, and writes for each text the numbers of its pre-tokens in the
@@ -41,19 +41,22 @@ PARTS, GROUP = 256, 4096
 BLOCK_CHARS, BLOCK_WORDS = 32 << 20, 1 << 20
 #: Words that a task of the fold gets, on average.
 FOLDED = 100_000
-#: Numbers from here on are dictionary words, those below are tokens' characters. Stands between packed token strings.
-FIRST, SEP = 0xD800, "\ue000"
+#: Numbers from here on are dictionary words, those below are tokens' characters. The separator of packed strings, and
+#: what stands for byte 0 in them.
+FIRST, SEP, ZERO = 0xD800, "\0", "\ud7ff"
+#: Texts whose numbers are packed together.
+PACKED = 16
 _BREAK = "\x01\x02"
 
 
 def char_of(token: bytes, ranks: dict[bytes, int]) -> str:
-    return chr(token[0]) if len(token) == 1 else chr(ranks[token])
+    return chr(ranks[token]) if len(token) > 1 else chr(token[0]) if token[0] else ZERO
 
 
 def check(ranks: dict[bytes, int]) -> None:
-    """Tokens have to fit the characters: every byte is a token with a rank below 256, the others' are from 256 to 55295."""
-    if any(ranks.get(bytes([i]), 256) > 255 for i in range(256)) or not all(len(t) == 1 or 255 < r < 0xD800 for t, r in ranks.items()):
-        raise ValueError("ranks below 256 have to be the bytes', and all below 55296")
+    """Tokens have to fit the characters: every byte is a token with a rank below 256, the others' are from 256 to 55294."""
+    if any(ranks.get(bytes([i]), 256) > 255 for i in range(256)) or not all(len(t) == 1 or 255 < r < ord(ZERO) for t, r in ranks.items()):
+        raise ValueError("ranks below 256 have to be the bytes', and all below 55295")
 
 
 def pairs(ranks: dict[bytes, int]) -> dict[str, str]:
@@ -68,8 +71,11 @@ def pairs(ranks: dict[bytes, int]) -> dict[str, str]:
 
 def rank_map(spark, ranks: dict[bytes, int]) -> Column:
     """The literal map: an array whose slot for a pair's hash holds SIGN, the pair and the merged token, repeatedly."""
+    import pyarrow as pa
+
     merges = pairs(ranks)
-    table = spark.createDataFrame([(k,) for k in merges], "pair string").select(F.pmod(F.hash("pair"), F.lit(SLOTS))).toArrow()
+    # from Arrow: a list would be sent through Python workers
+    table = spark.createDataFrame(pa.table({"pair": list(merges)})).select(F.pmod(F.hash("pair"), F.lit(SLOTS))).toArrow()
     slots = [SIGN] * SLOTS
     for (pair, merged), slot in zip(merges.items(), table.column(0).to_pylist(), strict=True):
         slots[slot] += pair + merged + SIGN
@@ -81,7 +87,7 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def fold_merges(word: Column, table: Column) -> Column:
-    """The word's token string."""
+    """The token string of a word that is given by its bytes' characters."""
 
     def merged(pair: Column) -> Column:  # SIGN if the pair has no rank: it starts each slot and sorts behind all ranks
         slot = F.get(table, F.pmod(F.hash(pair), F.lit(SLOTS)))
@@ -96,14 +102,13 @@ def fold_merges(word: Column, table: Column) -> Column:
         )
         return F.when(F.startswith(state, F.lit(SIGN)) | (F.length(state) < 2), state).otherwise(after)
 
-    start = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
-    steps = F.sequence(F.lit(1), F.greatest(F.octet_length(word), F.lit(1)))
-    return F.ltrim(F.aggregate(steps, start, step), F.lit(SIGN))
+    steps = F.sequence(F.lit(1), F.greatest(F.length(word) - 1, F.lit(1)))
+    return F.ltrim(F.aggregate(steps, word, step), F.lit(SIGN))
 
 
 def heap_merges(word: bytes, merges: dict[str, str]) -> str:
     """The same merges with a heap of the pairs' ranks and a linked list of the tokens, in n log n steps."""
-    tokens: list[str | None] = [chr(b) for b in word]
+    tokens: list[str | None] = [chr(b) if b else ZERO for b in word]
     after, before = list(range(1, len(word) + 1)), list(range(-1, len(word) - 1))
     heap = [(ord(m), i, a + b) for i, (a, b) in enumerate(zip(tokens, tokens[1:], strict=False)) if (m := merges.get(a + b))]
     heapq.heapify(heap)
@@ -139,6 +144,11 @@ class _Numbers(dict):
         return number
 
 
+def _start(word: str) -> str:
+    """The token string that a word's merges start from: a character for each byte."""
+    return word.encode().decode("latin-1").replace(SEP, ZERO)
+
+
 def _planes(numbers: np.ndarray) -> bytes:
     """32-bit numbers as four runs of their lowest to highest bytes, which pack well: the high ones are mostly zero."""
     return numbers.astype("<i4", copy=False).view(np.uint8).reshape(-1, 4).T.tobytes()
@@ -148,7 +158,7 @@ def _numbers(planes: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<i4").reshape(-1)
 
 
-_BLOCKS = "block long, id long, numbers binary, part int, start int, words array<string>"
+_BLOCKS = "block long, ids array<long>, lengths array<int>, numbers binary, part int, start int, n int, words string"
 
 
 def _split(ranks, pattern: str, chars: int, words: int):
@@ -158,7 +168,7 @@ def _split(ranks, pattern: str, chars: int, words: int):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        types = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.list_(pa.string())]
+        types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
         names = [x.split()[0] for x in _BLOCKS.split(", ")]
         block = TaskContext.get().partitionId() << 20
         split, whole = pretokens.splitter(pattern), {t.decode(): ord(char_of(t, ranks.value)) for t in ranks.value if _is_text(t)}
@@ -177,12 +187,15 @@ def _split(ranks, pattern: str, chars: int, words: int):
             place[:FIRST] = np.arange(FIRST)
             place[FIRST + order] = np.arange(FIRST, FIRST + len(order))
             for ids, rows in waiting:
-                yield packed([[block] * len(rows), ids, [_planes(place[r]) for r in rows], None, None, None])
+                for at in range(0, len(rows), PACKED):
+                    some = rows[at : at + PACKED]
+                    yield packed([[block], [ids[at : at + PACKED]], [list(map(len, some))], [_planes(place[np.concatenate(some)])], None, None, None, None])
             edges = np.searchsorted(parts[order], np.arange(PARTS + 1))
             filled = np.flatnonzero(np.diff(edges)).tolist()
             for at in range(0, len(filled), 32):
                 some = filled[at : at + 32]
-                yield packed([[block] * len(some), None, None, some, [int(edges[k]) for k in some], [[numbers.own[i] for i in order[edges[k] : edges[k + 1]]] for k in some]])
+                words = [SEP.join(_start(numbers.own[i]) for i in order[edges[k] : edges[k + 1]]) for k in some]
+                yield packed([[block] * len(some), None, None, None, some, [int(edges[k]) for k in some], [int(edges[k + 1] - edges[k]) for k in some], words])
 
         numbers, waiting, size = _Numbers(whole, pairs_of), [], 0
         for batch in batches:
@@ -236,35 +249,37 @@ def _join(folder: str, finish: Callable):
         fs, path = filesystem(folder)
         known, table = None, []
         for batch in batches:
-            encoded = []
-            for block, numbers in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for block, ids, lengths, numbers in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if block != known:
                     known, table = block, []
                     table = _dictionary(fs, f"{path}/block={block}")
-                encoded.append("".join(map(table.__getitem__, _numbers(numbers).tolist())))
-            yield finish(batch.column(1), encoded)
+                found, at, encoded = _numbers(numbers).tolist(), 0, []
+                for n in lengths:
+                    encoded.append("".join(map(table.__getitem__, found[at : at + n])))
+                    at += n
+                yield finish(ids, encoded)
 
     return run
 
 
 def _encoded(docs: DataFrame, id_col: str, text_col: str, loaded: dict[bytes, int], pattern: str, chars: int, words: int) -> tuple[DataFrame, str]:
-    """block, id and numbers of each row, and the folder of the blocks' dictionaries."""
+    """block, ids, lengths and numbers of each PACKED rows, and the folder of the blocks' dictionaries."""
     spark = docs.sparkSession
     check(loaded)
     small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     blocks = materialize(rows.mapInArrow(_split(spark.sparkContext.broadcast(loaded), pattern, chars, words), _BLOCKS), "bpe-blocks", "zstd")
     asked = blocks.where("words IS NOT NULL").withColumn("group", F.floor(F.shiftright("block", 20) / GROUP))
-    n = asked.agg(F.sum(F.size("words"))).first()[0] or 0
+    n = asked.agg(F.sum("n")).first()[0] or 0
     # as many tasks as the words need; each has whole parts
-    dealt = asked.repartition(max(1, math.ceil(n / FOLDED)), "group", "part").select("group", "part", "block", "start", F.posexplode("words").alias("pos", "word"))
+    dealt = asked.repartition(max(1, math.ceil(n / FOLDED)), "group", "part").select("group", "part", "block", "start", F.posexplode(F.split("words", SEP)).alias("pos", "word"))
     distinct = dealt.groupBy("group", "part", "word").agg(F.collect_list(F.struct("block", "start", "pos")).alias("askers"))
     folded = distinct.select("group", "part", "askers", fold_merges(F.col("word"), rank_map(spark, loaded)).alias("tokens"))
     apart = folded.select("group", "part", "tokens", F.inline("askers")).groupBy("group", "part", "block", "start").agg(F.array_sort(F.collect_list(F.struct("pos", "tokens"))).alias("all"))
     back = apart.select("block", "start", F.array_join(F.col("all.tokens"), SEP).alias("tokens"))
     folder = work_dir(spark, "bpe-dictionaries")
     back.repartition("block").sortWithinPartitions("block").write.option("compression", "zstd").partitionBy("block").parquet(folder)
-    return blocks.where("numbers IS NOT NULL").select("block", "id", "numbers"), folder
+    return blocks.where("numbers IS NOT NULL").select("block", "ids", "lengths", "numbers"), folder
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str | None = None, chars: int = BLOCK_CHARS, words: int = BLOCK_WORDS) -> DataFrame:
@@ -277,13 +292,13 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     import pyarrow as pa
 
     rows, folder = _encoded(docs, id_col, text_col, pretokens.load_ranks(path or pretokens.default_path()), pattern or pretokens.default_pattern(), chars, words)
-    return rows.mapInArrow(_join(folder, lambda ids, tokens: pa.RecordBatch.from_arrays([ids, pa.array(tokens, pa.string())], names=["id", "tokens"])), "id long, tokens string")
+    return rows.mapInArrow(_join(folder, lambda ids, tokens: pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tokens, pa.string())], names=["id", "tokens"])), "id long, tokens string")
 
 
 def ids(tokens: str, byte_ranks: np.ndarray) -> np.ndarray:
     """A token string's ids."""
     points = np.frombuffer(tokens.encode("utf-32-le"), "<u4")
-    return np.where(points < 256, byte_ranks[np.minimum(points, 255)], points)
+    return np.where(points < 256, byte_ranks[np.minimum(points, 255)], np.where(points == ord(ZERO), byte_ranks[0], points))
 
 
 def _pieces(ranks: dict[bytes, int]) -> tuple[np.ndarray, list[bytes]]:
@@ -308,7 +323,7 @@ def _digests(ranks):
             counts.append(len(found))
             hashed.append(hashlib.sha256(found.astype("<u4", copy=False)).hexdigest())
             decoded.append(hashlib.sha256(b"".join(map(made[1].__getitem__, found.tolist()))).hexdigest())
-        return pa.RecordBatch.from_arrays([ids_column, pa.array(counts, pa.int64()), pa.array(hashed), pa.array(decoded)], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        return pa.RecordBatch.from_arrays([pa.array(ids_column, pa.int64()), pa.array(counts, pa.int64()), pa.array(hashed), pa.array(decoded)], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
 
@@ -316,7 +331,7 @@ def _digests(ranks):
 def _each(finish: Callable):
     def run(batches):
         for batch in batches:
-            yield finish(batch.column(0), batch.column(1).to_pylist())
+            yield finish(batch.column(0).to_pylist(), batch.column(1).to_pylist())
 
     return run
 

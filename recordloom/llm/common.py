@@ -58,7 +58,7 @@ def materialize(df: DataFrame, name: str, compression: str | None = None) -> Dat
 
 
 #: Most rows in an Arrow batch: documents and pages are long, and a task holds several batches at once.
-BATCH = 1000
+BATCH = 500
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -24,7 +24,7 @@ from recordloom.llm.common import small_batches
 #: Shift of the model, and the score of a nat.
 SHIFT, UNIT = 2.7, 1_000_000
 #: Characters of text whose pre-tokens share a trie, or an Arrow batch's more.
-BLOCK_CHARS = 8 << 20
+BLOCK_CHARS = 32 << 20
 
 
 def costs(ranks: dict[bytes, int]) -> dict[bytes, int]:

@@ -56,7 +56,10 @@ def test_splitter_takes_the_pattern():
     import regex
 
     split = pretokens.splitter(public_tokenizers.PATTERN)
-    for text in ["don't  stop\n\n 123 !!", "été  où　\x85 x", "\x1c\x1d a\x1f", "tab\tend  "]:
+    rng = random.Random(3)
+    points = [i for a, b in pretokens.LATIN for i in range(a, b)]
+    mixed = ["".join(map(chr, rng.choices([*points, 32, 39, 0x3000, 0x1D7D8], k=400))) for _ in range(50)]
+    for text in ["don't  stop\n\n 123 !!", "été  où　\x85 x", "\x1c\x1d a\x1f", "tab\tend  ", "".join(map(chr, points)), "a²½ \xa0–x €5 ª", *mixed]:
         assert split(text) == regex.findall(public_tokenizers.PATTERN.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"), text)
 
 
@@ -268,6 +271,39 @@ def test_grammar_composes_its_transducers():
     assert g.weigh("IDIOT!") == g.weigh("idiot")
 
 
+def plain_clause(symbols):
+    """The clauses' weight by one loop with counters."""
+    total, negation, target, report, threat, last = 0.0, 0, 0, False, 0.0, 0.0
+    for kind, weight in symbols:
+        value = weight * (toxicity.NEGATED if negation else 1) * (toxicity.REPORTED if report else 1)
+        if kind == "target":
+            total += last * (toxicity.WITH_TARGET - 1) + threat
+            last = threat = 0.0
+        elif kind == "threat":
+            value *= toxicity.THREAT_WEIGHT
+            total, threat = (total + value, threat) if target else (total, value)
+        elif kind == "insult":
+            total += value * (toxicity.WITH_TARGET if target else 1)
+            last = 0.0 if target else value
+        report |= kind == "report"
+        negation = toxicity.REACH if kind == "negation" else max(0, negation - 1)
+        target = toxicity.REACH if kind == "target" else max(0, target - 1)
+    return total
+
+
+def test_composition_against_counters():
+    rng = random.Random(5)
+    parts = [toxicity.insult_transducer(), toxicity.threat_transducer(), toxicity.negation_transducer(), toxicity.report_transducer(), toxicity.target_transducer()]
+    whole = toxicity.composed()
+    assert len({s for s, _ in whole.arcs}) > 50
+    for _ in range(3000):
+        symbols = [(c, rng.choice([1.0, 2.5]) if c == "insult" else 1.0) for c in rng.choices(toxicity.CLASSES, [3, 2, 3, 2, 1, 4], k=rng.randrange(14))]
+        assert abs(whole.weigh(symbols) - plain_clause(symbols)) < 1e-9
+        rng.shuffle(parts)  # each only multiplies, so their order is free
+        other = parts[0].compose(parts[1]).compose(parts[2]).compose(parts[3]).compose(parts[4]) if rng.random() < 0.01 else whole
+        assert abs(other.weigh(symbols) - whole.weigh(symbols)) < 1e-9
+
+
 def test_matched_clauses(spark):
     g = toxicity.Grammar({}, {"idiot": 3.0})
     df = spark.createDataFrame([(1, "Fine. You IDIOT! ok\nnot an idiot"), (2, None)], "doc_id long, text string")
