@@ -338,3 +338,32 @@ def test_kinds_in_one_job(spark):
     kinds = profile.kinds_of(df, ["n", "c", "t", "y", "te.xt"])
     assert kinds == {c: profile.kind_of(df, c) for c in kinds} and (kinds["c"], kinds["t"], kinds["y"]) == ("categorical", "multi_tag", "year")
     assert compare.kinds_of_both(df, df, [("n", "n"), ("t", "t"), ("te.xt", "te.xt")]) == [kinds["n"], kinds["t"], kinds["te.xt"]]
+
+
+def test_pages_and_documents_verify(spark):
+    blank = {c: "" for c in verify.COMPARED}
+    title = "A title of some words"
+    cases = {  # url, doi, registry_failed: status, rule
+        "html-seen": ("", False, "verified_via_landing_page", "landing_page"), "html-scored": ("", False, "verified", "landing_page"), "html-other": ("", False, "mismatch", "landing_page"), "html-blank": ("", False, "unverified", "landing_page"),
+        "pdf-whole": ("", False, "verified", "landing_page"), "pdf-part": ("", False, "mismatch", "landing_page"), "pdf-none": ("", False, "unverified", "landing_page"), "zip": ("", False, "unverified", "landing_page"),
+        "gone": ("", False, "invalid", "landing_page"), "down": ("", False, "unavailable", "landing_page"), "none": ("", False, "unavailable", "landing_page"),
+        "doi-page": ("10.1234/q", False, "verified_via_landing_page", "doi_resolution_page"), "doi-failed": ("10.1234/q", True, "unavailable", "doi_resolution_page"), "doi-lost": ("10.1234/q", False, "invalid", "doi_resolution_page"),
+    }
+    names = ", ".join(f"{c} string" for c in verify.COMPARED)
+    records_ = spark.createDataFrame([{"i": k, "titles": [title], "author": "Doe, J", "year": "2001", "doi": d, "url": f"http://h/{k}", "item_type": "article", "registry_failed": f, **blank} for k, (d, f, _, _) in cases.items()], f"i string, titles array<string>, author string, year string, doi string, url string, item_type string, registry_failed boolean, {names}")
+    registry = spark.createDataFrame([], f"doi string, title string, main_title string, subtitle string, authors array<string>, years array<int>, {names}")
+    meta = lambda t: {"title": t, "main_title": t, "subtitle": "", "authors": ["Doe"], "years": [2001], **blank}
+    page = lambda k, status=200, seen=False, content="html", document=None, t="": (f"http://h/{k}", status, seen, content, document, meta(t))
+    rows = [page("html-seen", seen=True), page("html-scored", t=title), page("html-other", t="Something else entirely"), page("html-blank"), page("pdf-whole", content="pdf", document=(True, True, True)), page("pdf-part", content="pdf", document=(True, False, True)), page("pdf-none", content="pdf"), page("zip", content="application/zip", seen=True), page("gone", 404), page("down", 503), page("doi-page", seen=True)]
+    kind = f"title string, main_title string, subtitle string, authors array<string>, years array<int>, {names}".replace(" string", ":string").replace(" array", ":array")
+    pages_ = spark.createDataFrame(rows, f"url string, http_status int, evidence boolean, content string, document struct<title:boolean,author:boolean,year:boolean>, metadata struct<{kind}>")
+    found = {r.i: (r.status, r.rule) for r in verify.verify_primary(records_, "i", registry, pages_).collect()}
+    assert found == {k: (s, r) for k, (_, _, s, r) in cases.items()}
+
+
+def test_confirmations_of_two_families(spark):
+    primary = spark.createDataFrame([(1, "verified", "registry"), (2, "mismatch", "registry"), (3, "mismatch", "registry"), (4, "container_match", "registry"), (5, "invalid", "doi_format"), (6, "verified", "registry")], "i int, status string, rule string")
+    second = spark.createDataFrame([(1, True, "a", 1, None), (2, True, "a", 1, "unverified"), (3, True, "b", 2, None), (4, False, "c", 0, "mismatch"), (5, True, "d", 3, None)], "i int, confirmed boolean, source string, families int, status string")
+    strict, fast = ({r.i: r.status for r in verify.combine(primary, "i", second, t).collect()} for t in (True, False))
+    assert strict == {1: "verified", 2: "unverified", 3: "verified", 4: "container_match", 5: "invalid", 6: "unverified"}
+    assert fast == {1: "verified", 2: "verified", 3: "verified", 4: "container_match", 5: "invalid", 6: "verified"}
