@@ -202,3 +202,24 @@ def language_is_english(text: Column, words: tuple[str, ...], least: float = 0.1
     found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z]+"), F.lit(0))
     hits = F.size(F.filter(found, lambda w: w.isin(*words)))
     return F.coalesce(F.try_divide(hits, F.size(found)) >= least, F.lit(False))
+
+
+#: Frequent words of languages.
+STOP_WORDS = {
+    "en": "the of and to in is that for it with as was on are be this by an".split(),
+    "de": "der die und das den von zu mit ist des im nicht eine als auch sich dem ein für".split(),
+    "fr": "le la les de des et en un une du que est pour dans par sur au qui pas".split(),
+    "es": "el la los las de y que en un una por con para del se no al lo como".split(),
+    "it": "il la di che e un una in per con non sono del della le si da al dei".split(),
+    "pt": "o a os as de e que em um uma para com não do da por se no na".split(),
+    "nl": "de het een en van in is dat op te zijn voor met niet aan er om ook".split(),
+    "sv": "och att det i en som på är av för den till med inte om ett har de".split(),
+}
+
+
+def language_of(text: Column, words: dict[str, list[str]] | None = None, least: float = 0.08) -> Column:
+    """The language with the largest share of stop words among a text's words, if that is at least `least`; the first of equals, else null."""
+    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"\p{L}+"), F.lit(0))
+    share = lambda stops: F.size(F.filter(found, lambda w: w.isin(*stops))) / F.size(found)
+    options = F.array(*(F.struct((-share(stops)).alias("s"), F.lit(i).alias("i"), F.lit(code).alias("code")) for i, (code, stops) in enumerate((words or STOP_WORDS).items())))
+    return F.when(F.size(found) > 0, F.get(F.transform(F.filter(F.array(F.array_min(options)), lambda x: -x["s"] >= least), lambda x: x["code"]), 0))

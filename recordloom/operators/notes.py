@@ -214,3 +214,21 @@ def find_abstracts(records: DataFrame, record: str, abstract: str, cached: DataF
     read = rest.join(pages, record).withColumn("p", page_column(F.col("html"))).where("p.abstract <> ''").groupBy(record).agg(F.min(F.struct(F.col("p.abstract").alias("abstract"), F.col("p.abstract_source").alias("origin"))).alias("b")).select(record, "b.abstract", "b.origin")
     found = own.unionByName(hit).unionByName(sourced).unionByName(read)
     return records.select(record).join(found, record, "left").select(record, F.coalesce("abstract", F.lit("")).alias("abstract"), F.coalesce("origin", F.lit("no_abstract_found")).alias("origin"))
+
+
+def fetched_abstracts(asked: DataFrame, record: str, url: str, pages: DataFrame) -> DataFrame:
+    """record, abstract, origin and status of each asked URL's stored page (url, http_status, html).
+
+    Pages meet URLs by their canonical forms. abstract_found, no_abstract_found, or fetch_failed without a page or with
+    a status of 400 and more; of a page's repeated rows the least counts.
+    """
+    from recordloom.functions.identifiers import canonical_url
+    from recordloom.functions.pages import page_column
+
+    key = canonical_url(F.col("url"))
+    stored = pages.where(key != "").groupBy(key.alias("__key")).agg(F.min(F.struct("http_status", "html")).alias("__p"))
+    rows = asked.select(record, F.nullif(canonical_url(F.col(url)), F.lit("")).alias("__key")).join(stored, "__key", "left")
+    lost = F.col("__p").isNull() | (F.coalesce(F.col("__p.http_status"), F.lit(0)) >= 400)
+    read = rows.withColumn("__lost", lost).withColumn("__r", page_column(F.when(~F.col("__lost"), F.col("__p.html"))))
+    has = ~F.col("__lost") & (F.col("__r.abstract") != "")
+    return read.select(record, F.when(has, F.col("__r.abstract")).otherwise("").alias("abstract"), F.when(has, F.col("__r.abstract_source")).otherwise("").alias("origin"), F.when(F.col("__lost"), "fetch_failed").when(has, "abstract_found").otherwise("no_abstract_found").alias("status"))

@@ -77,7 +77,7 @@ def convert(df: DataFrame, path: str, fmt: str, columns: list[str], conditions=(
     """Filter, project and write in one format; the number of rows, and the columns that the format itself has."""
     from recordloom.sources import formats
 
-    if fmt not in ("csv", "ris", "bibtex", "csl_json"):
+    if fmt not in ("csv", "excel", "ris", "bibtex", "csl_json"):
         raise ValueError(f"unsupported format: {fmt}")
     chosen = project(df, columns, conditions, mode)
     carried = formats.carried_for(columns, fmt) if fmt in ("ris", "bibtex") else []
@@ -96,7 +96,7 @@ def export(df: DataFrame, source: str, path: str, carried: list[str] = ()) -> st
             return "patched"
         except ValueError:
             pass
-    endings = {".ris": "ris", ".bib": "bibtex", ".bibtex": "bibtex", ".json": "csl_json"}
+    endings = {".xlsx": "excel", ".ris": "ris", ".bib": "bibtex", ".bibtex": "bibtex", ".json": "csl_json"}
     files.write_records(df, path, endings.get(os.path.splitext(source)[1].lower(), "csv"), list(carried))
     return "rewritten"
 

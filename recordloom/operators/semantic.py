@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,3 +67,16 @@ def accuracy(ranked: DataFrame, gold: str) -> DataFrame:
         F.avg(F.col("accepted").cast("int")).alias("coverage"),
         F.avg(F.when(F.col("accepted"), hit)).alias("precision"),
     ).crossJoin(F.broadcast(best))
+
+
+def optional_nearest(df: DataFrame, vector: str, topics: DataFrame | None, **limits) -> DataFrame:
+    """nearest_topics(), or null results where there are no topic vectors: the tier is left out, which is no error."""
+    if topics is not None:
+        return nearest_topics(df, vector, topics, **limits)
+    return df.withColumns({"ranked": F.array().cast("array<string>"), "topic": F.lit(None).cast("string"), "similarity": F.lit(None).cast("double"), "margin": F.lit(None).cast("double"), "accepted": F.lit(False)})
+
+
+def compare_models(models: dict[str, DataFrame], gold: str) -> DataFrame:
+    """accuracy() of several models' ranked topics, a row for each."""
+    rows = [accuracy(ranked, gold).select(F.lit(name).alias("model"), "*") for name, ranked in models.items()]
+    return functools.reduce(DataFrame.unionByName, rows)

@@ -14,10 +14,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from recordloom.sources import formats
+from recordloom.sources import formats, sheets
 
 #: The column that keeps a record's place.
 ROW = "_row_id"
+#: Most rows of a workbook that is written (the format has 1,048,576).
+SHEET_ROWS = 100_000
 
 
 def _parsed(ending: str, prefix: str):
@@ -125,8 +127,53 @@ def read_csv(spark: SparkSession, path: str, as_text: bool = True) -> DataFrame:
     return (df.na.fill("") if as_text else df).withColumn(ROW, F.monotonically_increasing_id())
 
 
+def _sheet_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for path, content in zip(batch["path"], batch["content"], strict=True):
+            rows = [(path, "", i, r) for i, r in enumerate(sheets.read_table(bytes(content)))]
+            yield pd.DataFrame(rows, columns=["path", "encoding", "place", "fields"])
+
+
+def read_excel(spark: SparkSession, path: str) -> DataFrame:
+    """The first sheets of .xlsx workbooks; a task reads whole files, which the format bounds."""
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return spread(files.mapInPandas(_sheet_rows, "path string, encoding string, place long, fields map<string,string>")).na.fill("")
+
+
+def write_excel(df: DataFrame, path: str) -> None:
+    """A folder of .xlsx workbooks, one for each range of SHEET_ROWS rows in the records' order; it must not exist yet."""
+    names = [c for c in df.columns if c != ROW]
+    place = F.col(ROW) if ROW in df.columns else F.monotonically_increasing_id()
+    cells = F.array(*(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in names))
+    rows = df.select(place.alias("place"), cells.alias("cells"))
+
+    def workbooks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        waiting: list = []
+        for batch in batches:
+            for place_, row in zip(batch["place"], batch["cells"], strict=True):
+                waiting.append((place_, list(row)))
+                if len(waiting) == SHEET_ROWS:
+                    yield pd.DataFrame([(waiting[0][0], sheets.write_table(names, (r for _, r in waiting)))], columns=["place", "book"])
+                    waiting = []
+        if waiting:
+            yield pd.DataFrame([(waiting[0][0], sheets.write_table(names, (r for _, r in waiting)))], columns=["place", "book"])
+
+    spark = df.sparkSession
+    books = rows.repartitionByRange("place").sortWithinPartitions("place").mapInPandas(workbooks, "place long, book binary")
+    fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if fs.exists(target):
+        raise ValueError(f"{path} exists already")
+    for number, row in enumerate(books.orderBy("place").toLocalIterator()):  # a workbook at a time
+        out = fs.create(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/part-{number:05d}.xlsx"))
+        out.write(row.book)
+        out.close()
+
+
 def read_records(spark: SparkSession, path: str, as_text: bool = True, prefix: str = formats.CARRIED) -> DataFrame:
     """A record table by its file's ending; cells are text, ROW keeps the order."""
+    if path.rstrip("/*").lower().endswith(".xlsx"):
+        return read_excel(spark, path)
     if path.rstrip("/*").lower().endswith(".csv"):
         return read_csv(spark, path, as_text)
     return spread(read_fields(spark, path, prefix))
@@ -165,7 +212,9 @@ def blocks(df: DataFrame, fmt: str, carried: list[str] | None = None, prefix: st
 
 
 def write_records(df: DataFrame, path: str, fmt: str, carried: list[str] | None = None, prefix: str = formats.CARRIED) -> None:
-    """Write a folder of part files in the records' order; it must not exist yet. CSV has a header in each file."""
+    """Write a folder of part files in the records' order; it must not exist yet. CSV and Excel have a header in each file."""
+    if fmt == "excel":
+        return write_excel(df, path)
     if fmt == "csv":
         out = df.withColumn("Url", F.col("Link")) if "Link" in df.columns else df
         order = [ROW] if ROW in df.columns else []
