@@ -196,6 +196,24 @@ def assess_identity(title: Column, author: Column, year: Column, doi: Column, pa
     return _identity(clean(title), surnames(author), first_year, strict_doi(doi), page)
 
 
+#: Fixed value: the score from which a source's abstract is accepted without the record's DOI.
+ACCEPTED = 92.0
+
+
+def accepted_sources(candidates: DataFrame, records: DataFrame, record: str, doi_column: str = "doi") -> DataFrame:
+    """Sources for find_abstracts(): of each source's candidates (record, source, source_rank, cand_pos, doi, score, abstract) the best accepted one.
+
+    One with the record's DOI is accepted, one with another DOI isn't, any other from a score of ACCEPTED on. The DOI
+    counts before the score.
+    """
+    own = records.select(record, F.lower(strict_doi(F.col(doi_column))).alias("__own"))
+    theirs = F.lower(strict_doi(F.col("doi")))
+    rows = candidates.join(own, record).withColumn("__same", (theirs != "") & (theirs == F.col("__own"))).withColumn("__other", (theirs != "") & (F.col("__own") != "") & (theirs != F.col("__own")))
+    fit = rows.where(F.length(F.trim(F.coalesce("abstract", F.lit("")))) >= 40).where(F.col("__same") | (~F.col("__other") & (F.col("score") >= ACCEPTED)))
+    best = F.max_by("abstract", F.struct(F.col("__same"), F.col("score"), -F.col("cand_pos")))
+    return fit.groupBy(record, "source", "source_rank").agg(best.alias("abstract")).withColumn("accepted", F.lit(True))
+
+
 def find_abstracts(records: DataFrame, record: str, abstract: str, cached: DataFrame, sources: DataFrame, pages: DataFrame) -> DataFrame:
     """The abstract of each record with where it comes from: its own, a cache, a source (first by rank), its page.
 

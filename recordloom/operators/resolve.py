@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recordloom.functions.identifiers import doi
+from recordloom.functions.identifiers import canonical_url, doi
 
 #: Scores from which a candidate is accepted or goes to review; the order of the sources; the languages
 #: and types to which some are restricted.
@@ -139,6 +139,19 @@ def confirmations(candidates: DataFrame, record: str, required: int) -> DataFram
     return seen.groupBy(record).agg(best.alias("b"), F.count_distinct("family").alias("families")).select(record, "b.source", "b.total", "families", (F.col("families") >= required).alias("confirmed"))
 
 
+#: Fixed value: the most that a candidate under an identity conflict can total.
+CAPPED = 74.0
+
+
+def same_identifier(candidates: DataFrame, records: DataFrame, record: str, doi_column: str = "doi", url_column: str = "url") -> DataFrame:
+    """Candidates (record, doi, url, total and maybe conflict) that have the record's own DOI or address, totals capped under a conflict."""
+    own = records.select(record, F.lower(doi(F.col(doi_column))).alias("__doi"), canonical_url(F.col(url_column)).alias("__url"))
+    by_doi = (F.lower(doi(F.col("doi"))) == F.col("__doi")) & (F.col("__doi") != "")
+    by_url = (canonical_url(F.col("url")) == F.col("__url")) & (F.col("__url") != "")
+    out = candidates.join(own, record).where(by_doi | by_url).drop("__doi", "__url")
+    return out.withColumn("total", F.when(F.coalesce("conflict", F.lit(False)), F.least("total", F.lit(CAPPED))).otherwise(F.col("total"))) if "conflict" in candidates.columns else out
+
+
 def merge_results(records: DataFrame, record: str, found: DataFrame, columns: list[str]) -> DataFrame:
     """Records with new values of the columns where these aren't blank."""
     fresh = found.select(record, *(F.col(c).alias(f"__{c}") for c in columns))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,6 +53,29 @@ def hits(work: DataFrame, entries: DataFrame, key_: str, *values: str) -> DataFr
     return work.join(entries.groupBy(key_).agg(F.min(F.struct(*values)).alias("__e")).select(key_, "__e.*"), key_)
 
 
+def translated(texts: DataFrame, column: str, memory: DataFrame, translate: Callable[[list[str]], list[str]], batch: int = 25) -> DataFrame:
+    """text, translated and error of the distinct texts that a memory (text) lacks, by a service's function.
+
+    One partition asks, so that a service's limits hold; a text that fails has its error and no translation, and the
+    others go on.
+    """
+    wanted = texts.select(F.trim(split_translation(F.col(column))[0]).alias("text")).where("text <> ''").distinct().join(memory.select("text").distinct(), "text", "left_anti")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            all_ = rows["text"].tolist()
+            for at in range(0, len(all_), batch):
+                some = all_[at : at + batch]
+                try:
+                    found, error = translate(some), None
+                except Exception as refused:  # noqa: BLE001  (a service's error becomes a row's)
+                    found, error = list(getattr(refused, "done", [])), str(refused)
+                found += [None] * (len(some) - len(found))
+                yield pd.DataFrame({"text": some, "translated": found, "error": [error if t is None else None for t in found]}, dtype=object)
+
+    return wanted.coalesce(1).mapInPandas(run, "text string, translated string, error string")
+
+
 def split_translation(cell: Column) -> tuple[Column, Column]:
     """The original and the bracketed translation at a cell's end; a bracketed number is a citation, not a translation."""
     text = F.coalesce(cell, F.lit(""))

@@ -109,3 +109,34 @@ def test_counters_and_sets(spark):
     table = profile.cross_table(spark.createDataFrame([("a", "x"), ("b", "x"), ("b", "x"), ("a", "y")], "r string, c string"), "r", "c", "categorical", "categorical")
     assert [tuple(r) for r in profile.sparse_rows(table).collect()] == [("b", "x", 2), ("a", "x", 1), ("a", "y", 1)]
     assert [r.x for r in spark.createDataFrame([("one two " * 8,), ("<b>x</b> " * 20,), (None,)], "t string").select(tagging.readable_column(F.col("t")).alias("x")).collect()] == [True, False, False]
+
+
+def test_secondary_sources_and_abstracts(spark):
+    own = spark.createDataFrame([(1, "10.1234/a", ""), (2, "", "http://h.org/x/"), (3, "", "")], "i int, doi string, url string")
+    found = spark.createDataFrame([(1, "https://doi.org/10.1234/A", "", 90.0, True), (1, "10.1234/b", "", 90.0, False), (2, "", "http://H.org/x?q", 90.0, False), (3, "", "", 90.0, False)], "i int, doi string, url string, total double, conflict boolean")
+    assert sorted((r.i, r.total) for r in resolve.same_identifier(found, own, "i").collect()) == [(1, 74.0), (2, 90.0)]
+    long = "x" * 50
+    offers = spark.createDataFrame([(1, "s", 1, 0, "10.1234/a", 10.0, "A" + long), (1, "s", 1, 1, "", 99.0, "B" + long), (1, "t", 2, 0, "10.1234/z", 99.0, "C" + long), (2, "s", 1, 0, "10.1234/z", 92.0, "D" + long), (3, "s", 1, 0, "", 91.9, "E" + long), (3, "t", 2, 0, "", 95.0, "short")], "i int, source string, source_rank int, cand_pos int, doi string, score double, abstract string")
+    assert sorted((r.i, r.source, r.abstract[0], r.accepted) for r in notes.accepted_sources(offers, own, "i").collect()) == [(1, "s", "A", True), (2, "s", "D", True)]
+
+
+def test_translating_what_a_memory_lacks(spark):
+    from recordloom.operators import state
+    from recordloom.sources.translators import TranslationError
+
+    def service(texts):
+        if "stop" in texts:
+            raise TranslationError("the quota is used up", [t.upper() for t in texts[: texts.index("stop")]])
+        return [t.upper() for t in texts]
+
+    df = spark.createDataFrame([("a",), ("b [B]",), ("known",), ("",), ("stop",), ("a",)], "t string")
+    rows = {r.text: (r.translated, r.error) for r in state.translated(df, "t", spark.createDataFrame([("known", "x")], "text string, translated string"), service, batch=1).collect()}
+    assert rows == {"a": ("A", None), "b": ("B", None), "stop": (None, "the quota is used up")}
+
+
+def test_other_versions_and_older_names():
+    from recordloom.sources import formats
+
+    assert pages.alternates("<a hreflang=en href='/en'>", "https://www.jstage.jst.go.jp/a/-char/ja/b") == ["https://www.jstage.jst.go.jp/a/-char/en/b", "https://www.jstage.jst.go.jp/en"]
+    note = formats.carried_line("Old name", "x")
+    assert formats.restore_carried({"Notes": f"keep\n{note}"}, renamed={"Old name": "New"}) == {"Notes": "keep", "New": "x"}
