@@ -256,3 +256,46 @@ def label_recall(spark, sf):
 def source_labels(spark, sf):
     k = F.col("l_suppkey") % 3
     return _t(spark, sf, "lineitem").select(F.when(k == 0, "openalex").when(k == 1, "gesis").otherwise("crossref").alias("source")).distinct().select("source", resolve.source_label(F.col("source")).alias("label"))
+
+
+@query("""
+    SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 74.0 ELSE 80.0 END::DOUBLE AS total FROM orders WHERE o_orderkey % 4 IN (0, 2)""")
+def own_candidates(spark, sf):
+    """Candidates by the record's DOI in other case, by its address in another form, by neither."""
+    k = F.col("o_orderkey")
+    name = k.cast("string")
+    records = _t(spark, sf, "orders").select("o_orderkey", F.when(k % 4 == 0, F.concat(F.lit("10.1234/A"), name)).otherwise("").alias("doi"), F.when(k % 4 == 2, F.concat(F.lit("http://h.org/"), name)).otherwise("").alias("url"))
+    found = _t(spark, sf, "orders").select("o_orderkey", F.when(k % 4 == 0, F.concat(F.lit("https://doi.org/10.1234/a"), name)).otherwise(F.when(k % 4 == 1, "10.1234/z").otherwise("")).alias("doi"), F.concat(F.lit("http://H.org/"), name, F.lit("/?q=1")).alias("url"), F.lit(80.0).alias("total"), (k % 5 == 0).alias("conflict"))
+    return resolve.same_identifier(found, records, "o_orderkey").select("o_orderkey", "total")
+
+
+@query("""
+    SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 's' ELSE 't' END AS source, CASE WHEN p_partkey % 4 = 0 THEN 'own ' ELSE 'good ' END || repeat('w ', 30) || 'x' AS abstract FROM part WHERE p_partkey % 4 < 2""")
+def accepted_abstracts(spark, sf):
+    k = F.col("p_partkey") % 4
+    offer = lambda source, rank, pos, doi, score, word: F.struct(F.lit(source).alias("source"), F.lit(rank).alias("source_rank"), F.lit(pos).alias("cand_pos"), F.lit(doi).alias("doi"), F.lit(score).alias("score"), F.concat(F.lit(word), F.repeat(F.lit("w "), 30), F.lit("x")).alias("abstract"))
+    lists = F.when(k == 0, F.array(offer("s", 1, 0, "10.1234/a", 50.0, "own "), offer("s", 1, 1, "", 99.0, "bad "))).when(k == 1, F.array(offer("t", 2, 0, "", 95.0, "good "), offer("t", 2, 1, "", 93.0, "bad "))).when(k == 2, F.array(offer("s", 1, 0, "10.1234/z", 99.0, "bad "))).otherwise(F.array(offer("s", 1, 0, "", 91.0, "bad ")))
+    rows = _t(spark, sf, "part").select("p_partkey", F.explode(lists).alias("o")).select("p_partkey", "o.*")
+    own = _t(spark, sf, "part").select("p_partkey", F.lit("10.1234/A").alias("doi"))
+    return notes.accepted_sources(rows, own, "p_partkey").select("p_partkey", "source", "abstract")
+
+
+_STOPS = {"en": ["the", "of", "and", "to", "in"], "fr": ["la", "de", "et", "le", "les"], "es": ["el", "que", "los", "en", "y"]}
+
+
+@query("""
+    WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '\\p{L}+') AS w FROM documents),
+         s AS (SELECT doc_id, len(w) AS n, len(list_filter(w, lambda x: x IN ('the', 'of', 'and', 'to', 'in'))) AS en, len(list_filter(w, lambda x: x IN ('la', 'de', 'et', 'le', 'les'))) AS fr, len(list_filter(w, lambda x: x IN ('el', 'que', 'los', 'en', 'y'))) AS es FROM w)
+    SELECT doc_id, CASE WHEN n = 0 OR greatest(en, fr, es) / n < 0.08 THEN NULL WHEN en >= fr AND en >= es THEN 'en' WHEN fr >= es THEN 'fr' ELSE 'es' END AS language FROM s""")
+def identified_languages(spark, sf):
+    return _t(spark, sf, "documents").select("doc_id", cells.language_of(F.col("text"), _STOPS).alias("language"))
+
+
+@query("""
+    SELECT page_id, CASE WHEN page_id % 3 = 2 THEN 'fetch_failed' WHEN page_id % 3 = 1 THEN 'abstract_found' ELSE 'no_abstract_found' END AS status FROM pages""")
+def stored_page_abstracts(spark, sf):
+    """Each page's own address is asked in another form; the stored pages are keyed by theirs."""
+    k = F.col("page_id") % 3
+    stored = _t(spark, sf, "pages").select(F.concat(F.lit("http://h.org/"), F.col("page_id").cast("string")).alias("url"), F.when(k == 2, 404).otherwise(200).alias("http_status"), F.when(k == 1, F.concat(F.lit('<meta name="description" content="'), F.repeat(F.lit("word "), 12), F.lit('">'), F.col("html"))).otherwise("<p>none</p>").alias("html"))
+    asked = _t(spark, sf, "pages").select("page_id", F.concat(F.lit("https://H.org/"), F.col("page_id").cast("string"), F.lit("/#x")).alias("link"))
+    return notes.fetched_abstracts(asked, "page_id", "link", stored).select("page_id", "status")
