@@ -50,6 +50,8 @@ MAIN = re.compile(r"(?:^|[\s_-])(?:article|main|main-?content|post-?(?:body|cont
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _MARK = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _CLASS = re.compile(r"\bclass\s*=\s*(?:\"\s*([^\s\"]+)|'\s*([^\s']+)|([^\s>\"']+))", re.I)
+#: Parts of class names that are counted or made up (col2, css-1x9fz): with a digit.
+_MADE = re.compile(r"[a-z]*\d[a-z0-9]*")
 #: Most items of a repeated group, and of a list before it becomes a group of all orders.
 GROUP, MOST_ITEMS = 6, 32
 #: Pages from which on a slot with one text is the template's: anywhere, and inside an article element.
@@ -64,8 +66,7 @@ def tokens(page: str) -> list[tuple[str, str, str, int]]:
     """(kind, path, text, characters in links): kind is `<x`, `>x` or `#` of a text slot whose path names its open elements.
 
     Elements are named by tag, a `!` for boilerplate marks or a `*` for marks of the main content, and their first class
-    with its numbers as 0. Text keeps its
-    references and white space as they are. Closing tags without an open element are passed over; elements that the
+    with its parts that have digits as 0. Text keeps its references and white space as they are. Closing tags without an open element are passed over; elements that the
     page leaves open end with it. Elements below DEEP others separate texts but have no tokens, and boilerplate among
     them has no texts. Where all articles of a page are inside marked elements, those aren't boilerplate.
     """
@@ -157,7 +158,7 @@ def _tokens(page: str, plain: set[int]) -> tuple[list[tuple[str, str, str, int]]
         while stack and stack[-1][0] in ended:
             pop(len(stack) - 1)
         kind = _CLASS.search(found[3]) if found[3] else None
-        own = re.sub(r"\d+", "0", re.sub(r"[^a-z0-9_-]", "", next(filter(None, kind.groups()), "").lower())) if kind else ""
+        own = _MADE.sub("0", re.sub(r"[^a-z0-9_-]", "", next(filter(None, kind.groups()), "").lower())) if kind else ""
         name = tag + ("!" if marked else "*" if marks and MAIN.search(marks) else "") + (f".{own}" if own else "")
         flush()
         if tag in INLINE:  # an inline element with boilerplate marks stands as a block of its own
@@ -307,7 +308,7 @@ class _Level:
         self.follow: list[set[int]] = []
         self.by_name: dict[str, list[int]] = {}
         self.first, self.last, self.empty = self._build(items, path, slots)
-        levels.setdefault(path[-1] if path else "", []).append(self)
+        levels.setdefault("/".join(path), []).append(self)
 
     def _build(self, items: tuple[Item, ...], path: tuple[str, ...], slots: list) -> tuple[set[int], set[int], bool]:
         """First and last items of a list, and whether it may be empty."""
@@ -427,24 +428,25 @@ class Extractor:
 
     def slots_of(self, stream: list[tuple[str, str, str, int]]) -> list[int | None]:
         """The slot that each text of a page's stream matches, None for texts in elements that the wrapper lacks."""
-        # the names of elements, and their children: texts by number, elements by place in these lists
-        named, children = [""], [[]]
+        # the paths of elements, and their children: texts by number, elements by place in these lists
+        paths, children = [""], [[]]
         open_, texts = [0], 0
         for kind, *_ in stream:
             if kind == "#":
                 children[open_[-1]].append(("#", texts))
                 texts += 1
             elif kind[0] == "<":
-                children[open_[-1]].append((kind[1:], len(named)))
-                open_.append(len(named))
-                named.append(kind[1:])
+                children[open_[-1]].append((kind[1:], len(paths)))
+                above = paths[open_[-1]]
+                open_.append(len(paths))
+                paths.append(f"{above}/{kind[1:]}" if above else kind[1:])
                 children.append([])
             else:
                 open_.pop()
         # from the inside out: the expression's elements that accept a page's element, and how
-        ways: list[dict[_Level, list[int]]] = [{} for _ in named]
-        for element in range(len(named) - 1, -1, -1):
-            for level in self.levels.get(named[element], ()):
+        ways: list[dict[_Level, list[int]]] = [{} for _ in paths]
+        for element in range(len(paths) - 1, -1, -1):
+            for level in self.levels.get(paths[element], ()):
                 choices = [[x for x in level.by_name.get(n, ()) if n == "#" or level.leaves[x] in ways[c]] for n, c in children[element]]
                 if all(choices) and (way := level.match(choices)) is not None:
                     ways[element][level] = way
