@@ -3,8 +3,8 @@ import struct
 from collections import Counter
 
 import corpus_pipeline
-from recordloom.llm import pretokens, simhash, toxicity
-from tests.llm.test_dedup import by_components
+from recordloom.llm import pretokens, toxicity
+from tests.llm.test_near_copies import stay
 
 A = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 DIR = "/root/testdata/sf0.001"
@@ -29,12 +29,7 @@ def test_stages_against_brute_force(spark, tmp_path):
     for i, t in left.items():
         last[t.translate(A)] = max(i, last.get(t.translate(A), i))
     assert ids[2] == sorted(last.values())
-    prints = {i: simhash.fingerprint(rows[i].encode()) for i in last.values()}
-    roots = by_components(set(prints.values()), lambda a, b: (a ^ b).bit_count() <= simhash.RADIUS)
-    least = {}
-    for i, p in prints.items():
-        least[roots[p]] = min(i, least.get(roots[p], i))
-    assert ids[3] == sorted(least.values())
+    assert ids[3] == stay([(i, rows[i]) for i in last.values()])
     assert set(ids[4]) <= set(ids[3]) and max(Counter(ids[4]).values()) <= 2
     encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=pretokens.load_ranks(pretokens.default_path()), special_tokens={})
     want = []
@@ -50,3 +45,20 @@ def test_run_leaves_its_result_only(spark):
     before = common.folders()
     rows = corpus_pipeline.run(spark, DIR)
     assert common.folders() == before + 1 and rows.count() > 0
+
+
+def test_stages_on_odd_rows(spark, tables, tmp_path):
+    """Nulls in every column, empty and long texts, ties, repeated rows, clashing columns, no rows."""
+    labels = f"{tmp_path}/sf/labels.parquet"
+    spark.createDataFrame([(1, None, 1), (None, 1, 0), (9, 0, 0), (11, 1, None)], "doc_id long, quality int, toxic int").write.parquet(labels)
+    for name, table in tables.items():
+        docs = table
+        for at, (stage, run) in enumerate(corpus_pipeline.STAGES):
+            run(spark, docs, f"{tmp_path}/sf").write.parquet(f"{tmp_path}/{name}-{at}")
+            docs = spark.read.parquet(f"{tmp_path}/{name}-{at}")
+            assert (docs.count() == 0) == (name == "empty") and (stage == "bpe" or docs.columns == table.columns)
+        rows = docs.collect()
+        kept = spark.read.parquet(f"{tmp_path}/{name}-2")
+        if name != "empty":  # one of the copies, one of the three texts without words
+            texts = [r.text or "" for r in kept.collect()]
+            assert sum("same" in t.lower() for t in texts) <= 1 and sum(not t.split() for t in texts) == 1 and len(rows) > 0

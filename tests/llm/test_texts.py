@@ -135,6 +135,68 @@ def test_license_operators_and_many_tags():
     assert len(names) == 4000 and not needed and licenses.decide([]) == (frozenset(), frozenset())
 
 
+def plain_scan(text):
+    """Places of all phrases by comparing words, expressions by their listed alternatives."""
+    low = re.sub("[A-Z]", lambda m: m[0].lower(), text)
+    words = [(m[0], m.end()) for m in re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)]
+    found, pieces, broken = [], [], False
+    for kind, phrases in (("notice", licenses.NOTICES), ("base", licenses.BASE), ("tag", {licenses.TAG: ""})):
+        for phrase, label in phrases.items():
+            parts = phrase.split()
+            for i in range(len(words) - len(parts) + 1):
+                if [w for w, _ in words[i : i + len(parts)]] != parts:
+                    continue
+                if kind != "tag":
+                    found.append((kind, label, i, len(parts)))
+                    pieces.append({label})
+                    continue
+                rest = text[words[i + len(parts) - 1][1] :].split("\n")[0].lstrip(" \t\r\x0b\x0c")
+                if rest[:1] != ":":
+                    continue
+                postfix, whole = licenses.parse_expression(rest[1:])
+                ways = [{licenses.label_of(x) for x in way} for way in licenses.evaluate(postfix)]
+                names = set().union(*ways)
+                broken |= not whole or None in names
+                needed = set.intersection(*ways) - {None} if ways else set()
+                found += [("required" if x in needed else "expression", x, i, len(parts)) for x in names - {None}]
+                pieces += [needed] * bool(needed) + [{x} for x in names - needed - {None}]
+    best = max((sum(x in p for p in pieces) for p in pieces for x in p), default=0)
+    return len(words), sorted(found), best / len(pieces) / (1 + broken) if pieces else 0.0
+
+
+def test_license_scan_against_plain_search():
+    rng = random.Random(8)
+    names = ["MIT", "GPL-2.0-only", "apache-2.0", "unknown-1", "0BSD", "CC0-1.0"]
+    parts = [*licenses.BASE, *licenses.NOTICES, "Under the MIT License", "SPDX-License-Identifier:", "spdx license identifier", ":", "\n", "é", "x", "(", ")", "AND", "or", "With", *names]
+    automaton = licenses._automaton()
+    for _ in range(400):
+        text = "".join(rng.choice(parts) + rng.choice([" ", " ", "\n", "-"]) for _ in range(rng.randrange(25)))
+        expression = " ".join(x for _ in range(rng.randrange(1, 4)) for x in (rng.choice(names), rng.choice(["OR", "AND"])))
+        text += f"\n// SPDX-License-Identifier: {expression.rsplit(' ', 1)[0]}\n" if rng.random() < 0.7 else ""
+        n, found, score = licenses.scan(text.encode(), automaton)
+        want = plain_scan(text)
+        assert (n, sorted(found)) == want[:2] and abs(score - want[2]) < 1e-9, text
+
+
+def plain_hash(image):
+    """8 x 9 cells' means by the overlap of each sample with each cell."""
+    height, width = image.shape
+
+    def share(size, cells, cell, i):
+        return max(0.0, min(i + 1, size * (cell + 1) / cells) - max(i, size * cell / cells))
+
+    means = np.array([[sum(share(height, 8, r, i) * share(width, 9, c, j) * float(image[i, j]) for i in range(height) for j in range(width)) / (height * width / 72) for c in range(9)] for r in range(8)])
+    bits = np.rint(means * 256).astype(int)
+    return np.packbits(bits[:, 1:] > bits[:, :-1]).tobytes().hex()
+
+
+def test_difference_hash_against_overlaps():
+    rng = np.random.default_rng(4)
+    for height in (1, 2, 3, 7, 8, 20):
+        image = rng.integers(0, 256, (height, 64), dtype=np.uint8)
+        assert media.difference_hash(image) == plain_hash(image)
+
+
 @pytest.mark.parametrize("name", ["plain", "extra", "empty"])
 def test_media_round_trip(tables, name):
     want = []
@@ -143,6 +205,10 @@ def test_media_round_trip(tables, name):
         payload = data + bytes(64 if not data else -len(data) % 64)
         want.append((id_, len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:])))
     rows = media.media_features(media.store_texts(tables[name])).collect()
+    for r in rows:  # the stored form: a header, then the payload, rows of long ones from the bottom up
+        payload = next(p for p in (media.pad(t.encode()) for i, t in TEXTS if i == r.id) if hashlib.sha256(p).hexdigest() == r.payload_sha256)
+        stored = media.encode_bmp(payload) if len(payload) >= media.BMP_FROM else b"P5\n64 %d\n255\n" % (len(payload) // 64) + payload
+        assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest()) and (len(payload) < media.BMP_FROM or stored[1078:][-64:] == payload[:64])
     assert key((r.id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in rows) == key(want)
     tiles = media.store_tiles(media.media_features(media.store_texts(tables[name])))
     stored = {(r.id, r.media_sha256): np.load(io.BytesIO(r.tile)) for r in tiles.collect()}
