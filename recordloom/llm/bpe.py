@@ -22,19 +22,19 @@ import hashlib
 import heapq
 import math
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.llm import pretokens
-from recordloom.llm.common import filesystem, materialize, small_batches, work_dir
+from recordloom.llm.common import filesystem, materialize, plain_plans, small_batches, work_dir
 
 #: Bytes up to which a word is folded.
 LONG = 96
 #: Slots of the literal rank map. The sign between its entries, and the one before a word that is done.
-SLOTS, SIGN = 1 << 17, "ￜ"
+SLOTS, SIGN = 1 << 15, "ￜ"
 #: Parts by hash of a group's distinct words. Tasks whose blocks are a group: no word has more askers than their blocks.
 PARTS, GROUP = 256, 4096
 #: Characters of text and dictionary words at which a block ends, after the text that reaches them.
@@ -61,24 +61,21 @@ def check(ranks: dict[bytes, int]) -> None:
 
 def pairs(ranks: dict[bytes, int]) -> dict[str, str]:
     """Two adjacent tokens' characters to the merged token's."""
-    return {
-        char_of(token[:i], ranks) + char_of(token[i:], ranks): chr(rank)
-        for token, rank in ranks.items()
-        for i in range(1, len(token))
-        if token[:i] in ranks and token[i:] in ranks
-    }
+    return dict(_merges(ranks))
 
 
-def rank_map(spark, ranks: dict[bytes, int]) -> Column:
-    """The literal map: an array whose slot for a pair's hash holds SIGN, the pair and the merged token, repeatedly."""
-    import pyarrow as pa
+def _merges(ranks: dict[bytes, int]) -> Iterator[tuple[str, str]]:
+    for token, rank in ranks.items():
+        for i in range(1, len(token)):
+            if token[:i] in ranks and token[i:] in ranks:
+                yield char_of(token[:i], ranks) + char_of(token[i:], ranks), chr(rank)
+
 
-    merges = pairs(ranks)
-    # from Arrow: a list would be sent through Python workers
-    table = spark.createDataFrame(pa.table({"pair": list(merges)})).select(F.pmod(F.hash("pair"), F.lit(SLOTS))).toArrow()
+def rank_map(ranks: dict[bytes, int]) -> Column:
+    """The literal map: an array whose slot for a pair's CRC-32 holds SIGN, the pair and the merged token, repeatedly."""
     slots = [SIGN] * SLOTS
-    for (pair, merged), slot in zip(merges.items(), table.column(0).to_pylist(), strict=True):
-        slots[slot] += pair + merged + SIGN
+    for pair, merged in _merges(ranks):
+        slots[zlib.crc32(pair.encode()) % SLOTS] += pair + merged + SIGN
     return F.split(F.lit(_BREAK.join(slots)), _BREAK, -1)
 
 
@@ -90,7 +87,7 @@ def fold_merges(word: Column, table: Column) -> Column:
     """The token string of a word that is given by its bytes' characters."""
 
     def merged(pair: Column) -> Column:  # SIGN if the pair has no rank: it starts each slot and sorts behind all ranks
-        slot = F.get(table, F.pmod(F.hash(pair), F.lit(SLOTS)))
+        slot = F.get(table, F.crc32(pair).bitwiseAND(F.lit(SLOTS - 1)).cast("int"))
         return F.substring(F.call_function("substring_index", slot, F.concat(F.lit(SIGN), pair), F.lit(-1)), 1, 1)
 
     def step(state: Column, _: Column) -> Column:
@@ -262,23 +259,25 @@ def _join(folder: str, finish: Callable):
     return run
 
 
-def _encoded(docs: DataFrame, id_col: str, text_col: str, loaded: dict[bytes, int], pattern: str, chars: int, words: int) -> tuple[DataFrame, str]:
+def _encoded(docs: DataFrame, id_col: str, text_col: str, ranks, pattern: str, chars: int, words: int) -> tuple[DataFrame, str]:
     """block, ids, lengths and numbers of each PACKED rows, and the folder of the blocks' dictionaries."""
     spark = docs.sparkSession
-    check(loaded)
+    check(ranks.value)
     small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    blocks = materialize(rows.mapInArrow(_split(spark.sparkContext.broadcast(loaded), pattern, chars, words), _BLOCKS), "bpe-blocks", "zstd")
+    blocks = materialize(rows.mapInArrow(_split(ranks, pattern, chars, words), _BLOCKS), "bpe-blocks", "zstd")
     asked = blocks.where("words IS NOT NULL").withColumn("group", F.floor(F.shiftright("block", 20) / GROUP))
     n = asked.agg(F.sum("n")).first()[0] or 0
     # as many tasks as the words need; each has whole parts
-    dealt = asked.repartition(max(1, math.ceil(n / FOLDED)), "group", "part").select("group", "part", "block", "start", F.posexplode(F.split("words", SEP)).alias("pos", "word"))
+    tasks = max(1, math.ceil(n / FOLDED))
+    dealt = asked.repartition(tasks, "group", "part").select("group", "part", "block", "start", F.posexplode(F.split("words", SEP)).alias("pos", "word"))
     distinct = dealt.groupBy("group", "part", "word").agg(F.collect_list(F.struct("block", "start", "pos")).alias("askers"))
-    folded = distinct.select("group", "part", "askers", fold_merges(F.col("word"), rank_map(spark, loaded)).alias("tokens"))
-    apart = folded.select("group", "part", "tokens", F.inline("askers")).groupBy("group", "part", "block", "start").agg(F.array_sort(F.collect_list(F.struct("pos", "tokens"))).alias("all"))
-    back = apart.select("block", "start", F.array_join(F.col("all.tokens"), SEP).alias("tokens"))
     folder = work_dir(spark, "bpe-dictionaries")
-    back.repartition("block").sortWithinPartitions("block").write.option("compression", "zstd").partitionBy("block").parquet(folder)
+    with plain_plans(spark):
+        folded = distinct.select("group", "part", "askers", fold_merges(F.col("word"), rank_map(ranks.value)).alias("tokens"))
+        apart = folded.select("group", "part", "tokens", F.inline("askers")).groupBy("group", "part", "block", "start").agg(F.array_sort(F.collect_list(F.struct("pos", "tokens"))).alias("all"))
+        back = apart.select("block", "start", F.array_join(F.col("all.tokens"), SEP).alias("tokens"))
+        back.repartition(tasks, "block").sortWithinPartitions("block").write.option("compression", "zstd").partitionBy("block").parquet(folder)
     return blocks.where("numbers IS NOT NULL").select("block", "ids", "lengths", "numbers"), folder
 
 
@@ -291,7 +290,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     """
     import pyarrow as pa
 
-    rows, folder = _encoded(docs, id_col, text_col, pretokens.load_ranks(path or pretokens.default_path()), pattern or pretokens.default_pattern(), chars, words)
+    ranks = docs.sparkSession.sparkContext.broadcast(pretokens.load_ranks(path or pretokens.default_path()))
+    rows, folder = _encoded(docs, id_col, text_col, ranks, pattern or pretokens.default_pattern(), chars, words)
     return rows.mapInArrow(_join(folder, lambda ids, tokens: pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tokens, pa.string())], names=["id", "tokens"])), "id long, tokens string")
 
 
@@ -347,9 +347,9 @@ def digests(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
 def encode_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str | None = None, chars: int = BLOCK_CHARS, words: int = BLOCK_WORDS) -> DataFrame:
     """digests() of encode()'s rows, made where the rows are encoded: no token strings are sent back; rules as in encode()."""
-    loaded = pretokens.load_ranks(path or pretokens.default_path())
-    rows, folder = _encoded(docs, id_col, text_col, loaded, pattern or pretokens.default_pattern(), chars, words)
-    return rows.mapInArrow(_join(folder, _digests(docs.sparkSession.sparkContext.broadcast(loaded))), DIGESTS)
+    ranks = docs.sparkSession.sparkContext.broadcast(pretokens.load_ranks(path or pretokens.default_path()))
+    rows, folder = _encoded(docs, id_col, text_col, ranks, pattern or pretokens.default_pattern(), chars, words)
+    return rows.mapInArrow(_join(folder, _digests(ranks)), DIGESTS)
 
 
 def _decode(ranks):

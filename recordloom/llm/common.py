@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,12 +34,12 @@ def work_dir(spark: SparkSession, name: str) -> str:
 _folders: list[str] = []
 
 
-def release(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> None:
-    """Delete the folders named after the first `since` ones, but not the one that `keep` reads.
+def release(spark: SparkSession, since: int = 0, *keep: DataFrame) -> None:
+    """Delete the folders named after the first `since` ones, but not those that the kept tables read.
 
     DataFrames that read the others can't be run again.
     """
-    kept = set() if keep is None else {path.rsplit("/", 1)[0].rsplit("/", 1)[-1] for path in keep.inputFiles()}
+    kept = {path.rsplit("/", 1)[0].rsplit("/", 1)[-1] for table in keep for path in table.inputFiles()}
     for uri in _folders[since:]:
         if uri.rsplit("/", 1)[-1] not in kept:
             remove(spark, uri)
@@ -57,6 +59,26 @@ def materialize(df: DataFrame, name: str, compression: str | None = None) -> Dat
     return spark.read.schema(schema).parquet(path)
 
 
+def counted(df: DataFrame, name: str, *more) -> tuple[DataFrame, tuple]:
+    """materialize(), with the number of rows and further aggregates, which the write itself observes: no job of their own."""
+    from pyspark.sql import Observation
+
+    seen = Observation()
+    wanted = [F.count(F.lit(1)), *more]
+    written = materialize(df.observe(seen, *(x.alias(f"x{i}") for i, x in enumerate(wanted))), name)
+    found = seen.get
+    return written, tuple(found[f"x{i}"] for i in range(len(wanted)))
+
+
+#: Rows of a narrow table that a task writes.
+WRITTEN = 200_000
+
+
+def few_tasks(df: DataFrame, rows: int, each: int = WRITTEN) -> DataFrame:
+    """`df` in no more tasks than so many narrow rows need: small tables aren't written as hundreds of files."""
+    return df.coalesce(max(1, -(-rows // each)))
+
+
 #: Most rows in an Arrow batch: documents and pages are long, and a task holds several batches at once.
 BATCH = 500
 
@@ -68,6 +90,20 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, BATCH)
 
 
+@contextmanager
+def plain_plans(spark: SparkSession) -> Iterator[None]:
+    """Describe plans briefly, and once: a large literal is in the driver's memory as often as its plan is described, which adaptive execution does after each stage."""
+    wanted = {"spark.sql.maxPlanStringLength": "10000", "spark.sql.ui.explainMode": "simple", "spark.sql.adaptive.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 #: Seeds tried for distinct hashes of the file names at a number of bits.
 _SEEDS = 32
 
@@ -140,4 +176,4 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-__all__ = ["ROW", "documents", "filesystem", "folders", "materialize", "release", "remove", "small_batches", "text_bytes", "with_row", "work_dir"]
+__all__ = ["ROW", "counted", "documents", "few_tasks", "filesystem", "folders", "materialize", "release", "plain_plans", "remove", "small_batches", "text_bytes", "with_row", "work_dir"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import materialize
+from recordloom.llm.common import counted, few_tasks
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -28,12 +28,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     longest chain.
     """
     tidy = lambda df: df.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    state = lambda df: df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
-    edges = materialize(tidy(edges), "edges")
-    before = state(edges)
+    # the write of a round tells whether it has changed anything
+    written = lambda df: counted(df, "edges", F.bit_xor(F.xxhash64("a", "b")))
+    edges, before = written(tidy(edges))
     while before[0]:
-        edges = materialize(tidy(_small_star(tidy(_large_star(edges)))), "edges")
-        now = state(edges)
+        edges, now = written(few_tasks(tidy(_small_star(tidy(_large_star(edges)))), before[0]))
         if now == before:
             break
         before = now

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import ROW, materialize, text_bytes, with_row
+from recordloom.llm.common import ROW, folders, materialize, release, text_bytes, with_row
 
 #: Fingerprints of a range, which is merged in one task.
 RANGE = 1 << 20
@@ -297,6 +297,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` that stay, with all their columns; rules as in exact_duplicates()."""
     docs = with_row(docs)
+    mark = folders()
     # of known size: few enough rows are sent along, so that no document moves
     gone = materialize(exact_duplicates(docs, id_col, text_col).where(~F.col("kept")).select(ROW), "exact-gone")
+    release(docs.sparkSession, mark, gone)
     return docs.join(gone, ROW, "left_anti").drop(ROW)

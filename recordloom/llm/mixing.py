@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import ROW, materialize, with_row
+from recordloom.llm.common import ROW, folders, materialize, release, with_row
 
 #: Weights of the sources by code point, repeating; null comes last.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -168,9 +168,11 @@ def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     taken once more are joined: where they are few they are sent along and no text moves.
     """
     docs = with_row(docs)
+    mark = folders()
     dealt, extra = _plan(docs, id_col, text_col, source_col, WEIGHTS, SHARE, MOST, BLOCK)
     whole = materialize(dealt.select(F.col("source").alias(f"{ROW}_source"), F.col("whole").alias(f"{ROW}_whole")).distinct(), "mix-shares")
     extra = materialize(extra.withColumnRenamed(ROW, f"{ROW}_extra"), "mix-extra")
+    release(docs.sparkSession, mark, whole, extra)
     rows = docs.join(whole, F.col(source_col).cast("string").eqNullSafe(F.col(f"{ROW}_source"))).join(extra, F.col(ROW) == F.col(f"{ROW}_extra"), "left")
     copies = F.col(f"{ROW}_whole") + F.when(F.col(f"{ROW}_extra").isNotNull(), 1).otherwise(0)
     return rows.withColumn(f"{ROW}_copy", F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).drop(ROW, *(f"{ROW}_{x}" for x in ("source", "whole", "extra", "copy")))

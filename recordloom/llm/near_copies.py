@@ -6,9 +6,10 @@ all other pairs: if all sets are sorted in one order, sets of a similarity of t
 first n - ceil(t n) + 1 of either. The order puts shingles that a sample shows to be common last; the sample decides the
 speed only, the pairs are the same in any order.
 
-Equal sets are linked at once. Then rounds of candidates are verified: those of SimHash, each bucket's rows against its
-least row, against its least row by a hash, and last all pairs of a bucket whose rows aren't linked yet. The first ones
-are linear and link most of a large group, so that few pairs are left for the last, which leaves none out.
+Equal sets are linked at once. Then rounds of candidates are verified: those of SimHash, each row against one of its
+buckets' least rows, by their places and twice by hashes, and last all pairs of a bucket whose rows aren't linked yet.
+The first ones have a pair for each row and link most of a large group, so that few are left for the last, which leaves
+none out.
 
 To verify, parity sketches come first: bit i of a sketch is the parity of the elements that hash to i, so two sketches
 differ in no more bits than the sets differ in elements. A sketch has a bit or two for each element and folds to half
@@ -24,18 +25,21 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import ROW, materialize, text_bytes, with_row
+from recordloom.llm.common import ROW, counted, few_tasks, folders, materialize, release, text_bytes, with_row
 from recordloom.llm.components import connected_components
 from recordloom.llm.simhash import RADIUS, links, majority, shingles
 
 #: Words in a shingle and the least similarity of linked texts.
 WORDS, SIMILARITY = 5, 0.8
-#: The order's sample: a share of the rows, but this many at least; the least count of a common shingle, and the most of them.
-SHARE, SAMPLE, COMMON, MOST_COMMON = 1 / 64, 5000, 3, 100_000
+#: The order's sample: a share of the rows, but this many at least; the least count of a common shingle, and the most of
+#: them that are sent along (32 MB). Shingles that the order takes for rare only make candidates that don't verify.
+SHARE, SAMPLE, COMMON, MOST_COMMON = 1 / 64, 5000, 3, 2_000_000
 #: Rows of a bucket that are compared in one list.
 PAIRS = 48
 #: Keeps products of the similarity, which isn't a binary fraction, from being rounded past a whole number.
 _EPS = 1e-9
+#: Pairs whose whole sets a task compares.
+_COMPARED = 5000
 #: Rows whose whole sets are sent from Python at a time.
 _SLICE = 100
 
@@ -69,10 +73,11 @@ def parity_sketch(own: np.ndarray) -> np.ndarray:
 _PRINTS = f"{ROW} long, id long, n int, digest binary, fingerprint long, sketch array<long>, prefix array<long>"
 
 
-def _prefixes(words: int, similarity: float, grams: np.ndarray, counts: np.ndarray):
+def _prefixes(words: int, similarity: float, common):
     def run(batches):
         import pyarrow as pa
 
+        grams, counts = common.value
         longs = pa.list_(pa.int64())
         for batch in batches:
             kept: tuple[list, ...] = ([], [], [], [], [])
@@ -124,10 +129,11 @@ def _may(x: Column, y: Column, similarity: float) -> Column:
 
 
 def _leaders(met: DataFrame, order: Column, similarity: float) -> DataFrame:
-    """Each row of a bucket with the bucket's least one by `order`."""
+    """Each row with one of its buckets' least rows by `order`: the one with which it shares most buckets."""
     least = met.groupBy("gram").agg(F.min_by(F.struct("node", "n", "pos"), order).alias("y"))
     pairs = met.withColumn("x", F.struct("node", "n", "pos")).join(least, "gram")
-    return pairs.where((F.col("x.node") != F.col("y.node")) & _may(F.col("x"), F.col("y"), similarity)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    shared = pairs.where((F.col("x.node") != F.col("y.node")) & _may(F.col("x"), F.col("y"), similarity)).groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count(F.lit(1)).alias("k"))
+    return shared.groupBy("a").agg(F.max_by("b", F.struct("k", -F.col("b"))).alias("b"))
 
 
 def _rest(met: DataFrame, similarity: float, pairs: int) -> DataFrame:
@@ -167,13 +173,16 @@ def _verified(pairs: DataFrame, base: DataFrame, prints: DataFrame, words: int,
     # sizes that allow the similarity differ by half at most if that is above 0.5, and sketches by one fold
     other = F.aggregate(F.zip_with(_folded(F.col("sketch_a"), least), _folded(F.col("sketch_b"), least), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda x, y: x + y)
     few = other <= (F.col("n_a") + F.col("n_b")) * F.lit((1 - similarity) / (1 + similarity)) + _EPS
-    likely = materialize((sized.where(few) if similarity > 0.5 else sized).select("a", "b"), "near-candidates")
+    likely, (n,) = counted((sized.where(few) if similarity > 0.5 else sized).select("a", "b"), "near-candidates")
+    if not n:
+        return likely
     # of known size, so that the texts need not move: only those of candidates are read in whole
-    needed = materialize(likely.select(F.explode(F.array("a", "b")).alias(ROW)).distinct(), "near-nodes")
+    needed = materialize(few_tasks(likely.select(F.explode(F.array("a", "b")).alias(ROW)).distinct(), 2 * n), "near-nodes")
     sets = materialize(base.join(needed, ROW, "left_semi").select(ROW, "text").mapInArrow(_sets(words), "node long, grams array<long>"), "near-sets")
     both = likely.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
-    return both.where(common * (1 + similarity) >= (F.size("x") + F.size("y")) * F.lit(similarity) - _EPS).select("a", "b")
+    linked = both.where(common * (1 + similarity) >= (F.size("x") + F.size("y")) * F.lit(similarity) - _EPS).select("a", "b")
+    return few_tasks(linked, n, _COMPARED)
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY, pairs: int = PAIRS) -> DataFrame:
@@ -187,8 +196,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if not 0 < similarity <= 1:
         raise ValueError("the similarity has to be above 0 and at most 1")
     base = with_row(docs).select(ROW, F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    grams, counts = _common(base, words)
-    prints = materialize(base.mapInArrow(_prefixes(words, similarity, grams, counts), _PRINTS), "near-prefixes")
+    common = docs.sparkSession.sparkContext.broadcast(_common(base, words))
+    prints = materialize(base.mapInArrow(_prefixes(words, similarity, common), _PRINTS), "near-prefixes")
     equal = prints.groupBy("digest").agg(F.min(ROW).alias("b"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
     edges = materialize(prints.select("digest", F.col(ROW).alias("a")).join(equal, "digest").where("a <> b").select("a", "b"), "near-equal")
     own = prints.join(edges.select(F.col("a").alias(ROW)), ROW, "left_anti")
@@ -197,16 +206,19 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shared = materialize(own.select(F.explode("prefix").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("size")).where("size > 1").drop("size"), "near-shared")
     met = materialize(rows.join(shared, "gram"), "near-buckets")
     roots = None
-    for round_, order in enumerate((None, F.col("node"), F.xxhash64("gram", "node"), None)):
+    for round_, order in enumerate((None, F.col("node"), F.xxhash64("node"), F.xxhash64("node", F.lit(1)), None)):
         left = met
         if roots is not None:  # buckets within one component are settled
             known = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
             several = known.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("gram")
-            left = materialize(known.join(several, "gram"), "near-left")
+            left, (n,) = counted(known.join(several, "gram"), "near-left")
+            if not n:
+                break
         candidates = _leaders(left, order, similarity) if order is not None else _rest(left, similarity, pairs) if round_ else _fingerprints_near(own)
-        found = materialize(_verified(candidates, base, prints, words, similarity), "near-links")
-        edges = materialize(edges.union(found), "near-edges")
-        roots = connected_components(edges)
+        found, (n,) = counted(_verified(candidates, base, prints, words, similarity), "near-links")
+        if n or roots is None:
+            edges = edges.union(found)
+            roots = connected_components(edges)
     inside = roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
     return prints.select(ROW, "id").join(inside.withColumnRenamed("node", ROW), ROW)
 
@@ -214,8 +226,10 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """Of each component the first row with the smallest id stays (a null id only if there is no other), with all columns; so do all rows without links."""
     docs = with_row(docs)
+    mark = folders()
     found = materialize(near_copies(docs, id_col, text_col, words, similarity), "near-rows")
     first = found.groupBy("root").agg(F.min_by(ROW, F.struct(F.col("id").isNull(), "id", ROW)).alias(ROW))
     # of known size: few enough rows are sent along, so that no document moves
     gone = materialize(found.join(first.select(ROW), ROW, "left_anti").select(ROW), "near-gone")
+    release(docs.sparkSession, mark, gone)
     return docs.join(gone, ROW, "left_anti").drop(ROW)

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.common import ROW, materialize, text_bytes, with_row
+from recordloom.llm.common import ROW, folders, materialize, release, text_bytes, with_row
 from recordloom.llm.components import connected_components
 
 #: Words in a shingle, seed of its hash, and the most bits in which linked fingerprints differ.
@@ -144,9 +144,11 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     A row with a null id stays only if its component has no other; else rules as in near_duplicates().
     """
     docs = with_row(docs)
+    mark = folders()
     found = materialize(near_duplicates(docs, id_col, text_col, words, radius).select(ROW, "id", "fingerprint", "component_id"), "simhash-rows")
     stays = found.where(F.col("id").eqNullSafe(F.col("component_id"))).withColumn("none", F.when(F.col("component_id").isNull(), F.col("fingerprint")))
     first = stays.groupBy("component_id", "none").agg(F.min(ROW).alias(ROW))
     # of known size: few enough rows are sent along, so that no document moves
     gone = materialize(found.join(first.select(ROW), ROW, "left_anti").select(ROW), "simhash-gone")
+    release(docs.sparkSession, mark, gone)
     return docs.join(gone, ROW, "left_anti").drop(ROW)
