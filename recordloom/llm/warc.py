@@ -186,13 +186,15 @@ def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     rows = pages.select(F.col(id_col).cast("long").alias("key"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")).select("*", raw)
     digests = materialize(rows.select("key", "raw", F.xxhash64("raw").alias("h")), "warc-digests")
     n = digests.count()
-    shard = _shard(_bounds(digests, min(MOST_SHARDS, math.ceil(n / rows_per_shard)), n) if n > rows_per_shard else []).alias("shard")
+    shards = max(1, min(MOST_SHARDS, math.ceil(n / rows_per_shard)))
+    shard = _shard(_bounds(digests, shards, n) if shards > 1 else []).alias("shard")
     repeated = digests.groupBy("raw").agg(F.max("key").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     # a range of keys is a shard; a decision is needed once for each key and payload
     text = F.lit(None).cast("string")
     decisions = digests.distinct().join(repeated, "raw").select(shard, "key", F.lit(0).alias("kind"), "raw", "first", text.alias("url"), text.alias("html"))
     both = rows.withColumn("h", F.xxhash64("raw")).select(shard, "key", F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("raw"), F.lit(None).cast("long").alias("first"), "url", "html").unionByName(decisions)
-    dealt = both.repartition(F.col("shard")).sortWithinPartitions("shard", "key", "kind", "url", "html")
+    # a task for each shard, so that none grows with the input
+    dealt = both.repartition(shards, "shard").sortWithinPartitions("shard", "key", "kind", "url", "html")
     files = dealt.mapInArrow(_writer(folder, roll_bytes), "file string, records long, bytes long, sha256 string")
     files.write.parquet(f"{folder}/_manifest")
     return folder

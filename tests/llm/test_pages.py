@@ -48,6 +48,19 @@ def test_archives_read_back(spark, pages, roll):
     assert again == manifest  # whatever the input's order
 
 
+def test_shards_hold_alike_whatever_the_keys(spark, tmp_path):
+    rows = [(i, "u", f"page {i}") for i in range(2000)] + [(1 << 62, "u", "far"), (-(1 << 63), "u", "least"), ((1 << 63) - 1, "u", "most"), (None, "u", "none")]
+    rows += [(7, f"u{i}", f"hot {i}") for i in range(1000)]  # a third have one key
+    spark.createDataFrame(rows, SCHEMA).repartition(5).write.parquet(f"{tmp_path}/p")
+    folder = warc.write_archive(spark.read.parquet(f"{tmp_path}/p"), rows_per_shard=300)
+    shards = {}
+    for r in spark.read.parquet(f"{folder}/_manifest").collect():
+        shards[r.file.split("-")[1]] = shards.get(r.file.split("-")[1], 0) + r.records
+    assert len(shards) >= 8 and max(shards.values()) < 600
+    back = warc.read_archive(spark, folder).collect()
+    assert sorted(str(r.page_id) for r in back) == sorted(str(k) for k, _, _ in rows) and all(r.record_type == "response" for r in back)
+
+
 def test_empty_archive(spark, pages):
     assert warc.read_archive(spark, warc.write_archive(pages.limit(0))).count() == 0
 
