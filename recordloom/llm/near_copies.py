@@ -136,19 +136,21 @@ def _leaders(met: DataFrame, order: Column, similarity: float) -> DataFrame:
     return shared.groupBy("a").agg(F.max_by("b", F.struct("k", -F.col("b"))).alias("b"))
 
 
-def _rest(met: DataFrame, similarity: float, pairs: int) -> DataFrame:
-    """All pairs of a bucket that are in different components (root)."""
-    item = F.struct("node", "n", "pos", "root")
+def _rest(met: DataFrame, prints: DataFrame, similarity: float, pairs: int) -> DataFrame:
+    """The pairs of a bucket that are in different components (root) and whose sketches are alike: others aren't listed.
+
+    A bucket's rows are dealt to lists of about `pairs` rows. Those outside of the bucket's largest component meet each
+    list, and compare themselves with its rows.
+    """
     ties = met.groupBy("gram", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("gram").agg(F.sum("k").alias("size"), F.max_by("root", "k").alias("main"))
-    rows = met.join(ties, "gram")
-    small = rows.where(F.col("size") <= pairs).groupBy("gram").agg(F.collect_list(item).alias("all"))
-    apart = lambda x, y: (x["root"] != y["root"]) & _may(x, y, similarity)
-    found = F.flatten(F.transform("all", lambda x: F.transform(F.filter("all", lambda y: (y["node"] < x["node"]) & apart(x, y)), lambda y: F.struct(x["node"].alias("a"), y["node"].alias("b")))))
-    large = rows.where(F.col("size") > pairs).select("gram", "main", item.alias("y"))
-    few = large.where(F.col("y.root") != F.col("main")).select("gram", F.col("y").alias("x"))
-    # rows outside of the bucket's largest component against all others
-    crossed = few.join(large, "gram").where(apart(F.col("x"), F.col("y"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    return small.select(F.inline(found)).union(crossed)
+    rows = met.join(ties, "gram").withColumn("lists", F.ceil(F.col("size") / max(pairs, 1)).cast("int")).join(prints.select(F.col(ROW).alias("node"), "sketch"), "node")
+    item = F.struct("node", "n", "pos", "root", "sketch")
+    listed = rows.groupBy("gram", F.pmod(F.xxhash64("node"), F.col("lists")).cast("int").alias("list")).agg(F.collect_list(item).alias("all"))
+    asked = rows.where(F.col("root") != F.col("main")).select("gram", item.alias("x"), F.explode(F.sequence(F.lit(0), F.col("lists") - 1)).alias("list"))
+    x = F.col("x")
+    apart = lambda y: (x["root"] != y["root"]) & _may(x, y, similarity) & _alike(x, y, similarity)
+    found = asked.join(listed, ["gram", "list"]).select(x["node"].alias("a"), F.transform(F.filter("all", apart), lambda y: y["node"]).alias("b"))
+    return found.where(F.size("b") > 0).select("a", F.explode("b").alias("b"))
 
 
 def _fingerprints_near(own: DataFrame) -> DataFrame:
@@ -165,15 +167,23 @@ def _folded(sketch: Column, size: Column) -> Column:
     return F.when(F.size(sketch) > size, half).otherwise(sketch)
 
 
+def _alike(x: Column, y: Column, similarity: float) -> Column:
+    """Whether sizes (n) and sketches leave the similarity possible: sketches differ in no more bits than sets in elements."""
+    sizes = F.least(x["n"], y["n"]) >= F.greatest(x["n"], y["n"]) * F.lit(similarity) - _EPS
+    if similarity <= 0.5:
+        return sizes
+    # sizes that allow the similarity differ by half at most, and sketches by one fold
+    least = F.least(F.size(x["sketch"]), F.size(y["sketch"]))
+    bits = F.zip_with(_folded(x["sketch"], least), _folded(y["sketch"], least), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    few = (x["n"] + y["n"]) * F.lit((1 - similarity) / (1 + similarity)) + _EPS
+    return F.when(sizes, F.aggregate(bits, F.lit(0), lambda s, b: s + b) <= few).otherwise(False)
+
+
 def _verified(pairs: DataFrame, base: DataFrame, prints: DataFrame, words: int, similarity: float) -> DataFrame:
     tidy = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    side = lambda name: prints.select(F.col(ROW).alias(name), F.col("n").alias(f"n_{name}"), F.col("sketch").alias(f"sketch_{name}"))
-    sized = tidy.join(side("a"), "a").join(side("b"), "b").where(F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(similarity) - _EPS)
-    least = F.least(F.size("sketch_a"), F.size("sketch_b"))
-    # sizes that allow the similarity differ by half at most if that is above 0.5, and sketches by one fold
-    other = F.aggregate(F.zip_with(_folded(F.col("sketch_a"), least), _folded(F.col("sketch_b"), least), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda x, y: x + y)
-    few = other <= (F.col("n_a") + F.col("n_b")) * F.lit((1 - similarity) / (1 + similarity)) + _EPS
-    likely, (n,) = counted((sized.where(few) if similarity > 0.5 else sized).select("a", "b"), "near-candidates")
+    side = lambda name: prints.select(F.col(ROW).alias(name), F.struct("n", "sketch").alias(f"print_{name}"))
+    sized = tidy.join(side("a"), "a").join(side("b"), "b").where(_alike(F.col("print_a"), F.col("print_b"), similarity))
+    likely, (n,) = counted(sized.select("a", "b"), "near-candidates")
     if not n:
         return likely
     # of known size, so that the texts need not move: only those of candidates are read in whole
@@ -214,7 +224,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             left, (n,) = counted(known.join(several, "gram"), "near-left")
             if not n:
                 break
-        candidates = _leaders(left, order, similarity) if order is not None else _rest(left, similarity, pairs) if round_ else _fingerprints_near(own)
+        candidates = _leaders(left, order, similarity) if order is not None else _rest(left, prints, similarity, pairs) if round_ else _fingerprints_near(own)
         found, (n,) = counted(_verified(candidates, base, prints, words, similarity), "near-links")
         if n or roots is None:
             edges = edges.union(found)
