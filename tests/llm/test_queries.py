@@ -14,6 +14,7 @@ COLUMNS = {
     "op8_exact_dedup": {"doc_id", "keep_id", "group_size", "kept", "text_sha256"},
     "op9_token_counts": {"doc_id", "n_tokens"},
     "op10_html": {"page_id", "url", "text", "n_chars"},
+    "op11_pii": {"doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"},
 }
 
 
