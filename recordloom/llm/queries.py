@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm import bpe, exact_dedup, html_text, licenses, media, mixing, pii, simhash, token_counts, toxicity, warc
+from recordloom.llm import bpe, exact_dedup, html_text, licenses, media, mixing, pii, simhash, token_counts, toxicity, warc, whitening
 from recordloom.llm.common import documents
 
 
@@ -61,7 +61,11 @@ def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.find_personal_data(documents(spark, sf_dir))).withColumnRenamed("id", "doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_licenses, op3_media, op4_mixing, op5_bpe, op6_toxicity, op7_simhash, op8_exact_dedup, op9_token_counts, op10_html, op11_pii)}
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(documents(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_licenses, op3_media, op4_mixing, op5_bpe, op6_toxicity, op7_simhash, op8_exact_dedup, op9_token_counts, op10_html, op11_pii, op13_whitening)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
