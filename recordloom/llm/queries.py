@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm import bpe, exact_dedup, html_text, licenses, media, mixing, pii, simhash, token_counts, toxicity, warc, whitening
+from recordloom.llm import bpe, exact_dedup, html_text, lexical, licenses, media, mixing, pii, simhash, token_counts, toxicity, warc, whitening
 from recordloom.llm.common import documents
 
 
@@ -61,14 +61,21 @@ def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.find_personal_data(documents(spark, sf_dir))).withColumnRenamed("id", "doc_id")
 
 
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(lexical.build_index(documents(spark, sf_dir)), documents(spark, sf_dir, "benchmark"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(documents(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_licenses, op3_media, op4_mixing, op5_bpe, op6_toxicity, op7_simhash, op8_exact_dedup, op9_token_counts, op10_html, op11_pii, op13_whitening)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_licenses, op3_media, op4_mixing, op5_bpe, op6_toxicity, op7_simhash, op8_exact_dedup, op9_token_counts, op10_html, op11_pii, op12_search, op13_whitening)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: The terms of a text, as the lexical search has them.
+_TERMS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
 #: Hex digit number `i` of a lower-case hex string, and five of its bits as a base-32 digit.
 _DIGIT = "(instr('0123456789abcdef', substr(h, {0} + 1, 1)) - 1)"
 _BASE32 = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((((" + _DIGIT.format("(5 * i // 4)") + " * 16 + " + _DIGIT.format("(5 * i // 4 + 1)") + ") >> (3 - 5 * i % 4)) & 31) + 1)::INT, 1)"
@@ -85,4 +92,14 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
                row_number() OVER (PARTITION BY norm ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(norm) AS text_sha256
         FROM t""",
+    "op12_search": f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS terms FROM documents),
+             q AS (SELECT row_number() OVER () AS q, item_id, unnest({_TERMS}) AS term FROM benchmark),
+             tf AS (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(terms) AS n, unnest(terms) AS term FROM d) GROUP BY ALL),
+             total AS (SELECT count(*) AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM d WHERE len(terms) > 0),
+             w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, total GROUP BY term, n_docs),
+             s AS (SELECT q, item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms))))::BIGINT AS score
+                   FROM q JOIN tf USING (term) JOIN w USING (term), total GROUP BY ALL),
+             o AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank FROM s WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 10""",
 }

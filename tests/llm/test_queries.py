@@ -14,6 +14,8 @@ COLUMNS = {
     "op8_exact_dedup": {"doc_id", "keep_id", "group_size", "kept", "text_sha256"},
     "op9_token_counts": {"doc_id", "n_tokens"},
     "op10_html": {"page_id", "url", "text", "n_chars"},
+    "op12_search": {"item_id", "rank", "doc_id", "score"},
+    "op13_whitening": {"vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"},
     "op11_pii": {"doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"},
 }
 
@@ -23,8 +25,8 @@ def test_columns_and_rows(spark, name):
     sf_dir = "/root/testdata/sf0.001"
     found = queries.QUERIES[name](spark, sf_dir)
     assert COLUMNS[name] <= set(found.columns)
-    table = "pages" if "page_id" in COLUMNS[name] else "documents"
-    assert found.count() == spark.read.parquet(f"{sf_dir}/{table}.parquet").count()
+    table = {"page_id": "pages", "item_id": "benchmark", "vec_id": "embeddings"}.get(found.columns[0], "documents")
+    assert found.count() == spark.read.parquet(f"{sf_dir}/{table}.parquet").count() * {"benchmark": 10, "embeddings": 32}.get(table, 1)
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
