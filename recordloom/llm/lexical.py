@@ -34,9 +34,10 @@ INDEX = "block long, term string, n_docs int, docs array<int>, tfs array<int>, i
 
 
 class Index(NamedTuple):
-    """The index table (a block has a row for each term, and one without a term for its documents), documents and terms in all."""
+    """The index table (a block has a row for each term, and one without a term for its documents), blocks, documents and terms in all."""
 
     table: DataFrame
+    n_blocks: int
     n_docs: int
     n_terms: int
 
@@ -112,8 +113,8 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     rows = with_row(docs).select(F.col(ROW), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     total = F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)
-    table, (_, n, length) = counted(rows.mapInArrow(_index(block), INDEX), "lexical-index", F.sum(F.when(F.col("ids").isNotNull(), F.size("ids"))), F.sum(total))
-    return Index(table, n or 0, length or 0)
+    table, (_, blocks, n, length) = counted(rows.mapInArrow(_index(block), INDEX), "lexical-index", F.count("ids"), F.sum(F.when(F.col("ids").isNotNull(), F.size("ids"))), F.sum(total))
+    return Index(table, blocks, n or 0, length or 0)
 
 
 def _parsed(batches):
@@ -204,10 +205,11 @@ def _search(queries, k: int, n_docs: int, n_terms: int):
 
     def run(key, table):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
-        heads = table.filter(pa.compute.is_null(table["term"])).combine_chunks()
+        heads = table.filter(pc.is_null(table["term"])).combine_chunks()
         ids, lengths = heads["ids"].to_pylist()[0], np.array(heads["lengths"].to_pylist()[0], np.int64)
-        lists = table.filter(pa.compute.is_valid(table["term"])).combine_chunks()
+        lists = table.filter(pc.is_valid(table["term"])).combine_chunks()
         out = ([], [], [], [])
         if lists.num_rows:
             docs, tfs = (lists[c].combine_chunks() for c in ("docs", "tfs"))
@@ -261,5 +263,7 @@ def _slice(spark, index: Index, parsed: DataFrame, k: int) -> DataFrame:
         sent.append((row, item, weighed))
     lists = index.table.where(F.col("term").isNotNull()).join(wanted, "term", "left_semi")
     blocks = index.table.where(F.col("term").isNull()).select(*lists.columns).unionByName(lists)
-    out = blocks.groupBy("block").applyInArrow(_search(spark.sparkContext.broadcast(sent), k, index.n_docs, index.n_terms), "row long, item_id long, doc_id long, score long")
+    # searching a block takes far longer than reading it, so partitions aren't joined by their sizes
+    tasks = min(index.n_blocks, max(int(spark.conf.get("spark.sql.shuffle.partitions")), index.n_blocks // 16))
+    out = blocks.repartition(tasks, "block").groupBy("block").applyInArrow(_search(spark.sparkContext.broadcast(sent), k, index.n_docs, index.n_terms), "row long, item_id long, doc_id long, score long")
     return out.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)))
