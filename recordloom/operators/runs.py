@@ -92,7 +92,7 @@ def export(df: DataFrame, source: str, path: str, carried: list[str] = ()) -> st
     if source.lower().endswith(".ris"):
         try:
             patched = files.patch_ris(df.sparkSession, source, df, carried)
-            patched.orderBy("place").select(F.rtrim("block", F.lit("\n"))).write.option("lineSep", "\n\n").text(path)
+            files.write_patched(patched, path)
             return "patched"
         except ValueError:
             pass

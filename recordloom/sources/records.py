@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from recordloom.sources import formats, sheets
+from recordloom.sources import formats, recordfiles, sheets
 
 #: The column that keeps a record's place.
 ROW = "_row_id"
@@ -22,41 +22,35 @@ ROW = "_row_id"
 SHEET_ROWS = 100_000
 
 
-def _parsed(ending: str, prefix: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader = formats.READERS[ending]
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                text, encoding = formats.decode(bytes(content))
-                records = reader(text) if ending == ".json" else reader(text, prefix)
-                rows = [(path, encoding, i, {k: str(v) for k, v in r.items()}) for i, r in enumerate(records)]
-                yield pd.DataFrame(rows, columns=["path", "encoding", "place", "fields"])
-
-    return run
-
+def read_fields(spark: SparkSession, path: str, prefix: str = formats.CARRIED, lines: bool = False, part: int = recordfiles.PART) -> DataFrame:
+    """path, start, place, encoding and fields (a map; or lines, of RIS) of each record of RIS, BibTeX or JSON files.
 
-def read_fields(spark: SparkSession, path: str, prefix: str = formats.CARRIED) -> DataFrame:
-    """path, encoding, place and fields (a map) of each record of RIS, BibTeX or JSON files; a task reads whole files."""
+    Files of records that begin with a line of their own are read in parts of so many bytes; a JSON file is read whole.
+    """
     ending = os.path.splitext(path.rstrip("/*"))[1].lower()
-    if ending not in formats.READERS:
+    if ending not in recordfiles.ENDINGS:
         raise ValueError(f"unsupported file format: {ending}")
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(_parsed(ending, prefix), "path string, encoding string, place long, fields map<string,string>")
+    recordfiles.register(spark)
+    return spark.read.format("recordloom").options(format=recordfiles.ENDINGS[ending], prefix=prefix, lines=lines, partBytes=part).load(path)
 
 
-def spread(fields: DataFrame) -> DataFrame:
-    """A column for each key of `fields`, in the order of first appearance, with ROW, which counts through all files in the order of their names.
+def numbered(records: DataFrame) -> DataFrame:
+    """ROW for path, start and place: it counts through all files in the order of their names.
 
-    Names are few, whatever the rows, and so are the files' first numbers, which are sent along.
+    The parts' first numbers are sent along; there is one for each part of a file, whatever its records.
     """
-    keys = fields.select("path", "place", F.posexplode(F.map_keys("fields")).alias("at", "key")).groupBy("key").agg(F.min(F.struct("path", "place", "at")).alias("first")).orderBy("first").select("key").collect()
-    sizes = sorted(map(tuple, fields.groupBy("path").agg(F.max("place") + 1).collect()))
-    firsts = dict(zip((p for p, _ in sizes), itertools.accumulate((n for _, n in sizes), initial=0), strict=False))
-    cells = [F.col("fields").getItem(r.key).alias(r.key) for r in keys]
+    sizes = sorted(map(tuple, records.groupBy("path", "start").agg(F.count(F.lit(1))).collect()))
+    firsts = list(zip((x[:2] for x in sizes), itertools.accumulate((n for *_, n in sizes), initial=0), strict=False))
     if len(firsts) < 2:
-        return fields.select(F.col("place").alias(ROW), *cells)
-    numbered = fields.sparkSession.createDataFrame(list(firsts.items()), "path string, __first long")
-    return fields.join(numbered, "path").select((F.col("place") + F.col("__first")).alias(ROW), *cells)
+        return records.withColumn(ROW, F.col("place"))
+    table = records.sparkSession.createDataFrame([(*key, first) for key, first in firsts], "path string, start long, __first long")
+    return records.join(table, ["path", "start"]).withColumn(ROW, F.col("place") + F.col("__first")).drop("__first")
+
+
+def spread(fields: DataFrame) -> DataFrame:
+    """ROW and a column for each key of `fields`, in the order of first appearance. Names are few, whatever the rows."""
+    keys = fields.select("path", "start", "place", F.posexplode(F.map_keys("fields")).alias("at", "key")).groupBy("key").agg(F.min(F.struct("path", "start", "place", "at")).alias("first")).orderBy("first").select("key").collect()
+    return numbered(fields).select(ROW, *(F.col("fields").getItem(r.key).alias(r.key) for r in keys))
 
 
 #: Bytes of a file from whose lines its separator is told.
@@ -130,14 +124,14 @@ def read_csv(spark: SparkSession, path: str, as_text: bool = True) -> DataFrame:
 def _sheet_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for path, content in zip(batch["path"], batch["content"], strict=True):
-            rows = [(path, "", i, r) for i, r in enumerate(sheets.read_table(bytes(content)))]
-            yield pd.DataFrame(rows, columns=["path", "encoding", "place", "fields"])
+            rows = [(path, 0, i, "", r) for i, r in enumerate(sheets.read_table(bytes(content)))]
+            yield pd.DataFrame(rows, columns=["path", "start", "place", "encoding", "fields"])
 
 
 def read_excel(spark: SparkSession, path: str) -> DataFrame:
     """The first sheets of .xlsx workbooks; a task reads whole files, which the format bounds."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return spread(files.mapInPandas(_sheet_rows, "path string, encoding string, place long, fields map<string,string>")).na.fill("")
+    return spread(files.mapInPandas(_sheet_rows, recordfiles.FIELDS)).na.fill("")
 
 
 def write_excel(df: DataFrame, path: str) -> None:
@@ -220,38 +214,47 @@ def write_records(df: DataFrame, path: str, fmt: str, carried: list[str] | None
         order = [ROW] if ROW in df.columns else []
         (out.repartitionByRange(*order).sortWithinPartitions(*order) if order else out).drop(ROW).write.options(header=True, escape='"').csv(path)
         return
-    ordered = blocks(df, fmt, carried, prefix).repartitionByRange("place").sortWithinPartitions("place")
-    # a block ends with an empty line, which here is the separator's
-    block = F.rtrim("block", F.lit("\n")) if fmt != "csl_json" else F.col("block")
-    ordered.select(block.alias("block")).write.option("lineSep", "\n" if fmt == "csl_json" else "\n\n").text(path)
+    write_blocks(blocks(df, fmt, carried, prefix), path, fmt)
 
 
-def patch_ris(spark: SparkSession, source: str, new: DataFrame, carried: list[str] = (), prefix: str = formats.CARRIED) -> DataFrame:
-    """place and block of a RIS file with only the lines of changed columns rewritten.
+def write_blocks(texts: DataFrame, path: str, fmt: str) -> None:
+    """Write place and block as a folder of files in the order of place, which appear together at the end; it must not exist yet."""
+    spark = texts.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+        raise ValueError(f"{path} exists already")
+    recordfiles.register(spark)
+    block = F.col("block") if fmt != "csl_json" else F.concat("block", F.lit("\n"))
+    texts.repartitionByRange("place").sortWithinPartitions("place").select(block.alias("block")).write.format("recordloom").option("format", fmt).mode("append").save(path)
 
-    `new` is the file's table (ROW) with changed cells. A changed number of rows, or a change in a column that can't be
-    patched, is an error and nothing is written.
-    """
 
-    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for content in batch["content"]:
-                yield pd.DataFrame([(i, b) for i, b in enumerate(formats.ris_blocks(formats.decode(bytes(content))[0]))], columns=["place", "lines"])
+def patch_ris(spark: SparkSession, source: str, new: DataFrame, carried: list[str] = (), prefix: str = formats.CARRIED, part: int = recordfiles.PART) -> DataFrame:
+    """path, place (ROW) and block of each record of RIS files with only the lines of changed columns rewritten.
 
-    raw = spark.read.format("binaryFile").load(source).select("content").mapInPandas(lines, "place long, lines array<string>")
-    old = read_records(spark, source, prefix=prefix)
-    if old.count() != new.count():
-        raise ValueError("the number of records has changed")
+    `new` is the files' table (ROW) with changed cells. A changed number of rows, a ROW that is repeated or isn't the
+    files', or a change in a column that can't be patched, is an error.
+    """
+    raw = numbered(read_fields(spark, source, prefix, lines=True, part=part)).select("path", F.col(ROW).alias("place"), "lines")
+    old = spread(read_fields(spark, source, prefix, part=part))
     fixed = [c for c in old.columns if c not in formats.PATCHED and c in new.columns and c not in carried and c != ROW]
-    text = lambda df: df.select(F.col(ROW).alias("place"), F.create_map(*(x for c in df.columns if c != ROW for x in (F.lit(c), F.trim(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")))))).alias("cells"))
-    both = raw.join(text(old).withColumnRenamed("cells", "old"), "place").join(text(new).withColumnRenamed("cells", "new"), "place")
+    text = lambda df, name: df.select(F.col(ROW).alias("place"), F.create_map(*(x for c in df.columns if c != ROW for x in (F.lit(c), F.trim(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")))))).alias(name), F.lit(True).alias(f"is_{name}"))
+    both = raw.join(text(old, "old"), "place", "left").join(text(new, "new"), "place", "full")
     moved = F.exists(F.array(*map(F.lit, fixed)), lambda c: ~F.col("old")[c].eqNullSafe(F.col("new")[c])) if fixed else F.lit(False)
-    if both.where(moved).limit(1).count():
+    # one pass tells all that a patch can't express
+    found = both.agg(F.count("is_old").alias("n_old"), F.count("is_new").alias("n_new"), F.count(F.when(F.col("is_old").isNull() | F.col("is_new").isNull(), 1)).alias("alone"), F.count_distinct("place").alias("places"), F.count(F.when(moved, 1)).alias("n_moved")).first()
+    if found.alone or found.n_old != found.n_new or found.places != found.n_new:
+        raise ValueError("the number of records has changed")
+    if found.n_moved:
         raise ValueError("a column has changed that a patch can't express")
 
     def patch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = zip(batch["place"], batch["lines"], batch["old"], batch["new"], strict=True)
-            yield pd.DataFrame([(p, "\n".join(formats.patch_ris_block(list(b), dict(o), dict(n), carried, prefix)).rstrip("\n") + "\n\n") for p, b, o, n in rows], columns=["place", "block"])
+            rows = zip(batch["path"], batch["place"], batch["lines"], batch["old"], batch["new"], strict=True)
+            yield pd.DataFrame([(f, p, "\n".join(formats.patch_ris_block(list(b), dict(o), dict(n), carried, prefix)).rstrip("\n") + "\n\n") for f, p, b, o, n in rows], columns=["path", "place", "block"])
+
+    return both.select("path", "place", "lines", "old", "new").mapInPandas(patch, "path string, place long, block string")
+
 
-    return both.select("place", "lines", "old", "new").mapInPandas(patch, "place long, block string")
+def write_patched(patched: DataFrame, path: str) -> None:
+    """Write what patch_ris() gives as a folder of RIS files in the records' order."""
+    write_blocks(patched.select("place", "block"), path, "ris")
