@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from recordloom.operators import embedding, languages, search
+from recordloom.operators import embedding, languages, search, tagging
 from recordloom.plans.record_queries import _t
 from recordloom.plans.registry import query
 
@@ -69,3 +69,27 @@ def catalogue_search(spark, sf):
     words = lambda text: F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0)))
     index = search.catalogue(_t(spark, sf, "pages"), "page_id", words(F.regexp_extract("html", "<title>([^<]*)</title>", 1)))
     return search.nearest(_t(spark, sf, "benchmark"), "item_id", words(F.col("text")), index)
+
+
+@query(r"""
+    WITH v AS (SELECT DISTINCT unnest(regexp_extract_all(coalesce(text, ''), '[a-z]{8,}')) AS name FROM benchmark),
+         w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')) AS name FROM documents),
+         f AS (SELECT doc_id, string_agg(name, ',' ORDER BY name) AS names, count(*) AS n FROM w JOIN v USING (name) GROUP BY ALL)
+    SELECT doc_id, coalesce(n, 0) AS n, coalesce(names, '') AS names FROM documents LEFT JOIN f USING (doc_id)""")
+def named_terms(spark, sf):
+    """The long words of all benchmark passages as a vocabulary of names, found as whole words in every document by one automaton."""
+    long = F.array_distinct(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[a-z]{8,}"), F.lit(0)))
+    names = [r.name for r in _t(spark, sf, "benchmark").select(F.explode(long).alias("name")).distinct().orderBy("name").collect()]  # a vocabulary is a parameter
+    out = tagging.tag_records(_t(spark, sf, "documents"), {"Text": F.col("text")}, {"Text"}, tagging.Vocabulary(names={n: n for n in names}))
+    return out.select("doc_id", F.size("evidence.tags").cast("long").alias("n"), F.array_join(F.array_sort("evidence.tags"), ",").alias("names"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND lang = 'de' THEN 'DE' WHEN doc_id % 2 = 0 AND lang = 'fr' THEN 'FR' ELSE '' END AS tags FROM documents")
+def dataset_topics(spark, sf):
+    """Each document cites a dataset; titles, which half of the datasets have, name their language."""
+    docs = _t(spark, sf, "documents")
+    doi = F.concat(F.lit("10.4232/1."), F.col("doc_id").cast("string"))
+    titles = docs.where("doc_id % 2 = 0").select(doi.alias("doi"), F.concat(F.lit("Survey: "), F.when(F.col("lang") == "de", "German").when(F.col("lang") == "fr", "French").otherwise("Other"), F.lit(" speakers")).alias("title"))
+    cited = docs.select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit("\nsee "), doi).alias("text"))
+    out = tagging.tag_records(cited, {"Text": F.col("text")}, {"Text"}, tagging.Vocabulary(phrases={"german": "DE", "french": "FR"}), titles=titles, key="doc_id")
+    return out.select("doc_id", F.array_join("evidence.tags", ",").alias("tags"))
