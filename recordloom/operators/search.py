@@ -17,7 +17,7 @@ from recordloom.functions.similarity import score_column
 
 
 class Catalogue(NamedTuple):
-    """classes: class, words and keys (the smallest ones); postings: word and class; weights: word, df (entries) and weight."""
+    """classes: class, words, keys (the smallest ones) and n (entries); postings: word and class; weights: word, df (entries) and weight."""
 
     classes: DataFrame
     postings: DataFrame
@@ -28,19 +28,35 @@ class Catalogue(NamedTuple):
 def catalogue(entries: DataFrame, key: str, words: Column, k: int = 5) -> Catalogue:
     """The index of entries by their words (an array; repeats, nulls and blanks don't count). Entries without words are never found.
 
-    Weights are floor(1000 ln((1 + N) / df)) over the N entries with words. To search it more than once, write its tables.
+    Weights are floor(1000 ln((1 + N) / df)) over the N entries with words. stored() keeps it for several searches.
     """
     clean = F.array_sort(F.array_distinct(F.filter(F.coalesce(words, F.array().cast("array<string>")), lambda w: w.isNotNull() & (w != ""))))
     rows = entries.select(F.col(key).alias("key"), clean.alias("words")).where(F.size("words") > 0)
     # partial rows of a class hold at most k keys for each task that has it
     smallest = F.slice(F.array_sort(F.collect_list("key")), 1, k)
     parts = rows.withColumn("__p", F.spark_partition_id()).groupBy("words", "__p").agg(F.count(F.lit(1)).alias("n"), smallest.alias("keys"))
-    classes = parts.groupBy("words").agg(F.sum("n").alias("n"), F.slice(F.array_sort(F.flatten(F.collect_list("keys"))), 1, k).alias("keys")).withColumn("class", F.sha2(F.to_json("words"), 256))
+    classes = parts.groupBy("words").agg(F.sum("n").alias("n"), F.slice(F.array_sort(F.flatten(F.collect_list("keys"))), 1, k).alias("keys")).withColumn("class", F.unhex(F.sha2(F.to_json("words"), 256)))
+    classes = classes.select("class", "words", "keys", "n")
+    return Catalogue(classes, _from_classes(classes, "postings"), _from_classes(classes, "weights"), k)
+
+
+def _from_classes(classes: DataFrame, name: str) -> DataFrame:
     postings = classes.select(F.explode("words").alias("word"), "class", "n")
-    total = classes.agg(F.sum("n").alias("__total"))
+    if name == "postings":
+        return postings.select("word", "class")
+    total = classes.agg(F.sum("n").alias("__total"))  # one row
     counted = postings.groupBy("word").agg(F.sum("n").alias("df"))
-    weights = counted.crossJoin(F.broadcast(total)).select("word", "df", F.floor(1000 * F.log((1 + F.col("__total")) / F.col("df"))).alias("weight"))
-    return Catalogue(classes.select("class", "words", "keys"), postings.select("word", "class"), weights, k)
+    return counted.crossJoin(F.broadcast(total)).select("word", "df", F.floor(1000 * F.log((1 + F.col("__total")) / F.col("df"))).alias("weight"))
+
+
+def stored(index: Catalogue, path: str) -> Catalogue:
+    """The index written below a folder and read from there: it is made once, whatever is searched."""
+    tables = {}
+    for name in ("classes", "postings", "weights"):  # the later ones could be told from the first
+        table = getattr(index, name) if not tables else _from_classes(tables["classes"], name)
+        table.write.parquet(f"{path}/{name}")
+        tables[name] = table.sparkSession.read.parquet(f"{path}/{name}")
+    return Catalogue(tables["classes"], tables["postings"], tables["weights"], index.k)
 
 
 def nearest(records: DataFrame, key: str, words: Column, index: Catalogue) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from recordloom.operators import embedding, languages, search, tagging
+from recordloom.plans.file_queries import shared_folder
 from recordloom.plans.record_queries import _t
 from recordloom.plans.registry import query
 
@@ -68,7 +69,7 @@ def catalogue_search(spark, sf):
     """The pages whose titles share the weightiest words with each benchmark passage, by an index of the titles."""
     words = lambda text: F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0)))
     index = search.catalogue(_t(spark, sf, "pages"), "page_id", words(F.regexp_extract("html", "<title>([^<]*)</title>", 1)))
-    return search.nearest(_t(spark, sf, "benchmark"), "item_id", words(F.col("text")), index)
+    return search.nearest(_t(spark, sf, "benchmark"), "item_id", words(F.col("text")), search.stored(index, shared_folder(spark, "catalogue")))
 
 
 @query(r"""

@@ -7,6 +7,7 @@ import functools
 import itertools
 import json
 import os
+import uuid
 from collections.abc import Iterator
 from urllib.parse import unquote
 
@@ -235,24 +236,35 @@ def patch_ris(spark: SparkSession, source: str, new: DataFrame, carried: list[st
     files', or a change in a column that can't be patched, is an error.
     """
     raw = numbered(read_fields(spark, source, prefix, lines=True, part=part)).select("path", F.col(ROW).alias("place"), "lines")
-    old = spread(read_fields(spark, source, prefix, part=part))
-    fixed = [c for c in old.columns if c not in formats.PATCHED and c in new.columns and c not in carried and c != ROW]
-    text = lambda df, name: df.select(F.col(ROW).alias("place"), F.create_map(*(x for c in df.columns if c != ROW for x in (F.lit(c), F.trim(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")))))).alias(name), F.lit(True).alias(f"is_{name}"))
-    both = raw.join(text(old, "old"), "place", "left").join(text(new, "new"), "place", "full")
-    moved = F.exists(F.array(*map(F.lit, fixed)), lambda c: ~F.col("old")[c].eqNullSafe(F.col("new")[c])) if fixed else F.lit(False)
-    # one pass tells all that a patch can't express
-    found = both.agg(F.count("is_old").alias("n_old"), F.count("is_new").alias("n_new"), F.count(F.when(F.col("is_old").isNull() | F.col("is_new").isNull(), 1)).alias("alone"), F.count_distinct("place").alias("places"), F.count(F.when(moved, 1)).alias("n_moved")).first()
-    if found.alone or found.n_old != found.n_new or found.places != found.n_new:
-        raise ValueError("the number of records has changed")
-    if found.n_moved:
-        raise ValueError("a column has changed that a patch can't express")
+    names = [c for c in new.columns if c != ROW]
+    cells = F.create_map(*(x for c in names for x in (F.lit(c), F.trim(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))))))
+    both = raw.join(new.select(F.col(ROW).alias("place"), cells.alias("new")), "place", "full")
 
     def patch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = zip(batch["path"], batch["place"], batch["lines"], batch["old"], batch["new"], strict=True)
-            yield pd.DataFrame([(f, p, "\n".join(formats.patch_ris_block(list(b), dict(o), dict(n), carried, prefix)).rstrip("\n") + "\n\n") for f, p, b, o, n in rows], columns=["path", "place", "block"])
-
-    return both.select("path", "place", "lines", "old", "new").mapInPandas(patch, "path string, place long, block string")
+            out = []
+            for path, place, lines, cells_ in zip(batch["path"], batch["place"], batch["lines"], batch["new"], strict=True):
+                if lines is None or cells_ is None:  # no such record, or none that is left
+                    out.append((path, place, None, True, False))
+                    continue
+                block, cells_ = list(lines), dict(cells_)
+                old = {k: v.strip(" ") for k, v in next(iter(formats.read_ris("\n".join(block), prefix))).items()}
+                moved = any(cells_[c] != old.get(c, "") for c in cells_ if c not in formats.PATCHED and c not in carried)
+                out.append((path, place, "\n".join(formats.patch_ris_block(block, old, cells_, carried, prefix)).rstrip("\n") + "\n\n", False, moved))
+            yield pd.DataFrame(out, columns=["path", "place", "block", "alone", "moved"])
+
+    patched = both.mapInPandas(patch, "path string, place long, block string, alone boolean, moved boolean")
+    if base := spark.conf.get("spark.checkpoint.dir", None):  # made once, and kept from a lost executor
+        folder = f"{base.rstrip('/')}/patched-{uuid.uuid4().hex}"
+        patched.write.parquet(folder)
+        patched = spark.read.schema(patched.schema).parquet(folder)
+    # what a patch can't express
+    found = patched.agg(F.count(F.when(F.col("alone"), 1)).alias("n_alone"), F.count(F.when(F.col("moved"), 1)).alias("n_moved"), F.count(F.lit(1)).alias("n"), F.count_distinct("place").alias("places")).first()
+    if found.n_alone or found.places != found.n:
+        raise ValueError("the number of records has changed")
+    if found.n_moved:
+        raise ValueError("a column has changed that a patch can't express")
+    return patched.select("path", "place", "block")
 
 
 def write_patched(patched: DataFrame, path: str) -> None:
