@@ -140,21 +140,34 @@ def match_pairs(a: DataFrame, b: DataFrame, row: str, title: tuple[str, str], ex
     """row_a, row_b, note: greedy one-to-one pairs of rows with equal title keys, in file order (`row`).
 
     Extra keys have to agree where both are filled; the candidate that agrees on most wins, the earliest of equals.
-    Without extra keys the k-th row of a title in A takes the k-th in B, which windows decide; with extra keys the
-    decision is sequential within a title's block, so a block is one task's: only its keys and row numbers go there, and
-    its time grows with its rows, not with their pairs.
+    A title's block falls apart by the keys that all its rows fill, since rows that differ there never pair. Where the
+    rows of a part all have the same keys, the k-th row in A takes the k-th in B, which windows decide; that is the case
+    for every title without blank keys. What is left, parts with blanks in some rows, is decided in order: a row's choice
+    depends on those before it, so such a part is one task's. Only row numbers and keys go there, and its time grows with
+    its rows, not with their pairs.
     """
-    side = lambda df, i, s: df.select(F.lit(s).alias("side"), F.col(row).cast("long").alias("row"), title_key(F.col(f"`{title[i]}`")).alias("t"), F.array(*(match_value(F.col(f"`{p[i]}`")) for p in extra)).cast("array<string>").alias("keys")).where("t <> ''")
-    left, right = side(a, 0, "a"), side(b, 1, "b")
+    side = lambda df, i, s: df.select(F.lit(s).alias("side"), F.col(row).cast("long").alias("row"), title_key(F.col(f"`{title[i]}`")).alias("t"), F.array(*(F.coalesce(match_value(F.col(f"`{p[i]}`")), F.lit("")) for p in extra)).cast("array<string>").alias("keys")).where("t <> ''")
+    both = side(a, 0, "a").unionByName(side(b, 1, "b"))
+    # all sizes come from one count of equal rows, which collapses a hot title before the shuffle
+    classes = both.groupBy("t", "keys").agg(F.count_if(F.col("side") == "a").alias("a"), F.count_if(F.col("side") == "b").alias("b"))
+    titles = classes.groupBy("t").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), *(F.min(F.get("keys", F.lit(i)) != "").alias(f"full{i}") for i in range(len(extra)))).where("a > 0 AND b > 0").drop("a", "b")
+    fulls = [f"full{i}" for i in range(len(extra))]
+    part = F.array(*(F.when(F.col(full), F.get("keys", F.lit(i))).otherwise("") for i, full in enumerate(fulls))).cast("array<string>").alias("part")
+    cut = lambda df: df.join(titles, "t").select("*", part).drop(*fulls)
+    parts = cut(classes).groupBy("t", "part").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.count(F.lit(1)).alias("n_classes")).where("a > 0 AND b > 0").select("t", "part", "b", (F.col("n_classes") == 1).alias("alike"))
+    rows = cut(both).join(parts, ["t", "part"])
+
+    ranked = rows.where("alike").withColumn("k", F.row_number().over(Window.partitionBy("t", "part", "side").orderBy("row")))
+    x = ranked.where("side = 'a'").select("t", "part", "k", "keys", F.col("b").alias("n"), F.col("row").alias("row_a"))
+    y = ranked.where("side = 'b'").select("t", "part", "k", F.col("row").alias("row_b"))
+    agreed, tied = F.size(F.filter("keys", lambda v: v != "")), F.col("n") - F.col("k") + 1
+    how = F.concat(F.lit("title + "), agreed.cast("string"), F.lit(f" of {len(extra)} extra key(s)"), F.when(agreed < len(extra), " (others empty)").otherwise("")) if extra else F.lit("title")
+    note = F.concat(how, F.when(tied > 1, F.concat(F.lit("; "), tied.cast("string"), F.lit(" identical candidates, paired in file order"))).otherwise(""))
+    pairs = x.join(y, ["t", "part", "k"]).select("row_a", "row_b", note.alias("note"))
     if not extra:
-        ranked = lambda df: df.withColumn("k", F.row_number().over(Window.partitionBy("t").orderBy("row")))
-        sizes = right.groupBy("t").agg(F.count(F.lit(1)).alias("n"))
-        x, y = ranked(left).select("t", "k", F.col("row").alias("row_a")), ranked(right).select("t", "k", F.col("row").alias("row_b"))
-        tied = F.col("n") - F.col("k") + 1
-        return x.join(y, ["t", "k"]).join(sizes, "t").select("row_a", "row_b", F.when(tied > 1, F.concat(F.lit("title; "), tied.cast("string"), F.lit(" identical candidates, paired in file order"))).otherwise("title").alias("note"))
-    both = left.unionByName(right)
-    shared = left.select("t").distinct().join(right.select("t").distinct(), "t")
-    return both.join(shared, "t", "left_semi").groupBy("t").applyInPandas(_greedy(len(extra)), "row_a long, row_b long, note string")
+        return pairs
+    mixed = rows.where("NOT alike").select("t", "part", "side", "row", "keys")
+    return pairs.unionByName(mixed.groupBy("t", "part").applyInPandas(_greedy(len(extra)), "row_a long, row_b long, note string"))
 
 
 def pair_diff(a: DataFrame, b: DataFrame, row: str, title: tuple[str, str], compare: list[tuple[str, str]], extra: list[tuple[str, str]] = (), ignore_case: bool = False, kinds: list[str] | None = None) -> DataFrame:

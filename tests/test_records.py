@@ -311,6 +311,33 @@ def test_greedy_pairs_against_all_candidates():
                 assert f"title + {agreed} of" in got[k][1] and (f"{tied} identical" in got[k][1]) == (tied > 1)
 
 
+def test_greedy_pairs_of_split_titles_against_all_candidates(spark):
+    import random
+
+    rng = random.Random(5)
+    for n, blank in ((0, 0.0), (1, 0.0), (2, 0.15), (3, 0.3)):
+        side = lambda: [(i, rng.choice(["", "s", "t", "u", "v", "w"]), *("" if rng.random() < blank else rng.choice("xyz") for _ in range(n))) for i in range(120)]
+        left, right = side(), side()
+        schema = ", ".join(["row int", "title string", *(f"k{i} string" for i in range(n))])
+        extra = [(f"k{i}", f"k{i}") for i in range(n)]
+        got = {r.row_a: (r.row_b, r.note) for r in compare.match_pairs(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), "row", ("title", "title"), extra).collect()}
+        want = {}
+        for title in "stuvw":
+            of = lambda rows: [(r[0], r[2:]) for r in rows if r[1] == title]  # noqa: B023, E731
+            want |= plain_greedy(of(left), of(right), n)
+        assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()} and want
+        for k, (_, agreed, tied) in want.items():
+            assert (not n or got[k][1].startswith(f"title + {agreed} of {n} extra key(s)" + (" (others empty)" if agreed < n else ""))) and (f"{tied} identical" in got[k][1]) == (tied > 1)
+
+
+def test_one_title_of_very_many_rows(spark):
+    many = spark.range(200_000).select(F.col("id").alias("row"), F.lit("Same").alias("title"), (F.col("id") % 7).cast("string").alias("year"))
+    pairs = compare.match_pairs(many, many, "row", ("title", "title"), [("year", "year")])
+    assert pairs.where("row_a = row_b").count() == 200_000
+    empty = many.limit(0)
+    assert compare.match_pairs(many, empty, "row", ("title", "title"), [("year", "year")]).isEmpty() and compare.match_pairs(empty, many, "row", ("title", "title")).isEmpty()
+
+
 def test_accuracy_of_the_surest_half(spark):
     import random
 
