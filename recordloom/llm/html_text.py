@@ -3,14 +3,17 @@
 A page becomes a stream of block tags and text slots. Inline markup belongs to the text, closing tags that HTML lets
 authors leave out are implied, and repeats are folded into repeated groups, so that pages of one template have short,
 similar streams. Alignment takes two expressions and resolves mismatches: a text against a text is a slot, tokens that
-only one side has become an optional group, a group that one side repeats becomes a repeated group. Starting from one
-page, the others of the host are aligned in turn, in every task for its own pages; the tasks' wrappers are aligned in
-two rounds, so that no task gathers more than a share of a hot host.
+only one side has become an optional group, a group that one side repeats becomes a repeated group. A task adds up its
+own pages of one shape, which no order changes; a host's shapes are aligned in the order of their text, in buckets of
+their hash first, then bucket by bucket. So the wrapper follows from the host's pages alone, whatever files and tasks
+they are in, and no task gathers more than a share of a hot host.
 
 A text slot of the expression keeps what the aligned pages have in it: pages, characters, characters in links, and the
 text's digest while all have the same. Slots inside navigation, headers, footers, forms and the like are boilerplate.
-The rest is the article if there is an article (or main) element, otherwise the deepest container of all slots that
-differ between pages and aren't links. Slots of one text on many pages are the template's.
+The rest is the article if there is an article (or main) element. Otherwise it is the deepest container of all slots
+that differ between pages and aren't links, without links and without the template's texts: those that are the same
+on over half of the host's pages, and stand in a container where no text differs. A heading that all articles have
+stands among texts that differ, and stays.
 
 To extract a page's text, the expression is matched against the page's elements, from the inside out; each
 text then belongs to the slot that it matched, and stays if that slot is the article's.
@@ -40,9 +43,12 @@ IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "t
 ENDS_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
 #: Parts of names in class, id or role that mark boilerplate, and parts that such names may have besides. Names with
 #: other parts (has-sidebar, comments-open, article-header, content-sidebar-wrap) say how a page is laid out.
-_WORD = r"(?:ad|ads|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disclaimer|footer|header|masthead|menu|nav|navbar|navigation|newsletter|notices?|pagination|popup|promo\w*|related|reply|replies|respond|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)"
+_WORD = r"(?:ad|ads|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disclaimer|footer|header|masthead|menu|nav|navbar|navigation|newsletter|notices?|pagination|disqus|popup|promo\w*|related|reply|replies|respond|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)"
 _BESIDES = r"(?:\d+|site|page|top|bottom|left|right|main|global|primary|secondary|mobile|desktop|bar|box|block|list|links?|buttons?|icons?|items?|area|section|form|text|title|inner|posts|articles|stories|slot|unit|signup)"
-MARKS = re.compile(rf"(?:^|\s)(?:{_BESIDES}[_-]+)*{_WORD}(?:[_-]+(?:{_WORD}|{_BESIDES}))*(?:$|\s)", re.I)
+_AROUND = r"(?:wrap|wrapper|container|thread|holder)"
+_OF = r"(?:post|user|users|reader|readers|visitor|article|entry|blog|page|story|wp|block|fb|facebook|all|the)"
+_COMMENTS = rf"(?:{_OF}[_-]+)*(?:comments?|disqus|replies)(?:[_-]+(?:{_AROUND}|{_BESIDES}))*"
+MARKS = re.compile(rf"(?:^|\s)(?:{_COMMENTS}|(?:{_BESIDES}[_-]+)*{_WORD}(?:[_-]+(?:{_WORD}|{_BESIDES}|{_AROUND}))*)(?:$|\s)", re.I)
 #: Elements that are never marked themselves.
 UNMARKED = {"html", "body", "article", "main"}
 MAIN = re.compile(r"(?:^|[\s_-])(?:article|main|main-?content|post-?(?:body|content)|entry-?content|article-?(?:body|content)|story)(?:$|[\s_-])", re.I)
@@ -54,12 +60,16 @@ _CLASS = re.compile(r"\bclass\s*=\s*(?:\"\s*([^\s\"]+)|'\s*([^\s']+)|([^\s>\"']+
 _MADE = re.compile(r"[a-z]*\d[a-z0-9]*")
 #: Most items of a repeated group, and of a list before it becomes a group of all orders.
 GROUP, MOST_ITEMS = 6, 32
-#: Pages from which on a slot with one text is the template's: anywhere, and inside an article element.
-SAME, SAME_INSIDE = 3, 8
+#: Elements that make up a container's text: a text in them stands in the container.
+FLOW = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "hgroup", "header", "li", "ul", "ol", "dl", "dt", "dd", "blockquote", "pre", "figure", "figcaption", "table", "caption", "thead", "tbody", "tfoot", "tr", "td", "th", "details", "summary", "address"}
 #: Elements inside each other that have levels of their own; what lies deeper is text of the deepest such element.
 DEEP = 64
-#: Partial wrappers of a host that one task aligns in the first round.
+#: Tasks whose sums of a shape one task adds up in the first round.
 FANOUT = 64
+#: Buckets of a host's shapes in the rounds of alignment; each number divides the one before.
+BUCKETS = (16_384, 128, 1)
+#: Items of expressions that a task holds before it passes them on.
+HELD = 500_000
 
 
 def tokens(page: str) -> list[tuple[str, str, str, int]]:
@@ -190,6 +200,9 @@ def _tokens(page: str, plain: set[int]) -> tuple[list[tuple[str, str, str, int]]
 Item = tuple[str, str, tuple, tuple | None]
 
 
+PAGE, APART, MIXED = "page", "apart", "mixed"
+
+
 def _sign(least: int, many: bool) -> str:
     return "+" if least and many else "*" if many else "" if least else "?"
 
@@ -198,21 +211,30 @@ def _key(item: Item) -> str:
     return item[1] or "(" + " ".join(map(_key, item[2])) + ")"
 
 
-def _either(x: Item, y: Item, repeated: bool = False, apart: bool = False) -> Item:
-    """The item that accepts x or y, two items of one key; `repeated`: x followed by y, any number of times; `apart`: of different pages."""
+def _either(x: Item, y: Item, how: str, repeated: bool = False) -> Item:
+    """The item that accepts x or y, two items of one key; `repeated`: x followed by y, any number of times.
+
+    `how` says where x and y are from: PAGE (one page, whose texts together are what a slot has), APART (pages of their
+    own) or MIXED (pages that both may have).
+    """
     bare = (x[0] in ("?", "*"), y[0] in ("?", "*"))
     least = 0 if (all(bare) if repeated else any(bare)) else 1
     many = repeated or x[0] in ("+", "*") or y[0] in ("+", "*")
     m, n = x[3], y[3]
-    slot = m and (m[0] + n[0] if apart else max(m[0], n[0]), m[1] + n[1], m[2] + n[2], m[3] if m[3] == n[3] else None)
-    return _sign(least, many), x[1], align(x[2], y[2], apart), slot
+    text = m and (m[3] if m[3] == n[3] else _digest(f"{m[3]} {n[3]}") if how == PAGE and m[3] and n[3] else None)
+    slot = m and (m[0] + n[0] if how == APART else max(m[0], n[0]), m[1] + n[1], m[2] + n[2], text)
+    return _sign(least, many), x[1], align(x[2], y[2], how), slot
+
+
+def _digest(text: str) -> str:
+    return hashlib.blake2b(text.encode(errors="surrogatepass"), digest_size=6).hexdigest()
 
 
 def _optional(item: Item) -> Item:
     return _sign(0, item[0] in ("+", "*")), *item[1:]
 
 
-def _fold(items: tuple[Item, ...]) -> tuple[Item, ...]:
+def _fold(items: tuple[Item, ...], how: str = PAGE) -> tuple[Item, ...]:
     """Adjacent items of one key become a repeated item, adjacent runs of equal keys a repeated group.
 
     A list that stays longer than MOST_ITEMS becomes one repeated group of optional items, which accepts all orders.
@@ -222,7 +244,7 @@ def _fold(items: tuple[Item, ...]) -> tuple[Item, ...]:
     for item in items:
         key = _key(item)
         if keys and keys[-1] == key:
-            out[-1] = _either(out[-1], item, repeated=True)
+            out[-1] = _either(out[-1], item, how, repeated=True)
         else:
             out.append(item)
             keys.append(key)
@@ -233,17 +255,17 @@ def _fold(items: tuple[Item, ...]) -> tuple[Item, ...]:
         while at + 2 * n <= len(out):
             first, second = out[at : at + n], out[at + n : at + 2 * n]
             if [*map(_key, first)] == [*map(_key, second)]:
-                out[at : at + 2 * n] = [("+", "", tuple(_either(x, y) for x, y in zip(first, second, strict=True)), None)]
+                out[at : at + 2 * n] = [("+", "", tuple(_either(x, y, how) for x, y in zip(first, second, strict=True)), None)]
                 group = out[at][2]
                 while [*map(_key, out[at + 1 : at + 1 + n])] == [*map(_key, group)]:
-                    group = tuple(_either(x, y) for x, y in zip(group, out[at + 1 : at + 1 + n], strict=True))
+                    group = tuple(_either(x, y, how) for x, y in zip(group, out[at + 1 : at + 1 + n], strict=True))
                     out[at : at + 1 + n] = [("+", "", group, None)]
             at += 1
     if len(out) > MOST_ITEMS:
         flat: dict[str, Item] = {}
         for item in out:
             for x in _leaves(item):
-                flat[_key(x)] = _either(flat[_key(x)], x) if _key(x) in flat else x
+                flat[_key(x)] = _either(flat[_key(x)], x, how) if _key(x) in flat else x
         out = [("*", "", tuple(_optional(flat[k]) for k in sorted(flat)), None)]
     return tuple(out)
 
@@ -253,27 +275,27 @@ def _leaves(item: Item) -> list[Item]:
     return [item] if item[1] else [x for i in item[2] for x in _leaves(i)]
 
 
-def align(a: tuple[Item, ...], b: tuple[Item, ...], apart: bool = True) -> tuple[Item, ...]:
+def align(a: tuple[Item, ...], b: tuple[Item, ...], how: str = APART) -> tuple[Item, ...]:
     """An expression that accepts both: items of one key align within, the others become optional."""
     if not a and not b:
         return a
     left, right = [*map(_key, a)], [*map(_key, b)]
     if left == right:
-        return tuple(_either(x, y, apart=apart) for x, y in zip(a, b, strict=True))
+        return tuple(_either(x, y, how) for x, y in zip(a, b, strict=True))
     for x, y in ((a, b), (b, a)):  # an expression of all orders takes in new items
         if len(x) == 1 and x[0][:2] == ("*", "") and len(x[0][2]) > 1 and all(i[1] and i[0] in ("?", "*") for i in x[0][2]):
             flat = {_key(i): i for i in x[0][2]}
             for item in y:
                 for i in _leaves(item):
-                    flat[_key(i)] = _optional(_either(flat[_key(i)], i, apart=apart) if _key(i) in flat else i)
+                    flat[_key(i)] = _optional(_either(flat[_key(i)], i, how) if _key(i) in flat else i)
             return (("*", "", tuple(flat[k] for k in sorted(flat)), None),)
     out: list[Item] = []
     for kind, a0, a1, b0, b1 in SequenceMatcher(None, left, right, autojunk=False).get_opcodes():
         if kind == "equal":
-            out += [_either(x, y, apart=apart) for x, y in zip(a[a0:a1], b[b0:b1], strict=True)]
+            out += [_either(x, y, how) for x, y in zip(a[a0:a1], b[b0:b1], strict=True)]
         else:
             out += [_optional(x) for x in (*a[a0:a1], *b[b0:b1])]
-    return _fold(tuple(out))
+    return _fold(tuple(out), PAGE if how == PAGE else MIXED)
 
 
 def expression(stream: list[tuple[str, str, str, int]]) -> tuple[Item, ...]:
@@ -281,7 +303,7 @@ def expression(stream: list[tuple[str, str, str, int]]) -> tuple[Item, ...]:
     levels: list[list[Item]] = [[]]
     for kind, _, text, linked in stream:
         if kind == "#":
-            levels[-1].append(("", "#", (), (1, len(text), linked, hashlib.blake2b(text.encode(), digest_size=6).hexdigest())))
+            levels[-1].append(("", "#", (), (1, len(text), linked, _digest(text))))
         elif kind[0] == "<":
             levels.append([])
         else:
@@ -290,6 +312,11 @@ def expression(stream: list[tuple[str, str, str, int]]) -> tuple[Item, ...]:
     return _fold(tuple(levels[0]))
 
 
+def shape(items: tuple[Item, ...]) -> str:
+    """What expressions have in common that differ in nothing but the texts: names and signs."""
+    return " ".join(f"{name or '.'}{sign}" + (f"({shape(inner)})" if inner else "") for sign, name, inner, _ in items)
+
+
 def pattern(items: tuple[Item, ...]) -> str:
     """The expression as a regular expression over tokens, each followed by a line end."""
     out = ""
@@ -388,13 +415,14 @@ class Wrapper:
         return cls(None if items is None else tupled(items), pages)
 
     def compiled(self) -> Extractor:
-        return Extractor(self.items or ())
+        return Extractor(self.items or (), self.pages)
 
 
 class Extractor:
     """A wrapper's expression as automata, with the decision for each slot."""
 
-    def __init__(self, items: tuple[Item, ...]):
+    def __init__(self, items: tuple[Item, ...], pages: int = 0):
+        self.pages = pages
         self.slots: list[tuple[str, tuple, str]] = []
         self.levels: dict[str, list[_Level]] = {}
         self.top = _Level(items, (), self.slots, self.levels)
@@ -406,25 +434,27 @@ class Extractor:
         for wanted in (lambda n: _tag(n) == "article", lambda n: _tag(n) == "main", lambda n: "*" in n):
             inside = [u and any(map(wanted, path.split("/"))) for u, (path, _, _) in zip(usable, self.slots, strict=True)]
             if any(inside):
-                # the template's texts in the article: once on a page at most, the same on many pages, where others differ
-                fixed = [sign in ("", "?") and slot[3] is not None and slot[0] >= SAME_INSIDE for _, slot, sign in self.slots]
-                differs = any(i and slot[3] is None for i, (_, slot, _) in zip(inside, self.slots, strict=True))
-                return [i and not (differs and f) for i, f in zip(inside, fixed, strict=True)]
-        own = [u and not self._against(slot) for u, (_, slot, _) in zip(usable, self.slots, strict=True)]
+                return inside
+        # what differs between pages and isn't links, and the containers that it stands in
+        own = [u and not self._linked(slot) for u, (_, slot, _) in zip(usable, self.slots, strict=True)]
+        differs = {_container(path) for o, (path, slot, _) in zip(own, self.slots, strict=True) if o and slot[3] is None}
+        if differs:
+            own = [o and not (self._same(slot) and _container(path) not in differs) for o, (path, slot, _) in zip(own, self.slots, strict=True)]
         if not any(own):
             return usable
-        # the deepest container of all slots that aren't links and differ between pages; below it only slots with
-        # evidence against them go, links and texts that are the same on several pages
-        names = [path.split("/") for o, (path, _, _) in zip(own, self.slots, strict=True) if o]
+        names = [path.split("/") for o, (path, slot, _) in zip(own, self.slots, strict=True) if o and not (differs and self._same(slot))]
         root = [x[0] for x in zip(*names, strict=False)][: next((i for i, x in enumerate(zip(*names, strict=False)) if len(set(x)) > 1), None)]
-        while len(root) > 1 and _tag(root[-1]) in {"p", "li", "td"}:
+        while len(root) > 1 and _tag(root[-1]) in FLOW:
             root.pop()
         return [o and path.split("/")[: len(root)] == root for o, (path, _, _) in zip(own, self.slots, strict=True)]
 
     @staticmethod
-    def _against(slot: tuple) -> bool:
-        pages, chars, linked, digest = slot
-        return 2 * linked >= chars or (digest is not None and pages >= SAME)
+    def _linked(slot: tuple) -> bool:
+        return 2 * slot[2] >= slot[1]
+
+    def _same(self, slot: tuple) -> bool:
+        """Whether a slot has one text on over half of the host's pages, and on more than a single one."""
+        return slot[3] is not None and 2 * slot[0] > self.pages > 1
 
     def slots_of(self, stream: list[tuple[str, str, str, int]]) -> list[int | None]:
         """The slot that each text of a page's stream matches, None for texts in elements that the wrapper lacks."""
@@ -475,6 +505,14 @@ def _tag(name: str) -> str:
     return re.match(r"[a-z0-9:-]*", name)[0]
 
 
+def _container(path: str) -> str:
+    """The path of the element whose text a slot is part of."""
+    names = path.split("/")
+    while len(names) > 1 and _tag(names[-1]) in FLOW:
+        names.pop()
+    return "/".join(names)
+
+
 @functools.lru_cache(100_000)
 def boilerplate(path: str) -> bool:
     """A header inside an article is the article's own heading, all other SKIPPED elements are boilerplate."""
@@ -492,25 +530,61 @@ def _clean(text: str) -> str:
     return " ".join(entities.unescape(text).split())
 
 
-def _infer(batches):
+def _size(items: tuple[Item, ...]) -> int:
+    return sum(1 + _size(inner) for _, _, inner, _ in items)
+
+
+_SHAPES = "host string, share int, bucket int, shape string, wrapper string"
+
+
+def _summed(sums: dict[tuple, Wrapper], share: int):
+    """Rows of _SHAPES for the wrappers of (host, bucket, shape)."""
     import pyarrow as pa
+
+    hosts, buckets, shapes = zip(*sums, strict=True) if sums else ((), (), ())
+    return pa.table({"host": pa.array(hosts, pa.string()), "share": pa.array([share] * len(sums), pa.int32()), "bucket": pa.array(buckets, pa.int32()), "shape": pa.array(shapes, pa.string()), "wrapper": pa.array([w.dumps() for w in sums.values()], pa.string())})
+
+
+def _infer(batches):
     from pyspark import TaskContext
 
-    wrappers: dict[str, Wrapper] = {}
+    share = TaskContext.get().partitionId() // FANOUT
+    sums: dict[tuple, Wrapper] = {}
+    held = 0
     for batch in batches:
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            wrappers.setdefault(host, Wrapper()).add(tokens(page or ""))
-    share = TaskContext.get().partitionId() // FANOUT
-    yield pa.RecordBatch.from_arrays([pa.array(list(wrappers), pa.string()), pa.array([share] * len(wrappers), pa.int32()), pa.array([w.dumps() for w in wrappers.values()], pa.string())], names=["host", "share", "wrapper"])
+            items = expression(tokens(page or ""))
+            name = shape(items)
+            bucket = int.from_bytes(hashlib.blake2b(name.encode(), digest_size=4).digest()) % BUCKETS[0]
+            if (host, bucket, name) not in sums:
+                held += _size(items)
+            sums.setdefault((host, bucket, name), Wrapper()).merge(Wrapper(items, 1))
+        if held > HELD:  # sums of sums are the same
+            yield from _summed(sums, share).to_batches()
+            sums, held = {}, 0
+    yield from _summed(sums, share).to_batches()
 
 
-def _together(table):
-    import pyarrow as pa
+def _sums(table) -> dict[tuple, Wrapper]:
+    """A group's wrappers by host, bucket and shape, those of one shape added up."""
+    sums: dict[tuple, Wrapper] = {}
+    for host, bucket, name, text in zip(*(table.column(c).to_pylist() for c in ("host", "bucket", "shape", "wrapper")), strict=True):
+        sums.setdefault((host, bucket, name), Wrapper()).merge(Wrapper.loads(text))
+    return sums
+
 
+def _added(table):
+    return _summed(_sums(table), 0)
+
+
+def _together(table):
+    """One wrapper of a group's, aligned in the order of their shapes and what is in them."""
+    sums = _sums(table)
     whole = Wrapper()
-    for text in sorted(table.column("wrapper").to_pylist()):
-        whole.merge(Wrapper.loads(text))
-    return pa.table({"host": table.column("host").slice(0, 1), "share": pa.array([0], pa.int32()), "wrapper": [whole.dumps()]})
+    for _, wrapper in sorted(sums.items(), key=lambda x: (x[0][2], x[0][1])):
+        whole.merge(wrapper)
+    host, bucket, _ = next(iter(sums))
+    return _summed({(host, bucket, shape(whole.items)): whole}, 0)
 
 
 def _host(url):
@@ -521,9 +595,10 @@ def _host(url):
 def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """host and wrapper (JSON) for each host of `pages`; pages without a host are one host of their own."""
     rows = pages.select(_host(F.col(url_col).cast("string")).alias("host"), F.col(html_col).cast("string").alias("html"))
-    partial = rows.mapInArrow(_infer, "host string, share int, wrapper string")
-    for keys in (["host", "share"], ["host"]):
-        partial = partial.groupBy(*keys).applyInArrow(_together, "host string, share int, wrapper string")
+    partial = rows.mapInArrow(_infer, _SHAPES)
+    partial = partial.groupBy("host", "share", "bucket").applyInArrow(_added, _SHAPES)
+    for buckets in BUCKETS:
+        partial = partial.withColumn("bucket", F.col("bucket") % buckets).groupBy("host", "bucket").applyInArrow(_together, _SHAPES)
     return partial.select("host", "wrapper")
 
 

@@ -32,13 +32,46 @@ def test_deep_and_broken_pages_are_read():
     assert text_of("") == text_of("<!-- x") == "" and text_of("<") == "<"
 
 
+@pytest.mark.parametrize("n", [1, 2, 7, 8, 100])
+def test_a_heading_that_all_articles_have_stays(n):
+    inside = lambda i: f"<article><h1>Head {i}</h1><h2>Summary</h2><div class=lead>Note</div><p>Text {i}</p>{'<p>More ' + str(i) + '</p>' if i % 2 else ''}</article>"
+    assert text_of(*map(inside, range(n)), page=0) == "Head 0 Summary Note Text 0"
+    plain = lambda i: f"<div class=a><a href=x>Home</a></div><div class=b><h2>Summary</h2><p>Text {i}</p><ul><li>Item {i}</ul></div>"
+    assert text_of(*map(plain, range(n)), page=0) == "Summary Text 0 Item 0"
+
+
 def test_the_expression_tells_the_templates_texts():
-    make = lambda i: f"<article><h1>Head {i}</h1><div class=meta>Share this page</div><p>Text {i}</p>{'<p>More ' + str(i) + '</p>' if i % 2 else ''}</article>"
-    assert text_of(*map(make, range(9)), page=3) == "Head 3 Text 3 More 3"
-    assert text_of(*map(make, range(5)), page=3) == "Head 3 Share this page Text 3 More 3"  # too few pages to tell
-    assert text_of(*["<article><h1>Same</h1><p>text</p></article>"] * 9) == "Same text"  # copies are no template
-    plain = lambda i: f"<div class=a><a href=x>Home</a></div><div class=b><h2>Latest</h2><p>Text {i}</p><ul><li>Item {i}</ul></div>"
-    assert text_of(*map(plain, range(4)), page=1) == "Text 1 Item 1"
+    def plain(i):
+        return f"<div class=top>Our paper <b>daily</b></div><div class=b><h2>Head {i}</h2><p>Text {i}</p></div>{'<div class=c><p>Only here</p></div>' if i == 1 else ''}<div class=end><p>All rights</p><p>Made here</p></div>"
+
+    assert text_of(*map(plain, range(2)), page=0) == text_of(*map(plain, range(50)), page=0) == "Head 0 Text 0"
+    assert text_of(*map(plain, range(5)), page=1) == "Head 1 Text 1 Only here"
+    assert text_of(plain(0)) == "Our paper daily Head 0 Text 0 All rights Made here"  # one page has no template
+    assert text_of(*[plain(1)] * 9) == "Our paper daily Head 1 Text 1 Only here All rights Made here"  # copies are no template
+
+
+@pytest.mark.parametrize("mark", ["class='post-comments-wrapper'", "id='disqus_thread'", "class='user-comments'", "class='wp-block-comments'", "class='cookie-notice-wrap'", "class='comment-list'", "id=comments"])
+def test_reader_comments_and_notices_go(mark):
+    assert text_of(f"<article><h1>Head</h1><p>Text</p><div {mark}><p>reader says</p></div></article>") == "Head Text"
+
+
+def test_the_text_does_not_depend_on_files(spark, tmp_path):
+    import random
+
+    rng = random.Random(3)
+    rows = []
+    for i in range(180):
+        blocks = "".join(rng.choice([f"<p>Par {rng.random()}</p>", f"<h2>Part {i}</h2>", "<div class=lead>Note</div>", f"<ul><li>Item {i}</ul>", "<blockquote>Said</blockquote>", f"<div class=box><p>Box {i % 5}</p></div>"]) for _ in range(rng.randrange(1, 9)))
+        rows.append((i, f"https://h{i % 9 // 8}.org/{i}", f"<div class=top><a href=x>Home</a> same</div><div class=main0>{blocks}</div><div class=end>same end</div>"))
+    found = []
+    for n in (1, 2, 4, 7):
+        rng.shuffle(rows)
+        path = str(tmp_path / f"pages{n}")
+        spark.createDataFrame(rows, "page_id long, url string, html string").repartition(n).write.parquet(path)
+        found.append(sorted((r.page_id, r.text) for r in html_text.extract_text(spark.read.parquet(path)).collect()))
+    assert found[0] == found[1] == found[2] == found[3] and len(found[0]) == 180
+    html = {i: page for i, _, page in rows}
+    assert not any("same end" in text for i, text in found[0] if "<p>Par" in html[i])
 
 
 def test_pages_match_their_hosts_expression():
