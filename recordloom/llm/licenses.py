@@ -108,8 +108,9 @@ def evaluate(postfix: list[str]) -> list[frozenset[str]]:
 def decide(postfix: list[str]) -> tuple[frozenset[str], frozenset[str]]:
     """All identifiers of an expression's alternatives, and those that each alternative has.
 
-    An identifier is in each alternative if the expression fails when it alone is left out. Bit i of a value says
-    whether the expression holds without identifier i, so one pass over the items tries all of them.
+    An identifier is in each alternative if the expression fails when it alone is left out. Each part has the set of
+    those that it fails without: both sides' for `and`, common ones for `or`. The smaller set goes into the larger, so
+    n identifiers take n log n steps and room for n.
     """
     names: list[str] = []
     steps: list[tuple[str, int, int]] = []  # names, and operators on two steps
@@ -133,13 +134,20 @@ def decide(postfix: list[str]) -> tuple[frozenset[str], frozenset[str]]:
     if not stack:
         return frozenset(), frozenset()
     top, first, end = stack[-1]
-    number = {x: i for i, x in enumerate(dict.fromkeys(names[first:end]))}
-    every = (1 << len(number)) - 1
-    values: list[int] = []
+    own = frozenset(names[first:end])
+    fails: list[set[str] | None] = []
     for item, a, b in steps[: top + 1]:
-        known = number.get(names[a]) if not item and a < len(names) else None
-        values.append((values[a] | values[b] if item == "or" else values[a] & values[b]) if item else every if known is None else every ^ 1 << known)
-    return frozenset(number), frozenset(x for x, i in number.items() if not values[top] >> i & 1)
+        if not item:
+            fails.append({names[a]} if a < len(names) else set())
+            continue
+        small, large = sorted((fails[a], fails[b]), key=len)
+        fails[a] = fails[b] = None
+        if item == "and":
+            large |= small
+        else:
+            large = {x for x in small if x in large}
+        fails.append(large)
+    return own, own & fails[top]
 
 
 def label_of(identifier: str) -> str | None:
@@ -167,7 +175,8 @@ def scan(text: bytes, automaton) -> tuple[int, list[tuple[str, str, int, int]],
     findings: list[tuple[str, str, int, int]] = []
     agreed: Counter[str] = Counter()
     pieces, broken = 0, False
-    starts = ends = None
+    starts = None
+    tags: list[tuple[int, int]] = []  # first word and words
     # one char for a byte, so that places in the line are places in bytes
     for end, (kind, label, n, size) in automaton.iter(line.decode("latin-1")):
         if starts is None:
@@ -178,24 +187,28 @@ def scan(text: bytes, automaton) -> tuple[int, list[tuple[str, str, int, int]],
             agreed[label] += 1
             pieces += 1
             continue
-        if ends is None:  # of words in the text
-            letters = np.frombuffer(spaced, np.uint8) != 32
-            ends = np.flatnonzero(letters & ~np.r_[letters[1:], False]) + 1
-        labels, required, whole = _tagged(text, int(ends[word + n - 1]))
+        tags.append((word, n))
+    if tags:
+        letters = np.frombuffer(spaced, np.uint8) != 32
+        begins, ends = np.flatnonzero(letters & ~np.r_[False, letters[:-1]]), np.flatnonzero(letters & ~np.r_[letters[1:], False]) + 1
+        stops = [int(begins[word]) for word, _ in tags[1:]] + [len(text)]
+    for (word, n), stop in zip(tags, stops if tags else (), strict=True):
+        labels, required, whole = _tagged(text, int(ends[word + n - 1]), stop)
         findings += [("required" if x in required else "expression", x, word, n) for x in labels]
         agreed.update(labels)
         pieces += len(labels) - len(required) + bool(required)
         broken |= not whole
+    findings.sort(key=lambda f: f[2])
     return len(words), findings, (max(agreed.values()) / pieces if pieces else 0.0) / (1 + broken)
 
 
-def _tagged(text: bytes, at: int) -> tuple[list[str], set[str], bool]:
+def _tagged(text: bytes, at: int, stop: int) -> tuple[list[str], set[str], bool]:
     """Labels of the expression that follows the tag's end, those of all its alternatives, and whether all could be read.
 
-    Without a colon there is no expression, and nothing to complain about.
+    An expression ends before `stop`, the next tag's place, and at the end of its line. Without a colon there is no expression, and nothing to complain about.
     """
-    end = text.find(b"\n", at)
-    rest = text[at : end if end >= 0 else len(text)].lstrip()
+    end = text.find(b"\n", at, stop)
+    rest = text[at : end if end >= 0 else stop].lstrip()
     if rest[:1] != b":":
         return [], set(), True
     postfix, whole = parse_expression(rest[1:].decode("utf-8", "replace"))

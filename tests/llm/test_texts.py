@@ -135,6 +135,22 @@ def test_license_operators_and_many_tags():
     assert len(names) == 4000 and not needed and licenses.decide([]) == (frozenset(), frozenset())
 
 
+def test_licenses_of_very_long_lines():
+    import time
+
+    automaton = licenses._automaton()
+    line = lambda joined, n: b"SPDX-License-Identifier: " + joined.join(b"LicenseRef-%d" % i for i in range(n))
+    began = time.process_time()
+    n_words, findings, score = licenses.scan(b"SPDX-License-Identifier: MIT " * 100_000, automaton)
+    assert (n_words, len(findings), score) == (400_000, 100_000, 1.0) and {f[:2] for f in findings} == {("required", "mit")}
+    assert [f[2] for f in findings] == [*range(0, 400_000, 4)]
+    for joined, kind in ((b" AND ", "required"), (b" OR ", "expression")):
+        findings = licenses.scan(line(joined, 100_000), automaton)[1]
+        assert len(findings) == 100_000 and {f[0] for f in findings} == {kind}
+    assert time.process_time() - began < 60
+    assert licenses.scan(b"SPDX-License-Identifier: MIT AND SPDX-License-Identifier: Apache-2.0", automaton)[1] == [("required", "mit", 0, 3), ("required", "apache-2", 4, 3)]
+
+
 def plain_scan(text):
     """Places of all phrases by comparing words, expressions by their listed alternatives."""
     low = re.sub("[A-Z]", lambda m: m[0].lower(), text)
