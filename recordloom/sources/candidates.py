@@ -1,8 +1,8 @@
 """Candidate relations from registries and catalogues, and a polite client for live use.
 
 A source answers (candidates, error): no error with no candidates is a genuine negative, an error means that it
-wasn't checked. Offline, both are tables; live, `live_candidates` calls an injected function for each record in one
-partition for each source, so that a source's limiter is the only one.
+wasn't checked. Offline, both are tables; live, `live_candidates` calls an injected function for each record. A
+source's records are several tasks' work: each has slots of the clock of its own, and pauses are shared by files.
 """
 
 from __future__ import annotations
@@ -48,6 +48,65 @@ class Limiter:
             self._next = max(self._next, self.clock() + seconds)
 
 
+class Pauses:
+    """Until when a source asked to be left alone, known to all tasks by names of empty files in a shared folder."""
+
+    def __init__(self, folder: str):
+        self.folder = folder
+
+    def _open(self):
+        from pyarrow import fs
+
+        if "://" in self.folder:
+            return fs.FileSystem.from_uri(self.folder)
+        return fs.LocalFileSystem(), self.folder.removeprefix("file:")
+
+    def put(self, source: str, until: float) -> None:
+        files, path = self._open()
+        files.create_dir(path, recursive=True)
+        with files.open_output_stream(f"{path}/{source}@{int(until * 1000) + 1}"):
+            pass
+
+    def get(self, source: str) -> float:
+        from pyarrow import fs
+
+        files, path = self._open()
+        names = [x.base_name for x in files.get_file_info(fs.FileSelector(path, allow_not_found=True))]
+        return max((int(name.rpartition("@")[2]) / 1000 for name in names if name.rpartition("@")[0] == source), default=0.0)
+
+
+class SlotLimiter:
+    """The calls of one of `shares` tasks that ask a source together, at most one in each `interval` of all of them.
+
+    Time is cut into slots of `interval` seconds, and slot n belongs to task n mod `shares`. A call waits for the begin
+    of the task's next slot, never for the one that runs: a task that is started again doesn't use its predecessor's
+    slot twice. The tasks' clocks have to agree to a part of the interval, and one attempt of a task may run at a time
+    (no speculation). Pauses go to `pauses`, so that all tasks keep them, those started again too.
+    """
+
+    def __init__(self, source: str, interval: float, share: int, shares: int, pauses: Pauses | None = None, clock: Callable[[], float] = time.time, sleep: Callable[[float], None] = time.sleep):
+        self.source, self.interval, self.share, self.shares, self.pauses, self.clock, self.sleep = source, interval, share, shares, pauses, clock, sleep
+        self._last, self._until = -1, 0.0
+
+    def _free_from(self) -> float:
+        return max(self._until, self.pauses.get(self.source) if self.pauses else 0.0)
+
+    def wait(self) -> None:
+        while True:
+            slot = max(int(max(self.clock(), self._free_from()) / self.interval), self._last) + 1
+            slot += (self.share - slot) % self.shares
+            if (pause := slot * self.interval - self.clock()) > 0:
+                self.sleep(pause)
+            if self._free_from() <= slot * self.interval:  # nobody was told to pause meanwhile
+                self._last = slot
+                return
+
+    def defer(self, seconds: float) -> None:
+        self._until = max(self._until, self.clock() + seconds)
+        if self.pauses:
+            self.pauses.put(self.source, self._until)
+
+
 def retry_after(header: str | None, attempt: int, now: float | None = None) -> float:
     """Seconds that an answer asks to wait, from 1 to LONGEST_WAIT; without a header a growing pause."""
     if header:
@@ -154,20 +213,26 @@ def parse_payloads(payloads: DataFrame) -> DataFrame:
     return payloads.select(F.col("record").cast("string").alias("record"), "source", "payload").mapInPandas(run, CANDIDATE)
 
 
-def live_candidates(asked: DataFrame, fetch: Callable[[str, str, str], tuple[int, str | None, bytes]]) -> DataFrame:
+def live_candidates(asked: DataFrame, fetch: Callable[[str, str, str], tuple[int, str | None, bytes]], shares: int = 4, pauses: Pauses | None = None, spacing: dict[str, float] | None = None) -> DataFrame:
     """record, source, payload and error for each row of `asked` (record, source, title) by an injected `fetch`.
 
-    One partition for each source: its limiter is global, whatever the cluster's size.
+    A source's records are dealt to `shares` tasks by hash. They keep the source's spacing together, by slots of the
+    clock, so that a slow answer holds up one share only. `pauses` has to be in a folder that all executors see; without
+    it a pause is known to the task that was told. Null records and titles are asked for like others.
     """
+    spacing = SPACING | (spacing or {})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        limiters: dict[str, Limiter] = {}
+        limiters: dict[tuple[str, int], SlotLimiter] = {}
         for batch in batches:
             out = []
-            for record, source, title in zip(batch["record"], batch["source"], batch["title"], strict=True):
-                limiter = limiters.setdefault(source, Limiter(SPACING.get(source, 1.0)))
+            for record, source, title, share in zip(batch["record"], batch["source"], batch["title"], batch["share"], strict=True):
+                limiter = limiters.setdefault((source, share), SlotLimiter(source, spacing.get(source, 1.0), share, shares, pauses))
                 body, error = with_retry(lambda s=source, t=title, r=record: fetch(s, t, r), limiter)
                 out.append((record, source, None if body is None else body.decode("utf-8", "replace"), error))
             yield pd.DataFrame(out, columns=["record", "source", "payload", "error"])
 
-    return asked.select(F.col("record").cast("string").alias("record"), "source", "title").repartition("source").mapInPandas(run, "record string, source string, payload string, error string")
+    rows = asked.select(F.col("record").cast("string").alias("record"), "source", "title")
+    dealt = rows.withColumn("share", F.pmod(F.xxhash64("record", "title"), F.lit(shares)).cast("int"))
+    # a fixed number of partitions: adaptive execution would put these short rows into one task
+    return dealt.repartition(len(SPACING) * shares, "source", "share").mapInPandas(run, "record string, source string, payload string, error string")
