@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.functions.cells import clean, fold, number
+from recordloom.operators.schema import drop_blank
 
 NUMERIC = {">": lambda x, v: x > v, ">=": lambda x, v: x >= v, "<": lambda x, v: x < v, "<=": lambda x, v: x <= v, "=": lambda x, v: x == v, "!=": lambda x, v: x != v}
 TEXT = ("equals", "not equals", "contains", "does not contain", "is blank", "is not blank")
@@ -58,3 +59,26 @@ def project(df: DataFrame, columns: list[str], conditions=(), mode: str = "AND")
 def page(df: DataFrame, order: list[Column], number_: int, size: int = 100) -> DataFrame:
     """Rows of one page in the given order, the first page being 1."""
     return df.orderBy(*order).offset(max(number_ - 1, 0) * size).limit(size)
+
+
+def operators_for(df: DataFrame, columns: list[str]) -> dict[str, tuple[str, ...]]:
+    """The operators that each column's cells allow: numeric ones for a numeric column, else those of texts; one job for all."""
+    shares = df.agg(*(numeric_share(F.col(f"`{c}`")).alias(str(i)) for i, c in enumerate(columns))).first()
+    return {c: (*NUMERIC, "between") if (shares[i] or 0) >= 0.8 else TEXT for i, c in enumerate(columns)}
+
+
+def filter_by_kind(df: DataFrame, conditions: list[tuple[str, str, str, str]], mode: str = "AND") -> DataFrame:
+    """filter_records() with the operators that the columns' kinds allow; another one is an error before any row is read for the result."""
+    if unknown := [c for c, *_ in conditions if c not in df.columns]:
+        raise KeyError(f"column not found: {unknown[0]}")
+    allowed = operators_for(df, list(dict.fromkeys(c for c, *_ in conditions))) if conditions else {}
+    for name, operator, *_ in conditions:
+        if operator not in allowed[name]:
+            raise ValueError(f"{name} doesn't take the operator {operator}")
+    return filter_records(df, conditions, mode)
+
+
+def export_frame(df: DataFrame, columns: list[str] | None = None, review: tuple[str, ...] = (), conditions=(), mode: str = "AND") -> DataFrame:
+    """The filtered rows with the ticked columns (None: all), without those review columns that none of these rows fills."""
+    frame = project(df, list(df.columns) if columns is None else columns, conditions, mode)
+    return drop_blank(frame, [c for c in review if c in frame.columns])

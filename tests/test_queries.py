@@ -1,6 +1,6 @@
 import pytest
 
-from recordloom.plans import evidence_queries, file_queries, page_queries, record_queries, registry, stream_queries, text_queries  # noqa: F401
+from recordloom.plans import evidence_queries, file_queries, page_queries, record_queries, registry, registry_queries, stream_queries, text_queries  # noqa: F401
 from tests.oracle import same
 
 
