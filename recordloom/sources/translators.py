@@ -7,7 +7,7 @@ import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
-from recordloom.operators.chunks import pack
+from recordloom.operators.chunks import packed, rejoined
 
 #: Texts of one request.
 BATCH = 25
@@ -59,14 +59,14 @@ def mymemory(texts: list[str], target: str, http: Http, mail: str = "", region:
     """One chunk a request; a text's translations are joined again."""
     out: list[str] = []
     for text in texts:
-        parts = []
-        for chunk in pack(text):
+        parts, chunks = [], packed(text)
+        for chunk, _ in chunks:
             answer = _ok("MyMemory", *http("https://api.mymemory.translated.net/get", {"q": chunk, "langpair": f"{source or 'en'}|{target}"} | ({"de": mail} if mail else {}), {}, None), {429: "too many requests"})
             found = str((answer.get("responseData") or {}).get("translatedText") or "")
             if str(answer.get("responseStatus")) != "200":
                 raise TranslationError(quota_message(found or str(answer.get("responseDetails")), mail) or f"MyMemory: {answer.get('responseDetails')}", out)
             parts.append(found)
-        out.append(" ".join(parts))
+        out.append(rejoined(parts, (glued for _, glued in chunks)))
     return out
 
 

@@ -1,4 +1,5 @@
 import json
+import re
 
 import pytest
 from hypothesis import given, settings
@@ -241,6 +242,23 @@ def test_chunks_keep_the_text(text, most):
     assert all(0 < len(c.encode()) <= most for c in packed) and "".join("".join(packed).split()) == "".join(text.split())
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.text(" \n\u00a0ab.é", max_size=300), st.integers(4, 60))
+def test_chunks_keep_the_words(text, most):
+    found = chunks.packed(text, most)
+    assert [x for x, _ in found] == chunks.pack(text, most) and all(0 < len(x.encode()) <= most for x, _ in found)
+    ascii_words = lambda x: [w for w in x.replace("\n", " ").split(" ") if w]
+    assert len(ascii_words(chunks.rejoined(*zip(*found)) if found else "")) == len(ascii_words(text))
+
+
+def test_a_long_sentence_is_cut_between_words(spark):
+    text = " ".join(["wörd"] * 300) + " " + "x" * 1000 + "\u00a0y.\u00a0z\nend"
+    row = one(spark, chunks.parts(F.lit(text)).alias("p"), chunks.whole(chunks.parts(F.lit(text))).alias("t"))
+    words = re.findall(r"[^ \n]+", row.t)
+    assert words[:300] == ["wörd"] * 300 and len(words) == 302 and "x" * 1000 in row.t
+    assert all(w in ("wörd", "") or "x" in w for x in row.p for w in x.text.split(" ")[:-1])
+
+
 def test_binding_columns(spark):
     df = spark.createDataFrame([("a", " ", "b", ["x", "y"])], "`Item Title` string, url string, `My DOI` string, tags array<string>")
     assert schema.bind(df, ("title", "doi", "url", "year")) == {"title": "Item Title", "doi": "My DOI", "url": "url", "year": None}
