@@ -59,3 +59,24 @@ def test_both_embedders_find_the_topic(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     found = {r.model: r for r in embedding.compare_embedders(docs.where("doc_id % 3 <> 0"), docs.where("doc_id % 3 = 0"), "text", "lang").collect()}
     assert set(found) == {"letters", "words"} and all(r.top1 > 0.9 and r.top3 >= r.top1 for r in found.values())
+
+
+def test_texts_are_read_once_for_each_step_whatever_is_compared(spark, tmp_path):
+    read = spark.sparkContext.accumulator(0)
+    text = F.udf(lambda x: (read.add(1), x)[1]).asNondeterministic()(F.col("text"))
+    rows = [(i, "xyz"[i % 3], f"{'abc'[i % 3] * 3} word{'rst'[i % 3]} {i}") for i in range(30)]
+    docs = spark.createDataFrame(rows, "i int, lang string, text string").withColumn("text", text)
+    found = embedding.compare_embedders(docs.where("i % 5 <> 0"), docs.where("i % 5 = 0"), "text", "lang").collect()
+    assert {(r.model, r.n, r.top1) for r in found} == {("letters", 6, 1.0), ("words", 6, 1.0)}
+    assert read.value == 3 * 30  # the weights, the known ones, the judged ones; each draws all rows, as the column is above the filter
+
+
+def test_buckets_of_words_equal_a_sum_by_letters():
+    for text in ("a", "ß é ÀB", "x" * 3000 + " ab", "日本語 a1b2", None, "1 2", "\U0002a6b2z"):
+        want = []
+        for word in re.findall(r"[^\W\d_]+", (text or "").lower()):
+            value = 0
+            for c in word:
+                value = (value * 31 + ord(c)) % 1_000_003
+            want.append(value % 4096)
+        assert embedding.word_buckets(text).tolist() == want
