@@ -32,10 +32,12 @@ from recordloom.llm.simhash import RADIUS, links, majority, shingles
 #: Words in a shingle and the least similarity of linked texts.
 WORDS, SIMILARITY = 5, 0.8
 #: The order's sample: a share of the rows, but this many at least; the least count of a common shingle, and the most of
-#: them that are sent along (32 MB). Shingles that the order takes for rare only make candidates that don't verify.
-SHARE, SAMPLE, COMMON, MOST_COMMON = 1 / 64, 5000, 3, 2_000_000
-#: Rows of a bucket that are compared in one list.
-PAIRS = 48
+#: them that are sent along (32 MB). Shingles that the order takes for rare only make candidates that don't verify; the
+#: share bounds how large their buckets get, with whose square these candidates grow.
+SHARE, SAMPLE, COMMON, MOST_COMMON = 1 / 8, 5000, 3, 2_000_000
+#: Rows of a bucket that are compared in one list, and the most words of a sketch that moves with each: long texts have
+#: long sketches and many buckets, so their pairs are compared by size and place first.
+PAIRS, LISTED = 48, 16
 #: Keeps products of the similarity, which isn't a binary fraction, from being rounded past a whole number.
 _EPS = 1e-9
 #: Pairs whose whole sets a task compares.
@@ -137,18 +139,18 @@ def _leaders(met: DataFrame, order: Column, similarity: float) -> DataFrame:
 
 
 def _rest(met: DataFrame, prints: DataFrame, similarity: float, pairs: int) -> DataFrame:
-    """The pairs of a bucket that are in different components (root) and whose sketches are alike: others aren't listed.
+    """The pairs of a bucket that are in different components (root) and whose sizes, and sketches of up to LISTED words, are alike: others aren't listed.
 
     A bucket's rows are dealt to lists of about `pairs` rows. Those outside of the bucket's largest component meet each
     list, and compare themselves with its rows.
     """
     ties = met.groupBy("gram", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("gram").agg(F.sum("k").alias("size"), F.max_by("root", "k").alias("main"))
-    rows = met.join(ties, "gram").withColumn("lists", F.ceil(F.col("size") / max(pairs, 1)).cast("int")).join(prints.select(F.col(ROW).alias("node"), "sketch"), "node")
+    rows = met.join(ties, "gram").withColumn("lists", F.ceil(F.col("size") / max(pairs, 1)).cast("int")).join(prints.select(F.col(ROW).alias("node"), F.when(F.size("sketch") <= LISTED, F.col("sketch")).alias("sketch")), "node")
     item = F.struct("node", "n", "pos", "root", "sketch")
     listed = rows.groupBy("gram", F.pmod(F.xxhash64("node"), F.col("lists")).cast("int").alias("list")).agg(F.collect_list(item).alias("all"))
     asked = rows.where(F.col("root") != F.col("main")).select("gram", item.alias("x"), F.explode(F.sequence(F.lit(0), F.col("lists") - 1)).alias("list"))
     x = F.col("x")
-    apart = lambda y: (x["root"] != y["root"]) & _may(x, y, similarity) & _alike(x, y, similarity)
+    apart = lambda y: (x["root"] != y["root"]) & _may(x, y, similarity) & F.when(x["sketch"].isNull() | y["sketch"].isNull(), _sizes(x, y, similarity)).otherwise(_alike(x, y, similarity))
     found = asked.join(listed, ["gram", "list"]).select(x["node"].alias("a"), F.transform(F.filter("all", apart), lambda y: y["node"]).alias("b"))
     return found.where(F.size("b") > 0).select("a", F.explode("b").alias("b"))
 
@@ -167,9 +169,13 @@ def _folded(sketch: Column, size: Column) -> Column:
     return F.when(F.size(sketch) > size, half).otherwise(sketch)
 
 
+def _sizes(x: Column, y: Column, similarity: float) -> Column:
+    return F.least(x["n"], y["n"]) >= F.greatest(x["n"], y["n"]) * F.lit(similarity) - _EPS
+
+
 def _alike(x: Column, y: Column, similarity: float) -> Column:
     """Whether sizes (n) and sketches leave the similarity possible: sketches differ in no more bits than sets in elements."""
-    sizes = F.least(x["n"], y["n"]) >= F.greatest(x["n"], y["n"]) * F.lit(similarity) - _EPS
+    sizes = _sizes(x, y, similarity)
     if similarity <= 0.5:
         return sizes
     # sizes that allow the similarity differ by half at most, and sketches by one fold

@@ -54,3 +54,14 @@ def test_large_groups_and_common_lines(spark, tmp_path, pairs):
     gone = {i for group in least.values() for i in group if i != min(group)}
     assert sorted({i for i, _ in rows} - gone) == stay(rows)
     assert sorted(r.doc_id for r in near_copies.drop_near_copies(docs).collect()) == stay(rows)
+
+
+def test_pairs_without_sketches_in_their_lists(spark, tmp_path, monkeypatch):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(300)]
+    line = [rng.choice(words) for _ in range(30)]
+    rows = list(enumerate(" ".join([rng.choice(words) for _ in range(3 * i)] + line) for i in range(16)))
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/d")
+    monkeypatch.setattr(near_copies, "LISTED", 0)
+    kept = near_copies.drop_near_copies(spark.read.parquet(f"{tmp_path}/d"))
+    assert sorted(r.doc_id for r in kept.collect()) == stay(rows)
