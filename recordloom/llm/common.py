@@ -79,15 +79,18 @@ def few_tasks(df: DataFrame, rows: int, each: int = WRITTEN) -> DataFrame:
     return df.coalesce(max(1, -(-rows // each)))
 
 
-#: Most rows in an Arrow batch: documents and pages are long, and a task holds several batches at once.
-BATCH = 500
+#: Most rows in an Arrow batch, and the bytes at which it ends: documents, pages and packed rows are long, and a task
+#: holds several batches at once, in the JVM and in Python.
+BATCH, BATCH_BYTES = 500, 2 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Have the session send at most BATCH rows to Python at a time."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH:
-        spark.conf.set(name, BATCH)
+    """Have the session send at most BATCH rows to Python at a time, and no more once they have BATCH_BYTES; a row is whole."""
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH:
+        spark.conf.set(rows, BATCH)
+    if not 0 < spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(size)) <= BATCH_BYTES:
+        spark.conf.set(size, f"{BATCH_BYTES}b")
 
 
 @contextmanager

@@ -85,3 +85,18 @@ def test_a_cluster_needs_a_shared_folder(spark):
 
     with pytest.raises(ValueError):
         common.work_dir(Cluster(), "x")
+
+
+def test_batches_end_at_some_bytes(spark):
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["rows", "size"])
+
+    common.small_batches(spark)
+    texts = spark.range(0, 60, 1, 1).select(F.expr("repeat('x', 200000)").alias("text"))
+    found = texts.mapInArrow(sizes, "rows long, size long").collect()
+    assert sum(r.rows for r in found) == 60 and max(r.size for r in found) < common.BATCH_BYTES + 500_000
+    assert spark.createDataFrame([("x" * 3 * common.BATCH_BYTES,)], "text string").mapInArrow(sizes, "rows long, size long").first().size > 3 * common.BATCH_BYTES  # a row is whole
