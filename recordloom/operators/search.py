@@ -3,11 +3,13 @@
 Entries with the same words are one class, of which the k with the smallest keys are kept. A record's words with small
 weights can't bring an entry among its best k alone: what at least k entries have by one word is a bound that all of
 them together may miss. Only the other words, the essential ones, meet the catalogue's; what they give is completed by
-comparing whole word sets.
+comparing whole word sets. A frequent word's entries are dealt to lists by their class, and the pairs of a record and a
+class to as many tasks as they need, so that a task's memory doesn't grow with the catalogue.
 """
 
 from __future__ import annotations
 
+import math
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,6 +18,10 @@ from pyspark.sql import functions as F
 from recordloom.functions.similarity import score_column
 
 
+#: Entries of a word's list, on average, and pairs of a record's word and an entry that a task gets, on average.
+LISTED, MET = 4096, 250_000
+
+
 class Catalogue(NamedTuple):
     """classes: class, words, keys (the smallest ones) and n (entries); postings: word and class; weights: word, df (entries) and weight."""
 
@@ -72,10 +78,16 @@ def nearest(records: DataFrame, key: str, words: Column, index: Catalogue) -> Da
     ascending = Window.partitionBy("key").orderBy("weight", "word").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     bound = F.max(F.when(F.col("df") >= k, F.col("weight"))).over(Window.partitionBy("key"))
     judged = known.withColumn("upto", F.sum("weight").over(ascending)).withColumn("bound", F.coalesce(bound, F.lit(0)))
-    essential = judged.where("upto >= bound").select("key", "word", "weight", "bound")
-    others = judged.where("upto < bound").groupBy("key").agg(F.sum("weight").alias("rest"), F.map_from_entries(F.collect_list(F.struct("word", "weight"))).alias("light"))
-    met = essential.join(index.postings, "word").groupBy("key", "class").agg(F.sum("weight").alias("heavy"), F.first("bound").alias("bound"))
-    hopeful = met.join(others, "key", "left").where(F.col("heavy") + F.coalesce("rest", F.lit(0)) >= F.col("bound"))
+    # what a record's other words weigh goes with the essential ones: pairs needn't meet by record, which has many
+    rest = F.coalesce(F.sum(F.when(F.col("upto") < F.col("bound"), F.col("weight"))).over(Window.partitionBy("key")), F.lit(0))
+    essential = judged.withColumn("rest", rest).where("upto >= bound").select("key", "word", "weight", "bound", "rest", "df", F.ceil(F.col("df") / LISTED).cast("int").alias("lists"))
+    others = judged.where("upto < bound").groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("word", "weight"))).alias("light"))
+    tasks = max(1, math.ceil((essential.agg(F.sum("df")).first()[0] or 0) / MET))
+    asking = essential.select("key", "word", "weight", "bound", "rest", F.explode(F.sequence(F.lit(0), F.col("lists") - 1)).alias("list"))
+    listed = index.postings.join(essential.select("word", "lists").distinct(), "word").select("word", "class", F.pmod(F.xxhash64("class"), F.col("lists")).cast("int").alias("list"))
+    pairs = asking.repartition(tasks, "word", "list").join(listed.repartition(tasks, "word", "list"), ["word", "list"]).select("key", "class", "weight", "bound", "rest")
+    met = pairs.repartition(tasks, "key", "class").groupBy("key", "class").agg(F.sum("weight").alias("heavy"), F.first("bound").alias("bound"), F.first("rest").alias("rest"))
+    hopeful = met.where(F.col("heavy") + F.col("rest") >= F.col("bound")).select("key", "class", "heavy").join(others, "key", "left")
     light = F.aggregate(F.transform(F.array_intersect(F.map_keys("light"), F.col("words")), lambda w: F.col("light")[w]), F.lit(0).cast("long"), lambda a, x: a + x)
     scored = hopeful.join(index.classes, "class").select("key", (F.col("heavy") + F.coalesce(light, F.lit(0))).alias("shared"), "class", "keys")
     # k classes are enough, as each has an entry; then their keys compete

@@ -41,6 +41,18 @@ def test_light_words_meet_no_postings(spark):
     assert sorted(r.entry for r in found.collect()) == [70, 71, 72, 73, 74]
 
 
+def test_pairs_are_dealt_to_tasks(spark, monkeypatch):
+    monkeypatch.setattr(search, "LISTED", 7)
+    monkeypatch.setattr(search, "MET", 500)
+    entries = [(i, ["the", f"a{i % 3}", f"b{i % 50}"]) for i in range(600)]
+    records = [(i, ["the", f"a{i % 3}", "other"]) for i in range(10)] + [(11, ["the"]), (12, ["b7", "a1", "b8"])]
+    index = search.catalogue(spark.createDataFrame(entries, "e int, words array<string>"), "e", F.col("words"), 3)
+    found = search.nearest(spark.createDataFrame(records, "r int, words array<string>"), "r", F.col("words"), index)
+    dealt = [line for line in found._jdf.queryExecution().toString().split("== Physical Plan ==")[1].splitlines() if "REPARTITION_BY_NUM" in line]
+    assert any("key" in line and "class" in line for line in dealt), "pairs of a frequent word and a record's pairs go to several tasks"
+    assert sorted((r.r, r.place, r.entry, r.shared) for r in found.collect()) == brute(records, entries, 3)
+
+
 def test_found_entries_are_scored(spark):
     schema = "i int, title string, names array<string>, year string"
     entries = spark.createDataFrame([(1, "A study of things", ["Doe"], "2001"), (2, "Things of a study", ["Roe"], "1950"), (3, "Other words", ["Doe"], "2001")], schema)
