@@ -155,9 +155,9 @@ class Part(InputPartition):
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.size = options["path"], int(options.get("partbytes", PART))
-        self.prefix, self.raw = options.get("prefix", formats.CARRIED), options.get("lines", "false").lower() == "true"
+        self.prefix, self.raw = options.get("prefix", formats.CARRIED), options.get("lines", "false").lower()
         self.format = options.get("format") or ENDINGS.get(os.path.splitext(self.path.rstrip("/*"))[1].lower(), "")
-        if self.format not in {*BEGINS, "json"} or self.raw and self.format != "ris":
+        if self.format not in {*BEGINS, "json"} or self.raw != "false" and self.format != "ris":
             raise ValueError(f"unsupported record format: {self.format or self.path}")
 
     def partitions(self) -> list[InputPartition]:
@@ -172,10 +172,15 @@ class _Reader(DataSourceReader):
         with store.open_input_file(partition.path) as stream:
             for data, last in segments(stream, BEGINS.get(self.format), partition.start, partition.end):
                 text, encoding = formats.decode(data)
-                found = blocks(text, last) if self.raw else ({k: str(v) for k, v in r.items()} for r in parsed(self.format, text, last, self.prefix))
+                if self.raw == "count":
+                    place += sum(1 for _ in blocks(text, last))
+                    continue
+                found = blocks(text, last) if self.raw == "true" else ({k: str(v) for k, v in r.items()} for r in parsed(self.format, text, last, self.prefix))
                 for record in found:
                     yield partition.path, partition.start, place, encoding, record
                     place += 1
+        if self.raw == "count":
+            yield partition.path, partition.start, place, "", []
 
 
 @dataclass
@@ -251,7 +256,7 @@ class RecordFiles(DataSource):
     """RIS, BibTeX and JSON files: path, start of the part, place in it, encoding and fields of each record.
 
     Options: format (ris, bibtex, json, jsonl; else by the path's ending), prefix of carried columns, partBytes, lines
-    (a RIS record's lines instead of fields). Written are the last column's texts, in the order of the partitions;
+    (true: a RIS record's lines instead of fields; count: a part's number of records as its place, nothing else). Written are the last column's texts, in the order of the partitions;
     formats are ris, bibtex and csl_json, which has an item in a line.
     """
 
@@ -260,7 +265,7 @@ class RecordFiles(DataSource):
         return "recordloom"
 
     def schema(self) -> str:
-        return LINES if self.options.get("lines", "false").lower() == "true" else FIELDS
+        return FIELDS if self.options.get("lines", "false").lower() == "false" else LINES
 
     def reader(self, schema) -> DataSourceReader:
         return _Reader({k.lower(): v for k, v in self.options.items()})

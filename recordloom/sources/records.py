@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import collections
 import csv
 import functools
 import itertools
@@ -23,9 +24,11 @@ ROW = "_row_id"
 SHEET_ROWS = 100_000
 
 
-def read_fields(spark: SparkSession, path: str, prefix: str = formats.CARRIED, lines: bool = False, part: int = recordfiles.PART) -> DataFrame:
+def read_fields(spark: SparkSession, path: str, prefix: str = formats.CARRIED, lines: bool | str = False, part: int = recordfiles.PART) -> DataFrame:
     """path, start, place, encoding and fields (a map; or lines, of RIS) of each record of RIS, BibTeX or JSON files.
 
+    With "count" for lines a part of RIS files has one row, whose place is the number of its records.
+
     Files of records that begin with a line of their own are read in parts of so many bytes; a JSON file is read whole.
     """
     ending = os.path.splitext(path.rstrip("/*"))[1].lower()
@@ -40,7 +43,12 @@ def numbered(records: DataFrame) -> DataFrame:
 
     The parts' first numbers are sent along; there is one for each part of a file, whatever its records.
     """
-    sizes = sorted(map(tuple, records.groupBy("path", "start").agg(F.count(F.lit(1))).collect()))
+    return _numbered(records, records.groupBy("path", "start").agg(F.count(F.lit(1))).collect())
+
+
+def _numbered(records: DataFrame, sizes: list) -> DataFrame:
+    """numbered() with the parts' numbers of records."""
+    sizes = sorted(map(tuple, sizes))
     firsts = list(zip((x[:2] for x in sizes), itertools.accumulate((n for *_, n in sizes), initial=0), strict=False))
     if len(firsts) < 2:
         return records.withColumn(ROW, F.col("place"))
@@ -50,8 +58,17 @@ def numbered(records: DataFrame) -> DataFrame:
 
 def spread(fields: DataFrame) -> DataFrame:
     """ROW and a column for each key of `fields`, in the order of first appearance. Names are few, whatever the rows."""
-    keys = fields.select("path", "start", "place", F.posexplode(F.map_keys("fields")).alias("at", "key")).groupBy("key").agg(F.min(F.struct("path", "start", "place", "at")).alias("first")).orderBy("first").select("key").collect()
-    return numbered(fields).select(ROW, *(F.col("fields").getItem(r.key).alias(r.key) for r in keys))
+    # names and numbers by one pass over the files: rows for each part and name
+    seen = fields.select("path", "start", "place", F.posexplode_outer(F.map_keys("fields")).alias("at", "key"))
+    found = seen.groupBy("path", "start", "key").agg(F.min(F.struct("place", "at")).alias("first"), F.count(F.when(F.coalesce("at", F.lit(0)) == 0, 1)).alias("n")).collect()
+    sizes, first = collections.Counter(), {}
+    for r in found:
+        sizes[r.path, r.start] += r.n
+        if r.key is not None:
+            place = (r.path, r.start, *r["first"])
+            first[r.key] = min(first.get(r.key, place), place)
+    table = _numbered(fields, [(*part, n) for part, n in sizes.items()])
+    return table.select(ROW, *(F.col("fields").getItem(key).alias(key) for key in sorted(first, key=first.get)))
 
 
 #: Bytes of a file from whose lines its separator is told.
@@ -192,8 +209,8 @@ def _blocks(fmt: str, carried: list[str], prefix: str):
     return run
 
 
-def blocks(df: DataFrame, fmt: str, carried: list[str] | None = None, prefix: str = formats.CARRIED) -> DataFrame:
-    """place and block, a record's text in the format (ris, bibtex, csl_json); repeated BibTeX keys get numbers."""
+def blocks(df: DataFrame, fmt: str, carried: list[str] | None = None, prefix: str = formats.CARRIED, ordered: bool = False) -> DataFrame:
+    """place and block, a record's text in the format (ris, bibtex, csl_json), in the order of place if it is asked for; repeated BibTeX keys get numbers."""
     if fmt not in ("ris", "bibtex", "csl_json"):
         raise ValueError(f"unsupported format: {fmt}")
     names = [c for c in df.columns if c != ROW]
@@ -203,7 +220,10 @@ def blocks(df: DataFrame, fmt: str, carried: list[str] | None = None, prefix: st
     if fmt == "bibtex" and "Key" in names:
         bare = F.regexp_replace(F.coalesce("Key", F.lit("")), "[^A-Za-z0-9:_-]", "")
         suffix = F.when(bare == "", 1).otherwise(F.row_number().over(Window.partitionBy(bare).orderBy("__place")))
-    return text.withColumn("__suffix", suffix.cast("int")).mapInPandas(_blocks(fmt, list(carried), prefix), "place long, block string")
+    rows = text.withColumn("__suffix", suffix.cast("int"))
+    if ordered:  # before the texts are made: finding the ranges reads all rows once more
+        rows = rows.repartitionByRange("__place").sortWithinPartitions("__place")
+    return rows.mapInPandas(_blocks(fmt, list(carried), prefix), "place long, block string")
 
 
 def write_records(df: DataFrame, path: str, fmt: str, carried: list[str] | None = None, prefix: str = formats.CARRIED) -> None:
@@ -215,18 +235,19 @@ def write_records(df: DataFrame, path: str, fmt: str, carried: list[str] | None
         order = [ROW] if ROW in df.columns else []
         (out.repartitionByRange(*order).sortWithinPartitions(*order) if order else out).drop(ROW).write.options(header=True, escape='"').csv(path)
         return
-    write_blocks(blocks(df, fmt, carried, prefix), path, fmt)
+    write_blocks(blocks(df, fmt, carried, prefix, ordered=True), path, fmt, ordered=True)
 
 
-def write_blocks(texts: DataFrame, path: str, fmt: str) -> None:
-    """Write place and block as a folder of files in the order of place, which appear together at the end; it must not exist yet."""
+def write_blocks(texts: DataFrame, path: str, fmt: str, ordered: bool = False) -> None:
+    """Write place and block as a folder of files in the order of place (in which they may be already), which appear together at the end; it must not exist yet."""
     spark = texts.sparkSession
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     if target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
         raise ValueError(f"{path} exists already")
     recordfiles.register(spark)
     block = F.col("block") if fmt != "csl_json" else F.concat("block", F.lit("\n"))
-    texts.repartitionByRange("place").sortWithinPartitions("place").select(block.alias("block")).write.format("recordloom").option("format", fmt).mode("append").save(path)
+    rows = texts if ordered else texts.repartitionByRange("place").sortWithinPartitions("place")
+    rows.select(block.alias("block")).write.format("recordloom").option("format", fmt).mode("append").save(path)
 
 
 def patch_ris(spark: SparkSession, source: str, new: DataFrame, carried: list[str] = (), prefix: str = formats.CARRIED, part: int = recordfiles.PART) -> DataFrame:
@@ -235,25 +256,29 @@ def patch_ris(spark: SparkSession, source: str, new: DataFrame, carried: list[st
     `new` is the files' table (ROW) with changed cells. A changed number of rows, a ROW that is repeated or isn't the
     files', or a change in a column that can't be patched, is an error.
     """
-    raw = numbered(read_fields(spark, source, prefix, lines=True, part=part)).select("path", F.col(ROW).alias("place"), "lines")
+    lines, sizes = (read_fields(spark, source, prefix, lines=x, part=part) for x in (True, "count"))
+    raw = _numbered(lines, sizes.select("path", "start", "place").where("place > 0").collect()).select("path", F.col(ROW).alias("place"), F.array_join("lines", "\n").alias("lines"))
     names = [c for c in new.columns if c != ROW]
-    cells = F.create_map(*(x for c in names for x in (F.lit(c), F.trim(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))))))
-    both = raw.join(new.select(F.col(ROW).alias("place"), cells.alias("new")), "place", "full")
+    cells = F.array(*(F.trim(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))) for c in names))
+    both = raw.join(new.select(F.col(ROW).alias("place"), cells.alias("new")), "place", "full").select("path", "place", "lines", "new")
 
-    def patch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def patch(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        types = [pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.bool_()]
         for batch in batches:
-            out = []
-            for path, place, lines, cells_ in zip(batch["path"], batch["place"], batch["lines"], batch["new"], strict=True):
-                if lines is None or cells_ is None:  # no such record, or none that is left
+            out: list[tuple] = []
+            for path, place, text, values in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if text is None or values is None:  # no such record, or none that is left
                     out.append((path, place, None, True, False))
                     continue
-                block, cells_ = list(lines), dict(cells_)
-                old = {k: v.strip(" ") for k, v in next(iter(formats.read_ris("\n".join(block), prefix))).items()}
+                cells_ = dict(zip(names, values, strict=True))
+                old = {k: v.strip(" ") for k, v in next(iter(formats.read_ris(text, prefix))).items()}
                 moved = any(cells_[c] != old.get(c, "") for c in cells_ if c not in formats.PATCHED and c not in carried)
-                out.append((path, place, "\n".join(formats.patch_ris_block(block, old, cells_, carried, prefix)).rstrip("\n") + "\n\n", False, moved))
-            yield pd.DataFrame(out, columns=["path", "place", "block", "alone", "moved"])
+                out.append((path, place, "\n".join(formats.patch_ris_block(text.split("\n"), old, cells_, carried, prefix)).rstrip("\n") + "\n\n", False, moved))
+            yield pa.RecordBatch.from_arrays([pa.array([row[i] for row in out], kind) for i, kind in enumerate(types)], names=["path", "place", "block", "alone", "moved"])
 
-    patched = both.mapInPandas(patch, "path string, place long, block string, alone boolean, moved boolean")
+    patched = both.mapInArrow(patch, "path string, place long, block string, alone boolean, moved boolean")
     if base := spark.conf.get("spark.checkpoint.dir", None):  # made once, and kept from a lost executor
         folder = f"{base.rstrip('/')}/patched-{uuid.uuid4().hex}"
         patched.write.parquet(folder)

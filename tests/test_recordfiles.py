@@ -102,3 +102,13 @@ def test_odd_paths(spark, tmp_path):
             call()
     with pytest.raises(Exception, match="none.ris"):
         records.read_fields(spark, f"{tmp_path}/none.ris").count()
+
+
+def test_records_are_counted_without_lines_and_ordered_before_they_are_written(spark, tmp_path):
+    (tmp_path / "a.ris").write_text("".join(f"TY  - JOUR\nTI  - T{i}\nER  - \n\n" for i in range(40)))
+    found = records.read_fields(spark, f"{tmp_path}/*.ris", lines="count", part=200).collect()
+    assert len(found) > 3 and sum(r.place for r in found) == 40 and not any(r.lines for r in found)
+    made = records.blocks(records.spread(records.read_fields(spark, f"{tmp_path}/*.ris", part=200)), "ris", ordered=True)
+    plan = made._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert plan.index("MapInPandas") < plan.index("rangepartitioning"), "texts are made once, after the ranges are known"
+    assert [r.block.split("\n")[1] for r in made.collect()] == [f"TI  - T{i}" for i in range(40)]
