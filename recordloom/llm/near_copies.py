@@ -7,9 +7,13 @@ first n - ceil(t n) + 1 of either. The order puts shingles that a sample shows t
 speed only, the pairs are the same in any order.
 
 Equal sets are linked at once. Then rounds of candidates are verified: those of SimHash, each row against one of its
-buckets' least rows, by their places and twice by hashes, and last all pairs of a bucket whose rows aren't linked yet.
-The first ones have a pair for each row and link most of a large group, so that few are left for the last, which leaves
-none out.
+buckets' least rows, by their places and by hashes, a few pairs of each row that are alike, and last all pairs of a bucket
+whose rows aren't linked yet. The first ones have a pair or a few for each row and link most of a large group, so that few
+are left for the last, which leaves none out.
+
+Two near copies share many shingles, but first meet at one of them, in the common order. So a bucket whose rows all have
+the same shared shingle before its own has no pair that doesn't meet there too, and goes; and rows carry their last
+shared shingles, by which a pair of a bucket is seen to have met before.
 
 To verify, parity sketches come first: bit i of a sketch is the parity of the elements that hash to i, so two sketches
 differ in no more bits than the sets differ in elements. A sketch has a bit or two for each element and folds to half
@@ -22,7 +26,7 @@ import hashlib
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordloom.llm.common import ROW, counted, few_tasks, folders, materialize, release, text_bytes, with_row
@@ -38,6 +42,10 @@ SHARE, SAMPLE, COMMON, MOST_COMMON = 1 / 8, 5000, 3, 2_000_000
 #: Rows of a bucket that are compared in one list, and the most words of a sketch that moves with each: long texts have
 #: long sketches and many buckets, so their pairs are compared by size and place first.
 PAIRS, LISTED = 48, 16
+#: Shared shingles before its own that a bucket's row carries. More find more of the pairs that have met; none is lost by any number.
+BEFORE = 4
+#: Pairs of a row that are tried before all others are, and the lists of a bucket in which they are looked for.
+SOME = 4
 #: Keeps products of the similarity, which isn't a binary fraction, from being rounded past a whole number.
 _EPS = 1e-9
 #: Pairs whose whole sets a task compares.
@@ -130,29 +138,56 @@ def _may(x: Column, y: Column, similarity: float) -> Column:
     return common >= (x["n"] + y["n"]) * F.lit(similarity / (1 + similarity)) - _EPS
 
 
+def _first_met(met: DataFrame) -> DataFrame:
+    """Without the buckets whose rows all have met in the bucket before; `before` has a row's last BEFORE shared shingles, or nulls.
+
+    A pair's first common shingle has none before it that both have, so its bucket stays.
+    """
+    places = Window.partitionBy("node").orderBy("pos")
+    met = materialize(met.withColumn("before", F.array(*(F.lag("gram", i).over(places) for i in range(1, BEFORE + 1)))), "near-places")
+    last = F.col("before")[0]
+    again = met.groupBy("gram").agg(F.min(last).alias("low"), F.max(last).alias("high"), F.count(last).alias("k"), F.count(F.lit(1)).alias("size")).where("low = high and k = size")
+    return met.join(again.select("gram"), "gram", "left_anti")
+
+
 def _leaders(met: DataFrame, order: Column, similarity: float) -> DataFrame:
-    """Each row with one of its buckets' least rows by `order`: the one with which it shares most buckets."""
+    """Each row with one of its buckets' least rows by `order`: the one with which it shares most buckets, of these the one nearest in size."""
     least = met.groupBy("gram").agg(F.min_by(F.struct("node", "n", "pos"), order).alias("y"))
     pairs = met.withColumn("x", F.struct("node", "n", "pos")).join(least, "gram")
-    shared = pairs.where((F.col("x.node") != F.col("y.node")) & _may(F.col("x"), F.col("y"), similarity)).groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count(F.lit(1)).alias("k"))
-    return shared.groupBy("a").agg(F.max_by("b", F.struct("k", -F.col("b"))).alias("b"))
+    shared = pairs.where((F.col("x.node") != F.col("y.node")) & _may(F.col("x"), F.col("y"), similarity)).groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count(F.lit(1)).alias("k"), F.first(F.abs(F.col("x.n") - F.col("y.n"))).alias("apart"))
+    return shared.groupBy("a").agg(F.max_by("b", F.struct("k", -F.col("apart"), -F.col("b"))).alias("b"))
 
 
-def _rest(met: DataFrame, prints: DataFrame, similarity: float, pairs: int) -> DataFrame:
-    """The pairs of a bucket that are in different components (root) and whose sizes, and sketches of up to LISTED words, are alike: others aren't listed.
+def _apart(met: DataFrame, prints: DataFrame, similarity: float, pairs: int, most: int | None = None) -> DataFrame:
+    """Rows (a) with lists (b) of the rows of a bucket that are in different components (root), haven't met before and whose sizes, and sketches of up to LISTED words, are alike.
 
     A bucket's rows are dealt to lists of about `pairs` rows. Those outside of the bucket's largest component meet each
-    list, and compare themselves with its rows.
+    list, and compare themselves with its rows; of two such rows the larger does. With `most`, they meet so many
+    of the lists only.
     """
     ties = met.groupBy("gram", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("gram").agg(F.sum("k").alias("size"), F.max_by("root", "k").alias("main"))
     rows = met.join(ties, "gram").withColumn("lists", F.ceil(F.col("size") / max(pairs, 1)).cast("int")).join(prints.select(F.col(ROW).alias("node"), F.when(F.size("sketch") <= LISTED, F.col("sketch")).alias("sketch")), "node")
-    item = F.struct("node", "n", "pos", "root", "sketch")
+    item = F.struct("node", "n", "pos", "root", "before", "sketch")
     listed = rows.groupBy("gram", F.pmod(F.xxhash64("node"), F.col("lists")).cast("int").alias("list")).agg(F.collect_list(item).alias("all"))
-    asked = rows.where(F.col("root") != F.col("main")).select("gram", item.alias("x"), F.explode(F.sequence(F.lit(0), F.col("lists") - 1)).alias("list"))
+    meet = F.col("lists") if most is None else F.least("lists", F.lit(most))
+    asked = rows.where(F.col("root") != F.col("main")).select("gram", item.alias("x"), "main", "lists", F.explode(F.sequence(F.lit(0), meet - 1)).alias("i"))
+    asked = asked.withColumn("list", F.pmod(F.pmod(F.xxhash64("x.node", F.lit(1)), F.col("lists")) + F.col("i"), F.col("lists")).cast("int")).drop("lists", "i")
     x = F.col("x")
-    apart = lambda y: (x["root"] != y["root"]) & _may(x, y, similarity) & F.when(x["sketch"].isNull() | y["sketch"].isNull(), _sizes(x, y, similarity)).otherwise(_alike(x, y, similarity))
+    apart = lambda y: (x["root"] != y["root"]) & ((y["root"] == F.col("main")) | (x["node"] > y["node"])) & _may(x, y, similarity) & ~F.coalesce(F.arrays_overlap(x["before"], y["before"]), F.lit(False)) & F.when(x["sketch"].isNull() | y["sketch"].isNull(), _sizes(x, y, similarity)).otherwise(_alike(x, y, similarity))
     found = asked.join(listed, ["gram", "list"]).select(x["node"].alias("a"), F.transform(F.filter("all", apart), lambda y: y["node"]).alias("b"))
-    return found.where(F.size("b") > 0).select("a", F.explode("b").alias("b"))
+    return found.where(F.size("b") > 0)
+
+
+def _some(*args) -> DataFrame:
+    """A few of each row's pairs in _apart(), by hashes: alike as they are they link most rows of a large group, so that _rest() has few."""
+    found = _apart(*args, most=SOME).select("a", F.col("b")[0].alias("b"))
+    few = found.groupBy("a").agg(F.array(*(F.min_by("b", F.xxhash64("b", F.lit(i))) for i in range(SOME))).alias("b"))
+    return few.select("a", F.explode(F.array_distinct("b")).alias("b"))
+
+
+def _rest(*args) -> DataFrame:
+    """All pairs in _apart()."""
+    return _apart(*args).select("a", F.explode("b").alias("b"))
 
 
 def _fingerprints_near(own: DataFrame) -> DataFrame:
@@ -212,6 +247,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if not 0 < similarity <= 1:
         raise ValueError("the similarity has to be above 0 and at most 1")
     base = with_row(docs).select(ROW, F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    mark = folders()
     common = docs.sparkSession.sparkContext.broadcast(_common(base, words))
     prints = materialize(base.mapInArrow(_prefixes(words, similarity, common), _PRINTS), "near-prefixes")
     equal = prints.groupBy("digest").agg(F.min(ROW).alias("b"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
@@ -220,21 +256,23 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = own.select(F.col(ROW).alias("node"), "n", F.posexplode("prefix").alias("pos", "gram"))
     # of known size: few enough shingles are sent along, so that no others move
     shared = materialize(own.select(F.explode("prefix").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("size")).where("size > 1").drop("size"), "near-shared")
-    met = materialize(rows.join(shared, "gram"), "near-buckets")
+    met = materialize(_first_met(rows.join(shared, "gram")), "near-buckets")
+    release(docs.sparkSession, mark, prints, edges, met)
     roots = None
-    for round_, order in enumerate((None, F.col("node"), F.xxhash64("node"), F.xxhash64("node", F.lit(1)), None)):
-        left = met
+    for round_ in (_fingerprints_near, F.col("node"), F.xxhash64("node"), _some, _rest):
+        leads, left = isinstance(round_, Column), met
         if roots is not None:  # buckets within one component are settled
-            known = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+            known = (met.drop("before") if leads else met).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
             several = known.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("gram")
             left, (n,) = counted(known.join(several, "gram"), "near-left")
             if not n:
                 break
-        candidates = _leaders(left, order, similarity) if order is not None else _rest(left, prints, similarity, pairs) if round_ else _fingerprints_near(own)
+        candidates = _leaders(left, round_, similarity) if leads else round_(own) if roots is None else round_(left, prints, similarity, pairs)
         found, (n,) = counted(_verified(candidates, base, prints, words, similarity), "near-links")
         if n or roots is None:
             edges = edges.union(found)
             roots = connected_components(edges)
+        release(docs.sparkSession, mark, prints, edges, met, roots)
     inside = roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
     return prints.select(ROW, "id").join(inside.withColumnRenamed("node", ROW), ROW)
 

@@ -65,3 +65,36 @@ def test_pairs_without_sketches_in_their_lists(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(near_copies, "LISTED", 0)
     kept = near_copies.drop_near_copies(spark.read.parquet(f"{tmp_path}/d"))
     assert sorted(r.doc_id for r in kept.collect()) == stay(rows)
+
+
+@pytest.mark.parametrize("before", [4, 500])
+def test_a_pair_is_listed_about_once(spark, tmp_path, monkeypatch, before):
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(500)]
+    base = [rng.choice(words) for _ in range(300)]
+    rows = []
+    for i in range(40):
+        copy = list(base)
+        for at in rng.sample(range(300), 8):
+            copy[at] = rng.choice(words)
+        rows.append((i, " ".join(copy)))
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/d")
+    listed, rest = [], near_copies._rest
+    monkeypatch.setattr(near_copies, "_rest", lambda *args: listed.extend((r.a, r.b) for r in rest(*args).collect()) or rest(*args))
+    monkeypatch.setattr(near_copies, "LISTED", 0)
+    monkeypatch.setattr(near_copies, "COMMON", 1000)
+    monkeypatch.setattr(near_copies, "BEFORE", before, raising=False)
+    kept = near_copies.drop_near_copies(spark.read.parquet(f"{tmp_path}/d"))
+    assert sorted(r.doc_id for r in kept.collect()) == stay(rows)
+    pairs = {frozenset(x) for x in listed}
+    assert len(pairs) >= 100
+    assert len(listed) <= 1.5 * len(pairs) if before == 4 else len(listed) == len(pairs)
+
+
+def test_buckets_that_repeat_the_one_before_go(spark):
+    # rows 1 and 2 share 10, 20 and 30 one after the other; 3 comes in at 40, from 15
+    places = {1: [10, 20, 30, 40], 2: [10, 20, 30, 40], 3: [15, 40], 4: [15]}
+    met = spark.createDataFrame([(node, 100, i, gram) for node, grams in places.items() for i, gram in enumerate(grams)], "node long, n int, pos int, gram long")
+    found = near_copies._first_met(met).collect()
+    assert sorted((r.gram, r.node) for r in found) == [(10, 1), (10, 2), (15, 3), (15, 4), (40, 1), (40, 2), (40, 3)]
+    assert {r.node: r.before for r in found if r.gram == 40} == {1: [30, 20, 10, None], 2: [30, 20, 10, None], 3: [15, None, None, None]}
