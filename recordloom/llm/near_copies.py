@@ -15,6 +15,10 @@ Two near copies share many shingles, but first meet at one of them, in the commo
 the same shared shingle before its own has no pair that doesn't meet there too, and goes; and rows carry their last
 shared shingles, by which a pair of a bucket is seen to have met before.
 
+Most shingles are one row's alone, so what is dealt out to count them and to find the shared ones is packed: a task sends
+a part of all shingles as a few arrays with 32 bits of each. With the part these are enough to tell shingles apart; two
+that aren't meet as if they were one, which makes a candidate that doesn't verify.
+
 To verify, parity sketches come first: bit i of a sketch is the parity of the elements that hash to i, so two sketches
 differ in no more bits than the sets differ in elements. A sketch has a bit or two for each element and folds to half
 its length, so sets of like sizes can be compared. Only pairs that pass have their whole sets intersected.
@@ -52,6 +56,8 @@ _EPS = 1e-9
 _COMPARED = 5000
 #: Rows whose whole sets are sent from Python at a time.
 _SLICE = 100
+#: Shingles that a task packs at a time; the fewest parts that they are dealt to, and the shingles of a part, about.
+_PACKED, _PARTS, _PART = 1 << 19, 64, 1 << 19
 
 
 def _set(text: bytes, words: int) -> np.ndarray:
@@ -62,17 +68,125 @@ def prefix_length(n: int, similarity: float) -> int:
     return n - math.ceil(similarity * n - _EPS) + 1 if n else 0
 
 
-def _sampled(words: int):
-    def run(batches):
+def _parts(grams: int) -> int:
+    return max(_PARTS, grams // _PART)
+
+
+def _keys(own: np.ndarray, parts: int) -> np.ndarray:
+    """What tells shingles apart: their part, and 32 bits below it."""
+    return (own >> np.uint64(32)) % np.uint64(parts) << np.uint64(32) | own & np.uint64(0xFFFFFFFF)
+
+
+def _narrow(numbers: np.ndarray) -> bytes:
+    """Numbers of 0 or more in as few bytes each as the largest takes."""
+    return numbers.astype(np.min_scalar_type(numbers.max())).tobytes()
+
+
+def _wide(packed: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(packed, f"<u{len(packed) // n}").astype(np.int64)
+
+
+def _ends(keys: np.ndarray) -> list[tuple[int, int, int]]:
+    """Part, start and end of each part of sorted keys."""
+    own, starts = np.unique(keys >> np.uint64(32), return_index=True)
+    return list(zip(own.tolist(), starts.tolist(), [*starts.tolist()[1:], len(keys)], strict=True))
+
+
+def _sampled(words: int, parts: int):
+    def packed(sets: list[np.ndarray]):
         import pyarrow as pa
 
+        keys, counts = np.unique(np.concatenate(sets), return_counts=True)
+        ends = _ends(keys)
+        low = keys.astype(np.uint32)
+        return pa.RecordBatch.from_arrays([pa.array([part for part, _, _ in ends], pa.int32()), pa.array([low[x:y].tobytes() for _, x, y in ends], pa.binary()), pa.array([_narrow(counts[x:y]) for _, x, y in ends], pa.binary())], names=["part", "grams", "counts"])
+
+    def run(batches):
+        sets, held = [], 0
         for batch in batches:
             for text in text_bytes(batch.column(0)):
-                yield pa.RecordBatch.from_arrays([pa.array(_set(text, words).view(np.int64))], names=["gram"])
+                sets.append(_keys(_set(text, words), parts))
+                held += len(sets[-1])
+                if held >= _PACKED:
+                    yield packed(sets)
+                    sets, held = [], 0
+        if held:
+            yield packed(sets)
+
+    return run
+
+
+def _frequent(least: int):
+    """The keys of one part with a count of `least` or more in all."""
+
+    def run(table):
+        import pyarrow as pa
+
+        low = [np.frombuffer(x, "<u4") for x in table.column("grams").to_pylist()]
+        counts = [_wide(x, len(y)) for x, y in zip(table.column("counts").to_pylist(), low, strict=True)]
+        keys, at = np.unique(np.concatenate(low), return_inverse=True)
+        n = np.zeros(len(keys), np.int64)
+        np.add.at(n, at, np.concatenate(counts))
+        often = n >= least
+        return pa.table({"gram": (table.column("part")[0].as_py() << 32) + keys[often].astype(np.int64), "n": n[often]})
+
+    return run
+
+
+def _dealt(parts: int):
+    """The prefixes of many rows as one row for each part: the rows' numbers by the gaps between them, sizes, places and shingles."""
+
+    def packed(batches):
+        import pyarrow as pa
+
+        table = pa.Table.from_batches(batches).sort_by(ROW).combine_chunks()
+        node, n, prefix = (table.column(i).chunk(0) for i in range(3))
+        sizes = np.diff(prefix.offsets.to_numpy())
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        pos = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        keys = _keys(prefix.flatten().to_numpy().view(np.uint64), parts)
+        order = np.argsort((keys >> np.uint64(32)).astype(np.uint32), kind="stable")
+        keys, row, pos = keys[order], row[order], pos[order]
+        low, node, n = keys.astype(np.uint32), node.to_numpy()[row], n.to_numpy()[row]
+        # by whole parts in order, so that _ends() holds though a part's keys aren't sorted
+        out = [(part, int(node[x]), _narrow(np.diff(node[x:y], prepend=node[x])), _narrow(n[x:y]), _narrow(pos[x:y]), low[x:y].tobytes()) for part, x, y in _ends(keys)]
+        kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(list(x), kind) for x, kind in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split()[0] for x in _DEALT.split(", ")])
+
+    def run(batches):
+        some, held = [], 0
+        for batch in batches:
+            some.append(batch)
+            held += len(batch.column(2).flatten())
+            if held >= _PACKED:
+                yield packed(some)
+                some, held = [], 0
+        if held:
+            yield packed(some)
 
     return run
 
 
+_DEALT = "part int, first long, gaps binary, sizes binary, places binary, grams binary"
+
+
+def _shared(table):
+    """Rows and places of one part's shingles that two rows or more have."""
+    import pyarrow as pa
+
+    low = [np.frombuffer(x, "<u4") for x in table.column("grams").to_pylist()]
+    number = lambda name: [_wide(x, len(y)) for x, y in zip(table.column(name).to_pylist(), low, strict=True)]
+    node = np.concatenate([first + np.cumsum(gaps) for first, gaps in zip(table.column("first").to_pylist(), number("gaps"), strict=True)])
+    n, pos, low = np.concatenate(number("sizes")), np.concatenate(number("places")), np.concatenate(low)
+    order = np.argsort(low, kind="stable")
+    low = low[order]
+    same = np.concatenate([[False], low[1:] == low[:-1], [False]])
+    several = same[1:] | same[:-1]
+    order = order[several]
+    gram = (table.column("part")[0].as_py() << 32) + low[several].astype(np.int64)
+    return pa.table({"node": node[order], "n": pa.array(n[order], pa.int32()), "pos": pa.array(pos[order], pa.int32()), "gram": gram})
+
+
 def parity_sketch(own: np.ndarray) -> np.ndarray:
     """As many bits as elements, or up to twice as many (a power of two, 64 at least), as signed 64-bit words."""
     bits = max(64, 1 << (len(own) - 1).bit_length())
@@ -87,7 +201,7 @@ def _prefixes(words: int, similarity: float, common):
     def run(batches):
         import pyarrow as pa
 
-        grams, counts = common.value
+        grams, counts, parts = common.value
         longs = pa.list_(pa.int64())
         for batch in batches:
             kept: tuple[list, ...] = ([], [], [], [], [])
@@ -96,8 +210,9 @@ def _prefixes(words: int, similarity: float, common):
                 own = np.unique(hashes)
                 known = np.zeros(len(own), np.int64)
                 if len(grams) and len(own):
-                    at = np.minimum(np.searchsorted(grams, own), len(grams) - 1)
-                    known = np.where(grams[at] == own, counts[at], 0)
+                    keys = _keys(own, parts)
+                    at = np.minimum(np.searchsorted(grams, keys), len(grams) - 1)
+                    known = np.where(grams[at] == keys, counts[at], 0)
                 first = np.lexsort((own, known))[: prefix_length(len(own), similarity)]
                 row = (len(own), hashlib.blake2b(own.tobytes(), digest_size=16).digest(), majority(hashes), parity_sketch(own), own[first].view(np.int64))
                 for column, value in zip(kept, row, strict=True):
@@ -121,15 +236,16 @@ def _sets(words: int):
     return run
 
 
-def _common(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted common shingles of a sample, and their counts there."""
+def _common(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Sorted keys of common shingles of a sample, their counts there, and the parts that the keys are of."""
     rows = texts.count()
     part = max(1, round(1 / max(SHARE, min(1.0, SAMPLE / max(rows, 1)))))
-    sample = texts.where(F.pmod(F.xxhash64(ROW), F.lit(part)) == 0).select("text").mapInArrow(_sampled(words), "gram long")
-    found = sample.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON).orderBy(F.desc("n"), "gram").limit(MOST_COMMON).toPandas()
+    parts = _parts(rows // part * 512)
+    sample = texts.where(F.pmod(F.xxhash64(ROW), F.lit(part)) == 0).select("text").mapInArrow(_sampled(words, parts), "part int, grams binary, counts binary")
+    found = sample.groupBy("part").applyInArrow(_frequent(COMMON), "gram long, n long").orderBy(F.desc("n"), "gram").limit(MOST_COMMON).toPandas()
     grams, counts = found["gram"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64)
     order = np.argsort(grams)
-    return grams[order], counts[order]
+    return grams[order], counts[order], parts
 
 
 def _may(x: Column, y: Column, similarity: float) -> Column:
@@ -249,14 +365,12 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     base = with_row(docs).select(ROW, F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     mark = folders()
     common = docs.sparkSession.sparkContext.broadcast(_common(base, words))
-    prints = materialize(base.mapInArrow(_prefixes(words, similarity, common), _PRINTS), "near-prefixes")
+    prints, (_, grams) = counted(base.mapInArrow(_prefixes(words, similarity, common), _PRINTS), "near-prefixes", F.sum(F.size("prefix")))
     equal = prints.groupBy("digest").agg(F.min(ROW).alias("b"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
     edges = materialize(prints.select("digest", F.col(ROW).alias("a")).join(equal, "digest").where("a <> b").select("a", "b"), "near-equal")
     own = prints.join(edges.select(F.col("a").alias(ROW)), ROW, "left_anti")
-    rows = own.select(F.col(ROW).alias("node"), "n", F.posexplode("prefix").alias("pos", "gram"))
-    # of known size: few enough shingles are sent along, so that no others move
-    shared = materialize(own.select(F.explode("prefix").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("size")).where("size > 1").drop("size"), "near-shared")
-    met = materialize(_first_met(rows.join(shared, "gram")), "near-buckets")
+    rows = own.select(ROW, "n", "prefix").mapInArrow(_dealt(_parts(grams or 0)), _DEALT).groupBy("part").applyInArrow(_shared, "node long, n int, pos int, gram long")
+    met = materialize(_first_met(rows), "near-buckets")
     release(docs.sparkSession, mark, prints, edges, met)
     roots = None
     for round_ in (_fingerprints_near, F.col("node"), F.xxhash64("node"), _some, _rest):

@@ -98,3 +98,39 @@ def test_buckets_that_repeat_the_one_before_go(spark):
     found = near_copies._first_met(met).collect()
     assert sorted((r.gram, r.node) for r in found) == [(10, 1), (10, 2), (15, 3), (15, 4), (40, 1), (40, 2), (40, 3)]
     assert {r.node: r.before for r in found if r.gram == 40} == {1: [30, 20, 10, None], 2: [30, 20, 10, None], 3: [15, None, None, None]}
+
+
+def written(spark):
+    """Rows that all stages so far have written to shuffles."""
+    jvm, sc = spark._jvm, spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in map(stages.apply, range(stages.size()))}
+
+
+def test_shingles_of_one_row_move_packed(spark, tmp_path):
+    rng = random.Random(9)
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(204))) for i in range(400)]
+    rows += [(400 + i, rows[i][1] + " and more") for i in range(3)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(2).write.parquet(f"{tmp_path}/d")
+    before = written(spark)
+    kept = near_copies.drop_near_copies(spark.read.parquet(f"{tmp_path}/d"))
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(400))
+    # 403 prefixes of 41 shingles or so
+    assert sum(n for stage, n in written(spark).items() if stage not in before) < 403 * 41
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_packed_shingles_meet_as_they_are(spark, monkeypatch, parts):
+    rng = random.Random(11)
+    held = [(rng.choice([i, (5 << 40) + i]), rng.sample(range(-40, 60), rng.randrange(12))) for i in range(300)] + [(1 << 62, list(range(1000, 1300)))]
+    place = lambda gram: gram * 0x9E3779B97F4A7C15 % (1 << 64)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    rows = [(node, len(own) + 70_000 * (node % 2), [signed(place(g)) for g in own]) for node, own in held]
+    monkeypatch.setattr(near_copies, "_PACKED", 200)
+    table = spark.createDataFrame(rows, f"{near_copies.ROW} long, n int, prefix array<long>").repartition(3)
+    found = table.mapInArrow(near_copies._dealt(parts), near_copies._DEALT).groupBy("part").applyInArrow(near_copies._shared, "node long, n int, pos int, gram long").collect()
+    key = {g: (place(g) >> 32) % parts << 32 | place(g) & 0xFFFFFFFF for _, own in held for g in own}
+    assert len(set(key.values())) == len(key)
+    several = {g for g in key if sum(g in own for _, own in held) > 1}
+    assert sorted((r.node, r.n, r.pos, r.gram) for r in found) == sorted((node, n, i, key[g]) for (node, own), (_, n, _) in zip(held, rows, strict=True) for i, g in enumerate(own) if g in several)
