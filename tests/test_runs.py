@@ -107,6 +107,17 @@ def test_queries_of_pages_whose_titles_are_cut_in_a_reference(spark, tmp_path):
         same(spark, str(tmp_path), registry.QUERIES[name], registry.ORACLE_SQL[name])
 
 
+def test_query_of_pages_whose_headings_stand_late(spark, tmp_path):
+    from recordloom.plans import page_queries, registry
+    from tests.oracle import TABLES, same
+
+    late = "<html><body><p>" + "a line of no matter. " * 20_000 + "</p><h1>One two three four five six seven eight nine</h1><p>text"
+    rows = [(i, f"http://h.org/{i}", late) for i in (0, 2, 3, 5, 6, 8)]
+    for name in TABLES:
+        spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    same(spark, str(tmp_path), page_queries.page_evidence, registry.ORACLE_SQL["page_evidence"])
+
+
 def test_pages_of_publications(spark):
     html = "<meta name=citation_title content='A found title of words'><meta name=citation_author content='Doe, J'><meta name=citation_date content='2003/1'><meta name=citation_journal_title content=J><meta name=citation_firstpage content=1><meta name=citation_lastpage content=9><meta name=citation_doi content='10.1/x'><p>A found title of words by Doe"
     found = pages.page_candidate(html, "http://p")
